@@ -37,9 +37,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder; a lost executor costs nothing that was computed before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written to the shared folder and read from there: computed once, and safe from lost executors."""
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def words_of(text: str | None) -> list[bytes]:
