@@ -24,7 +24,7 @@ from .common import columns, settled, slices, with_fields
 #: Chunks that a worker remembers at most.
 CHUNKS = 700_000
 #: Pieces of one length that are ranked in one group.
-RANKED = 2_000
+RANKED = 500
 
 
 class WordTokenizer:

@@ -15,16 +15,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import columns, slices
 
-#: Words of 64 bits in a block: one cache line.
-WORDS = 8
-#: Blocks at most: 16 MB. A longer list makes more false hits, which the join removes.
-MOST_BLOCKS = 1 << 18
-#: Bits that an entry sets in its block.
-BITS = 6
-
-
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a URL; both empty if it is null or has no ://."""
     at = F.instr(url, "://")
@@ -34,36 +27,18 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
-def places(keys: list[str], blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """The block of each key, and its bits (one row of WORDS words for each key)."""
-    h = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
-    block = ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
-    mask = np.zeros((len(keys), WORDS), np.uint64)
-    rows = np.arange(len(keys))
-    g = h
-    for _ in range(BITS):
-        g = g * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x7F4A7C15)
-        bit = g >> np.uint64(55)  # 0 to 511
-        mask[rows, (bit >> np.uint64(6)).astype(np.int64)] |= np.uint64(1) << (bit & np.uint64(63))
-    return block, mask
+def digests(hosts: list[str], paths: list[str]) -> np.ndarray:
+    """Of possible entries: a blank stands in no host, so host and path can't run together."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(f"{a} {b}") for a, b in zip(hosts, paths)), np.uint64, len(hosts))
 
 
-def bloom(entries: DataFrame, key: str, blocks: int) -> np.ndarray:
-    """The filter: blocks x WORDS words. Tasks turn keys into bits, and Spark ORs them by block; what the driver gets are the
-    blocks, whose number is the parameter."""
-    names = [f"w{i}" for i in range(WORDS)]
-
+def listed_digests(listed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            block, mask = places(batch.column(0).to_pylist(), blocks)
-            yield pa.RecordBatch.from_arrays([pa.array(block), *(pa.array(mask[:, i].astype(np.int64)) for i in range(WORDS))], names=["block", *names])
+        for batch in batches:
+            h = digests(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
-    bits = entries.where(F.col(key).isNotNull()).select(key).mapInArrow(run, "block long, " + ", ".join(f"{n} long" for n in names))
-    out = np.zeros((blocks, WORDS), np.uint64)
-    got = bits.groupBy("block").agg(*(F.bit_or(n).alias(n) for n in names)).toArrow()
-    if got.num_rows:
-        out[got.column("block").to_numpy()] = np.stack([got.column(n).to_numpy().astype(np.uint64) for n in names], 1)
-    return out
+    return listed.select("host", "path").mapInArrow(run, "h long")
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
@@ -77,8 +52,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, default: str = "allow", url
     parted = pages.select(*rest, host.alias("host"), path.alias("path"))
     listed = listed.where("host is not null and path is not null").select(F.concat("host", "path").alias("rule"), "host", "path", "verdict")
     size = listed.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.length("path"))).alias("lengths"), F.max(F.size(F.split("host", r"\."))).alias("labels")).first()
-    blocks = int(min(MOST_BLOCKS, max(64, 1 << (int(size["n"]) // 32).bit_length())))
-    words = spark.sparkContext.broadcast(bloom(listed.select(F.concat_ws(" ", "host", "path").alias("key")), "key", blocks))
+    words = spark.sparkContext.broadcast(bloom.build(listed_digests(listed), size["n"]))
     lengths, labels = list(size["lengths"]), size["labels"] or 0  # path lengths in the list; a URL has few of them
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,8 +67,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, default: str = "allow", url
                         owner.append((h, p))
                         hosts.append(name)
                         paths.append(p[:n])
-            block, mask = places([f"{a} {b}" for a, b in zip(hosts, paths)], blocks)
-            hit = np.flatnonzero(((words.value[block] & mask) == mask).all(1))
+            hit = np.flatnonzero(bloom.passes(words.value, digests(hosts, paths)))
             arrays = [[owner[i][0] for i in hit], [owner[i][1] for i in hit], [hosts[i] for i in hit], [paths[i] for i in hit]]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in arrays], names=["_host", "_path", "host", "path"])
 
