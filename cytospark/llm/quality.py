@@ -65,7 +65,7 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         F.regexp_count("t", F.lit("[A-Z]")).cast("long").alias("n_capitals"),
         let(F.col("w"), lambda w: F.size(F.filter(w, lambda x, i: F.coalesce(x == F.get(w, i - 1), F.lit(False))))).cast("long").alias("n_stutters"),
     )
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", F.col("lines.dup").alias("n_dup_lines"), "n_repeat_words", F.col("lines.n").alias("n_lines"), "n_function", "n_capitals")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", F.col("lines.dup").alias("n_dup_lines"), "n_repeat_words", F.col("lines.n").alias("n_lines"), "n_function", "n_capitals", "n_stutters")
 
 
 def vote(value: Column, good: Column, bad: Column) -> Column:
