@@ -7,9 +7,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-BED = StructType.fromDDL("rid int, top boolean, s long, e long")
+BED = "rid int, top boolean, s long, e long"
 
 
 def file_bytes(spark: SparkSession, path: str) -> bytes:

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-READS = StructType.fromDDL("ord long, name string, flag int, rid int, chrom string, start long, mapq int, cigar string, bases string, quals string, xg string, nh string")
-CONTIGS = StructType.fromDDL("rid int, chrom string, length long")
+READS = "ord long, name string, flag int, rid int, chrom string, start long, mapq int, cigar string, bases string, quals string, xg string, nh string"
+CONTIGS = "rid int, chrom string, length long"
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
