@@ -21,9 +21,8 @@ def bisulfite_strand(flag: Column, xg: Column) -> Column:
     tells, for pairs without a read number."""
     kind = F.substring(xg, 1, 1)
     second = masked(flag, 0x51, 0x51) | masked(flag, 0x91, 0x81)
-    first = masked(flag, 0x51, 0x41) | masked(flag, 0x91, 0x91)
     reverse = masked(flag, REVERSE)
-    turned = F.when(first, False).when(second, True).otherwise(reverse)
+    turned = F.when(masked(flag, 0x51, 0x41), False).when(second, True).when(masked(flag, 0x91), False).otherwise(reverse)
     return (
         F.when(kind == "C", F.when(turned, "CTOT").otherwise("OT"))
         .when(kind == "G", F.when(turned, "OB").otherwise("CTOB"))

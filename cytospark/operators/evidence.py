@@ -13,11 +13,11 @@ Bounds = dict[str, tuple[int, int, int, int]]
 def aligned(reads: DataFrame) -> DataFrame:
     """reads with strand (null if undetermined), top, read, walk (see cigar_walk) and stop, the end on the reference. A CIGAR that
     is malformed or doesn't use up the bases is an error."""
-    rows = reads.withColumn("walk", cigar_walk(F.col("cigar"), F.col("start"))).withColumn("strand", bisulfite_strand(F.col("flag"), F.col("xg")))
     n = F.when(F.col("bases") == "*", 0).otherwise(F.length("bases"))
-    wrong = F.raise_error(F.concat(F.lit("invalid CIGAR of read "), F.col("name"))).cast("long")
-    stop = F.when(F.coalesce(F.col("walk.qlen") == n, F.lit(False)), F.col("walk.stop")).otherwise(wrong)
-    return rows.select("*", is_top(F.col("strand")).alias("top"), read_number(F.col("flag")).alias("read"), stop.alias("stop"))
+    wrong = F.raise_error(F.concat(F.lit("invalid CIGAR of read "), F.col("name")))
+    rows = reads.withColumn("walk", cigar_walk(F.col("cigar"), F.col("start"))).withColumn("strand", bisulfite_strand(F.col("flag"), F.col("xg")))
+    rows = rows.withColumn("walk", F.when(F.coalesce(F.col("walk.qlen") == n, F.lit(False)), F.col("walk")).otherwise(wrong))
+    return rows.select("*", is_top(F.col("strand")).alias("top"), read_number(F.col("flag")).alias("read"), F.col("walk.stop").alias("stop"))
 
 
 def strict(rows: DataFrame) -> DataFrame:
