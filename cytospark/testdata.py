@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions.reads import bisulfite_strand
 from .functions.stats import log_odds, percentage, share
-from .operators import context, evidence, filters, mbias as bias, overlap, selection
+from .operators import context, evidence, mbias as bias, overlap
 from .plans import analyses
 from .plans.options import ExtractOptions, PileupOptions, Trimming
 from .sources.bed import merged
