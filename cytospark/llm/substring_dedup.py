@@ -2,8 +2,9 @@
 
 1. Every window of so many words has an anchor, the run of GRAM words in it with the smallest digest. Equal windows have
    equal anchors, so a window can recur only if its anchor stands in two documents.
-2. The texts around such anchors are the phrases. Equal phrases are combined within tasks; then all phrases of an anchor
-   meet in one shard, in which windows that stand in two documents are confirmed by their words.
+2. The texts around such anchors are the phrases. Of each phrase only the places go on at first, then its words, once, from
+   the first document that has it; all phrases of an anchor meet in one shard, in which windows that stand in two documents
+   are confirmed by their words.
 3. Each shard compiles automata of its confirmed windows, a bounded number at a time, and streams its phrases through them
    to locate every occurrence.
 4. The places of phrases in documents are joined with what was found in them. Each document then loses the words of all
@@ -25,150 +26,183 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
 from .common import WORD, columns, settled, slices, words_of
+from .wordhash import runs, word_hashes
 
 #: Words of an anchor.
 GRAM = 5
 #: Anchors in more rows than this, and than one in MOST_HOT of all rows, count as frequent.
 HOT, MOST_HOT = 500, 20_000
-#: Windows for which a shard compiles one automaton, and phrases that a task combines at a time.
-COMPILED, COMBINED = 40_000, 100_000
+#: Windows for which a shard compiles one automaton.
+COMPILED = 60_000
 
 
-def anchors(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """The digest and the place of the anchor of each window; none if there are too few words."""
+def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The digest and the place of the anchor of each window of words with the digests h: the first of the least runs of GRAM
+    words; none if there are too few words."""
     gram = min(GRAM, window)
-    if len(words) < window:
+    if len(h) < window:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    g = np.zeros(len(h) - gram + 1, np.uint64)
-    for i in range(gram):
-        g = (g ^ h[i : len(h) - gram + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        g ^= g >> np.uint64(29)
-    at = sliding_window_view(g, window - gram + 1).argmin(1) + np.arange(len(words) - window + 1)
-    return g[at], at
+    g, n = runs(h, gram), len(h) - window + 1
+    least, at = g[:n].copy(), np.zeros(n, np.int64)
+    for k in range(1, window - gram + 1):
+        lower = g[k : k + n] < least
+        np.copyto(least, g[k : k + n], where=lower)
+        at[lower] = k
+    return least, at + np.arange(n)
+
+
+def bytes_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """Rows of text in UTF-8 (null: empty) and of other columns."""
+    text = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
+    return zip([t or b"" for t in text], *(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names))
 
 
 def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
-    """anchor and doc_id, once for each document."""
+    """anchor and doc_id, about once for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found, ids = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for d, t in columns(batch, "doc_id", "text"):
+            for t, d in bytes_of(batch, "doc_id"):
                 if d is not None:
-                    found.append(np.unique(anchors(words_of(t), window)[0]))
+                    a, at = anchors(word_hashes(t)[0], window)
+                    found.append(a[np.flatnonzero(np.diff(at, prepend=-1))])
                     ids.append(np.full(len(found[-1]), d, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(ids))], names=["anchor", "doc_id"])
 
     return docs.mapInArrow(run, "anchor long, doc_id long")
 
 
-class Combiner:
-    """Phrases with the smallest and largest id of the documents that they stand in, a bounded number at a time."""
+def mixed(key: np.ndarray, phrase_key: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    """A digest of a phrase in a document."""
+    with np.errstate(over="ignore"):
+        h = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ phrase_key.view(np.uint64)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) ^ doc_id.view(np.uint64)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+class Phrases:
+    """Finds the phrases of a document: around the anchors that pass the filter, but single windows around frequent ones."""
+
+    def __init__(self, window: int, words: np.ndarray, frequent: frozenset[int]):
+        self.window, self.words, self.frequent = window, words, frequent
+
+    def of(self, text: bytes) -> list[tuple[int, int, bytes, int]]:
+        """key, digest, words and place of each."""
+        h, starts, ends = word_hashes(text)
+        window, out = self.window, []
+        a, at = anchors(h, window)
+        if not len(a):
+            return out
+        edges = np.flatnonzero(np.diff(at)) + 1
+        first = np.concatenate(([0], edges))
+        hit = np.flatnonzero(bloom.passes(self.words, a[first]))
+        first, last = first[hit], np.concatenate((edges, [len(at)]))[hit]
+        spans = zip(first.tolist(), last.tolist(), a[first].tolist(), starts[first].tolist(), ends[last - 2 + window].tolist())
+        for i, j, anchor, lo, hi in spans:
+            phrase = b" ".join(text[lo:hi].split())
+            if anchor in self.frequent:
+                w = phrase.split(b" ")
+                for s in range(j - i):
+                    phrase = b" ".join(w[s : s + window])
+                    out.append((signed(xxhash.xxh3_64_intdigest(phrase, 1)), signed(xxhash.xxh3_64_intdigest(phrase)), phrase, i + s))
+            else:
+                out.append((signed(anchor), signed(xxhash.xxh3_64_intdigest(phrase)), phrase, i))
+        return out
+
+
+def signed(h: int) -> int:
+    return h - (1 << 63)
+
+
+def places(docs: DataFrame, phrases: Phrases) -> DataFrame:
+    """key, phrase_key, doc_id, text_key, start of every phrase in every document."""
+    sent = docs.sparkSession.sparkContext.broadcast(phrases)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = [(k, p, d, x, s) for t, d, x in bytes_of(batch, "doc_id", "text_key") if d is not None for k, p, _, s in sent.value.of(t)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, kinds)], names=["key", "phrase_key", "doc_id", "text_key", "start"])
+
+    return docs.mapInArrow(run, "key long, phrase_key long, doc_id long, text_key long, start int")
 
-    def __init__(self):
-        self.phrases: dict[tuple[int, bytes], list[int]] = {}
 
-    def add(self, key: int, phrase: bytes, doc: int) -> int:
-        ends = self.phrases.get((key, phrase))
-        if ends is None:
-            self.phrases[key, phrase] = [doc, doc]
-        elif doc < ends[0]:
-            ends[0] = doc
-        elif doc > ends[1]:
-            ends[1] = doc
-        return xxhash.xxh3_64_intdigest(phrase) - (1 << 63)
+def firsts_of(ends: DataFrame) -> DataFrame:
+    """The digests of phrases (key, phrase_key, first) in their first documents."""
 
-    def taken(self) -> tuple[list, ...]:
-        rows = [(k - (1 << 63), p, a, b) for (k, p), (a, b) in self.phrases.items()]
-        self.phrases = {}
-        return tuple(map(list, zip(*rows))) if rows else ([], [], [], [])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = mixed(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+            yield pa.RecordBatch.from_arrays([pa.array(h)], names=["h"])
 
+    return ends.select("key", "phrase_key", "first").mapInArrow(run, "h long")
 
-def phrase_rows(docs: DataFrame, window: int, words: np.ndarray, hot: frozenset[int]) -> DataFrame:
-    """Rows of two kinds: phrases (key, phrase, first, last) and their places (key, phrase_key, doc_id, text_key, start)."""
-    sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast((words, hot))
-    schema = "key long, phrase binary, first long, last long, phrase_key long, doc_id long, text_key long, start int"
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-    names = [x.split()[0] for x in schema.split(", ")]
 
-    def rows(*cols) -> pa.RecordBatch:
-        n = len(next(c for c in cols if c is not None))
-        return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+def spoken(docs: DataFrame, phrases: Phrases, firsts: np.ndarray) -> DataFrame:
+    """key, phrase_key and the words (phrase) of each phrase from its first document, and now and then from another."""
+    sent = docs.sparkSession.sparkContext.broadcast((phrases, firsts))
+    kinds = [pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filt, frequent = sent.value
-        seen = Combiner()
+        finder, filt = sent.value
         for batch in slices(batches):
-            out: list[tuple] = []
-            for d, t, mine in columns(batch, "doc_id", "text", "text_key"):
-                w = words_of(t) if d is not None else []
-                a, at = anchors(w, window)
-                if not len(a):
-                    continue
-                ends = np.flatnonzero(np.diff(at)) + 1
-                first = np.concatenate(([0], ends))
-                last = np.concatenate((ends, [len(at)]))
-                for k in np.flatnonzero(bloom.passes(filt, a[first])):
-                    i, j, anchor = int(first[k]), int(last[k]), int(a[first[k]])
-                    if anchor in frequent:
-                        for s in range(i, j):
-                            phrase = b" ".join(w[s : s + window])
-                            key = xxhash.xxh3_64_intdigest(phrase, 1)
-                            out.append((key - (1 << 63), seen.add(key, phrase, d), d, mine, s))
-                    else:
-                        out.append((anchor - (1 << 63), seen.add(anchor, b" ".join(w[i : j - 1 + window]), d), d, mine, i))
-            if out:
-                key, phrase_key, ids, texts, start = zip(*out)
-                yield rows(key, None, None, None, phrase_key, ids, texts, start)
-            if len(seen.phrases) >= COMBINED:
-                yield rows(*seen.taken(), None, None, None, None)
-        yield rows(*seen.taken(), None, None, None, None)
-
-    return docs.mapInArrow(run, schema)
-
-
-def located(group: list[tuple[int, bytes, int, int]], window: int) -> Iterator[tuple[int, int, list[int | None]]]:
-    """For phrases (key, phrase, first, last): key, digest, and for each window the smallest id of the documents that it
-    stands in, if there are several. Windows are confirmed, compiled into an automaton over word numbers, and located."""
-    number: dict[bytes, int] = {}
-    coded, ends = [], {}
-    for _, phrase, first, last in group:
-        ids = tuple([number.setdefault(w, len(number)) for w in phrase.split(b" ")])
-        coded.append(ids)
-        for i in range(len(ids) - window + 1):
-            own = ids[i : i + window]
-            if (was := ends.get(own)) is None:
-                ends[own] = [first, last]
-            else:
-                was[0], was[1] = min(was[0], first), max(was[1], last)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for own, (first, last) in ends.items():
-        if first < last:
-            automaton.add_word(own, first)
-    if not len(automaton):
+            out = [(k, p, w, d) for t, d in bytes_of(batch, "doc_id") if d is not None for k, p, w, _ in finder.of(t)]
+            k, p, w, d = zip(*out) if out else ((), (), (), ())
+            ok = bloom.passes(filt, mixed(np.array(k, np.int64), np.array(p, np.int64), np.array(d, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((k, p, w), kinds)], names=["key", "phrase_key", "phrase"]).filter(pa.array(ok, pa.bool_()))
+
+    return docs.mapInArrow(run, "key long, phrase_key long, phrase binary")
+
+
+def located(group: list[tuple[int, int, bytes, int, int]], window: int) -> Iterator[tuple[int, int, list[int | None]]]:
+    """For phrases (key, phrase_key, phrase, first, last): key, phrase_key, and for each window the smallest id of the documents
+    that it stands in, if there are several. Windows are confirmed, compiled into an automaton over word numbers, and
+    located."""
+    if not group:
         return
+    words = word_hashes(b" ".join(x[2] for x in group))[0]
+    n = np.array([x[2].count(b" ") + 1 for x in group])
+    stop = np.cumsum(n)
+    start = stop - n
+    # the windows that lie within one phrase, by digest; equal ones are told apart by their words below
+    owner = np.repeat(np.arange(len(group)), n - window + 1)
+    at = np.arange(len(owner)) + np.repeat(start - np.concatenate(([0], np.cumsum(n - window + 1)[:-1])), n - window + 1)
+    digest = runs(words, window)[at]
+    order = np.argsort(digest, kind="stable")
+    edges = np.flatnonzero(np.diff(digest[order], prepend=~digest[order[:1]]))
+    first, last = (np.array([x[k] for x in group], np.int64)[owner[order]] for k in (3, 4))
+    least, most = np.minimum.reduceat(first, edges), np.maximum.reduceat(last, edges)
+    recurring = least < most
+    if not recurring.any():
+        return
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    numbers = np.unique(words, return_inverse=True)[1].tolist()
+    for k, doc in zip(at[order[edges[recurring]]].tolist(), least[recurring].tolist()):
+        automaton.add_word(tuple(numbers[k : k + window]), doc)
     automaton.make_automaton()
-    for (key, phrase, _, _), ids in zip(group, coded):
-        firsts: list[int | None] = [None] * (len(ids) - window + 1)
-        for end, first in automaton.iter(ids):
-            firsts[end - window + 1] = first
-        if any(x is not None for x in firsts):
-            yield key, xxhash.xxh3_64_intdigest(phrase) - (1 << 63), firsts
+    some = np.zeros(len(group), bool)
+    some[owner[order][np.repeat(recurring, np.diff(np.append(edges, len(order))))]] = True
+    for k in np.flatnonzero(some).tolist():
+        firsts: list[int | None] = [None] * int(n[k] - window + 1)
+        for end, doc in automaton.iter(tuple(numbers[start[k] : stop[k]])):
+            firsts[end - window + 1] = doc
+        yield group[k][0], group[k][1], firsts
 
 
-def shards(phrases: DataFrame, window: int) -> DataFrame:
-    """key, phrase_key and firsts of the phrases with confirmed windows. A key's phrases lie in one partition, side by side."""
+def shards(ends: DataFrame, phrases: DataFrame, window: int) -> DataFrame:
+    """key, phrase_key and firsts of the phrases with confirmed windows. ends (key, phrase_key, first, last) and phrases (key,
+    phrase_key, phrase) of a key lie in one partition, side by side, ends first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
+        known: dict[int, tuple[int, int]] = {}
         n, key = 0, None
 
         def done() -> pa.RecordBatch:
@@ -177,41 +211,50 @@ def shards(phrases: DataFrame, window: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(p, pa.int64()), pa.array(f, pa.list_(pa.int64()))], names=["key", "phrase_key", "firsts"])
 
         for batch in slices(batches):
-            for row in columns(batch, "key", "phrase", "first", "last"):
-                if n >= COMPILED and row[0] != key:
-                    yield done()
-                    group, n = [], 0
-                key = row[0]
-                group.append(row)
-                n += row[1].count(b" ") + 2 - window
+            for k, p, phrase, first, last in columns(batch, "key", "phrase_key", "phrase", "first", "last"):
+                if k != key:
+                    key, known = k, {}
+                    if n >= COMPILED:
+                        yield done()
+                        group, n = [], 0
+                if phrase is None:
+                    known[p] = (first, last)
+                elif p in known:  # not seen before in this key
+                    group.append((k, p, phrase, *known.pop(p)))
+                    n += phrase.count(b" ") + 2 - window
         yield done()
 
-    sorted_ = phrases.select("key", "phrase", "first", "last").repartition("key").sortWithinPartitions("key")
+    both = ends.select("key", "phrase_key", F.lit(None).cast("binary").alias("phrase"), "first", "last").unionByName(phrases.select("key", "phrase_key", "phrase", F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last")))
+    sorted_ = both.repartition("key").sortWithinPartitions("key", F.col("phrase").isNotNull())
     return sorted_.mapInArrow(run, "key long, phrase_key long, firsts array<long>")
 
 
 def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
-    """By doc_id and text_key, starts: the places of all windows that start in a document with a smaller id, too. docs has
-    doc_id, text and text_key (a digest of the text, which tells rows with the same id apart)."""
+    """By doc_id and text_key, starts: the places of all windows that start in a document with a smaller id, too; runs of them
+    as place << 32 | number. docs has doc_id, text and text_key (a digest of the text, which tells rows with the same id
+    apart)."""
     counted = anchor_rows(docs, window).groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
     shared = settled(counted.where("first < last").select("anchor", "n"))
     size = shared.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
     often = max(HOT, size["rows"] // MOST_HOT)  # so there are MOST_HOT frequent ones at most
     hot = frozenset(r["anchor"] & ((1 << 64) - 1) for r in shared.where(F.col("n") > often).select("anchor").collect())
-    rows = settled(phrase_rows(docs, window, bloom.build(shared.select("anchor"), size["n"]), hot))
-    found = shards(rows.where("phrase is not null"), window)
-    at = rows.where("doc_id is not null").select("key", "phrase_key", "doc_id", "text_key", "start").join(found, ["key", "phrase_key"])
-    own = F.expr("filter(transform(firsts, (x, i) -> if(x < doc_id, start + i, cast(null as int))), x -> x is not null)")
-    at = at.select("doc_id", "text_key", own.alias("s")).where("size(s) > 0")
-    return at.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("starts"))
+    phrases = Phrases(window, bloom.build(shared.select("anchor"), size["n"]), hot)
+    at = settled(places(docs, phrases))
+    ends = settled(at.groupBy("key", "phrase_key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
+    found = shards(ends, spoken(docs, phrases, bloom.build(firsts_of(ends), ends.count())), window)
+    own = "filter(transform(firsts, (x, i) -> if(x < doc_id, i, cast(null as int))), i -> i is not null)"
+    hits = at.join(found, ["key", "phrase_key"]).select("doc_id", "text_key", "start", F.size("firsts").alias("n"), F.expr(own).alias("own")).where("size(own) > 0")
+    place = F.shiftleft(F.col("start").cast("long"), 32)
+    codes = F.when(F.size("own") == F.col("n"), F.array(place + F.col("n"))).otherwise(F.transform("own", lambda i: F.shiftleft((F.col("start") + i).cast("long"), 32) + 1))
+    return hits.select("doc_id", "text_key", F.explode(codes).alias("s")).groupBy("doc_id", "text_key").agg(F.collect_list("s").alias("starts"))
 
 
 def covered(n: int, starts: list[int], window: int) -> np.ndarray:
-    """Which of n words lie in a window that starts at one of the places."""
+    """Which of n words lie in a window of one of the runs."""
     edges = np.zeros(n + 1, np.int32)
     s = np.array(starts, np.int64)
-    np.add.at(edges, s, 1)
-    np.add.at(edges, s + window, -1)
+    np.add.at(edges, s >> 32, 1)
+    np.add.at(edges, (s >> 32) + (s & 0xFFFFFFFF) - 1 + window, -1)
     return np.cumsum(edges[:-1]) > 0
 
 
@@ -220,22 +263,11 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def split(docs: DataFrame, starts: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """docs with _doc_id and _text_key: the rows that may lose words, by a filter of fixed size, and the others. So only
-    texts that lose words, and a few more, are moved."""
-    own = F.xxhash64("doc_id", "text_key").alias("h")
-    sent = docs.sparkSession.sparkContext.broadcast(bloom.build(starts.select(own), starts.count()))
+    """docs with _doc_id and _text_key: the rows that may lose words, and the others. Only texts that lose words, and a few more,
+    are moved."""
     marked = docs.select("*", docs[doc_id].cast("long").alias("_doc_id"), F.xxhash64(docs[text]).alias("_text_key"))
-    marked = marked.withColumn("_h", F.xxhash64("_doc_id", "_text_key"))
-
-    def chosen(wanted: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                h = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(bloom.passes(sent.value, h) == wanted, pa.bool_()))
-
-        return marked.mapInArrow(run, marked.schema).drop("_h")
-
-    return chosen(True), chosen(False)
+    some, others = bloom.parted(marked.withColumn("_h", F.xxhash64("_doc_id", "_text_key")), "_h", starts.select(F.xxhash64("doc_id", "text_key").alias("h")))
+    return some.drop("_h"), others.drop("_h")
 
 
 def removal_report(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
