@@ -163,8 +163,8 @@ def spoken(docs: DataFrame, phrases: Phrases, firsts: np.ndarray) -> DataFrame:
 
 def located(group: list[tuple[int, int, bytes, int, int]], window: int) -> Iterator[tuple[int, int, list[int | None]]]:
     """For phrases (key, phrase_key, phrase, first, last): key, phrase_key, and for each window the smallest id of the documents
-    that it stands in, if there are several. Windows are confirmed, compiled into an automaton over word numbers, and
-    located."""
+    that it stands in, if there are several. Windows are confirmed; runs of confirmed ones in a phrase are the
+    passages, which are compiled into an automaton over word numbers and located in all phrases."""
     if not group:
         return
     words = word_hashes(b" ".join(x[2] for x in group))[0]
@@ -182,18 +182,25 @@ def located(group: list[tuple[int, int, bytes, int, int]], window: int) -> Itera
     recurring = least < most
     if not recurring.any():
         return
+    # for each window, in order, the smallest id if it recurs; then the passages: runs of such windows within one phrase
+    sizes = np.diff(np.append(edges, len(order)))
+    firsts, recurs = np.zeros(len(order), np.int64), np.zeros(len(order), bool)
+    firsts[order], recurs[order] = np.repeat(least, sizes), np.repeat(recurring, sizes)
+    places = np.flatnonzero(recurs)
+    cut = np.flatnonzero((np.diff(places, prepend=-2) != 1) | (np.diff(owner[places], prepend=-1) != 0))
+    head, tail = places[cut], places[np.append(cut[1:], len(places)) - 1]
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     numbers = np.unique(words, return_inverse=True)[1].tolist()
-    for k, doc in zip(at[order[edges[recurring]]].tolist(), least[recurring].tolist()):
-        automaton.add_word(tuple(numbers[k : k + window]), doc)
+    ids = firsts.tolist()
+    for i, j, lo, hi in zip(head.tolist(), tail.tolist(), at[head].tolist(), at[tail].tolist()):
+        automaton.add_word(tuple(numbers[lo : hi + window]), (hi + window - lo, ids[i : j + 1]))
     automaton.make_automaton()
-    some = np.zeros(len(group), bool)
-    some[owner[order][np.repeat(recurring, np.diff(np.append(edges, len(order))))]] = True
-    for k in np.flatnonzero(some).tolist():
-        firsts: list[int | None] = [None] * int(n[k] - window + 1)
-        for end, doc in automaton.iter(tuple(numbers[start[k] : stop[k]])):
-            firsts[end - window + 1] = doc
-        yield group[k][0], group[k][1], firsts
+    for k in np.unique(owner[head]).tolist():
+        lo, hi = int(start[k]), int(stop[k])
+        found: list[int | None] = [None] * (hi - lo - window + 1)
+        for end, (length, docs) in automaton.iter(tuple(numbers[lo:hi])):
+            found[end - length + 1 : end - length + 1 + len(docs)] = docs
+        yield group[k][0], group[k][1], found
 
 
 def shards(ends: DataFrame, phrases: DataFrame, window: int) -> DataFrame:
