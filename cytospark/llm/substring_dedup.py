@@ -56,10 +56,28 @@ def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return least, at + np.arange(n)
 
 
-def bytes_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
-    """Rows of text in UTF-8 (null: empty) and of other columns."""
+def texts_of(batch: pa.RecordBatch) -> list[bytes]:
+    """The texts in UTF-8, empty for nulls and for rows without an id."""
     text = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
-    return zip([t or b"" for t in text], *(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names))
+    ids = batch.column(batch.schema.get_field_index("doc_id")).is_valid().to_pylist()
+    return [t if t and ok else b"" for t, ok in zip(text, ids)]
+
+
+class Anchored:
+    """The runs of windows with one anchor in several texts: doc (the text's number), anchor, first and last (window of the
+    run, by the number of its first word in all texts)."""
+
+    def __init__(self, texts: list[bytes], window: int):
+        self.blob = b"\n".join(texts)
+        h, self.starts, self.ends = word_hashes(self.blob)
+        doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), self.starts, "right")
+        self.begins = np.searchsorted(doc, np.arange(len(texts)))
+        a, at = anchors(h, window)
+        inside = np.flatnonzero(doc[: len(a)] == doc[len(doc) - len(a) :])  # windows of one text
+        new = np.flatnonzero((np.diff(at[inside], prepend=-1) != 0) | (np.diff(doc[inside], prepend=-1) != 0))
+        self.first = inside[new]
+        self.last = inside[np.append(new[1:], len(inside)) - 1] if len(inside) else self.first
+        self.anchor, self.doc = a[self.first], doc[self.first]
 
 
 def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
@@ -67,13 +85,9 @@ def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found, ids = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for t, d in bytes_of(batch, "doc_id"):
-                if d is not None:
-                    a, at = anchors(word_hashes(t)[0], window)
-                    found.append(a[np.flatnonzero(np.diff(at, prepend=-1))])
-                    ids.append(np.full(len(found[-1]), d, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(ids))], names=["anchor", "doc_id"])
+            found = Anchored(texts_of(batch), window)
+            ids = batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(found.doc))
+            yield pa.RecordBatch.from_arrays([pa.array(found.anchor.view(np.int64)), ids], names=["anchor", "doc_id"])
 
     return docs.mapInArrow(run, "anchor long, doc_id long")
 
@@ -93,27 +107,23 @@ class Phrases:
     def __init__(self, window: int, words: np.ndarray, frequent: frozenset[int]):
         self.window, self.words, self.frequent = window, words, frequent
 
-    def of(self, text: bytes) -> list[tuple[int, int, bytes, int]]:
-        """key, digest, words and place of each."""
-        h, starts, ends = word_hashes(text)
+    def of(self, texts: list[bytes]) -> list[tuple[int, int, bytes, int, int]]:
+        """key, digest, words and place of each, and the number of its text."""
         window, out = self.window, []
-        a, at = anchors(h, window)
-        if not len(a):
-            return out
-        edges = np.flatnonzero(np.diff(at)) + 1
-        first = np.concatenate(([0], edges))
-        hit = np.flatnonzero(bloom.passes(self.words, a[first]))
-        first, last = first[hit], np.concatenate((edges, [len(at)]))[hit]
-        spans = zip(first.tolist(), last.tolist(), a[first].tolist(), starts[first].tolist(), ends[last - 2 + window].tolist())
-        for i, j, anchor, lo, hi in spans:
-            phrase = b" ".join(text[lo:hi].split())
+        found = Anchored(texts, window)
+        hit = np.flatnonzero(bloom.passes(self.words, found.anchor))
+        first, last, doc = found.first[hit], found.last[hit], found.doc[hit]
+        place = first - found.begins[doc]
+        rows = zip(place.tolist(), (last - first + 1).tolist(), found.anchor[hit].tolist(), found.starts[first].tolist(), found.ends[last + window - 1].tolist(), doc.tolist())
+        for i, n, anchor, lo, hi, d in rows:
+            phrase = b" ".join(found.blob[lo:hi].split())
             if anchor in self.frequent:
                 w = phrase.split(b" ")
-                for s in range(j - i):
+                for s in range(n):
                     phrase = b" ".join(w[s : s + window])
-                    out.append((signed(xxhash.xxh3_64_intdigest(phrase, 1)), signed(xxhash.xxh3_64_intdigest(phrase)), phrase, i + s))
+                    out.append((signed(xxhash.xxh3_64_intdigest(phrase, 1)), signed(xxhash.xxh3_64_intdigest(phrase)), phrase, i + s, d))
             else:
-                out.append((signed(anchor), signed(xxhash.xxh3_64_intdigest(phrase)), phrase, i))
+                out.append((signed(anchor), signed(xxhash.xxh3_64_intdigest(phrase)), phrase, i, d))
         return out
 
 
@@ -128,7 +138,8 @@ def places(docs: DataFrame, phrases: Phrases) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out = [(k, p, d, x, s) for t, d, x in bytes_of(batch, "doc_id", "text_key") if d is not None for k, p, _, s in sent.value.of(t)]
+            ids = list(columns(batch, "doc_id", "text_key"))
+            out = [(k, p, *ids[d], s) for k, p, _, s, d in sent.value.of(texts_of(batch))]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, kinds)], names=["key", "phrase_key", "doc_id", "text_key", "start"])
 
     return docs.mapInArrow(run, "key long, phrase_key long, doc_id long, text_key long, start int")
@@ -153,7 +164,8 @@ def spoken(docs: DataFrame, phrases: Phrases, firsts: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder, filt = sent.value
         for batch in slices(batches):
-            out = [(k, p, w, d) for t, d in bytes_of(batch, "doc_id") if d is not None for k, p, w, _ in finder.of(t)]
+            ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+            out = [(k, p, w, ids[d]) for k, p, w, _, d in finder.of(texts_of(batch))]
             k, p, w, d = zip(*out) if out else ((), (), (), ())
             ok = bloom.passes(filt, mixed(np.array(k, np.int64), np.array(p, np.int64), np.array(d, np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((k, p, w), kinds)], names=["key", "phrase_key", "phrase"]).filter(pa.array(ok, pa.bool_()))
