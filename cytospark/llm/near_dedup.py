@@ -6,9 +6,10 @@ exponential scale. Registers of a union are the element-wise maxima of the sets'
 agree in a register with a probability of at least their Jaccard similarity, which makes bands of registers
 locality-sensitive.
 
-Documents with equal shingle sets are one class from the start and only its representative goes on. Candidates are never
-all pairs of a bucket: in each round every member meets one other member of the bucket, a confirmed link joins components,
-and only members of different components still have to meet. What is left after the rounds meets in full.
+Documents with equal shingle sets are one class from the start and only its representative goes on. In a bucket of a few
+members all pairs are candidates. In a larger one every member meets one other in each round, and a confirmed link joins
+components; what is still in different components after the rounds is compared by the rarest shingles of each set, of
+which two similar sets must share one. So no pair is lost, and a large group never meets in full.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import columns, settled, slices
+from .wordhash import runs, word_hashes
 
 #: Registers of 16 bits; four make a band, whose key is their 64 bits.
 BANDS, ROWS = 40, 4
@@ -35,8 +38,10 @@ BASE, A, TOP = 1.001, 20.0, (1 << 16) - 2
 BLOCK = 1024
 #: Natural logarithm of the likelihood ratio beyond which a pair can't be similar.
 SURE = 25.0
-#: Rounds in which each member of a bucket meets one other, before the rest meet in full.
-ROUNDS = 3
+#: Members of a bucket of which all pairs are candidates.
+FEW = 6
+#: Rounds in which each member of a larger bucket meets one other.
+ROUNDS = 2
 
 
 @lru_cache(maxsize=1)
@@ -49,17 +54,12 @@ def multipliers() -> tuple[np.ndarray, np.ndarray]:
 def shingles(text: str | None, words: int) -> np.ndarray:
     """The distinct 64-bit digests of the text's shingles, sorted: of each run of so many words, or of all words if there
     are fewer; none without words. A-Z count as a-z."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
+    h = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())[0]
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
-    n = min(words, len(w))
-    out = np.zeros(len(h) - n + 1, np.uint64)
-    for i in range(n):
-        out = (out ^ h[i : len(h) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    if len(w) < words:  # so that a short text isn't taken for a shingle of a longer one
-        out += np.uint64(len(w))
+    out = runs(h, min(words, len(h)))
+    if len(h) < words:  # so that a short text isn't taken for a shingle of a longer one
+        out += np.uint64(len(h))
     return np.unique(out)
 
 
@@ -167,17 +167,19 @@ def components(links: DataFrame) -> DataFrame:
         least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         out = near.join(least, "u")
         if larger:
-            out = out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            out = out.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+            return out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = out.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         return out.where("u > v").distinct()
 
-    edges = settled(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
-    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
-    before = mark(edges)
+    def kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
+        """The edges, settled, and a mark by which the same edges are known."""
+        seen = Observation()
+        marked = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h"))
+        return settled(marked), (seen.get["n"], seen.get["h"])
+
+    edges, before = kept(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     while before[0]:
-        edges = settled(moved(moved(edges, True), False))
-        after = mark(edges)
+        edges, after = kept(moved(moved(edges, True), False))
         if after == before:
             break
         before = after
@@ -201,10 +203,49 @@ def met_once(here: DataFrame, turn: int) -> DataFrame:
 
 
 def met_all(here: DataFrame) -> DataFrame:
-    """Every pair of a bucket's members that the rounds have left in different components."""
-    there = here.select("band", "key", F.col("node").alias("_node"), F.col("label").alias("_label"))
-    pairs = here.join(there, ["band", "key"]).where("label < _label and node <> _node")
-    return pairs.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+    """Every pair of a bucket's members; for buckets of FEW."""
+    there = here.select("band", "key", F.col("node").alias("_node"))
+    return here.join(there, ["band", "key"]).where("node < _node").select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct()
+
+
+def mixed(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """buckets with the label of each member, but for those that are in one component altogether."""
+    here = labelled(buckets, found, "node")
+    ends = here.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "key")
+    return here.join(ends, ["band", "key"])
+
+
+def met_by_rarest(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """All pairs of nodes (node, label) of different labels that may be similar: of n shingles in the order of their frequency
+    among the nodes, similar sets share one of the first n - ceil(similarity * n) + 1. Shingles that only one node has stand
+    first, so a text with that many of its own meets no other; nor does a pair meet whose sets, behind their first common
+    shingle, have too few left. Of a shingle's nodes, those of its commonest label only meet the
+    others."""
+    num, den = Fraction(str(similarity)).as_integer_ratio()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingles(t, words) for (t,) in columns(batch, "text")]
+            n = [len(s) for s in sets]
+            at = np.repeat(np.arange(len(sets)), n)
+            token = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(np.array(n, np.int64)[at]), pa.array(token)], names=["node", "label", "n", "token"])
+
+    own = nodes.join(texts, nodes["node"] == texts["doc_id"]).select("node", "label", "text")
+    rows = settled(own.mapInArrow(run, "node long, label long, n long, token long").distinct())
+    often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
+    first = (F.col("n") - F.expr(f"(n * {num} + {den - 1}) div {den}") + 1).cast("int")
+    ranked = rows.join(often, "token").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("t"))
+    prefix = ranked.select("node", "label", "n", F.posexplode(F.slice("t", F.lit(1), first)).alias("at", "t")).select("node", "label", "n", "at", "t.*")
+    prefix = settled(prefix.where("f > 1").drop("f"))
+    labels = prefix.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = labels.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "main")
+    some = prefix.join(main, "token")
+    others = some.where("label <> main").select("token", *(F.col(c).alias(f"_{c}") for c in ("node", "label", "n", "at")))
+    # what comes after the first common shingle must be enough for the similarity
+    enough = (num + den) * F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at")) >= num * (F.col("n") + F.col("_n"))
+    pairs = some.join(others, (some["token"] == others["token"]) & (F.col("label") != F.col("_label")) & enough)
+    return pairs.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).where("a < b").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -224,27 +265,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, do
     links = members.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
 
     every = sketches.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = every.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
+    shared = every.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = settled(every.join(shared, ["band", "key"]))
-
-    new, tested = None, None
-    for turn in range(ROUNDS + 1):
-        if new is None:
-            here = buckets.withColumn("label", F.col("node"))
-        else:
-            here = labelled(buckets, components(new), "node")
-            mixed = here.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "key")
-            here = here.join(mixed, ["band", "key"])
-        pairs = met_once(here, turn) if turn < ROUNDS else met_all(here)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = settled(pairs)
-        if pairs.isEmpty():
+    few, many = buckets.where(F.col("n") <= FEW).drop("n"), buckets.where(F.col("n") > FEW).drop("n")
+
+    pairs = met_all(few).unionByName(met_once(many.withColumn("label", F.col("node")), 0)).distinct()
+    good = settled(likely(pairs, sketches, similarity))
+    ids = good.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(many.select(F.col("node").alias("doc_id"))).distinct()
+    texts = settled(bloom.parted(docs, "doc_id", ids)[0].join(ids, "doc_id", "left_semi").distinct())
+    new = settled(confirmed(good, texts, words, similarity))
+    for turn in range(1, ROUNDS + 1):
+        here = settled(mixed(many, components(new)))
+        if here.isEmpty():
             break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        good = settled(likely(pairs, sketches, similarity))
-        ids = good.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        found = settled(confirmed(good, docs.join(ids, "doc_id", "left_semi").distinct(), words, similarity))
-        new = found if new is None else new.unionByName(found)
-    out = labelled(rows.select("doc_id", "n_shingles"), components(links if new is None else links.unionByName(new)))
+        if turn < ROUNDS:
+            pairs = met_once(here, turn)
+        else:
+            pairs = met_by_rarest(here.select("node", "label").distinct(), texts, words, similarity)
+        new = new.unionByName(settled(confirmed(likely(pairs, sketches, similarity), texts, words, similarity)))
+    links = links.unionByName(new)
+    out = labelled(rows.select("doc_id", "n_shingles"), components(links))
     return out.select("doc_id", "n_shingles", F.col("label").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("label"), F.lit(True)).alias("kept"))
