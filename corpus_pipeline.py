@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cytospark.llm import language, near_dedup, packing, secrets, substring_dedup
+from cytospark.llm import bloom, language, near_dedup, packing, secrets, substring_dedup
 from cytospark.llm.common import settled, table
 
 
@@ -19,10 +19,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id. Of rows that repeat id and text one stays.
     A near duplicate shares 80 % of the distinct runs of five words."""
-    found = near_dedup.near_duplicates(docs, words=5, similarity=0.8)
-    kept = found.where("kept").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    found = settled(near_dedup.near_duplicates(docs, words=5, similarity=0.8).where("doc_id is not null"))
+    gone = found.where("not kept").select("doc_id").distinct()
+    again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    # only the texts of these are moved
+    some, others = bloom.parted(docs.withColumn("_id", docs["doc_id"].cast("long")), "_id", gone.union(again).distinct())
+    left = some.join(gone, some["_id"] == gone["doc_id"], "left_anti").dropDuplicates(["_id"])
+    return others.unionByName(left).select(docs.columns)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,8 @@ WEAK = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,88}={0,2}(?![A-Za-z0
 ACCOUNT = re.compile(r"""(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.-]{3,}""", re.I | re.A)
 ENDPOINT = re.compile(r"""[a-z][a-z0-9+.-]*://[^\s"'<>]+|(?<![A-Za-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}(?![0-9])""")
 SCOPE = re.compile(r"\n[\x20\t\r]*\n")
+#: Texts with credentials up to which their spans are broadcast to all texts.
+BROADCAST = 20_000
 #: Code points between two parts of one credential at most.
 REACH = 240
 
@@ -109,6 +111,9 @@ def _found(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
 def _joined(found: DataFrame, parts: DataFrame, keep: list[str]) -> DataFrame:
     parts = parts.where("text_key is not null").select("text_key", F.explode("parts").alias("p")).select("text_key", "p.*").distinct()
     links = linked(parts).groupBy("text_key").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("_more")).withColumnRenamed("text_key", "_key")
+    links = settled(links)
+    if links.count() <= BROADCAST:
+        links = F.broadcast(links)
     order = F.array(*map(F.lit, KINDS))
     ranked = F.transform(F.concat("base", F.coalesce("_more", F.array().cast(f"array<{SPAN}>"))), lambda x: F.struct(x["start"].alias("start"), F.array_position(order, x["kind"]).alias("k"), x["stop"].alias("stop"), x["kind"].alias("kind")))
     spans = F.transform(F.array_sort(ranked), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
