@@ -1,9 +1,10 @@
 """Document fingerprints as invertible Bloom lookup sketches, with DataFrame and SQL functions only.
 
-A text's units (its sentences, cut at line ends, too) are digested, and each digest is added to three cells: a count, the
-XOR of digests and the XOR of check digests. Two versions' cells subtract, so that what they share cancels; cells that hold
-a single digest then give it away, it is taken out of its other cells, and so on. If that gets stuck, the units are dealt to
-as many sketches as they need, and each of these that gets stuck is made anew, larger and with other cells.
+A text's units (its sentences, cut at line ends, too) are digested, and each digest is XORed into three cells. The low bits of
+a digest check the others, so that a cell with a single digest is known. Two versions' cells subtract (by XOR), so that what
+they share cancels; cells that hold a single digest then give it away, it is taken out of its other cells, and so on. If that
+gets stuck, the units are dealt to as many sketches as they need, and each of these that gets stuck is made anew, larger and
+with other cells.
 """
 
 from __future__ import annotations
@@ -11,68 +12,71 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cells in each of a sketch's three parts (a power of two): of the fingerprint and of the sketches that units are dealt to,
-#: then of those made anew.
-CELLS = (8, 16, 64)
+#: Cells in each of a fingerprint's three parts (powers of two, 16 at most), then in those of the sketches that units are dealt
+#: to and that are made anew.
+CELLS, ANEW = 8, (4, 8, 16, 16)
 #: Units of both versions for each sketch when they are dealt.
-DEALT = 6
+DEALT = 4
+#: Bits of a digest that check the others.
+CHECK = 20
 #: Rounds of taking out; a round in which nothing is found ends it.
-ROUNDS = 16
-#: Ranges of ids whose rows find their next document side by side.
+ROUNDS = 10
+#: Ranges of ids for each shuffle partition, whose rows find their next document side by side.
 RANGES = 4
 
-EMPTY = "named_struct('n', 0, 'x', 0L, 'h', 0L)"
-
 
 def let(name: str, value: str, body: str) -> str:
     """SQL for body, in which name is value, computed once."""
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def placed(ids: str, size: int, seed: int, sign: str = "1") -> str:
-    """Digests (structs with x) with their check digest and their cells a, b and c."""
-    mixed = f"transform({ids}, u -> named_struct('x', u.x, 'n', {sign}, 'g', xxhash64(u.x, {seed})))"
-    m = size - 1
-    return f"transform({mixed}, u -> named_struct('x', u.x, 'n', u.n, 'h', xxhash64(u.x, {seed + 1}), 'a', int(u.g & {m}), 'b', int(shiftright(u.g, 16) & {m}) + {size}, 'c', int(shiftright(u.g, 32) & {m}) + {2 * size}))"
+def bits(size: int) -> str:
+    """A sketch's cells, as bits of a number."""
+    return f"array({', '.join(f'{1 << i}L' for i in range(3 * size))})"
 
 
-def in_cell(items: str, i: str) -> str:
-    return f"filter({items}, e -> e.a = {i} or e.b = {i} or e.c = {i})"
+def placed(ids: str, size: int, seed: int) -> str:
+    """Digests x with their cells, as the bits of k."""
+    m = size - 1
+    cell = lambda part: f"shiftleft(1L, int(shiftright(u.g, {16 * part}) & {m}) + {part * size})"
+    return f"transform(transform({ids}, x -> named_struct('x', x, 'g', xxhash64(x, {seed}))), u -> named_struct('x', u.x, 'k', {cell(0)} | {cell(1)} | {cell(2)}))"
 
 
 def cells(ids: str, size: int, seed: int) -> str:
-    """The sketch of an array of digests (structs with x)."""
-    one = f"aggregate({in_cell('items', 'i')}, {EMPTY}, (s, e) -> named_struct('n', s.n + 1, 'x', s.x ^ e.x, 'h', s.h ^ e.h))"
-    return let("items", placed(ids, size, seed), f"transform(sequence(0, {3 * size - 1}), i -> {one})")
+    """The sketch of an array of digests."""
+    return let("items", placed(ids, size, seed), f"transform({bits(size)}, bit -> aggregate(items, 0L, (s, e) -> if((e.k & bit) <> 0, s ^ e.x, s)))")
 
 
 def less(one: str, two: str) -> str:
     """A sketch minus another."""
-    return f"zip_with({one}, {two}, (p, q) -> named_struct('n', p.n - q.n, 'x', p.x ^ q.x, 'h', p.h ^ q.h))"
+    return f"zip_with({one}, {two}, (p, q) -> p ^ q)"
 
 
 def peeled(sketch: str, size: int, seed: int) -> str:
-    """The digests (x, and n: 1 of the first version, -1 of the second) that a difference of sketches holds; null if stuck."""
-    pure = f"array_distinct(transform(filter(st.cells, c -> abs(c.n) = 1 and c.h = xxhash64(c.x, {seed + 1})), c -> named_struct('x', c.x, 'n', c.n)))"
-    taken = f"transform(st.cells, (cell, i) -> aggregate({in_cell('items', 'i')}, cell, (s, e) -> named_struct('n', s.n - e.n, 'x', s.x ^ e.x, 'h', s.h ^ e.h)))"
-    step = let("pure", pure, f"if(size(pure) = 0, st, {let('items', placed('pure', size, seed, 'u.n'), f"named_struct('cells', {taken}, 'found', concat(st.found, pure))")})")
-    start = f"named_struct('cells', {sketch}, 'found', cast(array() as array<struct<x:bigint,n:int>>))"
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (st, r) -> {step}, st -> if(forall(st.cells, c -> c.n = 0 and c.x = 0 and c.h = 0), st.found, null))"
+    """The digests that a difference of sketches holds; null if stuck."""
+    low = (1 << CHECK) - 1
+    pure = f"array_distinct(filter(st.cells, c -> c <> 0 and (xxhash64(c & {~low}L) & {low}) = (c & {low})))"
+    taken = f"zip_with(st.cells, {bits(size)}, (c, bit) -> aggregate(items, c, (s, e) -> if((e.k & bit) <> 0, s ^ e.x, s)))"
+    step = let("pure", pure, f"if(size(pure) = 0, st, {let('items', placed('pure', size, seed), f"named_struct('cells', {taken}, 'found', concat(st.found, pure))")})")
+    start = f"named_struct('cells', {sketch}, 'found', cast(array() as array<bigint>))"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (st, r) -> {step}, st -> if(forall(st.cells, c -> c = 0), st.found, null))"
 
 
 def recovered(one: str, two: str, first: str) -> str:
     """The digests in which two versions differ. one and two are their digests, first the difference of their fingerprints.
-    The last resort, for units that even the largest sketches can't tell apart, compares the digests themselves."""
+    Units are dealt in two steps, so that each is looked at for a few groups only. The last resort, for units that even the
+    largest sketches can't tell apart, compares the digests themselves."""
 
     def anew(size: int, seed: int) -> str:
         return peeled(less(cells("mine", size, seed), cells("theirs", size, seed)), size, seed)
 
-    plain = "concat(transform(array_except(mine, theirs), u -> named_struct('x', u.x, 'n', 1)), transform(array_except(theirs, mine), u -> named_struct('x', u.x, 'n', -1)))"
-    part = f"coalesce({', '.join(anew(size, 11 + 2 * k) for k, size in enumerate(CELLS))}, {plain})"
-    deal = lambda ids: f"filter({ids}, u -> pmod(xxhash64(u.x, 7), parts) = part)"
-    each = let("mine", deal("ones"), let("theirs", deal("twos"), part))
-    dealt = let("parts", f"greatest(1, cast(ceil((size(ones) + size(twos)) / {DEALT}) as int))", f"flatten(transform(sequence(0, parts - 1), part -> {each}))")
-    return let("ones", one, let("twos", two, f"coalesce({peeled(first, CELLS[0], 1)}, {dealt})"))
+    plain = "concat(array_except(mine, theirs), array_except(theirs, mine))"
+    part = f"coalesce({', '.join(anew(size, 11 + k) for k, size in enumerate(ANEW))}, {plain})"
+    deal = lambda ids, seed, which: f"filter({ids}, x -> pmod(xxhash64(x, {seed}), parts) = {which})"
+    inner = let("mine", deal("some", 9, "q"), let("theirs", deal("others", 9, "q"), part))
+    outer = let("some", deal("ones", 7, "p"), let("others", deal("twos", 7, "p"), f"flatten(transform(sequence(0, parts - 1), q -> {inner}))"))
+    dealt = let("parts", f"greatest(1, cast(ceil(sqrt((size(ones) + size(twos)) / {DEALT})) as int))", f"flatten(transform(sequence(0, parts - 1), p -> {outer}))")
+    return let("ones", one, let("twos", two, f"coalesce({peeled(first, CELLS, 1)}, {dealt})"))
 
 
 def likeness(one: str, two: str, first: str) -> str:
@@ -81,15 +85,15 @@ def likeness(one: str, two: str, first: str) -> str:
 
 
 def units(text: Column) -> Column:
-    """The distinct digests of a text's units, as structs with x."""
+    """The distinct digests of a text's units."""
     parts = F.filter(F.split(text, r"\n|(?<=[.!?])[\x20\t]+"), lambda u: F.length(F.trim(u)) > 0)
-    return F.transform(F.array_distinct(F.transform(parts, lambda u: F.xxhash64(u))), lambda u: F.struct(u.alias("x")))
+    high = F.array_distinct(F.transform(parts, lambda u: F.shiftleft(F.shiftright(F.xxhash64(u), CHECK), CHECK)))
+    return F.transform(high, lambda d: d.bitwiseOR(F.xxhash64(d).bitwiseAND((1 << CHECK) - 1)))
 
 
 def written(sketch: str) -> Column:
-    """A sketch as text: base 64 of each cell's count (2 bytes), digests and check digests (8 each)."""
-    one = "concat(lpad(hex(c.n % 65536), 4, '0'), lpad(hex(c.x), 16, '0'), lpad(hex(c.h), 16, '0'))"
-    return F.translate(F.expr(f"base64(unhex(array_join(transform({sketch}, c -> {one}), '')))"), "\r\n", "")
+    """A sketch as text: base 64 of its cells, 8 bytes each."""
+    return F.translate(F.expr(f"base64(unhex(array_join(transform({sketch}, c -> lpad(hex(c), 16, '0')), '')))"), "\r\n", "")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -114,14 +118,15 @@ def with_next(docs: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and fingerprint of each row. Equal texts have equal fingerprints; a null text counts as empty. No shuffle."""
     own = docs.select(docs[doc_id].alias("doc_id"), units(F.coalesce(docs[text], F.lit(""))).alias("ids"))
-    return own.select("doc_id", written(cells("ids", CELLS[0], 1)).alias("fingerprint"))
+    return own.select("doc_id", written(cells("ids", CELLS, 1)).alias("fingerprint"))
 
 
 def differing(pairs: DataFrame, one: str, two: str) -> DataFrame:
     """pairs with changes: the unit digests (x) that only the text of one (n = 1) or of two (n = -1) has."""
     own = pairs.select("*", units(F.coalesce(one, F.lit(""))).alias("_one"), units(F.coalesce(two, F.lit(""))).alias("_two"))
-    first = less(cells("_one", CELLS[0], 1), cells("_two", CELLS[0], 1))
-    return own.withColumn("changes", F.expr(recovered("_one", "_two", first))).drop("_one", "_two")
+    found = F.expr(recovered("_one", "_two", less(cells("_one", CELLS, 1), cells("_two", CELLS, 1))))
+    sign = F.transform(found, lambda x: F.struct(x.alias("x"), F.when(F.array_contains("_one", x), 1).otherwise(-1).alias("n")))
+    return own.withColumn("changes", sign).drop("_one", "_two")
 
 
 def edit_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -134,7 +139,7 @@ def edit_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring("next_text", F.lit(1), cut))
     rows = rows.select("doc_id", "n_chars", "text", "next_text", edited.alias("edited"))
     rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), units(F.col("text")).alias("ids"), units(F.col("edited")).alias("edited_ids"), units(F.col("next_text")).alias("next_ids"))
-    sketch = lambda c: F.expr(cells(c, CELLS[0], 1))
+    sketch = lambda c: F.expr(cells(c, CELLS, 1))
     rows = rows.select("*", sketch("ids").alias("cells"), sketch("edited_ids").alias("edited_cells"), sketch("next_ids").alias("next_cells"))
     near = lambda c: F.expr(likeness("ids", f"{c}_ids", less("cells", f"{c}_cells"))).alias(f"near_{c}")
     return rows.select("doc_id", "n_chars", "edited_sha256", written("cells").alias("fingerprint"), written("edited_cells").alias("edited_fingerprint"), near("edited"), near("next"))
