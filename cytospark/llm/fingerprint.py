@@ -105,12 +105,15 @@ def with_next(docs: DataFrame) -> DataFrame:
     row = docs.agg(F.min(key).alias("least"), F.percentile_approx(key, [i / n for i in range(1, n)], 100 * n).alias("cuts")).first()
     bounds = sorted({row["least"], *(row["cuts"] or [])} - {None}) or [0]
     last = len(bounds) - 1
-    cuts = F.array(*map(F.lit, bounds))
-    part = F.size(F.filter(cuts, lambda c: c <= F.col("_key"))) - 1
+    # found in two steps, so that a row isn't held against every bound
+    step = max(1, round(len(bounds) ** 0.5))
+    listed = lambda own: "array(" + ", ".join(f"bigint('{b}')" for b in own) + ")"
+    below = lambda own: f"size(filter({own}, c -> c <= _key))"
+    part = F.expr(let("coarse", f"{below(listed(bounds[::step]))} - 1", f"coarse * {step} + {below(f'slice({listed(bounds)}, coarse * {step} + 1, {step})')} - 1"))
     keyed = docs.withColumn("_key", key).withColumn("_part", part)
     # (range, whether it is only there as the next of that range's last row, or comes after all of it)
     home, guest = F.struct(F.col("_part").alias("part"), F.lit(False).alias("guest"), F.lit(0).alias("late")), F.struct(F.when(F.col("_part") == 0, last).otherwise(F.col("_part") - 1).alias("part"), F.lit(True).alias("guest"), F.lit(1).alias("late"))
-    dealt = keyed.withColumn("_to", F.explode(F.when(F.col("_key").isin(*bounds), F.array(home, guest)).otherwise(F.array(home)))).select("doc_id", "text", "_key", "_to.*")
+    dealt = keyed.withColumn("_to", F.explode(F.when(F.expr(f"_key = get({listed(bounds)}, _part)"), F.array(home, guest)).otherwise(F.array(home)))).select("doc_id", "text", "_key", "_to.*")
     order = Window.partitionBy("part").orderBy("late", "_key", F.col("text").asc_nulls_first())
     return dealt.withColumn("next_text", F.lead(F.coalesce("text", F.lit(""))).over(order)).where("not guest").select("doc_id", "text", "next_text")
 
