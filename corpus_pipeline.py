@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cytospark.llm import bloom, language, near_dedup, packing, secrets, substring_dedup
 from cytospark.llm.common import settled, table
@@ -12,8 +13,9 @@ from cytospark.llm.common import settled, table
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found. Those without text or without a letter go; a label is neither needed nor changed."""
-    found = language.identify(docs, *language.learned(docs))
-    return found.where("lang_pred <> 'und'").select(docs.columns)
+    rows = docs.select("text", F.struct("*").alias("_row"))  # so that no column of docs is taken for one of the result's
+    found = language.identify(rows, *language.learned(docs))
+    return found.where("lang_pred <> 'und'").select("_row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

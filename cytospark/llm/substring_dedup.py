@@ -332,18 +332,18 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             at, out = batch.schema.get_field_index(text), []
-            for t, s in columns(batch, text, "starts"):
+            for t, s in columns(batch, text, "_starts"):
                 if s:
                     spans = [m.start() for m in word.finditer(t)]
                     gone = covered(len(spans), s, window).tolist()
                     parts = [t[: spans[0]]] + [t[a:b] for a, b, g in zip(spans, [*spans[1:], len(t)], gone) if not g]
                     t = "".join(parts) if not all(gone) else None
                 out.append(t)
-            gone = pa.array([bool(s) and t is None for (s,), t in zip(columns(batch, "starts"), out)], pa.bool_())
+            gone = pa.array([bool(s) and t is None for (s,), t in zip(columns(batch, "_starts"), out)], pa.bool_())
             batch = batch.set_column(at, pa.field(text, pa.string()), pa.array(out, pa.string()))
             yield batch.filter(pc.invert(gone)).select(schema.names)
 
-    right = starts.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), "starts")
+    right = starts.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), F.col("starts").alias("_starts"))
     joined = some.join(right, (F.col("_doc_id") == F.col("_d")) & (F.col("_text_key") == F.col("_t")), "left")
     out = joined.drop("_d", "_t", "_doc_id", "_text_key").mapInArrow(cut, schema).unionByName(others.drop("_doc_id", "_text_key"))
     return out.withColumn("n_chars", F.length(text).cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out
