@@ -19,17 +19,38 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id. Of rows that repeat id and text one stays.
-    A near duplicate shares 80 % of the distinct runs of five words."""
-    found = settled(near_dedup.near_duplicates(docs, words=5, similarity=0.8).where("doc_id is not null"))
-    gone = found.where("not kept").select("doc_id").distinct()
-    again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """One document of each group of near duplicates: the one with the smallest id. A document is an id with a text, so that
+    different texts under one id are judged each; of rows that repeat id and text one stays. Rows with a null id stay. A near
+    duplicate shares 80 % of the distinct runs of five words."""
+    marked, ids = numbered(docs)
+    found = settled(near_dedup.near_duplicates(marked, words=5, similarity=0.8, doc_id="_node").where("doc_id is not null"))
+    groups = found.where("not kept").select("component_id").distinct()
+    members = found.join(groups, "component_id").select(F.col("doc_id").alias("_node"), "component_id").distinct()
+    members = settled(members.join(ids, "_node"))
+    first = members.groupBy("component_id").agg(F.min(F.struct("_id", "_node"))["_node"].alias("_first"))
+    gone = settled(members.join(first, "component_id").where("_node <> _first").select("_node"))
+    again = ids.where("n > 1").select("_node")
     # only the texts of these are moved
-    some, others = bloom.parted(docs.withColumn("_id", docs["doc_id"].cast("long")), "_id", gone.union(again).distinct())
-    left = some.join(gone, some["_id"] == gone["doc_id"], "left_anti").dropDuplicates(["_id"])
+    some, others = bloom.parted(marked, "_node", gone.union(again).distinct())
+    left = some.join(gone, "_node", "left_anti").dropDuplicates(["_node"])
     return others.unionByName(left).select(docs.columns)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with _node, a number for each pair of id and text (null for a null id); and for each of them _node, _id and n, its
+    rows. Of numbers drawn by a hash, those are taken under which no two pairs share one, as told by the texts' SHA-256."""
+    own = docs["doc_id"].cast("long")
+    seed = 0
+    while True:
+        marked = docs.withColumn("_node", F.when(own.isNotNull(), F.xxhash64(F.lit(seed), own, docs["text"])))
+        pair = F.struct(own.alias("id"), F.sha2(docs["text"], 256).alias("digest"))
+        pairs = marked.where("_node is not null").select("_node", pair.alias("pair")).groupBy("_node")
+        ids = settled(pairs.agg(F.min("pair").alias("lo"), F.max("pair").alias("hi"), F.count(F.lit(1)).alias("n")))
+        if ids.where("not lo <=> hi").isEmpty():
+            return marked, ids.select("_node", F.col("lo.id").alias("_id"), "n")
+        seed += 1
+
+
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the passages that an earlier one has; those of which nothing is left go."""
     return substring_dedup.remove_repeats(docs)

@@ -58,3 +58,14 @@ def test_pipeline_near_duplicates_match_all_pairs(spark):
 
 def test_every_query_has_its_columns():
     assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
+
+
+def test_near_duplicates_judge_each_text_of_an_id(spark):
+    rng = random.Random(4)
+    one, two, three, four, five = (prose(rng, 80) for _ in range(5))
+    rows = [(1, one), (2, one + " end"), (2, two), (2, two), (2, three), (3, three + " end"), (4, four), (4, four + " end"), (None, five), (None, five), (6, five), (7, None), (7, ""), (8, two + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()), key=repr)
+    fours = [x for x in got if x[0] == 4]
+    assert len(fours) == 1 and fours[0] in rows
+    assert [x for x in got if x[0] != 4] == sorted([(1, one), (2, two), (2, three), (None, five), (None, five), (6, five), (7, None), (7, "")], key=repr)
