@@ -48,8 +48,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.archived(table(spark, sf_dir, "pages"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.parsed(warc.archived(table(spark, sf_dir, "pages")).select("page_id", "record"))
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

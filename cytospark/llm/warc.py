@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import settled, shared_path
 
 #: Payloads of fewer bytes are kept by every record as a response of its own.
 LEAST = 1000
@@ -103,6 +103,48 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def parsed(records: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of each record of an archive (page_id, record), from
+    the record's bytes; page_id alone comes from the archive, as its URN can't be turned back. A revisit has the payload and
+    the page of the response that its WARC-Refers-To names, found by a join on the record id. A wrong Content-Length or
+    digest is an error, and so are a record under another page's URN and a revisit of a record that isn't there."""
+    fail = lambda said: F.raise_error(F.lit(said)).cast("string")
+    # Latin-1 has a character for each byte, so that places in the text are places in the bytes
+    chars = F.decode("record", "ISO-8859-1")
+    rows = records.select("page_id", "record", (F.instr(chars, END + END) + len(END)).alias("_at"))
+    rows = rows.withColumn("_head", F.decode(F.expr("substring(record, 1, _at - 1)"), "UTF-8"))
+    block = F.expr(f"substring(record, _at + {len(END)})")
+    said = field(F.col("_head"), "Content-Length").cast("long")
+    rows = rows.select("page_id", "_head", block.alias("_rest"), said.alias("_n"))
+    whole = (F.octet_length("_rest") == F.col("_n") + 2 * len(END)) & (F.expr("substring(_rest, cast(_n + 1 as int))") == F.lit((END + END).encode()))
+    own = field(F.col("_head"), "WARC-Record-ID")
+    own = F.when(~F.coalesce(whole, F.lit(False)), fail("a record's block differs from its Content-Length")).when(own != record_id(F.col("page_id")), fail("a record's id isn't its page's")).otherwise(own)
+    rows = rows.select("page_id", "_head", own.alias("_id"), F.expr("substring(_rest, 1, cast(_n as int))").alias("_block"))
+    http = F.instr(F.decode("_block", "ISO-8859-1"), END + END) + 2 * len(END) - 1
+    rows = rows.withColumn("_http", http)
+    length = field(F.decode(F.expr("substring(_block, 1, _http)"), "ISO-8859-1"), "Content-Length").cast("long")
+    rows = rows.select(
+        "page_id",
+        "_id",
+        field(F.col("_head"), "WARC-Type").alias("record_type"),
+        F.nullif(field(F.col("_head"), "WARC-Refers-To"), F.lit("")).alias("_to"),
+        F.regexp_replace(field(F.col("_head"), "WARC-Payload-Digest"), "^sha1:", "").alias("_said"),
+        length.alias("_length"),
+        F.expr("substring(_block, _http + 1)").alias("_payload"),
+    )
+    rows = rows.select("page_id", "_id", "record_type", "_to", "_said", "_length", F.octet_length("_payload").cast("long").alias("_bytes"), F.sha1("_payload").alias("_sha1"))
+    response = F.col("record_type") == "response"
+    right = (F.col("_bytes") == F.when(response, F.col("_length")).otherwise(0)) & (~response | (F.col("_sha1") == F.col("_said")))
+    rows = rows.withColumn("_said", F.when(F.coalesce(right, F.lit(False)), F.col("_said")).otherwise(fail("a record's payload differs from its headers")))
+    rows = settled(rows.drop("_sha1"))
+    named = rows.where(F.col("_to").isNotNull()).select(F.col("_to").alias("_there")).distinct()
+    there = rows.where(response).join(named, F.col("_id") == F.col("_there"), "left_semi").groupBy("_id", "_said", "_bytes").agg(F.min("page_id").alias("_page"))
+    there = there.select(F.col("_id").alias("_there"), F.col("_said").alias("_digest"), F.col("_bytes").alias("_whole"), "_page")
+    found = rows.join(there, (F.col("_to") == F.col("_there")) & (F.col("_said") == F.col("_digest")) & (F.col("_length") == F.col("_whole")), "left")
+    lost = ~response & F.col("_there").isNull()
+    return found.select("page_id", F.col("_length").alias("payload_bytes"), F.when(lost, fail("a revisit's response isn't there")).otherwise(F.col("_said")).alias("payload_digest"), "record_type", F.col("_page").alias("refers_to"))
+
+
 def archived(pages: DataFrame) -> DataFrame:
     """Writes an archive of pages to a new place in the shared folder and reads it back."""
     path = shared_path(pages.sparkSession, "warc")

@@ -371,6 +371,25 @@ def test_archive_notices_damage(spark):
         warc.read_archive(spark, f"{path}2").collect()
 
 
+def test_records_are_read_from_their_bytes(spark):
+    big = "é" * 600
+    rows = [(1, "http://a/é\r\nx", big), (2, "http://b", big), (3, None, "a\r\n\r\nb"), (5, "http://d", None), (7, "http://f", "y" * 1000), (2, "http://b", big)]
+    found = warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "record")
+    sha1 = lambda t: hashlib.sha1((t or "").encode()).hexdigest()
+    got = sorted(tuple(r) for r in warc.parsed(found).collect())
+    assert got == sorted((i, len((t or "").encode()), sha1(t), "revisit" if i == 1 else "response", 2 if i == 1 else None) for i, _, t in rows)
+    damage = {
+        "Content-Length": found.withColumn("record", F.concat("record", F.lit(b"x"))),
+        "differs from its headers": found.withColumn("record", F.expr("cast(replace(cast(record as string), 'yy', 'zz') as binary)")),
+        "isn't its page's": found.withColumn("page_id", F.col("page_id") + 1),
+        "isn't there": found.where("page_id <> 2"),
+    }
+    for said, bad in damage.items():
+        with pytest.raises(Exception, match=said):
+            warc.parsed(bad).collect()
+    assert warc.parsed(found.limit(0)).count() == 0
+
+
 # 9 fingerprints
 
 
