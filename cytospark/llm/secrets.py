@@ -22,7 +22,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: The order of kinds at equal starts.
 KINDS = ("assign", "access", "hex", "weak_secret", "account", "endpoint")
-WEAK = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,88}={0,2}(?![A-Za-z0-9+/=_-])")
+WEAK = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,}+={0,2}+(?![A-Za-z0-9+/=_-])")
 ACCOUNT = re.compile(r"""(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.-]{3,}""", re.I | re.A)
 ENDPOINT = re.compile(r"""[a-z][a-z0-9+.-]*://[^\s"'<>]+|(?<![A-Za-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}(?![0-9])""")
 SCOPE = re.compile(r"\n[\x20\t\r]*\n")
