@@ -34,7 +34,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         # Texts with other characters may be changed by normalisation, or have white space that Python sees and Unicode doesn't
         self.plain = re.compile("[^\x00-\x1b\x20-įı-ɏ]")
@@ -57,10 +57,12 @@ class WordTokenizer:
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        if self.plain.search(text):
+        lower = text.lower()
+        # an added token's content is one id wherever it stands, which chunks don't show
+        if self.plain.search(text) or any(t in lower for t in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         known, chunk = self.known, self.chunk
-        return b"".join([known[c] if c in known else chunk(c) for c in text.lower().split()])
+        return b"".join([known[c] if c in known else chunk(c) for c in lower.split()])
 
 
 @lru_cache(maxsize=2)

@@ -244,6 +244,14 @@ def test_pieces_and_places(spark, corpus):
     assert packing.pack_documents(empty(spark), WORDS).count() == 0
 
 
+def test_added_tokens_count_as_in_the_library():
+    tok, own = Tokenizer.from_file(WORDS), packing.tokenizer(WORDS)
+    texts = ["a <|endoftext|> b", "x<|startoftext|><|endoftext|>Y z", "A <|ENDOFTEXT|> b", "a <|endo ftext|> b", "été <|endoftext|>\u2028 Σ"]
+    for t in texts:
+        assert np.frombuffer(own.ids(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert np.frombuffer(own.ids(texts[0]), "<u4").tolist() == [320, 49407, 321]
+
+
 def optimum(lengths, size):
     """The least number of sequences, by trying all."""
     best = [len(lengths)]
