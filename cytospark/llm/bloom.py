@@ -1,4 +1,4 @@
-"""A blocked Bloom filter over 64-bit digests: each one sets BITS bits within one block of 512."""
+"""A blocked Bloom filter over 64-bit digests or ids: each one sets BITS bits within one block of 512."""
 
 from __future__ import annotations
 
@@ -17,9 +17,16 @@ MOST_BLOCKS = 1 << 18
 BITS = 6
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Numbers whose bits all depend on all bits of h, no two alike, so that plain ids spread over the blocks as digests do."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def places(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     """The block of each digest, and its bits (one row of WORDS words for each)."""
-    h = h.view(np.uint64)
+    h = mixed(h.view(np.uint64))
     block = (((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
     mask = np.zeros((len(h), WORDS), np.uint64)
     rows, g = np.arange(len(h)), h

@@ -216,6 +216,14 @@ def test_bloom_lets_all_entries_pass(spark):
     assert not bloom.passes(bloom.build(spark.createDataFrame([], "h long"), 0), h).any()
 
 
+def test_bloom_parts_plain_ids(spark):
+    docs = spark.range(20_000).union(spark.createDataFrame([(None,)], "id long"))
+    some, others = bloom.parted(docs, "id", spark.range(0, 20_000, 10))
+    there, rest = ({r["id"] for r in x.collect()} for x in (some, others))
+    assert there >= set(range(0, 20_000, 10)) and len(there) < 4000
+    assert not there & rest and there | rest == {*range(20_000), None}
+
+
 # 5 packing
 
 
