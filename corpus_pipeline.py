@@ -12,9 +12,11 @@ from cytospark.llm.common import settled, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found. Those without text or without a letter go; a label is neither needed nor changed."""
+    """Documents whose language is found. Those without text or without a letter go, and only those: where no language can be
+    learned, as no text that may be learned from has a label, all others stay. No document needs a label, and none is changed."""
     rows = docs.select("text", F.struct("*").alias("_row"))  # so that no column of docs is taken for one of the result's
-    found = language.identify(rows, *language.learned(docs))
+    names, logs = language.learned(docs)
+    found = language.identify(rows, *((names, logs) if names else language.unlearned()))
     return found.where("lang_pred <> 'und'").select("_row.*")
 
 

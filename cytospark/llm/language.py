@@ -66,6 +66,11 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
     return names, np.log(counts / counts.sum(1, keepdims=True)) if names else counts
 
 
+def unlearned() -> tuple[list[str], np.ndarray]:
+    """A model of one language without a name, '', for tables from which none can be learned: it takes every text with a letter."""
+    return [""], np.full((1, CELLS), -np.log(CELLS))
+
+
 def mixture(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
     """The shares of the languages whose cells' probabilities are p's rows, and the log-likelihood of the counts n."""
     share = np.full(len(p), 1 / len(p))

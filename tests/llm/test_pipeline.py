@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import duckdb
 import pytest
@@ -69,3 +70,14 @@ def test_near_duplicates_judge_each_text_of_an_id(spark):
     fours = [x for x in got if x[0] == 4]
     assert len(fours) == 1 and fours[0] in rows
     assert [x for x in got if x[0] != 4] == sorted([(1, one), (2, two), (2, three), (None, five), (None, five), (6, five), (7, None), (7, "")], key=repr)
+
+
+@pytest.mark.parametrize("lang", [None, "en"])
+def test_language_stage_without_a_model(spark, lang):
+    rng = random.Random(6)
+    texts = [prose(rng, 30), None, "", "123 456", prose(rng, 30), "été"]
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 2]  # held out, so a label teaches nothing
+    docs = spark.createDataFrame([(i, t, lang, "s", 0) for i, t in zip(ids, texts)], DOCS)
+    got = corpus_pipeline.language_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert {(r["doc_id"], r["text"], r["lang"]) for r in got.collect()} == {(ids[k], texts[k], lang) for k in (0, 4, 5)}
