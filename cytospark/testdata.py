@@ -151,6 +151,7 @@ def formats(kind: str) -> Query:
         rows = sites("extract", contexts=ALL)(spark, sf_dir)
         m, u = F.col("m"), F.col("u")
         value = {
+            "percentage": [percentage(m, u).alias("percentage")],
             "fraction": [F.round(share(m, u), 6).alias("value")],
             "counts": [(m + u).alias("depth")],
             "logit": [F.round(F.when((m > 0) & (u > 0), log_odds(m, u)), 6).alias("value"), (m == 0).alias("least"), (u == 0).alias("most")],
@@ -199,7 +200,7 @@ def queries() -> dict[str, Query]:
         "merge_context_standalone": merge_standalone,
         "cytosine_report": columns(sites("cytosine_report", contexts=ALL), *SITE, "tri"),
         "cytosine_report_bed": columns(sites("cytosine_report", stranded=True, contexts=ALL), *SITE, "tri"),
-        "percentage": columns(sites("extract", contexts=ALL), "rid", "pos", percentage(F.col("m"), F.col("u")).alias("percentage")),
+        "percentage": formats("percentage"),
         "fraction": formats("fraction"),
         "counts": formats("counts"),
         "logit": formats("logit"),

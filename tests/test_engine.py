@@ -2,6 +2,8 @@ import gzip
 import os
 import random
 import struct
+import subprocess
+import sys
 import zlib
 
 import duckdb
@@ -30,6 +32,7 @@ from cytospark.streaming.mbias import stream_mbias, stream_sam
 
 from . import samples
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SF = "/root/testdata/sf0.001"
 ALL = ("CG", "CHG", "CHH")
 
@@ -51,6 +54,13 @@ def loaded(spark, files):
     return reads, contigs, cyt, rows
 
 
+def test_queries_are_listed_without_a_session():
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); print(len(q)); assert set(o) <= set(q) and 'extract_cpg' in q"
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) >= 41
+
+
 def test_context_of_every_base(spark, loaded, monkeypatch, files):
     _, contigs, cyt, _ = loaded
     want = {(r, i, *c) for r, s in enumerate(samples.CONTIGS.values()) for i in range(len(s)) if (c := samples.context_of(s, i))}
