@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrowed
+
 #: Words of 64 bits in a block: one cache line.
 WORDS = 8
 #: Blocks at most: 16 MB, whatever the number of entries. More entries make more false hits, which an exact join removes.
@@ -43,6 +45,11 @@ def passes(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ((words[block] & mask) == mask).all(1)
 
 
+def holds(words: np.ndarray, ids: pa.Array) -> np.ndarray:
+    """The same of a column of ids; nulls are in no filter."""
+    return passes(words, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+
+
 def build(digests: DataFrame, entries: int) -> np.ndarray:
     """The filter of the only column of digests (long): blocks x WORDS words, for so many entries and of 16 MB at most. Tasks
     turn digests into bits and Spark ORs them by block; the driver gets the blocks."""
@@ -55,7 +62,7 @@ def build(digests: DataFrame, entries: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(block), *(pa.array(mask[:, i].view(np.int64)) for i in range(WORDS))] if len(block) else [pa.array([], pa.int64())] * (WORDS + 1), names=["block", *names])
 
     digests = digests.where(F.col(digests.columns[0]).isNotNull())
-    got = digests.mapInArrow(run, "block long, " + ", ".join(f"{n} long" for n in names)).groupBy("block").agg(*(F.bit_or(n).alias(n) for n in names)).toArrow()
+    got = arrowed(digests, run, "block long, " + ", ".join(f"{n} long" for n in names)).groupBy("block").agg(*(F.bit_or(n).alias(n) for n in names)).toArrow()
     out = np.zeros((blocks, WORDS), np.uint64)
     if got.num_rows:
         out[got.column("block").to_numpy()] = np.stack([got.column(n).to_numpy().view(np.uint64) for n in names], 1)
@@ -70,10 +77,9 @@ def parted(df: DataFrame, column: str, wanted: DataFrame) -> tuple[DataFrame, Da
     def side(inside: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                own = batch.column(batch.schema.get_field_index(column))
-                there = passes(sent.value, own.fill_null(0).to_numpy(zero_copy_only=False)) & own.is_valid().to_numpy(zero_copy_only=False)
+                there = holds(sent.value, batch.column(batch.schema.get_field_index(column)))
                 yield batch.filter(pa.array(there == inside, pa.bool_()))
 
-        return df.mapInArrow(run, df.schema)
+        return arrowed(df, run, df.schema)
 
     return side(True), side(False)

@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import columns, slices, with_fields
+from .common import arrowed, columns, slices, with_fields
 
 #: Chunks of text, prefixes and pairs of tokens that a worker remembers at most.
 CHUNKS, PREFIXES, PAIRS = 300_000, 800_000, 800_000
@@ -194,7 +194,7 @@ def encode_documents(docs: DataFrame, ranks: str, text: str = "text", ids: str =
             found = pa.array([enc.encode(t or "") for (t,) in columns(batch, text)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, ids])
 
-    return docs.select(rest).mapInArrow(run, schema)
+    return arrowed(docs.select(rest), run, schema)
 
 
 def decode_documents(docs: DataFrame, ranks: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -208,7 +208,7 @@ def decode_documents(docs: DataFrame, ranks: str, ids: str = "ids", out: str = "
             found = pa.array([enc.decode(x or ()) for (x,) in columns(batch, ids)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, out])
 
-    return docs.select(rest).mapInArrow(run, schema)
+    return arrowed(docs.select(rest), run, schema)
 
 
 def append_documents(docs: DataFrame, ranks: str, text: str = "text", ids: str = "ids", suffix: str = "suffix") -> DataFrame:
@@ -222,7 +222,7 @@ def append_documents(docs: DataFrame, ranks: str, text: str = "text", ids: str =
             at = batch.schema.get_field_index(ids)
             yield batch.set_column(at, pa.field(ids, found.type), found)
 
-    return docs.mapInArrow(run, schema)
+    return arrowed(docs, run, schema)
 
 
 def encode_digests(docs: DataFrame, ranks: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -240,4 +240,4 @@ def encode_digests(docs: DataFrame, ranks: str, doc_id: str = "doc_id", text: st
                 decoded.append(hashlib.sha256(enc.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(coded), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias(text)).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrowed(docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias(text)), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WHITE = " \t\n\x0b\x0c\r"
 #: Rows that are turned into Python objects at a time, so that batches of long texts stay small.
 SLICE = 256
+#: Rows of an Arrow batch, and the setting that bounds it.
+BATCH, ARROW_ROWS = 1024, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +45,15 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def arrowed(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of BATCH rows at most, for this session's plans from here on: texts are long, and a
+    batch stands in memory on both sides. A smaller setting of the session's own stays."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(ARROW_ROWS)) <= BATCH:
+        conf.set(ARROW_ROWS, BATCH)
+    return df.mapInArrow(run, schema)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8: bytes.split() parts at exactly the six white-space bytes."""
     return (text or "").encode("utf-8", "surrogatepass").split()

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, slices, with_fields
+from .common import arrowed, columns, slices, with_fields
 
 #: Cells that trigrams are hashed to.
 CELLS = 1 << 15
@@ -56,7 +56,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at])], names=["lang", "cell", "n"])
 
     own = docs.where(docs[text].isNotNull() & docs[lang].isNotNull()).select(docs[text].alias(text), docs[lang].alias(lang))
-    sums = own.mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    sums = arrowed(own, run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     rows = sums.toArrow().to_pydict()
     names = sorted(set(rows["lang"]))
     if len(names) > MOST:
@@ -128,7 +128,7 @@ def identify(docs: DataFrame, names: list[str], logs: np.ndarray, text: str = "t
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, "lang_pred", "score", "languages"])
 
-    return docs.select(rest).mapInArrow(run, schema)
+    return arrowed(docs.select(rest), run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

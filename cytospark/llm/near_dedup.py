@@ -7,9 +7,13 @@ agree in a register with a probability of at least their Jaccard similarity, whi
 locality-sensitive.
 
 Documents with equal shingle sets are one class from the start and only its representative goes on. In a bucket of a few
-members all pairs are candidates. In a larger one every member meets one other in each round, and a confirmed link joins
-components; what is still in different components after the rounds is compared by the rarest shingles of each set, of
-which two similar sets must share one. So no pair is lost, and a large group never meets in full.
+members all pairs are candidates. In a larger one every member meets the bucket's hub, the member with the most company
+over all of its bands: of a cloud of near copies that is one close to their common origin, to which most others are
+similar. A confirmed link joins components; what is still in different components then is compared by the rarest shingles
+of each set, of which two similar sets must share one. So no pair is lost, and a large group never meets in full.
+
+Texts are read twice, for the sketches and for the sets of those documents that share a band. From then on only sets of
+digests move.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import columns, settled, slices
+from .common import arrowed, columns, settled, slices
 from .wordhash import runs, word_hashes
 
 #: Registers of 16 bits; four make a band, whose key is their 64 bits.
@@ -40,8 +44,6 @@ BLOCK = 1024
 SURE = 25.0
 #: Members of a bucket of which all pairs are candidates.
 FEW = 6
-#: Rounds in which each member of a larger bucket meets one other.
-ROUNDS = 2
 
 
 @lru_cache(maxsize=1)
@@ -119,7 +121,7 @@ def sketched(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
             arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.string()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_key", "bands"])
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, schema)
+    return arrowed(docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")), run, schema)
 
 
 def likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
@@ -134,28 +136,40 @@ def likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFram
             ok = [may_be_similar(x, y, n, m, similarity) for x, y, (n, m) in zip(own, other, columns(batch, "na", "nb"))]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
+    return arrowed(pairs.join(one, "a").join(two, "b"), run, "a long, b long")
+
+
+def elements(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """node and elements (the digests of the whole set, sorted, 8 bytes each) of the documents (doc_id, text) of ids (node); an id
+    with several texts has a row for each. Texts go to their tasks once and don't come back."""
+    sent = docs.sparkSession.sparkContext.broadcast(bloom.build(ids, ids.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            some = batch.filter(pa.array(bloom.holds(sent.value, batch.column(0)), pa.bool_()))
+            sets = [shingles(t, words).astype("<u8", copy=False).tobytes() for (t,) in columns(some, "text")]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.binary())], names=["node", "elements"])
 
+    found = arrowed(docs.select("doc_id", "text"), run, "node long, elements binary").where("length(elements) > 0")
+    return settled(found.join(ids, "node", "left_semi").distinct())
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose full sets have the similarity; of an id with several texts, any."""
     num, den = Fraction(str(similarity)).as_integer_ratio()
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    one = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
+    two = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            known: dict[str, np.ndarray] = {}
             ok = []
-            for x, y in columns(batch, "ta", "tb"):
-                for t in (x, y):
-                    if t not in known:
-                        known[t] = shingles(t, words)
-                both = len(np.intersect1d(known[x], known[y], assume_unique=True))
-                ok.append(den * both >= num * (len(known[x]) + len(known[y]) - both))
+            for x, y in columns(batch, "ea", "eb"):
+                x, y = sorted((np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")), key=len)
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                ok.append(den * both >= num * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long").distinct()
+    return arrowed(pairs.join(one, "a").join(two, "b"), run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -192,30 +206,29 @@ def labelled(df: DataFrame, found: DataFrame, node: str = "doc_id") -> DataFrame
     return df.join(found, df[node] == found["_node"], "left").withColumn("label", F.coalesce("_component", node)).drop("_node", "_component")
 
 
-def met_once(here: DataFrame, turn: int) -> DataFrame:
-    """Each member of a bucket with one other of another label: the first in an order that each turn draws anew, or else the
-    last. As many pairs as members at most."""
-    order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label")
-    ends = here.groupBy("band", "key").agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    other = F.when(F.col("label") != F.col("lo.label"), F.col("lo.node")).when(F.col("label") != F.col("hi.label"), F.col("hi.node"))
-    pairs = here.join(ends, ["band", "key"]).select("node", other.alias("other")).where("other is not null")
-    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).where("a < b").distinct()
+def met_hub(many: DataFrame) -> DataFrame:
+    """Each member of a bucket (key, node, n) with the bucket's hub: the member whose buckets have the most members in all. As
+    many pairs as members at most, and fewer where buckets share their hubs."""
+    company = many.groupBy("node").agg(F.sum("n").alias("company"))
+    hubs = many.join(company, "node").groupBy("key").agg(F.max(F.struct("company", (-F.col("node")).alias("low"))).alias("hub"))
+    pairs = many.join(hubs.select("key", (-F.col("hub.low")).alias("hub")), "key")
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).where("a < b").distinct()
 
 
 def met_all(here: DataFrame) -> DataFrame:
     """Every pair of a bucket's members; for buckets of FEW."""
-    there = here.select("band", "key", F.col("node").alias("_node"))
-    return here.join(there, ["band", "key"]).where("node < _node").select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct()
+    there = here.select("key", F.col("node").alias("_node"))
+    return here.join(there, "key").where("node < _node").select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct()
 
 
 def mixed(buckets: DataFrame, found: DataFrame) -> DataFrame:
     """buckets with the label of each member, but for those that are in one component altogether."""
     here = labelled(buckets, found, "node")
-    ends = here.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "key")
-    return here.join(ends, ["band", "key"])
+    ends = here.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    return here.join(ends, "key")
 
 
-def met_by_rarest(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def met_by_rarest(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """All pairs of nodes (node, label) of different labels that may be similar: of n shingles in the order of their frequency
     among the nodes, similar sets share one of the first n - ceil(similarity * n) + 1. Shingles that only one node has stand
     first, so a text with that many of its own meets no other; nor does a pair meet whose sets, behind their first common
@@ -225,14 +238,14 @@ def met_by_rarest(nodes: DataFrame, texts: DataFrame, words: int, similarity: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingles(t, words) for (t,) in columns(batch, "text")]
-            n = [len(s) for s in sets]
-            at = np.repeat(np.arange(len(sets)), n)
-            token = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
+            found = [np.frombuffer(x, "<i8") for (x,) in columns(batch, "elements")]
+            n = [len(x) for x in found]
+            at = np.repeat(np.arange(len(found)), n)
+            token = np.concatenate([np.empty(0, np.int64), *found])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(np.array(n, np.int64)[at]), pa.array(token)], names=["node", "label", "n", "token"])
 
-    own = nodes.join(texts, nodes["node"] == texts["doc_id"]).select("node", "label", "text")
-    rows = settled(own.mapInArrow(run, "node long, label long, n long, token long").distinct())
+    own = nodes.join(sets, "node").select("node", "label", "elements")
+    rows = settled(arrowed(own, run, "node long, label long, n long, token long").distinct())
     often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
     first = (F.col("n") - F.expr(f"(n * {num} + {den - 1}) div {den}") + 1).cast("int")
     ranked = rows.join(often, "token").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("t"))
@@ -252,7 +265,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, do
     """For each row: doc_id, n_shingles, component_id (the smallest id reachable over links) and kept (whether it is that).
 
     Linked are documents whose sets of shingles (of so many words; texts with fewer: all words) have the Jaccard similarity,
-    by full sets. A pair at exactly 0.8 stays unseen with a probability of 1e-9 (BANDS bands of ROWS registers). Null, empty
+    by full sets. A pair at exactly 0.8 stays unseen with a probability of 7e-10 (BANDS bands of ROWS registers). Null, empty
     and wordless texts have no shingles and are linked with nothing. Rows with the same id count as one document with the
     links of each; rows with a null id are kept and get a null component. Only doc_id and text are read."""
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
@@ -264,25 +277,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, do
     members = known.select("doc_id", "set_key").join(classes.select("set_key", "first"), "set_key").where("doc_id <> first")
     links = members.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
 
-    every = sketches.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = every.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = settled(every.join(shared, ["band", "key"]))
-    few, many = buckets.where(F.col("n") <= FEW).drop("n"), buckets.where(F.col("n") > FEW).drop("n")
-
-    pairs = met_all(few).unionByName(met_once(many.withColumn("label", F.col("node")), 0)).distinct()
-    good = settled(likely(pairs, sketches, similarity))
-    ids = good.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(many.select(F.col("node").alias("doc_id"))).distinct()
-    texts = settled(bloom.parted(docs, "doc_id", ids)[0].join(ids, "doc_id", "left_semi").distinct())
-    new = settled(confirmed(good, texts, words, similarity))
-    for turn in range(1, ROUNDS + 1):
-        here = settled(mixed(many, components(new)))
-        if here.isEmpty():
-            break
-        if turn < ROUNDS:
-            pairs = met_once(here, turn)
-        else:
-            pairs = met_by_rarest(here.select("node", "label").distinct(), texts, words, similarity)
-        new = new.unionByName(settled(confirmed(likely(pairs, sketches, similarity), texts, words, similarity)))
+    every = sketches.select("node", F.posexplode("bands").alias("band", "register")).select("node", F.xxhash64("band", "register").alias("key"))
+    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = settled(every.join(shared, "key"))
+    few, many = buckets.where(F.col("n") <= FEW), buckets.where(F.col("n") > FEW)
+
+    good = settled(likely(met_all(few).unionByName(met_hub(many)).distinct(), sketches, similarity))
+    ids = settled(good.select(F.explode(F.array("a", "b")).alias("node")).unionByName(many.select("node")).distinct())
+    sets = elements(docs, ids, words)
+    new = settled(confirmed(good, sets, similarity))
+    here = settled(mixed(many, components(new)).select("node", "label").distinct())
+    if not here.isEmpty():
+        pairs = met_by_rarest(here, sets, similarity)
+        new = new.unionByName(settled(confirmed(likely(pairs, sketches, similarity), sets, similarity)))
     links = links.unionByName(new)
     out = labelled(rows.select("doc_id", "n_shingles"), components(links))
     return out.select("doc_id", "n_shingles", F.col("label").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("label"), F.lit(True)).alias("kept"))

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, settled, slices, with_fields
+from .common import arrowed, columns, settled, slices, with_fields
 
 #: Chunks that a worker remembers at most.
 CHUNKS = 700_000
@@ -88,7 +88,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, size: int = 4096, doc_id
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias(text)).mapInArrow(run, schema)
+    return arrowed(docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias(text)), run, schema)
 
 
 def reduced(counts: np.ndarray, size: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -202,7 +202,7 @@ def pack(found: DataFrame, size: int = 4096) -> DataFrame:
             arrays = [batch.column(i) for i in keep] + [pa.array(row[:, 3] + nth // np.maximum(row[:, 2], 1)), pa.array(row[:, 4] + nth % np.maximum(row[:, 2], 1) * length)]
             yield pa.RecordBatch.from_arrays(arrays, names=[batch.schema.names[i] for i in keep] + ["sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, schema)
+    return arrowed(ranked, place, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 1, size: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

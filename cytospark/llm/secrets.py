@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, settled, slices, with_fields
+from .common import arrowed, columns, settled, slices, with_fields
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -105,7 +105,7 @@ def _found(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
             arrays = [pa.array(base, pa.list_(pa.struct(span))), pa.array(keys, pa.string()), pa.array(parts, pa.list_(pa.struct([*span, ("scope", pa.int32())])))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*keep, "base", "text_key", "parts"])
 
-    return docs.select(*keep, docs[text].alias("_text")).mapInArrow(run, schema)
+    return arrowed(docs.select(*keep, docs[text].alias("_text")), run, schema)
 
 
 def _joined(found: DataFrame, parts: DataFrame, keep: list[str]) -> DataFrame:
@@ -151,7 +151,7 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> DataF
             batch = batch.set_column(at, pa.field(text, pa.string()), pa.array(out, pa.string()))
             yield batch.select(schema.names)
 
-    out = found.mapInArrow(run, schema)
+    out = arrowed(found, run, schema)
     return out.withColumn("n_chars", F.length(text).cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out
 
 

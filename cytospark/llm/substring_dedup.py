@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import WORD, columns, settled, slices, words_of
+from .common import WORD, arrowed, columns, settled, slices, words_of
 from .wordhash import runs, word_hashes
 
 #: Words of an anchor.
@@ -89,7 +89,7 @@ def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
             ids = batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(found.doc))
             yield pa.RecordBatch.from_arrays([pa.array(found.anchor.view(np.int64)), ids], names=["anchor", "doc_id"])
 
-    return docs.mapInArrow(run, "anchor long, doc_id long")
+    return arrowed(docs, run, "anchor long, doc_id long")
 
 
 def mixed(key: np.ndarray, phrase_key: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
@@ -142,7 +142,7 @@ def places(docs: DataFrame, phrases: Phrases) -> DataFrame:
             out = [(k, p, *ids[d], s) for k, p, _, s, d in sent.value.of(texts_of(batch))]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, kinds)], names=["key", "phrase_key", "doc_id", "text_key", "start"])
 
-    return docs.mapInArrow(run, "key long, phrase_key long, doc_id long, text_key long, start int")
+    return arrowed(docs, run, "key long, phrase_key long, doc_id long, text_key long, start int")
 
 
 def firsts_of(ends: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def firsts_of(ends: DataFrame) -> DataFrame:
             h = mixed(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))
             yield pa.RecordBatch.from_arrays([pa.array(h)], names=["h"])
 
-    return ends.select("key", "phrase_key", "first").mapInArrow(run, "h long")
+    return arrowed(ends.select("key", "phrase_key", "first"), run, "h long")
 
 
 def spoken(docs: DataFrame, phrases: Phrases, firsts: np.ndarray) -> DataFrame:
@@ -170,7 +170,7 @@ def spoken(docs: DataFrame, phrases: Phrases, firsts: np.ndarray) -> DataFrame:
             ok = bloom.passes(filt, mixed(np.array(k, np.int64), np.array(p, np.int64), np.array(d, np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((k, p, w), kinds)], names=["key", "phrase_key", "phrase"]).filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(run, "key long, phrase_key long, phrase binary")
+    return arrowed(docs, run, "key long, phrase_key long, phrase binary")
 
 
 def located(group: list[tuple[int, int, bytes, int, int]], window: int) -> Iterator[tuple[int, int, list[int | None]]]:
@@ -245,7 +245,7 @@ def shards(ends: DataFrame, phrases: DataFrame, window: int) -> DataFrame:
 
     both = ends.select("key", "phrase_key", F.lit(None).cast("binary").alias("phrase"), "first", "last").unionByName(phrases.select("key", "phrase_key", "phrase", F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last")))
     sorted_ = both.repartition("key").sortWithinPartitions("key", F.col("phrase").isNotNull())
-    return sorted_.mapInArrow(run, "key long, phrase_key long, firsts array<long>")
+    return arrowed(sorted_, run, "key long, phrase_key long, firsts array<long>")
 
 
 def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
@@ -315,8 +315,8 @@ def removal_report(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
 
     own = (F.col("_doc_id") == F.col("doc_id")) & (F.col("_text_key") == F.col("text_key"))
     less = some.select("_doc_id", "_text_key", "text").join(starts, own).select("_doc_id", "_text_key", "text", "starts")
-    less = less.mapInArrow(cut, "doc_id long, text_key long, n_removed long, cut string").dropDuplicates(["doc_id", "text_key"])
-    rows = docs.mapInArrow(whole, "doc_id long, text_key long, n_words long, whole string")
+    less = arrowed(less, cut, "doc_id long, text_key long, n_removed long, cut string").dropDuplicates(["doc_id", "text_key"])
+    rows = arrowed(docs, whole, "doc_id long, text_key long, n_words long, whole string")
     out = rows.join(less, ["doc_id", "text_key"], "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("cut", "whole").alias("kept_sha256"))
 
@@ -345,5 +345,5 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
 
     right = starts.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), F.col("starts").alias("_starts"))
     joined = some.join(right, (F.col("_doc_id") == F.col("_d")) & (F.col("_text_key") == F.col("_t")), "left")
-    out = joined.drop("_d", "_t", "_doc_id", "_text_key").mapInArrow(cut, schema).unionByName(others.drop("_doc_id", "_text_key"))
+    out = arrowed(joined.drop("_d", "_t", "_doc_id", "_text_key"), cut, schema).unionByName(others.drop("_doc_id", "_text_key"))
     return out.withColumn("n_chars", F.length(text).cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import columns, slices
+from .common import arrowed, columns, slices
 
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a URL; both empty if it is null or has no ://."""
@@ -38,7 +38,7 @@ def listed_digests(listed: DataFrame) -> DataFrame:
             h = digests(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
-    return listed.select("host", "path").mapInArrow(run, "h long")
+    return arrowed(listed.select("host", "path"), run, "h long")
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
@@ -71,7 +71,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, default: str = "allow", url
             arrays = [[owner[i][0] for i in hit], [owner[i][1] for i in hit], [hosts[i] for i in hit], [paths[i] for i in hit]]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in arrays], names=["_host", "_path", "host", "path"])
 
-    hits = parted.select("host", "path").where("host <> ''").mapInArrow(possible, "_host string, _path string, host string, path string")
+    hits = arrowed(parted.select("host", "path").where("host <> ''"), possible, "_host string, _path string, host string, path string")
     hits = hits.join(listed, ["host", "path"])  # exact
     best = F.max(F.struct(F.length("rule").alias("n"), (F.col("verdict") == "block").alias("b"), F.col("rule"), F.col("verdict"))).alias("_best")
     fits = hits.groupBy("_host", "_path").agg(best)

@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cytospark.llm import bloom, bpe, common, fingerprint, language, near_dedup, packing, quality, secrets, substring_dedup, url_filter, warc
+from cytospark.llm import bloom, bpe, common, fingerprint, language, near_dedup, packing, quality, secrets, substring_dedup, url_filter, warc, wordhash
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -119,7 +119,7 @@ def brute_components(texts, words):
 @pytest.mark.parametrize("words", [4, 5])
 @pytest.mark.parametrize("few", [0, 6])
 def test_near_duplicates_against_all_pairs(spark, corpus, words, few, monkeypatch):
-    monkeypatch.setattr(near_dedup, "FEW", few)  # 0: the rounds and the rarest shingles do all of the work
+    monkeypatch.setattr(near_dedup, "FEW", few)  # 0: hubs and the rarest shingles do all of the work
     got = near_dedup.near_duplicates(shuffled(spark, corpus), words).orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == brute_components(corpus, words)
 
@@ -147,7 +147,37 @@ def test_rarest_shingles_lose_no_pair(spark, corpus):
     want = {(j, i) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
     df = frame(spark, texts)
     nodes = df.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label"))
-    assert want <= {tuple(r) for r in near_dedup.met_by_rarest(nodes, df.select("doc_id", "text"), 4, 0.8).collect()}
+    assert want <= {tuple(r) for r in near_dedup.met_by_rarest(nodes, near_dedup.elements(df, nodes.select("node"), 4), 0.8).collect()}
+
+
+def test_a_cloud_of_near_copies_meets_its_hub(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for k in range(160):  # from nearly none to a third of the words replaced, so that the cloud's edge frays
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6, 8, 12, 20])):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    met = []
+    confirmed = near_dedup.confirmed
+    monkeypatch.setattr(near_dedup, "confirmed", lambda pairs, *rest: met.append(pairs.count()) or confirmed(pairs, *rest))
+    got = near_dedup.near_duplicates(shuffled(spark, texts), 4).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == brute_components(texts, 4)
+    assert sum(met) < 12 * len(texts)  # of 12,720 pairs
+
+
+def test_texts_longer_than_a_part_have_all_their_words(spark):
+    rng = random.Random(13)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    words[30_000] = "y" * 300_000  # a word that is longer than what is digested at a time
+    long = " ".join(words)
+    assert len(wordhash.word_hashes(long.encode())[0]) == len(words)
+    again = " ".join(["new"] * 5 + words[5:])
+    texts = [long, again, "some other words in a short text that repeats nothing at all of them"]
+    got = near_dedup.near_duplicates(frame(spark, texts), 4).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == brute_components(texts, 4)
+    assert [tuple(r) for r in substring_dedup.removal_report(frame(spark, texts)).orderBy("doc_id").collect()] == brute_removal(texts)
 
 
 # 3 quality rules
@@ -229,7 +259,6 @@ def test_bloom_parts_plain_ids(spark):
 
 def test_pieces_and_places(spark, corpus):
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
     size = 64
     got = packing.pack_documents(shuffled(spark, corpus), WORDS, size=size).collect()
     own = collections.defaultdict(list)
