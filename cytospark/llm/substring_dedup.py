@@ -2,17 +2,19 @@
 
 1. Every window of so many words has an anchor, the run of GRAM words in it with the smallest digest. Equal windows have
    equal anchors, so a window can recur only if its anchor stands in two documents.
-2. The texts around such anchors are the phrases. Of each phrase only the places go on at first, then its words, once, from
-   the first document that has it; all phrases of an anchor meet in one shard, in which windows that stand in two documents
-   are confirmed by their words.
-3. Each shard compiles automata of its confirmed windows, a bounded number at a time, and streams its phrases through them
-   to locate every occurrence.
+2. The texts around such anchors are the phrases, in which alone a window can recur. Each document's phrases go, as digests,
+   to the shards of their anchors; a phrase that many documents share goes there once, and its words are taken once, from the
+   first document that has it.
+3. A shard confirms, by their words, the windows that stand in two documents, compiles them into automata, a bounded number
+   at a time, and streams the phrases of all documents through them. What an automaton finds in a phrase are the passages
+   of earlier documents.
 4. The places of phrases in documents are joined with what was found in them. Each document then loses the words of all
    windows that a document with a smaller id has, too.
 
-A very frequent anchor stands in many different phrases; its windows go to shards by their own words instead, so that no
-shard gets them all. The filter of anchors has a fixed size and only saves work: what it lets through in error is a phrase
-without a confirmed window.
+A frequent anchor stands in many different phrases; its windows go to shards by their own words instead, so that a key of a
+shard has HOT rows at most. The filters of shared and of frequent anchors have a fixed size and only save work: what the
+first lets through in error is a phrase without a confirmed window, and an anchor that the second takes for a frequent one is
+treated like it in every document.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,25 +36,26 @@ from .wordhash import runs, word_hashes
 
 #: Words of an anchor.
 GRAM = 5
-#: Anchors in more rows than this, and than one in MOST_HOT of all rows, count as frequent.
-HOT, MOST_HOT = 500, 20_000
+#: Rows of an anchor from which on it counts as frequent.
+HOT = 500
 #: Windows for which a shard compiles one automaton.
 COMPILED = 60_000
 
 
-def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """The digest and the place of the anchor of each window of words with the digests h: the first of the least runs of GRAM
-    words; none if there are too few words."""
+def anchors(h: np.ndarray, window: int) -> np.ndarray:
+    """The place of the anchor of each window of words with the digests h: of the runs of GRAM words in it, the first of those
+    whose digests have the least upper half. None if there are too few words."""
     gram = min(GRAM, window)
     if len(h) < window:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    g, n = runs(h, gram), len(h) - window + 1
-    least, at = g[:n].copy(), np.zeros(n, np.int64)
-    for k in range(1, window - gram + 1):
-        lower = g[k : k + n] < least
-        np.copyto(least, g[k : k + n], where=lower)
-        at[lower] = k
-    return least, at + np.arange(n)
+        return np.empty(0, np.int64)
+    g = runs(h, gram)
+    low = np.uint64(0xFFFFFFFF)
+    least, width = (g & ~low) | np.arange(len(g), dtype=np.uint64), 1
+    while width < window - gram + 1:  # the least of twice as many at a time
+        step = min(width, window - gram + 1 - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    return (least & low).astype(np.int64)
 
 
 def texts_of(batch: pa.RecordBatch) -> list[bytes]:
@@ -68,16 +70,21 @@ class Anchored:
     run, by the number of its first word in all texts)."""
 
     def __init__(self, texts: list[bytes], window: int):
-        self.blob = b"\n".join(texts)
-        h, self.starts, self.ends = word_hashes(self.blob)
+        self.blob, self.window = b"\n".join(texts), window
+        self.words, self.starts, self.ends = word_hashes(self.blob)
         doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), self.starts, "right")
         self.begins = np.searchsorted(doc, np.arange(len(texts)))
-        a, at = anchors(h, window)
-        inside = np.flatnonzero(doc[: len(a)] == doc[len(doc) - len(a) :])  # windows of one text
+        at = anchors(self.words, window)
+        inside = np.flatnonzero(doc[: len(at)] == doc[len(doc) - len(at) :])  # windows of one text
         new = np.flatnonzero((np.diff(at[inside], prepend=-1) != 0) | (np.diff(doc[inside], prepend=-1) != 0))
         self.first = inside[new]
         self.last = inside[np.append(new[1:], len(inside)) - 1] if len(inside) else self.first
-        self.anchor, self.doc = a[self.first], doc[self.first]
+        self.doc = doc[self.first]
+        self.anchor = runs(self.words, min(GRAM, window))[at[self.first]]
+
+    def phrase(self, first: int, last: int) -> bytes:
+        """The words of some windows, joined by blanks."""
+        return b" ".join(self.blob[self.starts[first] : self.ends[last + self.window - 1]].split())
 
 
 def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
@@ -92,55 +99,50 @@ def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     return arrowed(docs, run, "anchor long, doc_id long")
 
 
-def mixed(key: np.ndarray, phrase_key: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
-    """A digest of a phrase in a document."""
+def mixed(*parts: np.ndarray) -> np.ndarray:
+    """Digests of several columns of numbers, side by side."""
+    h = np.zeros(len(parts[0]), np.uint64)
     with np.errstate(over="ignore"):
-        h = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ phrase_key.view(np.uint64)
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) ^ doc_id.view(np.uint64)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return (h ^ (h >> np.uint64(32))).view(np.int64)
+        for x in parts:
+            h = (h ^ x.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(29)
+    return h.view(np.int64)
 
 
 class Phrases:
-    """Finds the phrases of a document: around the anchors that pass the filter, but single windows around frequent ones."""
-
-    def __init__(self, window: int, words: np.ndarray, frequent: frozenset[int]):
-        self.window, self.words, self.frequent = window, words, frequent
-
-    def of(self, texts: list[bytes]) -> list[tuple[int, int, bytes, int, int]]:
-        """key, digest, words and place of each, and the number of its text."""
-        window, out = self.window, []
-        found = Anchored(texts, window)
-        hit = np.flatnonzero(bloom.passes(self.words, found.anchor))
-        first, last, doc = found.first[hit], found.last[hit], found.doc[hit]
-        place = first - found.begins[doc]
-        rows = zip(place.tolist(), (last - first + 1).tolist(), found.anchor[hit].tolist(), found.starts[first].tolist(), found.ends[last + window - 1].tolist(), doc.tolist())
-        for i, n, anchor, lo, hi, d in rows:
-            phrase = b" ".join(found.blob[lo:hi].split())
-            if anchor in self.frequent:
-                w = phrase.split(b" ")
-                for s in range(n):
-                    phrase = b" ".join(w[s : s + window])
-                    out.append((signed(xxhash.xxh3_64_intdigest(phrase, 1)), signed(xxhash.xxh3_64_intdigest(phrase)), phrase, i + s, d))
-            else:
-                out.append((signed(anchor), signed(xxhash.xxh3_64_intdigest(phrase)), phrase, i, d))
-        return out
-
-
-def signed(h: int) -> int:
-    return h - (1 << 63)
-
-
-def places(docs: DataFrame, phrases: Phrases) -> DataFrame:
+    """Finds the phrases of texts: around the anchors that pass the filter of shared ones, but single windows around those that
+    pass the filter of frequent ones, too."""
+
+    def __init__(self, shared: np.ndarray, frequent: np.ndarray):
+        self.shared, self.frequent = shared, frequent
+
+    def of(self, found: Anchored) -> tuple[np.ndarray, ...]:
+        """Of each phrase: key, digest of the words, number of the text, first and last window. The first and the last window
+        have all of its words, as a run of windows with one anchor is no longer than a window."""
+        hit = np.flatnonzero(bloom.passes(self.shared, found.anchor))
+        hot = bloom.passes(self.frequent, found.anchor[hit])
+        n = np.where(hot, found.last[hit] - found.first[hit] + 1, 1)
+        owner = np.repeat(np.arange(len(hit)), n)
+        first = found.first[hit][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        last = np.where(hot[owner], first, found.last[hit][owner])
+        w = runs(found.words, found.window)
+        digest = mixed(w[first], w[last], last - first)
+        key = np.where(hot[owner], mixed(w[first]), found.anchor[hit][owner].view(np.int64))
+        return key, digest, found.doc[hit][owner], first, last
+
+
+def places(docs: DataFrame, phrases: Phrases, window: int) -> DataFrame:
     """key, phrase_key, doc_id, text_key, start of every phrase in every document."""
     sent = docs.sparkSession.sparkContext.broadcast(phrases)
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids = list(columns(batch, "doc_id", "text_key"))
-            out = [(k, p, *ids[d], s) for k, p, _, s, d in sent.value.of(texts_of(batch))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, kinds)], names=["key", "phrase_key", "doc_id", "text_key", "start"])
+            found = Anchored(texts_of(batch), window)
+            key, digest, doc, first, _ = sent.value.of(found)
+            own = batch.select(["doc_id", "text_key"]).take(pa.array(doc))
+            start = pa.array((first - found.begins[doc]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(digest), *own.columns, start], names=["key", "phrase_key", "doc_id", "text_key", "start"])
 
     return arrowed(docs, run, "key long, phrase_key long, doc_id long, text_key long, start int")
 
@@ -156,63 +158,51 @@ def firsts_of(ends: DataFrame) -> DataFrame:
     return arrowed(ends.select("key", "phrase_key", "first"), run, "h long")
 
 
-def spoken(docs: DataFrame, phrases: Phrases, firsts: np.ndarray) -> DataFrame:
+def spoken(docs: DataFrame, phrases: Phrases, firsts: np.ndarray, window: int) -> DataFrame:
     """key, phrase_key and the words (phrase) of each phrase from its first document, and now and then from another."""
     sent = docs.sparkSession.sparkContext.broadcast((phrases, firsts))
-    kinds = [pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder, filt = sent.value
         for batch in slices(batches):
-            ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            out = [(k, p, w, ids[d]) for k, p, w, _, d in finder.of(texts_of(batch))]
-            k, p, w, d = zip(*out) if out else ((), (), (), ())
-            ok = bloom.passes(filt, mixed(np.array(k, np.int64), np.array(p, np.int64), np.array(d, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((k, p, w), kinds)], names=["key", "phrase_key", "phrase"]).filter(pa.array(ok, pa.bool_()))
+            found = Anchored(texts_of(batch), window)
+            key, digest, doc, first, last = finder.of(found)
+            ids = batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(doc)).to_numpy(zero_copy_only=False)
+            ok = np.flatnonzero(bloom.passes(filt, mixed(key, digest, ids.astype(np.int64, copy=False))))
+            words = [found.phrase(a, b) for a, b in zip(first[ok].tolist(), last[ok].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(key[ok]), pa.array(digest[ok]), pa.array(words, pa.binary())], names=["key", "phrase_key", "phrase"])
 
     return arrowed(docs, run, "key long, phrase_key long, phrase binary")
 
 
 def located(group: list[tuple[int, int, bytes, int, int]], window: int) -> Iterator[tuple[int, int, list[int | None]]]:
-    """For phrases (key, phrase_key, phrase, first, last): key, phrase_key, and for each window the smallest id of the documents
-    that it stands in, if there are several. Windows are confirmed; runs of confirmed ones in a phrase are the
-    passages, which are compiled into an automaton over word numbers and located in all phrases."""
-    if not group:
-        return
-    words = word_hashes(b" ".join(x[2] for x in group))[0]
-    n = np.array([x[2].count(b" ") + 1 for x in group])
-    stop = np.cumsum(n)
-    start = stop - n
-    # the windows that lie within one phrase, by digest; equal ones are told apart by their words below
-    owner = np.repeat(np.arange(len(group)), n - window + 1)
-    at = np.arange(len(owner)) + np.repeat(start - np.concatenate(([0], np.cumsum(n - window + 1)[:-1])), n - window + 1)
-    digest = runs(words, window)[at]
-    order = np.argsort(digest, kind="stable")
-    edges = np.flatnonzero(np.diff(digest[order], prepend=~digest[order[:1]]))
-    first, last = (np.array([x[k] for x in group], np.int64)[owner[order]] for k in (3, 4))
-    least, most = np.minimum.reduceat(first, edges), np.maximum.reduceat(last, edges)
-    recurring = least < most
-    if not recurring.any():
-        return
-    # for each window, in order, the smallest id if it recurs; then the passages: runs of such windows within one phrase
-    sizes = np.diff(np.append(edges, len(order)))
-    firsts, recurs = np.zeros(len(order), np.int64), np.zeros(len(order), bool)
-    firsts[order], recurs[order] = np.repeat(least, sizes), np.repeat(recurring, sizes)
-    places = np.flatnonzero(recurs)
-    cut = np.flatnonzero((np.diff(places, prepend=-2) != 1) | (np.diff(owner[places], prepend=-1) != 0))
-    head, tail = places[cut], places[np.append(cut[1:], len(places)) - 1]
+    """For phrases (key, phrase_key, phrase, first, last), of which first and last are the smallest and the largest id of their
+    documents: key, phrase_key, and for each window the smallest id of the documents that it stands in, if there are
+    several. Windows are confirmed by their words; an automaton of the confirmed ones, over word numbers, then runs through
+    all phrases."""
+    numbers: dict[bytes, int] = {}
+    spans: dict[tuple[int, ...], tuple[int, int]] = {}
+    streams = []
+    for key, phrase_key, phrase, first, last in group:
+        words = tuple([numbers.setdefault(w, len(numbers)) for w in phrase.split(b" ")])
+        streams.append((key, phrase_key, words))
+        for i in range(len(words) - window + 1):
+            w = words[i : i + window]
+            lo, hi = spans.get(w, (first, last))
+            spans[w] = (min(lo, first), max(hi, last))
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    numbers = np.unique(words, return_inverse=True)[1].tolist()
-    ids = firsts.tolist()
-    for i, j, lo, hi in zip(head.tolist(), tail.tolist(), at[head].tolist(), at[tail].tolist()):
-        automaton.add_word(tuple(numbers[lo : hi + window]), (hi + window - lo, ids[i : j + 1]))
+    for w, (lo, hi) in spans.items():
+        if lo < hi:
+            automaton.add_word(w, lo)
+    if not len(automaton):
+        return
     automaton.make_automaton()
-    for k in np.unique(owner[head]).tolist():
-        lo, hi = int(start[k]), int(stop[k])
-        found: list[int | None] = [None] * (hi - lo - window + 1)
-        for end, (length, docs) in automaton.iter(tuple(numbers[lo:hi])):
-            found[end - length + 1 : end - length + 1 + len(docs)] = docs
-        yield group[k][0], group[k][1], found
+    for key, phrase_key, words in streams:
+        found: list[int | None] = [None] * (len(words) - window + 1)
+        for end, first in automaton.iter(words):
+            found[end - window + 1] = first
+        if any(x is not None for x in found):
+            yield key, phrase_key, found
 
 
 def shards(ends: DataFrame, phrases: DataFrame, window: int) -> DataFrame:
@@ -254,13 +244,12 @@ def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
     apart)."""
     counted = anchor_rows(docs, window).groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
     shared = settled(counted.where("first < last").select("anchor", "n"))
-    size = shared.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-    often = max(HOT, size["rows"] // MOST_HOT)  # so there are MOST_HOT frequent ones at most
-    hot = frozenset(r["anchor"] & ((1 << 64) - 1) for r in shared.where(F.col("n") > often).select("anchor").collect())
-    phrases = Phrases(window, bloom.build(shared.select("anchor"), size["n"]), hot)
-    at = settled(places(docs, phrases))
+    size = shared.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n") > HOT).alias("hot")).first()
+    frequent = bloom.build(shared.where(F.col("n") > HOT).select("anchor"), size["hot"])
+    phrases = Phrases(bloom.build(shared.select("anchor"), size["n"]), frequent)
+    at = settled(places(docs, phrases, window))
     ends = settled(at.groupBy("key", "phrase_key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
-    found = shards(ends, spoken(docs, phrases, bloom.build(firsts_of(ends), ends.count())), window)
+    found = shards(ends, spoken(docs, phrases, bloom.build(firsts_of(ends), ends.count()), window), window)
     own = "filter(transform(firsts, (x, i) -> if(x < doc_id, i, cast(null as int))), i -> i is not null)"
     hits = at.join(found, ["key", "phrase_key"]).select("doc_id", "text_key", "start", F.size("firsts").alias("n"), F.expr(own).alias("own")).where("size(own) > 0")
     place = F.shiftleft(F.col("start").cast("long"), 32)
