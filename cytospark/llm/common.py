@@ -45,6 +45,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns called c0, c1 and so on, so that none of them is taken for a column of an operator's own; and these
+    names by the old ones."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names))
+
+
 def arrowed(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
     """df.mapInArrow(run, schema) in batches of BATCH rows at most, for this session's plans from here on: texts are long, and a
     batch stands in memory on both sides. A smaller setting of the session's own stays."""

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrowed, columns, settled, slices, with_fields
+from .common import arrowed, columns, renamed, settled, slices, with_fields
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -132,6 +132,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> DataFrame:
     """docs, in which each span found in text is replaced by mask (spans that overlap, by one); n_chars, if there is one,
     is counted anew. No document is dropped; nulls stay."""
+    names, (docs, name) = docs.columns, renamed(docs)
+    length, text = name.get("n_chars"), name[text]
     found = scan(docs, text)
     schema = docs.schema
 
@@ -152,7 +154,8 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> DataF
             yield batch.select(schema.names)
 
     out = arrowed(found, run, schema)
-    return out.withColumn("n_chars", F.length(text).cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out
+    out = out.withColumn(length, F.length(text).cast(schema[length].dataType)) if length else out
+    return out.toDF(*names)
 
 
 def span_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import WORD, arrowed, columns, settled, slices, words_of
+from .common import WORD, arrowed, columns, renamed, settled, slices, words_of
 from .wordhash import runs, word_hashes
 
 #: Words of an anchor.
@@ -313,6 +313,8 @@ def removal_report(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
 def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the words of repeated windows, each with the white space after it; n_chars, if there is one, is counted
     anew. Rows that lose all of their words go; all others stay, with what is left as it was. Nulls as in removal_report()."""
+    columns_, (docs, name) = docs.columns, renamed(docs)
+    length, doc_id, text = name.get("n_chars"), name[doc_id], name[text]
     starts = settled(repeated_windows(keyed(docs, doc_id, text), window))
     some, others = split(docs, starts, doc_id, text)
     word = re.compile(WORD)
@@ -335,4 +337,5 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
     right = starts.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), F.col("starts").alias("_starts"))
     joined = some.join(right, (F.col("_doc_id") == F.col("_d")) & (F.col("_text_key") == F.col("_t")), "left")
     out = arrowed(joined.drop("_d", "_t", "_doc_id", "_text_key"), cut, schema).unionByName(others.drop("_doc_id", "_text_key"))
-    return out.withColumn("n_chars", F.length(text).cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out
+    out = out.withColumn(length, F.length(text).cast(schema[length].dataType)) if length else out
+    return out.toDF(*columns_)

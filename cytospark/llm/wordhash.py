@@ -54,8 +54,10 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def runs(h: np.ndarray, n: int) -> np.ndarray:
-    """The digest of each run of n words."""
-    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    """The digest of each run of n words; none if there are fewer."""
+    if len(h) < n:
+        return np.empty(0, np.uint64)
+    out = np.zeros(len(h) - n + 1, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(n):
             out = (out ^ h[i : len(h) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
