@@ -8,24 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytospark.llm import bloom, language, near_dedup, packing, secrets, substring_dedup
-from cytospark.llm.common import settled, table
+from cytospark.llm.common import renamed, settled, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found. Those without text or without a letter go, and only those: where no language can be
     learned, as no text that may be learned from has a label, all others stay. No document needs a label, and none is changed."""
-    rows = docs.select("text", F.struct("*").alias("_row"))  # so that no column of docs is taken for one of the result's
+    own, name = renamed(docs)
     names, logs = language.learned(docs)
-    found = language.identify(rows, *((names, logs) if names else language.unlearned()))
-    return found.where("lang_pred <> 'und'").select("_row.*")
+    found = language.identify(own, *((names, logs) if names else language.unlearned()), text=name["text"])
+    return found.where("lang_pred <> 'und'").select(own.columns).toDF(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id. A document is an id with a text, so that
     different texts under one id are judged each; of rows that repeat id and text one stays. Rows with a null id stay. A near
     duplicate shares 80 % of the distinct runs of five words."""
-    marked, ids = numbered(docs)
-    found = settled(near_dedup.near_duplicates(marked, words=5, similarity=0.8, doc_id="_node").where("doc_id is not null"))
+    own, name = renamed(docs)
+    marked, ids = numbered(own, name["doc_id"], name["text"])
+    found = settled(near_dedup.near_duplicates(marked, words=5, similarity=0.8, doc_id="_node", text=name["text"]).where("doc_id is not null"))
     groups = found.where("not kept").select("component_id").distinct()
     members = found.join(groups, "component_id").select(F.col("doc_id").alias("_node"), "component_id").distinct()
     members = settled(members.join(ids, "_node"))
@@ -35,17 +36,17 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # only the texts of these are moved
     some, others = bloom.parted(marked, "_node", gone.union(again).distinct())
     left = some.join(gone, "_node", "left_anti").dropDuplicates(["_node"])
-    return others.unionByName(left).select(docs.columns)
+    return others.unionByName(left).select(own.columns).toDF(*docs.columns)
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def numbered(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """docs with _node, a number for each pair of id and text (null for a null id); and for each of them _node, _id and n, its
     rows. Of numbers drawn by a hash, those are taken under which no two pairs share one, as told by the texts' SHA-256."""
-    own = docs["doc_id"].cast("long")
+    own = docs[doc_id].cast("long")
     seed = 0
     while True:
-        marked = docs.withColumn("_node", F.when(own.isNotNull(), F.xxhash64(F.lit(seed), own, docs["text"])))
-        pair = F.struct(own.alias("id"), F.sha2(docs["text"], 256).alias("digest"))
+        marked = docs.withColumn("_node", F.when(own.isNotNull(), F.xxhash64(F.lit(seed), own, docs[text])))
+        pair = F.struct(own.alias("id"), F.sha2(docs[text], 256).alias("digest"))
         pairs = marked.where("_node is not null").select("_node", pair.alias("pair")).groupBy("_node")
         ids = settled(pairs.agg(F.min("pair").alias("lo"), F.max("pair").alias("hi"), F.count(F.lit(1)).alias("n")))
         if ids.where("not lo <=> hi").isEmpty():
