@@ -39,6 +39,20 @@ def test_stages_take_odd_tables(spark, stage):
     assert stage(spark, empty(spark), "").count() == 0
 
 
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES[:-1]])
+def test_stages_leave_other_columns_alone(spark, stage):
+    rng = random.Random(3)
+    texts = [prose(rng, 60) for _ in range(8)]
+    names = ["_id", "_node", "_key", "_h", "_doc_id", "_text_key", "_starts", "starts", "spans", "base", "text_key", "parts", "_text", "lang_pred", "score", "languages", "label", "component_id", "kept", "n", "c0", "c1"]
+    docs = frame(spark, [*texts, texts[2], f"{texts[0]} more", f"token=abcdef99 {texts[1]}"])
+    docs = docs.select(*(F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in names), *docs.columns)
+    got = stage(spark, docs, "")
+    assert got.columns == docs.columns and [f.dataType for f in got.schema] == [f.dataType for f in docs.schema]
+    rows = got.collect()
+    assert {r["doc_id"] for r in rows} >= {*range(8)} and all(r[n] == f"{n} {r['doc_id']}" for r in rows for n in names)
+    assert all(r["text"] == texts[r["doc_id"]] for r in rows if r["doc_id"] < 8)
+
+
 @pytest.mark.parametrize("name", list(queries.SQL))
 def test_query_agrees_with_sql(spark, name):
     con = duckdb.connect()
