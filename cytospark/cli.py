@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from .operators import mbias as bias
 from .operators import sites as site_ops
-from .operators.context import cytosines
 from .operators.filters import ReadFilter
 from .operators.selection import resolve_region
 from .plans import analyses
@@ -84,7 +83,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def load(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, DataFrame, list, DataFrame | None, tuple | None]:
-    """reads, cytosines, contigs, intervals and region."""
+    """reads, reference chunks, contigs, intervals and region."""
     if args.input.endswith(".cram"):
         raise ValueError("CRAM isn't supported")
     if args.keep_bed_strand and not args.bed:
@@ -95,7 +94,7 @@ def load(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, Data
     known = [tuple(r) for r in contigs.orderBy("rid").collect()]
     region = resolve_region(args.region, known) if args.region else None
     bed = read_bed(spark, args.bed, contigs, args.keep_bed_strand) if args.bed else None
-    return reads, cytosines(reference_chunks(lines, contigs)), known, bed, region
+    return reads, reference_chunks(lines, contigs), known, bed, region
 
 
 def read_filter(args: argparse.Namespace, preset=ReadFilter) -> ReadFilter:
@@ -121,8 +120,8 @@ def extract(spark: SparkSession, args: argparse.Namespace) -> dict:
     if args.merge_context and (args.cytosine_report or args.format == "methylkit"):
         raise ValueError("this format can't be merged")
     kind, contexts = args.format or "standard", options.contexts
-    reads, cyt, _, bed, region = load(spark, args)
-    counted = analyses.site_counts(reads, cyt, options, bed, region, exhaustive=args.cytosine_report).persist()
+    reads, reference, _, bed, region = load(spark, args)
+    counted = analyses.site_counts(reads, reference, options, bed, region, exhaustive=args.cytosine_report).persist()
     kept = counted.where(~F.col("excluded"))
     with Outputs([args.reference, args.input, args.bed]) as out:
         merged = 0
@@ -141,7 +140,7 @@ def extract(spark: SparkSession, args: argparse.Namespace) -> dict:
                 head = formats.header(kind, args.output_prefix, ctx, args.merge_context)
                 out.write(f"{args.output_prefix}_{formats.NAMES[ctx]}{formats.SUFFIXES[kind]}", (x for part in ([head], lines) for x in part))
             written = rows.count()
-        counts = analyses.read_counters(reads, cyt, options, region).first().asDict()
+        counts = analyses.read_counters(reads, reference, options, region).first().asDict()
         excluded = counted.where("excluded").count()
         outputs = out.commit()
     counted.unpersist()
@@ -150,8 +149,8 @@ def extract(spark: SparkSession, args: argparse.Namespace) -> dict:
 
 def mbias(spark: SparkSession, args: argparse.Namespace) -> dict:
     options = PileupOptions(**pileup_options(args))
-    reads, cyt, _, bed, region = load(spark, args)
-    rows = analyses.mbias(reads, cyt, options, bed, region).persist()
+    reads, reference, _, bed, region = load(spark, args)
+    rows = analyses.mbias(reads, reference, options, bed, region).persist()
     told = bias.in_order(bias.with_intervals(rows)).collect()  # a few for each place in a read
     found = {r["strand"]: list(r["bounds"]) for r in bias.suggestions(rows).collect()}
     with Outputs([args.reference, args.input, args.bed]) as out:
@@ -159,7 +158,7 @@ def mbias(spark: SparkSession, args: argparse.Namespace) -> dict:
         out.write(f"{args.output_prefix}.tsv", table)
         for strand, bounds in found.items():
             out.write(f"{args.output_prefix}_{strand}.svg", [plot.mbias_svg(strand, [r for r in told if r["strand"] == strand], bounds)])
-        counts = analyses.read_counters(reads, cyt, options, region).first().asDict()
+        counts = analyses.read_counters(reads, reference, options, region).first().asDict()
         outputs = out.commit()
     rows.unpersist()
     return report("mbias", outputs, output_records=len(told), **counts) | {"suggestions": found}
@@ -181,8 +180,8 @@ def to_output(args: argparse.Namespace, lines, inputs: list[str]) -> list[str]:
 def per_read(spark: SparkSession, args: argparse.Namespace) -> dict:
     if args.minimum_base_quality < 1:
         raise ValueError("the minimum base quality must be positive")
-    reads, cyt, _, bed, region = load(spark, args)
-    rows = analyses.per_read(reads, cyt, read_filter(args, ReadFilter.per_read), args.minimum_base_quality, bed, region).persist()
+    reads, reference, _, bed, region = load(spark, args)
+    rows = analyses.per_read(reads, reference, read_filter(args, ReadFilter.per_read), args.minimum_base_quality, bed, region).persist()
     outputs = to_output(args, lines_of(formats.per_read_lines(rows), "ord"), [args.reference, args.input, args.bed])
     from .operators.selection import in_region
 
@@ -204,7 +203,7 @@ def merge_context(spark: SparkSession, args: argparse.Namespace) -> dict:
         from pyspark.sql import Window
 
         contigs = lines.groupBy("chrom").agg(F.max(F.col("start") + F.length("seq")).alias("length")).withColumn("rid", F.row_number().over(Window.orderBy("chrom")).cast("int"))
-        rows = analyses.merge_context(metrics, cytosines(reference_chunks(lines, contigs)))
+        rows = analyses.merge_context(metrics, reference_chunks(lines, contigs))
         first = rows.groupBy("chrom").agg(F.min("first").alias("first"))
         text = formats.merged_lines(rows).drop("first").join(first, "chrom")
         head = ['track type="bedGraph" description="merged Methylation metrics"']

@@ -8,17 +8,38 @@ from pyspark.sql import functions as F
 CONTEXTS = ("CG", "CHG", "CHH")
 
 
+#: Reference bases of a cell, in which pieces of reads meet the reference.
+CELL = 1 << 10
+
+
+def cells(chunks: DataFrame) -> DataFrame:
+    """rid, cell, chrom, first and around of reference chunks (rid, chrom, start, seq, left, right): the upper-case bases, CELL at most,
+    from the place first on, with two on either side. Where chunks begin at multiples of CELL, as those of sources.fasta do,
+    cell (first div CELL) names one row. No shuffle."""
+    padded = chunks.select("rid", "chrom", "start", F.upper(F.concat("left", "seq", "right")).alias("all"), F.length("seq").alias("n"))
+    parts = padded.select("*", F.explode(F.expr(f"sequence(0, (n - 1) div {CELL})")).alias("k")).withColumn("first", F.expr(f"start + k * {CELL}"))
+    around = F.expr(f"substring(all, cast(k as int) * {CELL} + 1, least({CELL}, n - cast(k as int) * {CELL}) + 4)")
+    return parts.select("rid", F.expr(f"first div {CELL}").alias("cell"), "chrom", "first", around.alias("around"))
+
+
+def at_places(rows: DataFrame, place: str, keep: list[str]) -> DataFrame:
+    """fwd, ctx and tri of the cytosines at a place (from 0) in around, with the columns of keep: fwd for a C, its reverse for a G.
+    Rows with any other base there go. A neighbour that is missing or not a base counts as none, and as N in the
+    trinucleotide."""
+    letter = lambda i: F.expr(f"substring(around, cast({place} as int) + {i}, 1)")
+    own = rows.withColumn("_c", letter(3)).where("_c in ('C', 'G')")
+    fwd = F.col("_c") == "C"
+    turned = lambda c: F.translate(c, "ACGT", "TGCA")
+    own = own.select(*keep, fwd.alias("fwd"), F.when(fwd, letter(4)).otherwise(turned(letter(2))).alias("_1"), F.when(fwd, letter(5)).otherwise(turned(letter(1))).alias("_2"))
+    plain = lambda c: F.when(F.col(c).isin("A", "C", "G", "T"), F.col(c)).otherwise("N")
+    ctx = F.when(F.col("_1") == "G", "CG").when(F.col("_2") == "G", "CHG").otherwise("CHH")
+    return own.select(*keep, "fwd", ctx.alias("ctx"), F.concat(F.lit("C"), plain("_1"), plain("_2")).alias("tri"))
+
+
 def cytosines(chunks: DataFrame) -> DataFrame:
-    """rid, chrom, pos, fwd, ctx, tri of every C (forward) and G (reverse) of reference chunks (rid, chrom, start, seq, left,
-    right). A neighbour that is missing or not a base counts as none, and as N in the trinucleotide. No shuffle."""
-    padded = chunks.select("rid", "chrom", "start", F.length("seq").alias("n"), F.split(F.concat("left", F.upper("seq"), "right"), "").alias("b"))
-    part = lambda at: F.slice("b", F.lit(at), F.col("n")).alias(f"b{at}")
-    bases = padded.select("rid", "chrom", "start", F.posexplode(F.arrays_zip(*(part(i) for i in range(1, 6)))).alias("k", "x")).select("rid", "chrom", (F.col("start") + F.col("k")).alias("pos"), "x.*").where("b3 in ('C', 'G')")
-    fwd = F.col("b3") == "C"
-    one, two = F.when(fwd, F.col("b4")).otherwise(F.translate("b2", "ACGT", "TGCA")), F.when(fwd, F.col("b5")).otherwise(F.translate("b1", "ACGT", "TGCA"))
-    plain = lambda c: F.when(c.isin("A", "C", "G", "T"), c).otherwise("N")
-    ctx = F.when(one == "G", "CG").when(two == "G", "CHG").otherwise("CHH")
-    return bases.select("rid", "chrom", "pos", fwd.alias("fwd"), ctx.alias("ctx"), F.concat(F.lit("C"), plain(one), plain(two)).alias("tri"))
+    """rid, chrom, pos, fwd, ctx, tri of every C (forward) and G (reverse) of reference chunks. No shuffle."""
+    places = cells(chunks).select("*", F.explode(F.expr("sequence(0, length(around) - 5)")).alias("k"))
+    return at_places(places.withColumn("pos", F.col("first") + F.col("k")), "k", ["rid", "chrom", "pos"])
 
 
 def spans(sites: DataFrame) -> DataFrame:

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.reads import bisulfite_strand, cigar_walk, is_top, masked, methylated, read_number, within_bounds
+from .context import CELL, at_places, cells
 
 Bounds = dict[str, tuple[int, int, int, int]]
+#: Reference bases of a piece of a read at most; divides CELL.
+PIECE = 1 << 8
 
 
 def aligned(reads: DataFrame) -> DataFrame:
@@ -26,19 +29,57 @@ def strict(rows: DataFrame) -> DataFrame:
     return rows.withColumn("strand", F.coalesce("strand", wrong))
 
 
-def exploded(reads: DataFrame, keep: list[str | Column], only_informative: bool = False, with_gaps: bool = False) -> DataFrame:
-    """One row for each aligned base of aligned() reads: the columns of keep, qpos, pos, base and qual (255 without qualities).
-    only_informative leaves out bases that tell nothing of methylation before they become rows; with_gaps adds deleted and
-    skipped places without base. Only scalars are copied to each row."""
-    block = """transform(sequence(0L, b.n - 1), k -> named_struct('qpos', b.q + k, 'pos', b.r + k, 'base', get(x.b, cast(b.q + k as int)), 'qual', if(x.q is null, 255, ascii(get(x.q, cast(b.q + k as int))) - 33)))"""
-    letters = "array(named_struct('b', split(bases, ''), 'q', if(quals = '*', null, split(quals, ''))))"
-    bases = f"element_at(transform({letters}, x -> flatten(transform(filter(walk.blocks, b -> b.n > 0), b -> {block}))), 1)"
-    if only_informative:
-        bases = f"filter({bases}, e -> if(top, e.base in ('C', 'T'), e.base in ('G', 'A')))"
-    if with_gaps:
-        gaps = "flatten(transform(filter(walk.gaps, b -> b.n > 0), b -> transform(sequence(0L, b.n - 1), k -> named_struct('qpos', cast(null as bigint), 'pos', b.r + k, 'base', cast(null as string), 'qual', 0))))"
-        bases = f"concat({bases}, {gaps})"
-    return reads.select(*keep, F.explode(F.expr(bases)).alias("e")).select("*", "e.*").drop("e")
+def pieces(reads: DataFrame, keep: list[str | Column], gaps: bool = False) -> DataFrame:
+    """One row for each part of an aligned block of aligned() reads that lies in one grid cell of PIECE reference bases: the
+    columns of keep, rid, q and r (its first place in the read and on the reference), n, b and s (its bases and qualities, null
+    without). gaps adds the parts of deleted and skipped reference, with q and b null. So what is looked up for a base is
+    never longer than a piece."""
+    block = "named_struct('q', x.q, 'r', x.r, 'n', x.n, 'gap', {gap})"
+    blocks = f"transform(walk.blocks, x -> {block.format(gap='false')})"
+    if gaps:
+        blocks = f"concat({blocks}, transform(walk.gaps, x -> {block.format(gap='true')}))"
+    rows = reads.select(*keep, "bases", "quals", F.explode(F.expr(f"filter({blocks}, x -> x.n > 0)")).alias("x"))
+    names = rows.columns[:-3]
+    rows = rows.select("*", F.explode(F.expr(f"sequence(x.r div {PIECE}, (x.r + x.n - 1) div {PIECE})")).alias("k"))
+    rows = rows.select(*names, "bases", "quals", "x", F.expr(f"greatest(x.r, k * {PIECE})").alias("r"), F.expr(f"least(x.r + x.n, (k + 1) * {PIECE})").alias("stop"))
+    cut = lambda c: f"substring({c}, cast(x.q + r - x.r as int) + 1, cast(stop - r as int))"
+    return rows.select(
+        *names,
+        F.expr("if(x.gap, null, x.q + r - x.r)").alias("q"),
+        "r",
+        F.expr("cast(stop - r as int)").alias("n"),
+        F.expr(f"if(x.gap, null, {cut('bases')})").alias("b"),
+        F.expr(f"if(x.gap or quals = '*', null, {cut('quals')})").alias("s"),
+    )
+
+
+def _bases(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Rows of pieces for each of their places k, with qpos, pos, base and qual (255 without qualities, 0 in gaps)."""
+    base = F.expr("substring(b, k + 1, 1)").alias("base")
+    qual = F.expr("if(b is null, 0, if(s is null, 255, ascii(substring(s, k + 1, 1)) - 33))").alias("qual")
+    return rows.select(*keep, F.expr("q + k").alias("qpos"), F.expr("r + k").alias("pos"), base, qual)
+
+
+def exploded(reads: DataFrame, keep: list[str | Column]) -> DataFrame:
+    """One row for each aligned base of aligned() reads: the columns of keep, qpos, pos, base and qual."""
+    rows = pieces(reads, keep)
+    names = rows.columns[:-5]
+    return _bases(rows.select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("k")), names)
+
+
+def at_cytosines(reads: DataFrame, chunks: DataFrame, keep: list[str | Column], contexts: tuple[str, ...], informative: bool = False, gaps: bool = False) -> DataFrame:
+    """One row for each aligned base of aligned() reads at a cytosine of the contexts: the columns of keep (rid among them),
+    chrom, fwd, ctx, tri, qpos, pos, base and qual. Pieces of reads meet the reference's cells in an equi-join, so that bases
+    elsewhere never become rows that move. informative leaves out bases that tell nothing of methylation on the read's strand
+    (top); gaps adds deleted and skipped places, with base null."""
+    rows = pieces(reads, keep, gaps)
+    names = rows.columns[:-5]
+    found = rows.withColumn("cell", F.expr(f"r div {CELL}")).join(cells(chunks).drop("first"), ["rid", "cell"])
+    found = found.select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("k")).withColumn("_at", F.expr(f"cast(r - cell * {CELL} as int) + k"))
+    found = found.where("_at < length(around) - 4")  # a read may reach beyond the reference
+    found = at_places(found, "_at", [*names, "chrom", "q", "r", "k", "b", "s"]).where(F.col("ctx").isin(*contexts))
+    out = _bases(found, [*names, "chrom", "fwd", "ctx", "tri"])
+    return out.where("fwd = top and if(top, base in ('C', 'T'), base in ('G', 'A'))") if informative else out
 
 
 def trimmed(bases: DataFrame, inclusion: Bounds, fixed: Bounds) -> DataFrame:
@@ -47,14 +88,11 @@ def trimmed(bases: DataFrame, inclusion: Bounds, fixed: Bounds) -> DataFrame:
     return bases if keep is None else bases.where(F.col("qpos").isNull() | F.coalesce(keep, F.lit(True)))
 
 
-def calls(bases: DataFrame, cyt: DataFrame, minimum_quality: int) -> DataFrame:
-    """Methylation calls: bases (top, base, qual) of the quality that tell of methylation at cytosines of the read's strand, with
-    meth and ctx. Low qualities and uninformative bases go before the join."""
+def calls(bases: DataFrame, minimum_quality: int) -> DataFrame:
+    """Methylation calls: informative bases at cytosines (top, base, qual) of the quality, with meth."""
     if minimum_quality < 1:
         raise ValueError("the minimum base quality must be positive")
-    told = bases.withColumn("meth", methylated(F.col("top"), F.col("base"))).where((F.col("qual") >= minimum_quality) & F.col("meth").isNotNull())
-    on = cyt.select("rid", "pos", F.col("fwd").alias("top"), "ctx")
-    return told.join(on, ["rid", "pos", "top"])
+    return bases.withColumn("meth", methylated(F.col("top"), F.col("base"))).where(F.col("qual") >= minimum_quality)
 
 
 def may_overlap(flag=None):

@@ -7,42 +7,38 @@ from pyspark.sql import functions as F
 
 from .context import spans
 
-COUNTS = ("mt", "ut", "mb", "ub", "dt", "vt", "db", "vb", "odd", "cover")
+SITE = ("rid", "chrom", "pos", "fwd", "ctx", "tri")
 
 
-def pileup(bases: DataFrame, minimum_quality: int, gaps: DataFrame | None = None) -> DataFrame:
-    """By rid and pos, counts of bases (top, base, qual) of the quality: methylated and unmethylated top and bottom ones (mt, ut,
-    mb, ub), all but N and those other than the reference by strand if the other strand holds the cytosine (dt, vt, db, vb),
-    those of undetermined strand (odd), and all (cover). Tasks add up before the one shuffle, so a place that many reads cover
-    moves as one row from each task."""
-    top, base = F.col("top"), F.col("base")
+def pileup(bases: DataFrame, minimum_quality: int, gaps: bool = False) -> DataFrame:
+    """By cytosine (rid, chrom, pos, fwd, ctx, tri), counts of bases (top, base, qual) of the quality: methylated and unmethylated ones
+    of its strand (m, u), all but N of the other strand (opposite) and those other than the reference there (variant), and
+    those of undetermined strand (odd). gaps counts places that have no base of the quality, too. Tasks add up before the one
+    shuffle, so a place that many reads cover moves as one row from each task."""
+    fwd, base, good = F.col("fwd"), F.col("base"), F.col("qual") >= minimum_quality
+    own, other = good & (F.col("top") == fwd), good & (F.col("top") != fwd) & (base != "N")
+    letter = lambda a, b: F.when(fwd, a).otherwise(b)
     n = lambda c, name: F.count_if(c).alias(name)
-    used = bases.where(F.col("qual") >= minimum_quality) if gaps is None else bases
-    good = F.col("qual") >= minimum_quality
-    return used.groupBy("rid", "pos").agg(
-        n(good & top & (base == "C"), "mt"),
-        n(good & top & (base == "T"), "ut"),
-        n(good & ~top & (base == "G"), "mb"),
-        n(good & ~top & (base == "A"), "ub"),
-        n(good & top & (base != "N"), "dt"),
-        n(good & top & ~base.isin("N", "G"), "vt"),
-        n(good & ~top & (base != "N"), "db"),
-        n(good & ~top & ~base.isin("N", "C"), "vb"),
-        n(good & top.isNull() & base.isNotNull(), "odd"),
-        F.count(F.lit(1)).alias("cover"),
+    return (bases if gaps else bases.where(good)).groupBy(*SITE).agg(
+        n(own & (base == letter("C", "G")), "m"),
+        n(own & (base == letter("T", "A")), "u"),
+        n(other, "opposite"),
+        n(other & (base != letter("C", "G")), "variant"),
+        n(good & F.col("top").isNull() & base.isNotNull(), "odd"),
     )
 
 
-def at_cytosines(counts: DataFrame, cyt: DataFrame, minimum_opposite_depth: int = 0, maximum_variant_fraction: float = 0.0, exhaustive: bool = False) -> DataFrame:
-    """The cytosines (rid, chrom, pos, fwd, ctx, tri) with m, u, opposite and variant counts and excluded: whether more than the
-    fraction of the other strand's bases, at that depth or more, show a variant. exhaustive keeps cytosines without counts at
-    0. A base of undetermined strand at a cytosine is an error."""
+def judged(counts: DataFrame, minimum_opposite_depth: int = 0, maximum_variant_fraction: float = 0.0, every: DataFrame | None = None) -> DataFrame:
+    """The cytosines of pileup() with m, u, opposite and variant counts and excluded: whether more than the fraction of the other
+    strand's bases, at that depth or more, show a variant. every adds the cytosines among it that have no counts, at 0. A base
+    of undetermined strand at a cytosine is an error."""
     if not 0 <= maximum_variant_fraction <= 1:
         raise ValueError("the maximum variant fraction must lie within 0 and 1")
-    rows = cyt.join(counts, ["rid", "pos"], "left" if exhaustive else "inner")
-    pick = lambda a, b: F.coalesce(F.when(F.col("fwd"), F.col(a)).otherwise(F.col(b)), F.lit(0)).cast("long")
-    odd = F.when(F.coalesce("odd", F.lit(0)) > 0, F.raise_error(F.lit("cannot determine a bisulfite strand")).cast("long")).otherwise(pick("mt", "mb"))
-    rows = rows.select("rid", "chrom", "pos", "fwd", "ctx", "tri", odd.alias("m"), pick("ut", "ub").alias("u"), pick("db", "dt").alias("opposite"), pick("vb", "vt").alias("variant"))
+    if every is not None:
+        counts = every.select(*SITE).join(counts.drop("chrom", "fwd", "ctx", "tri"), ["rid", "pos"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    odd = F.when(zero("odd") > 0, F.raise_error(F.lit("cannot determine a bisulfite strand")).cast("long")).otherwise(zero("m"))
+    rows = counts.select(*SITE, odd.alias("m"), *(zero(c).alias(c) for c in ("u", "opposite", "variant")))
     if not minimum_opposite_depth:
         return rows.withColumn("excluded", F.lit(False))
     varied = F.col("variant") / F.nullif("opposite", F.lit(0)) > maximum_variant_fraction

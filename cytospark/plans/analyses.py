@@ -6,94 +6,88 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evidence, mbias as bias, sites
-from ..operators.context import spans
+from ..operators.context import cytosines, spans
 from ..operators.filters import ReadFilter, converted_enough
 from ..operators.overlap import adjusted
 from ..operators.selection import Region, in_region, inside, overlapping, touching
 from .options import ExtractOptions, PileupOptions
 
 
-def passing(reads: DataFrame, cyt: DataFrame, options: PileupOptions) -> DataFrame:
+def passing(reads: DataFrame, reference: DataFrame, options: PileupOptions) -> DataFrame:
     """aligned() reads that pass the filters; the one of conversion looks at whole reads, whatever is trimmed or selected."""
     rows = evidence.aligned(reads.where(options.reads.passes()))
     if not options.minimum_conversion_efficiency:
         return rows
-    bases = evidence.exploded(evidence.strict(rows), ["ord", "rid", "top"], only_informative=True)
-    found = evidence.calls(bases, cyt.where("ctx <> 'CG'"), options.minimum_base_quality)
-    return converted_enough(rows, found, options.minimum_conversion_efficiency)
+    bases = evidence.at_cytosines(evidence.strict(rows), reference, ["ord", "rid", "top"], ("CHG", "CHH"), informative=True)
+    return converted_enough(rows, evidence.calls(bases, options.minimum_base_quality), options.minimum_conversion_efficiency)
 
 
-def site_counts(reads: DataFrame, cyt: DataFrame, options: ExtractOptions, bed: DataFrame | None = None, region: Region | None = None, exhaustive: bool = False) -> DataFrame:
-    """Every selected cytosine with a read over it (exhaustive: without, too), with its counts and whether it is excluded as a
-    variant. Bases are trimmed, then adjusted where mates overlap, then selected by quality and interval; with single reads
-    only (paired = False) the plan has no window."""
-    rows = overlapping(passing(reads, cyt, options), region)
+def site_counts(reads: DataFrame, reference: DataFrame, options: ExtractOptions, bed: DataFrame | None = None, region: Region | None = None, exhaustive: bool = False) -> DataFrame:
+    """Every selected cytosine of the reference's chunks with a read over it (exhaustive: without, too), with its counts and whether
+    it is excluded as a variant. Bases at cytosines are trimmed, then adjusted where mates overlap, then selected by quality
+    and interval; with single reads only (paired = False) the plan has no window."""
+    rows = overlapping(passing(reads, reference, options), region)
     keep = ["ord", "name", "rid", "strand", "top", "read", F.length("bases").alias("length"), evidence.may_overlap().alias("eligible")]
     gaps = options.minimum_depth == 0
-    simple = not options.paired and not options.minimum_opposite_depth and not gaps
-    bases = evidence.exploded(rows, keep, only_informative=False, with_gaps=gaps)
-    if simple:  # undetermined strands are of pairs only
-        bases = bases.where(F.when(F.col("top"), F.col("base").isin("C", "T")).otherwise(F.col("base").isin("G", "A")))
+    bases = evidence.at_cytosines(rows, reference, keep, options.contexts, gaps=gaps)
     bases = evidence.trimmed(in_region(bases, region), options.trimming.inclusion, options.trimming.fixed)
     if options.paired:
-        bases = adjusted(bases)
-    counts = sites.pileup(inside(bases, bed), options.minimum_base_quality, gaps=bases if gaps else None)
-    wanted = inside(in_region(cyt.where(F.col("ctx").isin(*options.contexts)), region), bed, "fwd")
-    return sites.at_cytosines(counts, wanted, options.minimum_opposite_depth, options.maximum_variant_fraction, exhaustive)
+        bases = adjusted(bases, gaps)
+    counts = inside(sites.pileup(inside(bases, bed), options.minimum_base_quality, gaps), bed, "fwd")
+    every = inside(in_region(cytosines(reference).where(F.col("ctx").isin(*options.contexts)), region), bed, "fwd") if exhaustive else None
+    return sites.judged(counts, options.minimum_opposite_depth, options.maximum_variant_fraction, every)
 
 
-def extract(reads: DataFrame, cyt: DataFrame, options: ExtractOptions = ExtractOptions(), bed: DataFrame | None = None, region: Region | None = None) -> DataFrame:
+def extract(reads: DataFrame, reference: DataFrame, options: ExtractOptions = ExtractOptions(), bed: DataFrame | None = None, region: Region | None = None) -> DataFrame:
     """Sites that aren't excluded, of the minimum depth."""
-    return site_counts(reads, cyt, options, bed, region).where(~F.col("excluded") & (F.col("m") + F.col("u") >= options.minimum_depth))
+    return site_counts(reads, reference, options, bed, region).where(~F.col("excluded") & (F.col("m") + F.col("u") >= options.minimum_depth))
 
 
-def extract_events(reads: DataFrame, cyt: DataFrame, options: ExtractOptions = ExtractOptions(), bed: DataFrame | None = None, region: Region | None = None) -> DataFrame:
+def extract_events(reads: DataFrame, reference: DataFrame, options: ExtractOptions = ExtractOptions(), bed: DataFrame | None = None, region: Region | None = None) -> DataFrame:
     """Sites of the minimum depth and, marked as excluded, variants."""
-    return site_counts(reads, cyt, options, bed, region).where(F.col("excluded") | (F.col("m") + F.col("u") >= options.minimum_depth))
+    return site_counts(reads, reference, options, bed, region).where(F.col("excluded") | (F.col("m") + F.col("u") >= options.minimum_depth))
 
 
-def extract_merged(reads: DataFrame, cyt: DataFrame, options: ExtractOptions = ExtractOptions(), bed: DataFrame | None = None, region: Region | None = None) -> DataFrame:
+def extract_merged(reads: DataFrame, reference: DataFrame, options: ExtractOptions = ExtractOptions(), bed: DataFrame | None = None, region: Region | None = None) -> DataFrame:
     """Both strands' counts of each CpG and CHG; the depth counts after merging."""
-    return sites.merged_sites(site_counts(reads, cyt, options, bed, region), options.minimum_depth)
+    return sites.merged_sites(site_counts(reads, reference, options, bed, region), options.minimum_depth)
 
 
-def cytosine_report(reads: DataFrame, cyt: DataFrame, options: ExtractOptions = ExtractOptions(), bed: DataFrame | None = None, region: Region | None = None) -> DataFrame:
+def cytosine_report(reads: DataFrame, reference: DataFrame, options: ExtractOptions = ExtractOptions(), bed: DataFrame | None = None, region: Region | None = None) -> DataFrame:
     """Every cytosine of the contexts, covered or not, but for excluded ones."""
-    return site_counts(reads, cyt, options, bed, region, exhaustive=True).where(~F.col("excluded"))
+    return site_counts(reads, reference, options, bed, region, exhaustive=True).where(~F.col("excluded"))
 
 
-def mbias(reads: DataFrame, cyt: DataFrame, options: PileupOptions = PileupOptions(), bed: DataFrame | None = None, region: Region | None = None) -> DataFrame:
+def mbias(reads: DataFrame, reference: DataFrame, options: PileupOptions = PileupOptions(), bed: DataFrame | None = None, region: Region | None = None) -> DataFrame:
     """Calls by strand, read and position in the read, with raw qualities."""
-    rows = evidence.strict(overlapping(passing(reads, cyt, options), region))
-    bases = evidence.exploded(rows, ["rid", "strand", "top", "read", F.length("bases").alias("length")], only_informative=True)
+    rows = evidence.strict(overlapping(passing(reads, reference, options), region))
+    bases = evidence.at_cytosines(rows, reference, ["rid", "strand", "top", "read", F.length("bases").alias("length")], options.contexts, informative=True)
     bases = evidence.trimmed(in_region(bases, region), options.trimming.inclusion, options.trimming.fixed)
-    found = evidence.calls(bases, cyt.where(F.col("ctx").isin(*options.contexts)), options.minimum_base_quality)
-    return bias.histogram(inside(found, bed))
+    return bias.histogram(inside(evidence.calls(bases, options.minimum_base_quality), bed))
 
 
-def per_read(reads: DataFrame, cyt: DataFrame, filter: ReadFilter = ReadFilter.per_read(), minimum_base_quality: int = 5, bed: DataFrame | None = None, region: Region | None = None) -> DataFrame:
+def per_read(reads: DataFrame, reference: DataFrame, filter: ReadFilter = ReadFilter.per_read(), minimum_base_quality: int = 5, bed: DataFrame | None = None, region: Region | None = None) -> DataFrame:
     """ord, name, rid, chrom, start, m, u of each read that passes, with or without CpG calls. A region selects reads by their
     start, a BED those that overlap it."""
-    rows = evidence.strict(evidence.aligned(in_region(reads, region, "start").where(filter.passes())))
-    rows = touching(rows, bed)
-    found = evidence.calls(evidence.exploded(rows, ["ord", "rid", "top"], only_informative=True), cyt.where("ctx = 'CG'"), minimum_base_quality)
+    rows = touching(evidence.strict(evidence.aligned(in_region(reads, region, "start").where(filter.passes()))), bed)
+    found = evidence.calls(evidence.at_cytosines(rows, reference, ["ord", "rid", "top"], ("CG",), informative=True), minimum_base_quality)
     counts = found.groupBy("ord").agg(F.count_if("meth").alias("m"), F.count_if(~F.col("meth")).alias("u"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return rows.select("ord", "name", "rid", "chrom", "start").join(counts, "ord", "left").select("ord", "name", "rid", "chrom", "start", zero("m"), zero("u"))
 
 
-def merge_context(metrics: DataFrame, cyt: DataFrame) -> DataFrame:
+def merge_context(metrics: DataFrame, reference: DataFrame) -> DataFrame:
     """chrom, s, e, m, u, first, n: site metrics (ord, chrom, start, methylated, unmethylated) added up over their CpG and CHG spans; a
     metric at no cytosine is an error. first orders chromosomes as in the input."""
-    at = metrics.join(cyt.select("chrom", F.col("pos").alias("start"), "fwd", "ctx", F.lit(True).alias("known")), ["chrom", "start"], "left")
+    at = metrics.join(cytosines(reference).select("chrom", F.col("pos").alias("start"), "fwd", "ctx", F.lit(True).alias("known")), ["chrom", "start"], "left")
     wrong = F.raise_error(F.concat(F.lit("no cytosine at "), F.col("chrom"), F.lit(":"), F.col("start").cast("string"))).cast("long")
     rows = spans(at.withColumn("pos", F.when(F.col("known"), F.col("start")).otherwise(wrong)))
     return rows.groupBy("chrom", "s", "e").agg(F.sum("methylated").alias("m"), F.sum("unmethylated").alias("u"), F.min("ord").alias("first"), F.count(F.lit(1)).alias("n"))
 
 
-def read_counters(reads: DataFrame, cyt: DataFrame, options: PileupOptions, region: Region | None = None) -> DataFrame:
+def read_counters(reads: DataFrame, reference: DataFrame, options: PileupOptions, region: Region | None = None) -> DataFrame:
     """One row: input_records, filtered_records."""
     rows = overlapping(evidence.aligned(reads), region) if region else reads
-    kept = overlapping(passing(reads, cyt, options), region)
+    kept = overlapping(passing(reads, reference, options), region)
     both = rows.select(F.lit(1).alias("n"), F.lit(1).alias("lost")).unionByName(kept.select(F.lit(0).alias("n"), F.lit(-1).alias("lost")))
     return both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("input_records"), F.coalesce(F.sum("lost"), F.lit(0)).alias("filtered_records"))

@@ -16,11 +16,11 @@ def stream_sam(spark: SparkSession, folder: str, contigs: list[tuple[int, str, i
     return parsed(lines.select("value", F.lit(0).cast("long").alias("ord")), contigs)
 
 
-def stream_mbias(reads: DataFrame, cyt: DataFrame, options: PileupOptions = PileupOptions()) -> DataFrame:
+def stream_mbias(reads: DataFrame, reference: DataFrame, options: PileupOptions = PileupOptions()) -> DataFrame:
     """The histogram of all reads so far, for output mode complete or update. Its state is one row for each strand, read and
-    place in a read, however long the stream runs; cytosines are a static side,
+    place in a read, however long the stream runs; reference chunks are a static side,
     read from a stored table (numbering the lines of a FASTA file isn't allowed within a stream). The conversion filter needs a read's calls
     together and isn't offered."""
     if options.minimum_conversion_efficiency:
         raise ValueError("the conversion filter isn't available on streams")
-    return analyses.mbias(reads, cyt, options)
+    return analyses.mbias(reads, reference, options)

@@ -1,7 +1,9 @@
 """The engine's queries over tables that hold no genomics: reads and references are derived from events and documents.
 
-Each document gives a contig of up to 120 bases, each event a read; flags, CIGARs, bases and qualities follow from the
-event's number. SQL has the same derivation and computes every result in its own way, so that the two can be compared.
+Each document gives a contig, a base for each character of its whole text; each event gives a read. Flags, CIGARs, bases and
+qualities follow from the event's number, its place from that and the contig's length: fragments of a contig lie at two of 97
+loci, spread over all of it. SQL has the same derivation and computes every result in its own way, so that the two can be
+compared.
 """
 
 from __future__ import annotations
@@ -17,31 +19,42 @@ from .operators import context, evidence, mbias as bias, overlap
 from .plans import analyses
 from .plans.options import ExtractOptions, PileupOptions, Trimming
 from .sources.bed import merged
+from .sources.fasta import CHUNK
 from .operators.filters import ReadFilter
 
 LETTERS = "ACGCGTACGN"
 ALL = ("CG", "CHG", "CHH")
-REGION = (3, 10, 60)
+REGION = (3, 50, 20_000)
 INCLUSION = {"OT": (3, 25, 0, 20), "OB": (0, 28, 4, 0), "CTOT": (2, 0, 2, 0)}
 FIXED = {"OT": (2, 3, 1, 4), "OB": (5, 0, 0, 5)}
 
 
-def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference chunks, one for each document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null and text <> ''").select(F.col("doc_id").cast("int").alias("rid"), F.substring("text", 1, 120).alias("t"))
-    letter = lambda i: F.substring(F.lit(LETTERS), (F.ascii(F.substring(F.col("t"), i, F.lit(1))) % 10 + 1).cast("int"), F.lit(1))
-    seq = F.array_join(F.transform(F.sequence(F.lit(1), F.length("t")), letter), "")
-    return docs.select("rid", F.concat(F.lit("d"), F.col("rid")).alias("chrom"), F.lit(0).cast("long").alias("start"), seq.alias("seq"), F.lit("NN").alias("left"), F.lit("NN").alias("right"))
+#: Where on a contig of the length n its locus lies, for the turn of a fragment.
+LOCUS = "(n * ((cast(rid as bigint) * 37 + {turn} * 53) % 97)) div 97"
+
 
+def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rid and n, the contigs' lengths."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.col("doc_id").cast("int").alias("rid"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"))
 
-def cytosines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.cytosines(contigs(spark, sf_dir))
+
+def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference chunks of all documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null and text <> ''").select(F.col("doc_id").cast("int").alias("rid"), F.col("text").alias("t"), F.length("text").alias("n"))
+    parts = docs.select("*", F.explode(F.expr(f"sequence(0, (n - 1) div {CHUNK})")).alias("k"))
+    # with the two neighbours on either side
+    chars = F.split(F.expr(f"substring(t, greatest(cast(k as int) * {CHUNK} - 1, 1), {CHUNK} + if(k = 0, 2, 4))"), "")
+    seq = F.array_join(F.transform(chars, lambda c: F.substring(F.lit(LETTERS), (F.ascii(c) % 10 + 1).cast("int"), F.lit(1))), "")
+    parts = parts.select("rid", F.concat(F.lit("d"), "rid").alias("chrom"), F.expr(f"k * {CHUNK}L").alias("start"), F.concat(F.expr("if(k = 0, 'NN', '')"), seq, F.lit("NN")).alias("all"), F.expr(f"cast(least({CHUNK}, n - k * {CHUNK}) as int)").alias("n"))
+    return parts.select("rid", "chrom", "start", F.expr("substring(all, 3, n)").alias("seq"), F.substring("all", 1, 2).alias("left"), F.expr("substring(all, n + 3, 2)").alias("right"))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    own = lengths(spark, sf_dir)
+    count = own.count()
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("ord"))
-    e = e.selectExpr("ord", "ord div 2 as f", "30 + ord % 7 as len", "(ord div 2) % 2 = 0 as t", "ord % 2 = 0 as r1", f"cast(((ord div 2) * 7) % {n} as int) as rid")
+    e = e.selectExpr("ord", "ord div 2 as f", "30 + ord % 7 as len", "(ord div 2) % 2 = 0 as t", "ord % 2 = 0 as r1", f"cast(((ord div 2) * 7) % {count} as int) as rid").join(own, "rid")
     kind = "case when t then if(r1, 99, 147) else if(r1, 83, 163) end"
     flag = f"cast(case when f % 11 = 0 then if(t, 0, 16) else {kind} - if(f % 13 = 1, 2, 0) + if(f % 17 = 3, 8, 0) end + if(f % 97 = 5, 1024, 0) as int)"
     cigar = "case ord % 6 when 1 then concat('10M2D', len - 10, 'M') when 2 then concat('3S', len - 3, 'M') when 3 then concat('8M2I', len - 10, 'M') when 4 then concat('6M5N', len - 6, 'M') else concat(len, 'M') end"
@@ -52,7 +65,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{flag} as flag",
         "rid",
         "concat('d', rid) as chrom",
-        "(ord * 5) % 60 as start",
+        f"{LOCUS.format(turn=f'(f div {count} div 3)')} + (ord * 5) % 60 as start",
         "cast(if(ord % 23 = 0, 0, 10 + ord % 50) as int) as mapq",
         f"{cigar} as cigar",
         f"array_join(transform(sequence(0L, len - 1), k -> {base}), '') as bases",
@@ -63,9 +76,9 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bed(spark: SparkSession, sf_dir: str, stranded: bool) -> DataFrame:
-    """Two intervals for each contig, on both strands or on those of the contig's number."""
-    rows = contigs(spark, sf_dir).select("rid", F.explode(F.array(F.lit(0), F.lit(20))).alias("k"), F.explode(F.array(F.lit(True), F.lit(False))).alias("top"))
-    s = (F.col("rid").cast("long") * 3) % 40 + F.col("k")
+    """Two intervals at the first locus of each contig, on both strands or on those of the contig's number."""
+    rows = lengths(spark, sf_dir).where("n > 0").select("*", F.explode(F.array(F.lit(0), F.lit(20))).alias("k")).select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("top"))
+    s = F.expr(LOCUS.format(turn=0)) + (F.col("rid").cast("long") * 3) % 40 + F.col("k")
     rows = rows.select("rid", "top", s.alias("s"), (s + 15 + F.col("rid") % 10).alias("e"))
     return merged(rows.where("rid % 3 = 0 or (rid % 3 = 1 and top) or (rid % 3 = 2 and not top)") if stranded else rows)
 
@@ -80,7 +93,7 @@ def sites(name: str, stranded: bool | None = None, region=None, **options) -> Qu
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = None if stranded is None else bed(spark, sf_dir, stranded)
-        return getattr(analyses, name)(reads(spark, sf_dir), cytosines(spark, sf_dir), ExtractOptions(**options), own, region)
+        return getattr(analyses, name)(reads(spark, sf_dir), contigs(spark, sf_dir), ExtractOptions(**options), own, region)
 
     return run
 
@@ -92,7 +105,7 @@ def columns(query: Query, *names) -> Query:
 def histogram(stranded: bool | None = None, region=None, **options) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = None if stranded is None else bed(spark, sf_dir, stranded)
-        return analyses.mbias(reads(spark, sf_dir), cytosines(spark, sf_dir), PileupOptions(**options), own, region)
+        return analyses.mbias(reads(spark, sf_dir), contigs(spark, sf_dir), PileupOptions(**options), own, region)
 
     return run
 
@@ -100,7 +113,7 @@ def histogram(stranded: bool | None = None, region=None, **options) -> Query:
 def per_read(stranded: bool | None = None, region=None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = None if stranded is None else bed(spark, sf_dir, stranded)
-        rows = analyses.per_read(reads(spark, sf_dir), cytosines(spark, sf_dir), bed=own, region=region)
+        rows = analyses.per_read(reads(spark, sf_dir), contigs(spark, sf_dir), bed=own, region=region)
         return rows.select("ord", "name", "rid", "start", "m", "u", percentage(F.col("m"), F.col("u")).alias("percentage"))
 
     return run
@@ -138,12 +151,12 @@ def overlap_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversion_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = PileupOptions(minimum_conversion_efficiency=0.45)
-    return analyses.passing(reads(spark, sf_dir), cytosines(spark, sf_dir), options).select("ord")
+    return analyses.passing(reads(spark, sf_dir), contigs(spark, sf_dir), options).select("ord")
 
 
 def merge_standalone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics = sites("extract", contexts=ALL)(spark, sf_dir).select((F.col("rid").cast("long") * 1000 + F.col("pos")).alias("ord"), "chrom", F.col("pos").alias("start"), F.col("m").alias("methylated"), F.col("u").alias("unmethylated"))
-    return analyses.merge_context(metrics, cytosines(spark, sf_dir)).select("chrom", "s", "e", "m", "u", percentage(F.col("m"), F.col("u")).alias("percentage"))
+    metrics = sites("extract", contexts=ALL)(spark, sf_dir).select((F.col("rid").cast("long") * 10**9 + F.col("pos")).alias("ord"), "chrom", F.col("pos").alias("start"), F.col("m").alias("methylated"), F.col("u").alias("unmethylated"))
+    return analyses.merge_context(metrics, contigs(spark, sf_dir)).select("chrom", "s", "e", "m", "u", percentage(F.col("m"), F.col("u")).alias("percentage"))
 
 
 def formats(kind: str) -> Query:
@@ -173,7 +186,7 @@ def mbias_suggestion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = analyses.read_counters(reads(spark, sf_dir), cytosines(spark, sf_dir), PileupOptions())
+    counts = analyses.read_counters(reads(spark, sf_dir), contigs(spark, sf_dir), PileupOptions())
     found = sites("site_counts", minimum_opposite_depth=1, maximum_variant_fraction=0.4)(spark, sf_dir)
     told = found.agg(F.count_if(~F.col("excluded") & (F.col("m") + F.col("u") >= 1)).alias("emitted"), F.count_if("excluded").alias("excluded"))
     side = lambda df: df.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, df.columns)), F.array(*(F.col(c).cast("long") for c in df.columns)))).alias("counter", "n"))
@@ -205,8 +218,8 @@ def queries() -> dict[str, Query]:
         "counts": formats("counts"),
         "logit": formats("logit"),
         "methylkit": formats("methylkit"),
-        "cytosine_context": lambda spark, sf_dir: cytosines(spark, sf_dir).select("rid", "pos", "fwd", "ctx"),
-        "trinucleotide": lambda spark, sf_dir: cytosines(spark, sf_dir).groupBy("tri", "ctx", "fwd").agg(F.count(F.lit(1)).alias("n")),
+        "cytosine_context": lambda spark, sf_dir: context.cytosines(contigs(spark, sf_dir)).select("rid", "pos", "fwd", "ctx"),
+        "trinucleotide": lambda spark, sf_dir: context.cytosines(contigs(spark, sf_dir)).groupBy("tri", "ctx", "fwd").agg(F.count(F.lit(1)).alias("n")),
         "record_filter": record_filter,
         "bisulfite_strand": strands,
         "cigar_explode": cigar_explode,
@@ -230,13 +243,13 @@ def queries() -> dict[str, Query]:
 
 
 _BASE = f"""
-WITH docs AS (SELECT CAST(doc_id AS INTEGER) AS rid, substr(text, 1, 120) AS t FROM documents WHERE text <> ''),
-ref AS (SELECT rid, i - 1 AS pos, substr('{LETTERS}', CAST(ascii(substr(t, CAST(i AS INTEGER), 1)) % 10 + 1 AS INTEGER), 1) AS b FROM (SELECT rid, t, unnest(range(1, length(t) + 1)) AS i FROM docs)),
+WITH docs AS (SELECT CAST(doc_id AS INTEGER) AS rid, text AS body, CAST(coalesce(length(text), 0) AS BIGINT) AS n FROM documents),
+ref AS (SELECT rid, i - 1 AS pos, substr('{LETTERS}', CAST(ascii(c) % 10 + 1 AS INTEGER), 1) AS b FROM (SELECT rid, unnest(regexp_extract_all(body, '(?s).')) AS c, unnest(range(1, n + 1)) AS i FROM docs WHERE n > 0)),
 near AS (SELECT rid, pos, b, CASE WHEN b = 'C' THEN lead(b) OVER w ELSE translate(lag(b) OVER w, 'ACGT', 'TGCA') END AS x, CASE WHEN b = 'C' THEN lead(b, 2) OVER w ELSE translate(lag(b, 2) OVER w, 'ACGT', 'TGCA') END AS y FROM ref WINDOW w AS (PARTITION BY rid ORDER BY pos)),
 cyt AS (SELECT rid, pos, b = 'C' AS fwd, CASE WHEN x = 'G' THEN 'CG' WHEN y = 'G' THEN 'CHG' ELSE 'CHH' END AS ctx, 'C' || coalesce(x, 'N') || coalesce(y, 'N') AS tri FROM near WHERE b IN ('C', 'G')),
-numbered AS (SELECT event_id AS ord, event_id // 2 AS f, 30 + event_id % 7 AS len, (event_id // 2) % 2 = 0 AS t, event_id % 2 = 0 AS r1, CAST(((event_id // 2) * 7) % (SELECT count(*) FROM documents) AS INTEGER) AS rid FROM events),
-reads AS (SELECT ord, f AS name, len, t, rid, (ord * 5) % 60 AS start, CAST(CASE WHEN f % 11 = 0 THEN CASE WHEN t THEN 0 ELSE 16 END ELSE CASE WHEN t THEN CASE WHEN r1 THEN 99 ELSE 147 END ELSE CASE WHEN r1 THEN 83 ELSE 163 END END - CASE WHEN f % 13 = 1 THEN 2 ELSE 0 END + CASE WHEN f % 17 = 3 THEN 8 ELSE 0 END END + CASE WHEN f % 97 = 5 THEN 1024 ELSE 0 END AS INTEGER) AS flag,
-  CAST(CASE WHEN ord % 23 = 0 THEN 0 ELSE 10 + ord % 50 END AS INTEGER) AS mapq, CASE WHEN ord % 5 = 0 THEN '' WHEN t THEN 'C' ELSE 'G' END AS xg, CASE WHEN ord % 31 = 0 THEN 0 WHEN ord % 29 = 0 THEN 2 ELSE 1 END AS nh FROM numbered),
+numbered AS (SELECT event_id AS ord, event_id // 2 AS f, 30 + event_id % 7 AS len, (event_id // 2) % 2 = 0 AS t, event_id % 2 = 0 AS r1, CAST(((event_id // 2) * 7) % (SELECT count(*) FROM documents) AS INTEGER) AS rid, event_id // 2 // (SELECT count(*) FROM documents) // 3 AS turn FROM events),
+reads AS (SELECT ord, f AS name, len, t, rid, n * ((CAST(rid AS BIGINT) * 37 + turn * 53) % 97) // 97 + (ord * 5) % 60 AS start, CAST(CASE WHEN f % 11 = 0 THEN CASE WHEN t THEN 0 ELSE 16 END ELSE CASE WHEN t THEN CASE WHEN r1 THEN 99 ELSE 147 END ELSE CASE WHEN r1 THEN 83 ELSE 163 END END - CASE WHEN f % 13 = 1 THEN 2 ELSE 0 END + CASE WHEN f % 17 = 3 THEN 8 ELSE 0 END END + CASE WHEN f % 97 = 5 THEN 1024 ELSE 0 END AS INTEGER) AS flag,
+  CAST(CASE WHEN ord % 23 = 0 THEN 0 ELSE 10 + ord % 50 END AS INTEGER) AS mapq, CASE WHEN ord % 5 = 0 THEN '' WHEN t THEN 'C' ELSE 'G' END AS xg, CASE WHEN ord % 31 = 0 THEN 0 WHEN ord % 29 = 0 THEN 2 ELSE 1 END AS nh FROM numbered JOIN docs USING (rid)),
 stranded AS (SELECT *, CASE
   WHEN xg = 'C' THEN CASE WHEN (flag & 81) = 65 OR (flag & 145) = 145 THEN 'OT' WHEN (flag & 81) = 81 OR (flag & 145) = 129 OR (flag & 16) > 0 THEN 'CTOT' ELSE 'OT' END
   WHEN xg = 'G' THEN CASE WHEN (flag & 81) = 65 OR (flag & 145) = 145 THEN 'CTOB' WHEN (flag & 81) = 81 OR (flag & 145) = 129 OR (flag & 16) > 0 THEN 'OB' ELSE 'CTOB' END
@@ -273,7 +286,7 @@ sites AS (SELECT c.rid, c.pos, fwd, ctx, tri,
 """
 
 _INTERVALS = """
-given AS (SELECT rid, top, CAST((CAST(rid AS BIGINT) * 3) % 40 + k AS BIGINT) AS s, CAST((CAST(rid AS BIGINT) * 3) % 40 + k + 15 + rid % 10 AS BIGINT) AS e FROM docs, (VALUES (0), (20)) AS a(k), (VALUES (true), (false)) AS b(top) WHERE {which}),
+given AS (SELECT rid, top, s, s + 15 + rid % 10 AS e FROM (SELECT rid, top, CAST(n * (CAST(rid AS BIGINT) * 37 % 97) // 97 + (CAST(rid AS BIGINT) * 3) % 40 + k AS BIGINT) AS s FROM docs, (VALUES (0), (20)) AS a(k), (VALUES (true), (false)) AS b(top) WHERE n > 0 AND {which})),
 bed AS (SELECT a.rid, a.top, min(s) AS s, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY rid, top ORDER BY s) AS island FROM (SELECT *, CASE WHEN s <= lag(e) OVER (PARTITION BY rid, top ORDER BY s) THEN 0 ELSE 1 END AS new FROM given)) a GROUP BY a.rid, a.top, island),
 """
 _STRANDED = "(rid % 3 = 0 OR (rid % 3 = 1 AND top) OR (rid % 3 = 2 AND NOT top))"

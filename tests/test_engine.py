@@ -50,8 +50,8 @@ def files(tmp_path_factory):
 def loaded(spark, files):
     at, rows = files
     reads, contigs = read_sam(spark, str(at / "reads.sam"))
-    cyt = cytosines(reference_chunks(read_fasta(spark, str(at / "ref.fa")), contigs)).persist()
-    return reads, contigs, cyt, rows
+    reference = reference_chunks(read_fasta(spark, str(at / "ref.fa")), contigs).persist()
+    return reads, contigs, reference, rows
 
 
 def test_queries_are_listed_without_a_session():
@@ -62,9 +62,9 @@ def test_queries_are_listed_without_a_session():
 
 
 def test_context_of_every_base(spark, loaded, monkeypatch, files):
-    _, contigs, cyt, _ = loaded
+    _, contigs, reference, _ = loaded
     want = {(r, i, *c) for r, s in enumerate(samples.CONTIGS.values()) for i in range(len(s)) if (c := samples.context_of(s, i))}
-    assert {(r["rid"], r["pos"], r["fwd"], r["ctx"], r["tri"]) for r in cyt.collect()} == want
+    assert {(r["rid"], r["pos"], r["fwd"], r["ctx"], r["tri"]) for r in cytosines(reference).collect()} == want
     for chunk in (1, 10):  # contexts across the edges of chunks
         monkeypatch.setattr(fasta_source, "CHUNK", chunk)
         small = cytosines(reference_chunks(read_fasta(spark, str(files[0] / "ref.fa")), contigs))
@@ -72,21 +72,21 @@ def test_context_of_every_base(spark, loaded, monkeypatch, files):
 
 
 def test_sites_against_a_sequential_model(loaded):
-    reads, _, cyt, rows = loaded
+    reads, _, reference, rows = loaded
     want = samples.model(rows)
-    found = analyses.site_counts(reads, cyt, ExtractOptions(contexts=ALL)).collect()
+    found = analyses.site_counts(reads, reference, ExtractOptions(contexts=ALL)).collect()
     got = {(r["rid"], r["pos"]): {k: r[k] for k in ("fwd", "ctx", "m", "u", "opposite", "variant")} for r in found}
     used = {k for k, v in want.items() if v["m"] + v["u"] + v["opposite"]}
     assert used <= set(got) <= set(want)
     assert all(got[k] == want[k] for k in used)
     # strict: a fraction that equals the limit stays; the depth counts only usable bases
     options = ExtractOptions(contexts=ALL, minimum_opposite_depth=2, maximum_variant_fraction=0.5)
-    out = {(r["rid"], r["pos"]) for r in analyses.site_counts(reads, cyt, options).where("excluded").collect()}
+    out = {(r["rid"], r["pos"]) for r in analyses.site_counts(reads, reference, options).where("excluded").collect()}
     assert out == {k for k, v in want.items() if v["opposite"] >= 2 and v["variant"] / v["opposite"] > 0.5} and out
 
 
 def test_merging_drops_spans_with_an_excluded_site(loaded):
-    reads, _, cyt, rows = loaded
+    reads, _, reference, rows = loaded
     options = ExtractOptions(contexts=ALL, minimum_opposite_depth=1, maximum_variant_fraction=0.4, minimum_depth=2)
     spans, gone = {}, set()
     for (rid, p), v in samples.model(rows).items():
@@ -98,20 +98,20 @@ def test_merging_drops_spans_with_an_excluded_site(loaded):
         m, u = spans.get(key, (0, 0))
         spans[key] = (m + v["m"], u + v["u"])
     want = {k: v for k, v in spans.items() if k not in gone and sum(v) >= 2}
-    got = {(r["rid"], r["ctx"], r["s"], r["e"]): (r["m"], r["u"]) for r in analyses.extract_merged(reads, cyt, options).collect()}
+    got = {(r["rid"], r["ctx"], r["s"], r["e"]): (r["m"], r["u"]) for r in analyses.extract_merged(reads, reference, options).collect()}
     assert got == want
 
 
 def test_report_has_every_cytosine(loaded):
-    reads, _, cyt, rows = loaded
+    reads, _, reference, rows = loaded
     want = samples.model(rows)
-    got = {(r["rid"], r["pos"]): (r["m"], r["u"]) for r in analyses.cytosine_report(reads, cyt, ExtractOptions(contexts=ALL)).collect()}
-    assert len(got) == cyt.count()
+    got = {(r["rid"], r["pos"]): (r["m"], r["u"]) for r in analyses.cytosine_report(reads, reference, ExtractOptions(contexts=ALL)).collect()}
+    assert len(got) == cytosines(reference).count()
     assert all(v == ((want[k]["m"], want[k]["u"]) if k in want else (0, 0)) for k, v in got.items())
 
 
 def test_histogram_and_reads_against_the_model(loaded):
-    reads, _, cyt, rows = loaded
+    reads, _, reference, rows = loaded
     seqs = list(samples.CONTIGS.values())
     hist, each = {}, []
     for r in rows:
@@ -126,19 +126,19 @@ def test_histogram_and_reads_against_the_model(loaded):
         if not r["flag"] & 4 and r["mapq"] >= 10 and (r["nh"] or 0) <= 1:
             own = [b for _, ctx, b in calls if ctx == "CG"]
             each.append((r["name"], r["start"], sum(b in "CG" for b in own), sum(b in "TA" for b in own)))
-    got = {(r["strand"], r["read"], r["position"]): [r["m"], r["u"]] for r in analyses.mbias(reads, cyt).collect()}
+    got = {(r["strand"], r["read"], r["position"]): [r["m"], r["u"]] for r in analyses.mbias(reads, reference).collect()}
     assert got == hist
-    assert [(r["name"], r["start"], r["m"], r["u"]) for r in analyses.per_read(reads, cyt).orderBy("ord").collect()] == each
+    assert [(r["name"], r["start"], r["m"], r["u"]) for r in analyses.per_read(reads, reference).orderBy("ord").collect()] == each
 
 
 def test_conversion_filter_is_inclusive(loaded):
-    reads, _, cyt, rows = loaded
+    reads, _, reference, rows = loaded
     seqs, want = list(samples.CONTIGS.values()), 0
     for r in rows:
         top = samples.strand_of(r["flag"], r["xg"]) in ("OT", "CTOT")
         told = [b for _, p, b, k in samples.bases_of(r) if k >= 5 and (c := samples.context_of(seqs[r["rid"]], p)) and c[0] == top and c[1] != "CG" and b in ("CT" if top else "GA")]
         want += samples.passes(r) and (not told or sum(b in "TA" for b in told) / len(told) >= 0.5)
-    assert analyses.passing(reads, cyt, PileupOptions(minimum_conversion_efficiency=0.5)).count() == want
+    assert analyses.passing(reads, reference, PileupOptions(minimum_conversion_efficiency=0.5)).count() == want
 
 
 def test_strands_of_all_flags(spark):
@@ -157,10 +157,10 @@ def test_cigars(spark):
 
 
 def test_a_cigar_must_use_up_the_bases(spark, loaded):
-    _, _, cyt, _ = loaded
+    _, _, reference, _ = loaded
     bad = spark.createDataFrame([(0, "x", 0, 0, "zeta", 0, 60, "4M", "ACG", "III", None, None)], "ord long, name string, flag int, rid int, chrom string, start long, mapq int, cigar string, bases string, quals string, xg string, nh string")
     with pytest.raises(Exception, match="invalid CIGAR"):
-        analyses.per_read(bad, cyt).collect()
+        analyses.per_read(bad, reference).collect()
 
 
 def test_overlap_rule_on_random_columns(spark):
@@ -209,15 +209,15 @@ def test_bed(spark):
 
 
 def test_bed_and_region_select(spark, loaded):
-    reads, contigs, cyt, rows = loaded
+    reads, contigs, reference, rows = loaded
     want = samples.model(rows)
     empty = spark.createDataFrame([], bed_source.BED)
-    assert analyses.extract(reads, cyt, ExtractOptions(contexts=ALL), empty).count() == 0
+    assert analyses.extract(reads, reference, ExtractOptions(contexts=ALL), empty).count() == 0
     both = spark.createDataFrame([(0, t, 10, 40) for t in (True, False)], bed_source.BED)
     inside = {k for k, v in want.items() if k[0] == 0 and 10 <= k[1] < 40 and v["m"] + v["u"]}
-    assert {(r["rid"], r["pos"]) for r in analyses.extract(reads, cyt, ExtractOptions(contexts=ALL), both).collect()} == inside
-    assert {(r["rid"], r["pos"]) for r in analyses.extract(reads, cyt, ExtractOptions(contexts=ALL), region=(0, 10, 40)).collect()} == inside
-    top = analyses.site_counts(reads, cyt, ExtractOptions(contexts=ALL), both.where("top"))
+    assert {(r["rid"], r["pos"]) for r in analyses.extract(reads, reference, ExtractOptions(contexts=ALL), both).collect()} == inside
+    assert {(r["rid"], r["pos"]) for r in analyses.extract(reads, reference, ExtractOptions(contexts=ALL), region=(0, 10, 40)).collect()} == inside
+    top = analyses.site_counts(reads, reference, ExtractOptions(contexts=ALL), both.where("top"))
     assert top.where("not fwd or opposite > 0").count() == 0 and top.count()
     known = [tuple(r) for r in contigs.collect()]
     assert resolve_region("zeta", known) == (0, 0, 61) and resolve_region("alpha:5", known) == (1, 4, 5) and resolve_region("zeta:1-999", known) == (0, 0, 61)
@@ -227,9 +227,9 @@ def test_bed_and_region_select(spark, loaded):
 
 
 def test_trimming(loaded):
-    reads, _, cyt, _ = loaded
-    cut = analyses.mbias(reads, cyt, PileupOptions(contexts=ALL, trimming=Trimming({"OT": (3, 6, 0, 0)}, {"OB": (2, 0, 0, 0)}))).collect()
-    every = {(r["strand"], r["read"], r["position"]) for r in analyses.mbias(reads, cyt, PileupOptions(contexts=ALL)).collect()}
+    reads, _, reference, _ = loaded
+    cut = analyses.mbias(reads, reference, PileupOptions(contexts=ALL, trimming=Trimming({"OT": (3, 6, 0, 0)}, {"OB": (2, 0, 0, 0)}))).collect()
+    every = {(r["strand"], r["read"], r["position"]) for r in analyses.mbias(reads, reference, PileupOptions(contexts=ALL)).collect()}
     assert {(r["strand"], r["read"], r["position"]) for r in cut} == {(s, n, p) for s, n, p in every if not (n == 1 and (s == "OT" and not 3 <= p <= 6 or s == "OB" and p <= 2))}
     assert parse_bounds("1,2,3,4") == (1, 2, 3, 4)
     for bad in ("1,2,3", "1,2,3,x", "1,2,3,-4"):
@@ -376,8 +376,8 @@ def test_stream_gives_the_batch_histogram(spark, files, loaded, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.sam").write_text((at / "reads.sam").read_text())
     known = [tuple(r) for r in loaded[1].collect()]
-    loaded[2].write.parquet(str(tmp_path / "cyt"))
-    query = stream_mbias(stream_sam(spark, str(tmp_path / "in"), known), spark.read.parquet(str(tmp_path / "cyt"))).writeStream.outputMode("complete").format("memory").queryName("bias").option("checkpointLocation", str(tmp_path / "c")).start()
+    loaded[2].write.parquet(str(tmp_path / "reference"))
+    query = stream_mbias(stream_sam(spark, str(tmp_path / "in"), known), spark.read.parquet(str(tmp_path / "reference"))).writeStream.outputMode("complete").format("memory").queryName("bias").option("checkpointLocation", str(tmp_path / "c")).start()
     query.processAllAvailable()
     query.stop()
     assert {tuple(r) for r in spark.table("bias").collect()} == {tuple(r) for r in analyses.mbias(loaded[0], loaded[2]).collect()}
