@@ -13,6 +13,8 @@ from .common import table
 
 #: Rules of the URL query: host, path, verdict.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+#: URLs to block, each with all that lies beneath it.
+BLOCKED = [f"{scheme}://{name}.example.{top}{end}" for name in ("spam-farm", "free-bets", "adult-x") for scheme, top, end in (("HTTP", "COM", ":80"), ("https", "net", "/#top"), ("http", "org.", "/x/../"))]
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +32,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame(RULES, "host string, path string, verdict string")
-    return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), listed).select("page_id", "host", "path", "rule", "verdict")
+    blocked = spark.createDataFrame([(u,) for u in BLOCKED], "url string")
+    return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), listed, blocked=blocked).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,14 +78,14 @@ edges AS (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links),
 reached AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, e.v FROM reached r JOIN edges e ON e.u = r.v)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m AS component_id, d.doc_id = m AS kept
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT u, min(v) AS m FROM reached GROUP BY u) ON u = d.doc_id""",
-    "op4_url_filter": """
+    "op4_url_filter": r"""
 WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parted AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
 listed(rh, rp, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 fits AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v
   FROM parted JOIN listed ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
-SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parted LEFT JOIN fits USING (page_id)""",
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN regexp_matches(host, '(^|\.)(spam-farm|free-bets|adult-x)\.example\.(com|net|org)$') THEN 'block' ELSE 'allow' END) AS verdict FROM parted LEFT JOIN fits USING (page_id)""",
     "op7_substring_dedup": r"""
 WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 windows AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13)),

@@ -238,6 +238,45 @@ def test_urls_against_every_rule(spark):
     assert none.count() == len(urls) + 1 and none.where("rule is not null or verdict <> 'allow'").count() == 0
 
 
+@pytest.mark.parametrize(
+    "url,want",
+    [
+        ("HTTP://User:pw@Bad.NET:80/a/./b/../c%7e%2f%2F?q=%41#f", ("bad.net", "/a/c~%2F%2F", "?q=A")),
+        ("https://bad.net.:443", ("bad.net", "/", "")),
+        ("https://bad.net:80/../..", ("bad.net:80", "/", "")),
+        ("http://b.c/x/..", ("b.c", "/", "")),
+        ("http://b.c/x/y/.", ("b.c", "/x/y/", "")),
+        (" http://b.c/\tx\n?# ", ("b.c", "/x", "?")),
+        ("http://b.c//x", ("b.c", "//x", "")),
+        ("http://%62.c/é%C3%A9", ("b.c", "/é%C3%A9", "")),
+        (None, None),
+        ("", None),
+        ("b.c/x", None),
+        ("http:///x", None),
+        ("http://./", None),
+    ],
+)
+def test_canonical_urls(url, want):
+    assert url_filter.canonical(url) == want
+
+
+def test_listed_urls_block_what_lies_beneath(spark):
+    rng = random.Random(14)
+    listed = ["HTTP://bad.net:80", "https://a.org/x/%7Ey/", "http://b.com/p?q=1", "http://b.com/p/../r", "no url", None, "http://bad.net/"] + [f"http://h{k}.io/{k}/" for k in range(400)]
+    hosts, paths = ["bad.net", "WWW.BAD.net.", "xbad.net", "a.org", "s.a.org:8080", "b.com", "h7.io", "h399.io", "h401.io"], ["", "/", "/x/~y", "/x/~y/", "/x/%7ey/z?k#f", "/p?q=1", "/p?q=2", "/r", "/r/s", "/7/a", "/399/", "/399"]
+    urls = [f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(400)] + [None, "", "bad.net", "http://bad.net/a", "http://bad.net/a"]
+    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
+    rules = spark.createDataFrame([("www.bad.net", "/x", "allow")], "host string, path string, verdict string")
+    got = {r["page_id"]: r for r in url_filter.filter_urls(pages, rules, blocked=spark.createDataFrame([(u,) for u in listed], "url string")).collect()}
+    entries = [x for u in listed if (x := url_filter.canonical(u))]
+    for i, u in enumerate(urls):
+        own, r = url_filter.canonical(u), got[i]
+        met = own and any((own[0] == h or own[0].endswith("." + h)) and (own[1:] == (p, q) or not q and (own[1] == p or p.endswith("/") and own[1].startswith(p))) for h, p, q in entries)
+        ruled = r["rule"] == "www.bad.net/x"
+        assert r["verdict"] == ("allow" if ruled or not met else "block"), u
+    assert len(got) == len(urls) and {r["verdict"] for r in got.values()} == {"allow", "block"}
+
+
 def test_bloom_lets_all_entries_pass(spark):
     h = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 3000)
     words = bloom.build(spark.createDataFrame([(int(x),) for x in h[:2000]] + [(None,)], "h long"), 2000)
