@@ -10,11 +10,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import arrowed, columns, renamed, settled, slices, with_fields
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -26,8 +28,6 @@ WEAK = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,}+={0,2}+(?![A-Za-z0
 ACCOUNT = re.compile(r"""(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.-]{3,}""", re.I | re.A)
 ENDPOINT = re.compile(r"""[a-z][a-z0-9+.-]*://[^\s"'<>]+|(?<![A-Za-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}(?![0-9])""")
 SCOPE = re.compile(r"\n[\x20\t\r]*\n")
-#: Texts with credentials up to which their spans are broadcast to all texts.
-BROADCAST = 20_000
 #: Code points between two parts of one credential at most.
 REACH = 240
 
@@ -88,13 +88,18 @@ def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
 SPAN = "struct<kind:string,start:int,stop:int>"
 
 
-def _found(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """The columns of keep with base, text_key (null without a weak secret) and parts of each text. No shuffle."""
+def _found(docs: DataFrame, text: str, keep: list[str], side: tuple[np.ndarray, bool] | None = None) -> DataFrame:
+    """The columns of keep with base, text_key (null without a weak secret) and parts of each text; with a side, only of the texts
+    whose _h passes the filter, or only of the others. No shuffle."""
     schema = with_fields(docs, keep, f"base array<{SPAN}>, text_key string, parts array<struct<kind:string,start:int,stop:int,scope:int>>")
     span = [("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]
+    sent = docs.sparkSession.sparkContext.broadcast(side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
+            if sent.value:
+                words, inside = sent.value
+                batch = batch.filter(pa.array(bloom.holds(words, batch.column(batch.schema.get_field_index("_h"))) == inside, pa.bool_()))
             base, keys, parts = [], [], []
             for (t,) in columns(batch, "_text"):
                 found = base_spans(t or "")
@@ -103,30 +108,44 @@ def _found(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
                 keys.append(xxhash.xxh3_128_hexdigest(t.encode("utf-8", "surrogatepass")) if weak else None)
                 parts.append([dict(zip(("kind", "start", "stop", "scope"), x)) for x in weak])
             arrays = [pa.array(base, pa.list_(pa.struct(span))), pa.array(keys, pa.string()), pa.array(parts, pa.list_(pa.struct([*span, ("scope", pa.int32())])))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*keep, "base", "text_key", "parts"])
+            yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, *arrays], names=[*keep, "base", "text_key", "parts"])
 
-    return arrowed(docs.select(*keep, docs[text].alias("_text")), run, schema)
+    return arrowed(docs.select(*keep, F.xxhash64(docs[text]).alias("_h"), docs[text].alias("_text")), run, schema)
 
 
-def _joined(found: DataFrame, parts: DataFrame, keep: list[str]) -> DataFrame:
+def _links(parts: DataFrame) -> DataFrame:
+    """text_key and more: the spans that linking adds to a text."""
     parts = parts.where("text_key is not null").select("text_key", F.explode("parts").alias("p")).select("text_key", "p.*").distinct()
-    links = linked(parts).groupBy("text_key").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("_more")).withColumnRenamed("text_key", "_key")
-    links = settled(links)
-    if links.count() <= BROADCAST:
-        links = F.broadcast(links)
+    return settled(linked(parts).groupBy("text_key").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("more")))
+
+
+def _ordered(found: DataFrame, keep: list[str], more: Column) -> DataFrame:
+    """The columns of keep, base and spans, which are base and more in order."""
     order = F.array(*map(F.lit, KINDS))
-    ranked = F.transform(F.concat("base", F.coalesce("_more", F.array().cast(f"array<{SPAN}>"))), lambda x: F.struct(x["start"].alias("start"), F.array_position(order, x["kind"]).alias("k"), x["stop"].alias("stop"), x["kind"].alias("kind")))
+    ranked = F.transform(F.concat("base", more), lambda x: F.struct(x["start"].alias("start"), F.array_position(order, x["kind"]).alias("k"), x["stop"].alias("stop"), x["kind"].alias("kind")))
     spans = F.transform(F.array_sort(ranked), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop")))
-    return found.join(links, found["text_key"] == links["_key"], "left").select(*keep, "base", spans.alias("spans"))
+    return found.select(*keep, "base", spans.alias("spans"))
+
+
+def _joined(some: DataFrame, others: DataFrame, links: DataFrame, keep: list[str]) -> DataFrame:
+    """Both with their spans. Only some meets the links, so what has none moves nowhere."""
+    none = F.array().cast(f"array<{SPAN}>")
+    met = some.join(links, "text_key", "left")
+    return _ordered(met, keep, F.coalesce("more", none)).unionByName(_ordered(others, keep, none))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with base and spans: arrays of (kind, start, stop) in order, offsets in code points. A null or empty text has
     none. Columns of these names are replaced. Equal texts get equal spans, so repeated rows and equal or null ids do no
-    harm. Only texts with a weak secret take part in the joins."""
-    keep = [c for c in docs.columns if c not in ("base", "spans", "text_key", "parts")]
-    parts = settled(_found(docs, text, []).where("text_key is not null").select("text_key", "parts"))
-    return _joined(_found(docs, text, keep), parts, keep)
+    harm. Only texts with a weak secret take part in the joins, and only those with a linked one (and a few more, which a
+    Bloom filter lets through) are moved."""
+    keep = [c for c in docs.columns if c not in ("base", "spans", "text_key", "parts", "_h")]
+    marked = docs.select(docs[text].alias("text"), F.xxhash64(docs[text]).alias("hash"))
+    parts = settled(_found(marked, "text", ["hash"]).where("text_key is not null").select("hash", "text_key", "parts"))
+    links = _links(parts)
+    wanted = settled(parts.join(links.select("text_key"), "text_key", "left_semi").select("hash").distinct())
+    words = bloom.build(wanted, wanted.count())
+    return _joined(_found(docs, text, keep, (words, True)), _found(docs, text, keep, (words, False)), links, keep)
 
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> DataFrame:
@@ -163,7 +182,7 @@ def span_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     read once; only ids and spans go on."""
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias(text))
     found = settled(_found(docs, text, ["doc_id"]))
-    found = _joined(found, found, ["doc_id"])
+    found = _joined(found.where("text_key is not null"), found.where("text_key is null"), _links(found), ["doc_id"])
     told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
     n = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(told("base").cast("binary"), 256).alias("base_sha256"), told("spans").alias("spans"))
