@@ -497,6 +497,46 @@ def test_fingerprints_against_sets(spark, corpus):
     assert one["near_next"] == 1.0 and fingerprint.edit_report(empty(spark)).count() == 0
 
 
+def test_stored_fingerprints_tell_small_changes(spark):
+    rng = random.Random(15)
+    lines = [f"line {k} {rng.random()}" for k in range(60)]
+    versions = ["\n".join(lines), "\n".join(lines), "\n".join([*lines[:20], "new one", "new two", *lines[21:]]), "\n".join(f"other {x}" for x in lines), "", None]
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(frame(spark, versions)).collect()}
+    digests = {r["doc_id"]: set(r["d"]) for r in frame(spark, versions).select("doc_id", fingerprint.units(F.coalesce("text", F.lit(""))).alias("d")).collect()}
+    pairs = [(a, b) for a in got for b in got]
+    found = fingerprint.compared(spark.createDataFrame([(a, b, got[a], got[b]) for a, b in pairs], "a int, b int, `one print` string, two string"), "one print", "two").collect()
+    for r in found:
+        want = digests[r["a"]] ^ digests[r["b"]]
+        assert set(r["changes"]) == want if len(want) < 4 else r["changes"] is None or set(r["changes"]) == want
+    assert all((r["changes"] is None) == (len(digests[r["a"]] ^ digests[r["b"]]) >= 60) for r in found)
+
+
+def test_stuck_sketches_are_made_anew(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "ANEW", (1,))  # three cells for all units that are dealt together
+    monkeypatch.setattr(fingerprint, "DEALT", 60)
+    a, b = ("\n".join(f"{side} {k}" for k in range(150)) for side in "ab")
+    row = fingerprint.differing(spark.createDataFrame([(a, b)], "one string, two string"), "one", "two").first()
+    assert sorted(x["n"] for x in row["changes"]) == [-1] * 150 + [1] * 150
+
+
+def test_fingerprints_of_odd_rows(spark):
+    rows = [(2, "b. c. d. e"), (None, "z. y"), (2, "a. b"), (2, "a. b"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("next_text", F.lit("clash")).withColumn("part", F.lit("clash")).withColumn("ids", F.lit(1))
+    order = [(None, "z. y"), (2, "a. b"), (2, "a. b"), (2, "b. c. d. e"), (5, "")]
+    want = []
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        n = len(t) // 4
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest()))
+    got = [(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in fingerprint.edit_report(docs).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_fingerprints_run_no_python(spark):
+    plan = fingerprint.edit_report(frame(spark, ["a. b", "c"]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_peeling_recovers_the_changes(spark):
     rng = random.Random(8)
     rows = []
