@@ -1,7 +1,7 @@
 """Packing of tokenised documents into sequences of a fixed size: dominance reduction, then best fit.
 
 Only the lengths of pieces matter, and there are at most as many lengths as a sequence has tokens. So the plan is made
-from the counts by length: the reduction fixes pairs (and single pieces) that are part of some optimal packing, and best
+from the counts by length: the reduction fixes sets of up to three pieces that are part of some optimal packing, and best
 fit decreasing packs the remainder, many equal sequences at a time. The plan's size depends on the sequence size, not on
 the corpus. The pieces then take the places of the plan by their rank among the pieces of their length.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -93,15 +94,32 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, size: int = 4096, doc_id
 
 def reduced(counts: np.ndarray, size: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Fixes sequences that dominate all other feasible ones with one of their pieces, and takes them out of counts (by
-    length). A set {j, k} dominates if k fills the room beside j, as whatever else stood there fits in k's place; or if k
-    is the largest piece that fits beside j and no two pieces fit there together. A piece with which none fits stands alone."""
+    length). A set dominates another if each of its pieces has room for a part of the other's, and these parts are all of it:
+    what it takes away can then stand where they stood. For a piece j these sets dominate all sets with j:
+    - {j}, if nothing fits beside it;
+    - {j, k}, if k is the largest piece that fits and fills the room, or no two pieces fit there together;
+    - {j, k, l}, if besides k the largest piece that still fits is l, no three pieces fit beside j, nor two that are both longer
+      than l."""
     fixed: list[tuple[int, list[tuple[int, int]]]] = []
 
-    def fix(n: int, items: list[tuple[int, int]]) -> None:
+    def fix(*lengths: int) -> None:
+        # fewer pieces are left after each such sequence, so what held for the first holds for all
+        items = sorted(Counter(lengths).items(), reverse=True)
+        n = min(int(counts[length]) // times for length, times in items)
         fixed.append((n, items))
         for length, times in items:
             counts[length] -= n * times
 
+    def least(own: np.ndarray, start: int, n: int) -> int:
+        """The sum of the n shortest pieces of a length of start or more; more than size if there are fewer."""
+        total = 0
+        for length in start + np.flatnonzero(own[start:]):
+            take = min(n, int(own[length]))
+            total, n = total + take * int(length), n - take
+            if not n:
+                return total
+        return size + 1
+
     changed = True
     while changed:
         changed = False
@@ -112,18 +130,20 @@ def reduced(counts: np.ndarray, size: int) -> list[tuple[int, list[tuple[int, in
             own[j] -= 1
             there = np.flatnonzero(own[: room + 1])
             if not len(there):
-                fix(int(counts[j]), [(j, 1)])
+                fix(j)
                 changed = True
                 continue
             k = int(there[-1])
-            least = 2 * int(there[0]) if own[there[0]] > 1 else int(there[0] + there[1]) if len(there) > 1 else size + 1
-            if k == room or least > room:
-                if j == k:
-                    fix(int(counts[j]) // 2, [(j, 2)])
-                else:
-                    # fewer pieces are left after each, so what held for the first pair holds for all
-                    fix(int(min(counts[j], counts[k])), [(j, 1), (k, 1)])
+            if k == room or least(own, 0, 2) > room:
+                fix(j, k)
                 changed = True
+            elif least(own, 0, 3) > room:
+                own[k] -= 1
+                beside = np.flatnonzero(own[: room - k + 1])
+                own[k] += 1
+                if len(beside) and least(own, int(beside[-1]) + 1, 2) > room:
+                    fix(j, k, int(beside[-1]))
+                    changed = True
     return fixed
 
 

@@ -348,15 +348,24 @@ def optimum(lengths, size):
 
 
 def test_reduction_is_part_of_an_optimal_packing():
-    rng = random.Random(9)
-    for _ in range(150):
-        size = rng.choice([10, 17])
-        lengths = sorted((rng.randint(1, size) for _ in range(9)), reverse=True)
+    rng, sizes = random.Random(9), collections.Counter()
+    for turn in range(400):
+        size = rng.choice([10, 17, 40])
+        lengths = sorted((rng.randint(1, size) if turn % 2 else rng.randint(size // 4, size // 2) for _ in range(9)), reverse=True)
         counts = np.bincount(lengths, minlength=size + 1)
         fixed = packing.reduced(counts, size)
         rest = [k for k in range(size, 0, -1) for _ in range(counts[k])]
         assert all(sum(k * t for k, t in items) <= size for _, items in fixed)
         assert sum(n for n, _ in fixed) + optimum(rest, size) == optimum(lengths, size)
+        sizes.update(sum(t for _, t in items) for _, items in fixed)
+    assert set(sizes) == {1, 2, 3}
+
+
+def test_pieces_of_odd_rows(spark):
+    docs = frame(spark, ["a b c", None], [(0, "a b c", "en", "s", 5), (None, "a b c", None, None, None), (None, None, None, None, None)]).withColumn("length", F.lit("clash")).withColumn("_n", F.lit(1))
+    got = packing.pack_documents(docs, WORDS, size=8).collect()
+    assert sorted(((r["doc_id"], r["piece"], r["length"]) for r in got), key=repr) == sorted([(0, 0, 4), (0, 0, 4), (1, 0, 1), (None, 0, 4), (None, 0, 1)], key=repr)
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == 5
 
 
 def test_plan_uses_every_place_once():
