@@ -19,7 +19,7 @@ from .common import arrowed, columns, slices, with_fields
 
 #: Cells that trigrams are hashed to.
 CELLS = 1 << 15
-#: Languages that a model can have.
+#: Languages that a model can have, so that it fits in a task; with more labels than that, learning is an error.
 MOST = 256
 LETTER = regex.compile(r"\p{L}")
 ROUNDS = 12
@@ -56,11 +56,11 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at])], names=["lang", "cell", "n"])
 
     own = docs.where(docs[text].isNotNull() & docs[lang].isNotNull()).select(docs[text].alias(text), docs[lang].alias(lang))
+    if len(own.select(lang).distinct().limit(MOST + 1).collect()) > MOST:  # before anything else of them comes to the driver
+        raise ValueError(f"more than {MOST} languages; a model has {MOST} at most")
     sums = arrowed(own, run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     rows = sums.toArrow().to_pydict()
     names = sorted(set(rows["lang"]))
-    if len(names) > MOST:
-        raise ValueError(f"{len(names)} languages; a model can have {MOST}")
     counts = np.full((len(names), CELLS), 0.5)
     np.add.at(counts, ([names.index(x) for x in rows["lang"]] if names else [], rows["cell"]), rows["n"])
     return names, np.log(counts / counts.sum(1, keepdims=True)) if names else counts

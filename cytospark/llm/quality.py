@@ -101,24 +101,27 @@ def log_odds(names: list[str], worth: dict[str, dict[int, float]], prior: float)
 
 def learned(patterns: DataFrame, names: list[str]) -> tuple[dict[str, dict[int, float]], float]:
     """From patterns (the votes and n, their number of documents): for each rule the log ratio of each vote's probability for
-    good and for bad documents, and the log odds of a good one. Each step is one aggregation to one row; it begins from rules
-    that are right more often than not."""
-    worth = {n: {1: math.log(0.8 / 0.4), 0: 0.0, -1: math.log(0.02 / 0.3)} for n in names}
+    good and for bad documents, and the log odds of a good one. The driver gets the table of patterns, which has 3 to the
+    number of rules rows at most, in their order; expectation-maximisation begins from rules that are right more often than
+    not."""
+    rows = [(tuple(r[n] for n in names), r["n"]) for r in patterns.orderBy(*names).collect()]
+    worth = [{1: math.log(0.8 / 0.4), 0: 0.0, -1: math.log(0.02 / 0.3)} for _ in names]
     prior = math.log(0.85 / 0.15)
-    for _ in range(STEPS):
-        p = 1 / (1 + F.exp(-log_odds(names, worth, prior)))
-        good, bad = F.col("n") * p, F.col("n") * (1 - p)
-        sums = [F.sum(F.when(F.col(n) == v, x)).alias(f"{n}_{v}_{k}") for n in names for v in (1, 0, -1) for k, x in (("good", good), ("bad", bad))]
-        row = patterns.agg(F.sum(good).alias("good"), F.sum(bad).alias("bad"), *sums).first()
-        if row["good"] is None:
-            break
+    for _ in range(STEPS if rows else 0):
+        sums = [{v: [1.0, 1.0] for v in (1, 0, -1)} for _ in names]  # a vote is never impossible; so a rule that never votes against can't decide alone
+        good = bad = 0.0
+        for votes, n in rows:
+            p = 1 / (1 + math.exp(-(prior + sum(w[v] for w, v in zip(worth, votes)))))
+            good, bad = good + n * p, bad + n * (1 - p)
+            for s, v in zip(sums, votes):
+                s[v][0] += n * p
+                s[v][1] += n * (1 - p)
         was = prior
-        # a vote is never impossible; smoothing also keeps a rule that never votes against from deciding alone
-        worth = {n: {v: math.log(((row[f"{n}_{v}_good"] or 0) + 1) / (row["good"] + 3)) - math.log(((row[f"{n}_{v}_bad"] or 0) + 1) / (row["bad"] + 3)) for v in (1, 0, -1)} for n in names}
-        prior = math.log((row["good"] + 1) / (row["bad"] + 1))
+        worth = [{v: math.log(g / (good + 3)) - math.log(b / (bad + 3)) for v, (g, b) in s.items()} for s in sums]
+        prior = math.log((good + 1) / (bad + 1))
         if abs(was - prior) < 1e-4:
             break
-    return worth, prior
+    return dict(zip(names, worth)), prior
 
 
 def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -129,8 +132,7 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     votes = [F.coalesce(c, F.lit(0)).cast("int").alias(f"vote_{n}") for n, c in named.items()]
     names = [f"vote_{n}" for n in named]
     rows = settled(measured(docs, doc_id, text).select("*", *votes))
-    patterns = settled(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).coalesce(1).sortWithinPartitions(*names))
-    worth, prior = learned(patterns, names)
+    worth, prior = learned(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")), names)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = rows.withColumn("posterior", 1 / (1 + F.exp(-log_odds(names, worth, prior)))).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))

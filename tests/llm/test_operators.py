@@ -77,6 +77,14 @@ def test_bpe_as_tiktoken(spark, corpus):
     assert bpe.encode_digests(empty(spark), RANKS).count() == 0
 
 
+def test_bpe_of_odd_rows(spark):
+    extra = [(None, "tie tie", None, None, None), (0, "tie tie", "en", "s", 7), (None, None, None, None, None)]
+    docs = frame(spark, ["tie tie", None], extra).withColumn("n_tokens", F.lit("clash")).withColumn("ids", F.lit("clash"))
+    got = sorted(((r["doc_id"], r["n_tokens"]) for r in bpe.encode_digests(docs, RANKS).collect()), key=repr)
+    n = len(bpe.encoder(RANKS).encode("tie tie"))
+    assert got == sorted([(0, n), (0, n), (1, 0), (None, n), (None, 0)], key=repr)
+
+
 def test_bpe_tables_after_edits():
     enc, rng = bpe.encoder(RANKS), random.Random(2)
     for _ in range(300):
@@ -209,6 +217,42 @@ def test_quality(spark, corpus):
     assert quality.judged(empty(spark)).count() == 0
 
 
+def brute_posteriors(votes):
+    """Expectation-maximisation document by document: each one's probability of being good, from its votes."""
+    odds = [{1: np.log(2.0), 0: 0.0, -1: np.log(0.02 / 0.3)} for _ in votes[0]]
+    prior = np.log(0.85 / 0.15)
+    posterior = lambda v: 1 / (1 + np.exp(-(prior + sum(o[x] for o, x in zip(odds, v)))))
+    for _ in range(quality.STEPS):
+        p = np.array([posterior(v) for v in votes])
+        was = prior
+        share = lambda k, x, w: (sum(q for v, q in zip(votes, w) if v[k] == x) + 1) / (w.sum() + 3)
+        odds = [{x: np.log(share(k, x, p) / share(k, x, 1 - p)) for x in (1, 0, -1)} for k in range(len(odds))]
+        prior = np.log((p.sum() + 1) / ((1 - p).sum() + 1))
+        if abs(was - prior) < 1e-4:
+            break
+    return [posterior(v) for v in votes]
+
+
+def test_quality_verdicts_against_plain_maximisation(spark, corpus):
+    rng = random.Random(16)
+    texts = corpus + [prose(rng, rng.randint(15, 90)) for _ in range(60)] + [" ".join("zq%%% |" for _ in range(60))] * 6 + ["THE END " * 40, "word " * 60]
+    docs = shuffled(spark, texts).withColumn("posterior", F.lit("clash")).withColumn("n_words", F.lit("clash"))
+    docs = docs.unionByName(docs.where("doc_id in (20, 21)")).unionByName(docs.where("doc_id = 22").withColumn("doc_id", F.lit(None).cast("long")))
+    got = quality.judged(docs).collect()
+    votes = [tuple(r[c] for c in r.asDict() if c.startswith("vote_")) for r in got]
+    assert len(got) == len(texts) + 3 and len(set(votes)) > 5 and len(votes[0]) == len(quality.rules())
+    for r, p in zip(got, brute_posteriors(votes)):
+        assert abs(r["posterior"] - p) < 1e-9
+        assert r["kept"] == (not r["base_failed"] and p >= 0.5)
+    assert {r["kept"] for r in got} == {True, False}
+
+
+def test_quality_agrees_with_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.judged(docs).join(labels.where("quality is not null"), "doc_id").select("kept", "quality").collect()
+    assert len(rows) > 100 and np.mean([r["kept"] == (r["quality"] == 1) for r in rows]) > 0.95
+
+
 def test_quality_runs_no_python(spark):
     plan = quality.measured(frame(spark, ["a b"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
@@ -402,6 +446,50 @@ def test_languages(spark):
     assert nothing[0] == [] and language.identify(docs, *nothing).where("lang_pred <> 'und'").count() == 0
 
 
+def brute_shares(text, logs, names):
+    """The mixture's shares by expectation-maximisation over a dictionary of trigrams, one trigram at a time."""
+    counts = {c: int(n) / language.DRAWS for c, n in enumerate(language.trigrams(text)) if n}
+    shares = [1 / len(names)] * len(names)
+    for _ in range(language.ROUNDS):
+        new = [0.0] * len(names)
+        for c, n in counts.items():
+            joint = [s * float(np.exp(logs[k, c])) for k, s in enumerate(shares)]
+            for k, x in enumerate(joint):
+                new[k] += n * x / sum(joint)
+        shares = [x / sum(new) for x in new]
+    return shares
+
+
+def test_mixtures_against_plain_maximisation(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    names, logs = language.learned(docs)
+    p = np.exp(logs)
+    texts = [r["text"] for r in docs.where("text is not null").orderBy("doc_id").limit(6).collect()]
+    for text in [*texts, texts[0][:200] + " " + texts[3][:200]]:
+        counts = language.trigrams(text)
+        cells = np.flatnonzero(counts)
+        shares, likelihood = language.mixture(p[:, cells], counts[cells] / language.DRAWS)
+        want = brute_shares(text, logs, names)
+        assert np.allclose(shares, want, atol=1e-9)
+        assert likelihood == pytest.approx(sum(counts[c] / language.DRAWS * np.log(sum(s * p[k, c] for k, s in enumerate(want))) for c in cells))
+
+
+def test_languages_that_were_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    clash = docs.withColumn("lang_pred", F.lit(1)).withColumn("score", F.lit("x")).withColumn("languages", F.lit(None).cast("int"))
+    found = language.identify(clash, *language.learned(docs))
+    rows = found.where(language.held_out(F.col("doc_id")) & F.col("lang").isNotNull()).collect()
+    assert len(rows) > 100 and np.mean([r["lang_pred"] == r["lang"] for r in rows]) > 0.98
+    twice = language.identify(docs.limit(5).union(docs.limit(5)), *language.learned(docs)).groupBy("doc_id", "lang_pred", "score").count().collect()
+    assert len(twice) == 5 and all(r["count"] == 2 for r in twice)
+
+
+def test_languages_have_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST", 2)
+    with pytest.raises(ValueError, match="languages"):
+        language.learn(spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "text string, lang string"))
+
+
 # 7 repeated passages
 
 
@@ -427,6 +515,16 @@ def test_repeats_against_all_windows(spark, corpus, hot, compiled, monkeypatch):
     assert sum(r["n_removed"] for r in got)
 
 
+def test_repeats_of_odd_rows(spark):
+    passage = " ".join(f"p{i}" for i in range(14))
+    rows = [(3, passage), (3, f"{passage} x"), (5, f"a {passage}"), (5, f"a {passage}"), (5, "b"), (None, passage), (None, None), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("anchor", F.lit("clash")).withColumn("n_words", F.lit("clash"))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = sorted((tuple(r) for r in substring_dedup.removal_report(docs).collect()), key=repr)
+    want = [(3, 14, 0, sha(passage)), (3, 15, 0, sha(f"{passage} x")), (5, 15, 14, sha("a")), (5, 15, 14, sha("a")), (5, 1, 0, sha("b")), (None, 14, 0, sha(passage)), (None, 0, 0, sha("")), (7, 0, 0, sha(""))]
+    assert got == sorted(want, key=repr)
+
+
 def test_repeats_leave_the_rest_as_it_was(spark):
     passage = " ".join(f"p{i}" for i in range(14))
     docs = frame(spark, [f"a  b\n{passage}", f"keep\tthis \n\n{passage}  and that", passage, "short"], [(None, passage, None, None, None)])
