@@ -38,8 +38,9 @@ from .wordhash import runs, word_hashes
 GRAM = 5
 #: Rows of an anchor from which on it counts as frequent.
 HOT = 500
-#: Windows for which a shard compiles one automaton.
-COMPILED = 60_000
+#: Windows from which on a shard compiles the next automaton. All first words stand at an automaton's root, where they are looked
+#: up one by one, so that large ones are slow.
+COMPILED = 1_000
 
 
 def anchors(h: np.ndarray, window: int) -> np.ndarray:
