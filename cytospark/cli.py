@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .operators import mbias as bias
 from .operators import sites as site_ops
 from .operators.filters import ReadFilter
-from .operators.selection import resolve_region
+from .operators.selection import in_region, resolve_region
 from .plans import analyses
 from .plans.options import ExtractOptions, PileupOptions, Trimming, parse_bounds
 from .sinks import formats, plot
@@ -27,8 +27,26 @@ from .sources.fasta import check_reference, read_fasta, reference_chunks
 from .sources.sam import read_sam
 
 
-def number(text: str) -> int:
-    return int(text, 0)
+def whole(bits: int, least: int = 0):
+    """A whole number of so many bits, decimal or with 0x, 0o or 0b before it."""
+
+    def parse(text: str) -> int:
+        n = int(text, 0)
+        if not least <= n < 1 << bits:
+            raise argparse.ArgumentTypeError(f"{text} isn't within {least} and {(1 << bits) - 1}")
+        return n
+
+    parse.__name__ = "whole number"
+    return parse
+
+
+def decimal(text: str) -> int:
+    """A whole number of digits alone, so that 010 is ten."""
+    return whole(32)(str(int(text)) if text.isascii() and text.isdigit() else text)
+
+
+def site_format(text: str) -> str:
+    return {"methyl-kit": "methylkit"}.get(text, text)
 
 
 def add_reads(p: argparse.ArgumentParser, per_read: bool) -> None:
@@ -37,10 +55,10 @@ def add_reads(p: argparse.ArgumentParser, per_read: bool) -> None:
     p.add_argument("-r", "--region")
     p.add_argument("-l", "--bed")
     p.add_argument("--keep-bed-strand", "--keepStrand", action="store_true")
-    p.add_argument("-q", "--minimum-mapping-quality", type=int, default=10)
-    p.add_argument("-p", "--minimum-base-quality", type=int, default=5)
-    p.add_argument("-F", "--ignore-flags", type=number, default=0 if per_read else 0xF00)
-    p.add_argument("-R", "--require-flags", type=number, default=0)
+    p.add_argument("-q", "--minimum-mapping-quality", type=whole(8), default=10)
+    p.add_argument("-p", "--minimum-base-quality", type=whole(8), default=5)
+    p.add_argument("-F", "--ignore-flags", type=whole(16), default=0 if per_read else 0xF00)
+    p.add_argument("-R", "--require-flags", type=whole(16), default=0)
     p.add_argument("--ignore-nh", action="store_true")
     p.add_argument("--json", action="store_true")
 
@@ -64,11 +82,11 @@ def parser() -> argparse.ArgumentParser:
     sub = top.add_subparsers(dest="command", required=True)
     p = sub.add_parser("extract", allow_abbrev=False)
     add_pileup(p)
-    p.add_argument("--format", choices=[*formats.SUFFIXES])
+    p.add_argument("--format", type=site_format, choices=[*formats.SUFFIXES])
     p.add_argument("--cytosine-report", "--cytosine_report", action="store_true")
     p.add_argument("--merge-context", action="store_true")
-    p.add_argument("-d", "--minimum-depth", type=int, default=1)
-    p.add_argument("--minimum-opposite-depth", "--minOppositeDepth", type=int, default=0)
+    p.add_argument("-d", "--minimum-depth", type=decimal, default=1)
+    p.add_argument("--minimum-opposite-depth", "--minOppositeDepth", type=decimal, default=0)
     p.add_argument("--maximum-variant-fraction", "--maxVariantFrac", type=float, default=0.0)
     add_pileup(sub.add_parser("mbias", allow_abbrev=False))
     p = sub.add_parser("per-read", allow_abbrev=False)
@@ -126,7 +144,7 @@ def extract(spark: SparkSession, args: argparse.Namespace) -> dict:
     with Outputs([args.reference, args.input, args.bed]) as out:
         merged = 0
         if args.cytosine_report:
-            out.write(f"{args.output_prefix}.cytosine_report.txt", lines_of(formats.report_lines(kept), "rid", "at"))
+            out.write(f"{args.output_prefix}.cytosine_report.txt", [], formats.report_lines(kept), ("rid", "at"))
             written = kept.count()
         else:
             if args.merge_context:
@@ -136,15 +154,15 @@ def extract(spark: SparkSession, args: argparse.Namespace) -> dict:
             else:
                 rows = kept.where(F.col("m") + F.col("u") >= args.minimum_depth).select("*", F.col("pos").alias("s"), (F.col("pos") + 1).alias("e"))
             for ctx in contexts:
-                lines = lines_of(formats.site_lines(rows.where(F.col("ctx") == ctx), kind), "rid", "at", "upto")
                 head = formats.header(kind, args.output_prefix, ctx, args.merge_context)
-                out.write(f"{args.output_prefix}_{formats.NAMES[ctx]}{formats.SUFFIXES[kind]}", (x for part in ([head], lines) for x in part))
+                lines = formats.site_lines(rows.where(F.col("ctx") == ctx), kind)
+                out.write(f"{args.output_prefix}_{formats.NAMES[ctx]}{formats.SUFFIXES[kind]}", [head], lines, ("rid", "at", "upto"))
             written = rows.count()
         counts = analyses.read_counters(reads, reference, options, region).first().asDict()
-        excluded = counted.where("excluded").count()
+        told = counted.agg(F.count_if("excluded").alias("excluded"), F.count(F.lit(1)).alias("examined")).first()
         outputs = out.commit()
     counted.unpersist()
-    return report("extract", outputs, output_records=written, excluded_variant_sites=excluded, merged_records=merged, **counts)
+    return report("extract", outputs, output_records=written, excluded_variant_sites=told["excluded"], merged_records=merged, **counts) | {"examined_sites": told["examined"]}
 
 
 def mbias(spark: SparkSession, args: argparse.Namespace) -> dict:
@@ -161,19 +179,19 @@ def mbias(spark: SparkSession, args: argparse.Namespace) -> dict:
         counts = analyses.read_counters(reads, reference, options, region).first().asDict()
         outputs = out.commit()
     rows.unpersist()
-    return report("mbias", outputs, output_records=len(told), **counts) | {"suggestions": found}
+    return report("mbias", outputs, output_records=len(told), **counts) | {"calls": sum(r["m"] + r["u"] for r in told), "suggestions": found}
 
 
-def to_output(args: argparse.Namespace, lines, inputs: list[str]) -> list[str]:
-    """Writes to the file named, or to standard output."""
+def to_output(args: argparse.Namespace, head: list[str], rows: DataFrame, order: tuple[str, ...], inputs: list[str]) -> list[str]:
+    """Writes to the file named, or to standard output, a partition at a time."""
     if not args.output or args.output == "-":
         if args.json:
             raise ValueError("--json needs an output file")
-        for line in lines:
-            sys.stdout.write(f"{line}\n")
+        for part in (head, lines_of(rows, *order)):
+            sys.stdout.writelines(f"{line}\n" for line in part)
         return []
     with Outputs(inputs) as out:
-        out.write(args.output, lines)
+        out.write(args.output, head, rows, order)
         return out.commit()
 
 
@@ -182,9 +200,7 @@ def per_read(spark: SparkSession, args: argparse.Namespace) -> dict:
         raise ValueError("the minimum base quality must be positive")
     reads, reference, _, bed, region = load(spark, args)
     rows = analyses.per_read(reads, reference, read_filter(args, ReadFilter.per_read), args.minimum_base_quality, bed, region).persist()
-    outputs = to_output(args, lines_of(formats.per_read_lines(rows), "ord"), [args.reference, args.input, args.bed])
-    from .operators.selection import in_region
-
+    outputs = to_output(args, [], formats.per_read_lines(rows), ("ord",), [args.reference, args.input, args.bed])
     n, m = in_region(reads, region, "start").count(), rows.count()
     rows.unpersist()
     return report("per-read", outputs, input_records=n, output_records=m, filtered_records=n - m)
@@ -207,7 +223,7 @@ def merge_context(spark: SparkSession, args: argparse.Namespace) -> dict:
         first = rows.groupBy("chrom").agg(F.min("first").alias("first"))
         text = formats.merged_lines(rows).drop("first").join(first, "chrom")
         head = ['track type="bedGraph" description="merged Methylation metrics"']
-        outputs = to_output(args, (x for part in (head, lines_of(text, "first", "s", "e")) for x in part), [args.reference, args.input])
+        outputs = to_output(args, head, text, ("first", "s", "e"), [args.reference, args.input])
         n, m, both = metrics.count(), rows.count(), rows.where("n > 1").count()
         return report("merge-context", outputs, input_records=n, output_records=m, merged_records=both)
     finally:

@@ -6,6 +6,7 @@ import contextlib
 import os
 import stat
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
@@ -28,7 +29,9 @@ class Outputs:
         if os.path.realpath(target) in (os.path.realpath(t) for t, _ in self.files):
             raise ValueError(f"{target} is named twice")
 
-    def write(self, target: str, lines: Iterable[str]) -> None:
+    def write(self, target: str, lines: Iterable[str], rows: DataFrame | None = None, order: tuple[str, ...] = ()) -> None:
+        """Lines of the driver's, then the column value of rows in their order: executors sort and write these as parts to the shared
+        folder, of which the bytes are put together."""
         self.check(target)
         handle, temporary = tempfile.mkstemp(prefix=".", suffix=".tmp", dir=os.path.dirname(os.path.abspath(target)))
         self.files.append((target, temporary))
@@ -36,6 +39,8 @@ class Outputs:
             f.writelines(f"{line}\n" for line in lines)
             f.flush()
             os.fsync(f.fileno())
+        if rows is not None:
+            append_rows(rows, temporary, order)
         os.chmod(temporary, stat.S_IMODE(os.stat(target).st_mode) if os.path.exists(target) else 0o666 & ~_umask())
 
     def commit(self) -> list[str]:
@@ -90,3 +95,30 @@ def lines_of(df: DataFrame, *order: str) -> Iterator[str]:
 def write_lines(df: DataFrame, path: str, *order: str) -> None:
     """The column value of df as a folder of text parts, sorted over all parts: the sink for results that are large."""
     (df.orderBy(*order) if order else df).select("value").write.text(path)
+
+
+def append_rows(df: DataFrame, target: str, order: tuple[str, ...] = ()) -> None:
+    """Appends the column value of df, in order, to a file of the driver's. Parts are written by the executors, beside the target
+    or, if the session names one, in the shared folder spark.checkpoint.dir, and their bytes copied one after the other."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.dirname(os.path.abspath(target))}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(f"{shared}/.{uuid.uuid4().hex}")
+    store = folder.getFileSystem(conf)
+    try:
+        write_lines(df, folder.toString(), *order)
+        names = (s.getPath().getName() for s in store.listStatus(folder))
+        names = sorted((n for n in names if n.startswith("part-")), key=lambda n: (int(n.split("-")[1]), n))
+        to = jvm.java.io.FileOutputStream(target, True)
+        try:
+            for name in names:
+                part = store.open(jvm.org.apache.hadoop.fs.Path(folder, name))
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, to, 1 << 16, False)
+                finally:
+                    part.close()
+            to.getFD().sync()
+        finally:
+            to.close()
+    finally:
+        store.delete(folder, True)

@@ -1,4 +1,5 @@
 import gzip
+import io
 import os
 import random
 import struct
@@ -339,6 +340,38 @@ def test_command_line(spark, files, tmp_path):
     assert (tmp_path / "out_CpG.counts.bedGraph").read_bytes() == before and not [f for f in os.listdir(tmp_path) if f.startswith(".")]
 
 
+def test_options_of_the_command_line(spark, files, tmp_path, capsys, monkeypatch):
+    at, rows = files
+    inputs = [str(at / "ref.fa"), str(at / "reads.sam")]
+    for bad in (["-q", "256"], ["-q", "-1"], ["-p", "300"], ["-F", "0x10000"], ["-R", "-2"], ["-d", "-1"], ["--minOppositeDepth", "x"], ["--format", "other"]):
+        with pytest.raises(SystemExit):
+            cli.parser().parse_args(["extract", *inputs, "-o", "x", *bad])
+    args = cli.parser().parse_args(["extract", *inputs, "-o", "x", "--format", "methyl-kit", "-F", "0x400", "-d", "010"])
+    assert (args.format, args.ignore_flags, args.minimum_depth) == ("methylkit", 0x400, 10)
+    told = cli.main(["extract", *inputs, "-o", str(tmp_path / "kit"), "--format", "methyl-kit"], spark)
+    lines = (tmp_path / "kit_CpG.methylKit").read_text().splitlines()
+    assert lines[0].startswith("chrBase\t") and len(lines) == 1 + told["output_records"] and told["examined_sites"] >= told["output_records"]
+    # variants, report and intervals together
+    bed = tmp_path / "some.bed"
+    bed.write_text("zeta\t10\t40\tx\t0\t+\n")
+    more = ["--minOppositeDepth", "1", "--maxVariantFrac", "0.4", "--chg", "--chh", "-l", str(bed), "--keepStrand"]
+    told = cli.main(["extract", *inputs, "-o", str(tmp_path / "both"), "--cytosine_report", *more], spark)
+    want, seq = samples.model(rows), samples.CONTIGS["zeta"]
+    out = {k for k, v in want.items() if v["opposite"] >= 1 and v["variant"] / v["opposite"] > 0.4}
+    inside = [i for i in range(10, 40) if seq[i] == "C"]
+    # bases of reads on the other strand lie outside of the intervals, so nothing is excluded
+    got = [line.split("\t") for line in (tmp_path / "both.cytosine_report.txt").read_text().splitlines()]
+    assert [int(g[1]) - 1 for g in got] == inside and told["excluded_variant_sites"] == 0 and out
+    assert all((int(g[3]), int(g[4])) == tuple(want.get((0, int(g[1]) - 1), {"m": 0, "u": 0})[k] for k in "mu") for g in got)
+    told = cli.main(["mbias", *inputs, "-o", str(tmp_path / "bias")], spark)
+    rows_ = [line.split("\t") for line in (tmp_path / "bias.tsv").read_text().splitlines()[1:]]
+    assert told["calls"] == sum(int(x[3]) + int(x[4]) for x in rows_) > 0
+    # a table from standard input
+    monkeypatch.setattr(sys, "stdin", io.TextIOWrapper(io.BytesIO(f"zeta\t1\t2\t50\t1\t1\nzeta\t2\t3\t0\t0\t2\n".encode())))
+    told = cli.main(["merge-context", inputs[0], "-"], spark)
+    assert capsys.readouterr().out.splitlines()[1:] == ["zeta\t1\t3\t25\t1\t3"] and told["merged_records"] == 1
+
+
 def test_standalone_merge(spark, files, tmp_path):
     at, _ = files
     # zeta: ACGTCAGC...: CpG at 1-2, CHG at 4-6
