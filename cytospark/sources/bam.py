@@ -1,63 +1,107 @@
 """BAM files as a Spark data source: spark.read.format("bam").load(path).
 
-A partition is a range of bytes of the file. Its reader looks for the first block of the compressed file in the range and
-reads on to the first block of the next one; records that cross the boundary are read by the partition in which they begin.
-Record boundaries can't be seen in the middle of a file, so the offsets at which partitions may begin come from a scan of
-the block headers and record lengths when the read is planned; block headers are 18 bytes of each 64 KB at most.
-CRAM isn't supported.
+A partition is a range of the compressed file. With an index beside the file (.bai) partitions begin at records that it names,
+and a filter of the contig and the place (rid, start) reads only the part of the file that it needs. Without one, planning
+looks at the header alone: each task finds the first block in its range and the first record in that, by checking that
+several plausible records follow one another. Records that cross a boundary are read by the partition in which they begin.
+A record's ord is its virtual offset (the block's place in the file, then the record's in the block). CRAM isn't
+supported.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
-from .sam import READS
+from .sam import CONTIGS, READS
 
 BASES = "=ACMGRSVTWYHKDBN"
 OPS = "MIDNSHP=X"
-
-
-def blocks(path: str) -> Iterator[tuple[int, bytes]]:
-    """Offset and content of each BGZF block."""
-    with open(path, "rb") as f:
-        at = 0
-        while head := f.read(18):
-            if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04":
-                raise ValueError(f"{path}: no BGZF block at {at}")
-            extra = struct.unpack_from("<H", head, 10)[0]
-            fields = head[12:] + f.read(extra - 6)
-            size, k = None, 0
-            while k < extra:
-                a, n = fields[k : k + 2], struct.unpack_from("<H", fields, k + 2)[0]
-                if a == b"BC":
-                    size = struct.unpack_from("<H", fields, k + 4)[0] + 1
-                k += 4 + n
-            body = f.read(size - 12 - extra)
-            yield at, zlib.decompress(body[:-8], -15)
-            at += size
+MAGIC = b"\x1f\x8b\x08\x04"
+#: Compressed bytes of a partition, records of an Arrow batch, and records that must follow one another for the first of them to be
+#: taken for one.
+SPLIT, BATCH, CHAIN = 64 << 20, 2048, 6
+END = 1 << 63
+_letters = str.maketrans("0123456789abcdef", BASES)
+_phred = bytes(min(q + 33, 255) for q in range(256))
+
+
+def block_size(head: bytes) -> int | None:
+    """The bytes of the block that begins with head; null if none does."""
+    if head[:4] != MAGIC or len(head) < 18:
+        return None
+    k, stop = 12, 12 + struct.unpack_from("<H", head, 10)[0]
+    while k + 6 <= min(stop, len(head)):
+        if head[k : k + 4] == b"BC\x02\0":
+            return struct.unpack_from("<H", head, k + 4)[0] + 1
+        k += 4 + struct.unpack_from("<H", head, k + 2)[0]
+    return None
 
 
 class Stream:
-    """Reads across blocks."""
-
-    def __init__(self, path: str):
-        self.blocks, self.data, self.at = blocks(path), b"", 0
+    """The contents of the blocks from an offset on, with the virtual offset of the place in them."""
+
+    def __init__(self, path: str, offset: int = 0):
+        self.path, self.file, self.offset = path, open(path, "rb"), offset
+        self.data, self.at, self.starts = b"", 0, [(0, offset)]  # starts: (place in data, file offset) of the blocks held
+
+    def __enter__(self) -> Stream:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.file.close()
+
+    def seek_block(self) -> bool:
+        """Goes on to the first block from the offset on; whether there is one."""
+        self.file.seek(self.offset)
+        window = self.file.read(1 << 17)  # a block has 64 KB at most
+        at = window.find(MAGIC)
+        while at >= 0:
+            size = block_size(window[at : at + 512])
+            if size and (window[at + size : at + size + 4] == MAGIC or self.offset + at + size == os.fstat(self.file.fileno()).st_size):
+                self.offset += at
+                self.data, self.at, self.starts = b"", 0, [(0, self.offset)]
+                return True
+            at = window.find(MAGIC, at + 1)
+        return False
+
+    def fill(self, n: int) -> bool:
+        """Whether n bytes are there from the place on."""
+        while len(self.data) - self.at < n:
+            self.file.seek(self.offset)
+            head = self.file.read(512)
+            if not head:
+                return False
+            size = block_size(head)
+            if size is None:
+                raise ValueError(f"{self.path}: no block at {self.offset}")
+            self.file.seek(self.offset)
+            body = self.file.read(size)
+            if len(body) < size:
+                raise ValueError(f"{self.path}: cut off")
+            more = zlib.decompress(body[12 + struct.unpack_from("<H", body, 10)[0] : -8], -15)
+            keep = max(p for p, _ in self.starts if p <= self.at)
+            self.data = self.data[keep:] + more
+            self.starts = [(p - keep, o) for p, o in self.starts if p >= keep] + [(len(self.data), self.offset + size)]
+            self.at, self.offset = self.at - keep, self.offset + size
+        return True
 
     def read(self, n: int) -> bytes:
-        while len(self.data) - self.at < n:
-            try:
-                _, more = next(self.blocks)
-            except StopIteration:
-                break
-            self.data, self.at = self.data[self.at :] + more, 0
+        self.fill(n)
         out = self.data[self.at : self.at + n]
         self.at += len(out)
         return out
 
+    def virtual(self) -> int:
+        """The virtual offset of the place; the one in the next block at a block's end."""
+        place, offset = max((p, o) for p, o in self.starts if p <= self.at)
+        return offset << 16 | self.at - place
+
 
 def contigs(stream: Stream) -> list[tuple[str, int]]:
     """Reads the header."""
@@ -72,6 +116,48 @@ def contigs(stream: Stream) -> list[tuple[str, int]]:
     return out
 
 
+def plausible(stream: Stream, at: int, lengths: list[int]) -> int | None:
+    """The place after what may be a record at a place of the stream's data; null if it can't be one."""
+    stream.at = at
+    if not stream.fill(36):
+        return None
+    at = stream.at
+    size, rid, start, n_name, _, _, n_cigar, _, n_bases, other, place, _ = struct.unpack_from("<iiiBBHHHiiii", stream.data, at)
+    if not -1 <= rid < len(lengths) or not -1 <= other < len(lengths) or n_name < 1 or n_bases < 0 or place < -1:
+        return None
+    if start < -1 or rid >= 0 and start > lengths[rid] or size < 32 + n_name + 4 * n_cigar + (n_bases + 1) // 2 + n_bases:
+        return None
+    if not stream.fill(36 + n_name + 4 * n_cigar):
+        return None
+    at = stream.at
+    name = stream.data[at + 36 : at + 36 + n_name]
+    if name[-1] or any(not 33 <= c <= 126 for c in name[:-1]):
+        return None
+    if any(op & 15 > 8 for op in struct.unpack_from(f"<{n_cigar}I", stream.data, at + 36 + n_name)):
+        return None
+    return size + 4
+
+
+def first_record(stream: Stream, lengths: list[int]) -> bool:
+    """Goes on to the first place from which CHAIN plausible records follow, or as many as the file has; whether there is one."""
+    while stream.fill(1):
+        began, n = stream.virtual(), 0
+        mark = Stream(stream.path, began >> 16)
+        with mark:
+            mark.read(began & 0xFFFF)
+            while n < CHAIN and mark.fill(1):
+                size = plausible(mark, mark.at, lengths)
+                if size is None or not mark.fill(size):
+                    n = -1
+                    break
+                mark.at += size
+                n += 1
+        if n > 0:
+            return True
+        stream.at += 1
+    return False
+
+
 def tags(data: bytes) -> dict[str, tuple[str, object]]:
     """Type and value of each tag; arrays as tuples."""
     sizes = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
@@ -105,9 +191,8 @@ def record(data: bytes, number: int, names: list[str]) -> tuple:
     name = data[32 : at - 1].decode()
     cigar = struct.unpack_from(f"<{n_cigar}I", data, at)
     at += 4 * n_cigar
-    packed = data[at : at + (n_bases + 1) // 2]
-    bases = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:n_bases]
-    at += len(packed)
+    bases = data[at : at + (n_bases + 1) // 2].hex().translate(_letters)[:n_bases]
+    at += (n_bases + 1) // 2
     quals = data[at : at + n_bases]
     found = tags(data[at + n_bases :])
     if n_cigar == 2 and "CG" in found and cigar[0] & 15 == 4 and cigar[0] >> 4 == n_bases and cigar[1] & 15 == 3:
@@ -123,82 +208,116 @@ def record(data: bytes, number: int, names: list[str]) -> tuple:
         mapq,
         "".join(f"{c >> 4}{OPS[c & 15]}" for c in cigar) or "*",
         bases or "*",
-        "*" if not quals or quals[0] == 255 else "".join(chr(q + 33) for q in quals),
+        "*" if not quals or quals[0] == 255 else quals.translate(_phred).decode("latin-1"),
         str(xg[1]) if xg else None,
         ("i" if nh[0] in "cCsSiI" else nh[0]) + f":{nh[1]}" if nh else None,
     )
 
 
+def index_of(path: str) -> list[tuple[list[tuple[int, int]], list[int]]] | None:
+    """For each contig the ranges of virtual offsets with its records, and for each 16 kb the offset of the first record that reaches
+    into it or beyond; null without an index."""
+    at = next((x for x in (f"{path}.bai", f"{path.removesuffix('.bam')}.bai") if os.path.exists(x)), None)
+    if not at:
+        return None
+    with open(at, "rb") as f:
+        data = f.read()
+    if data[:4] != b"BAI\x01":
+        raise ValueError(f"{at}: no index")
+    place, out = 4, []
+
+    def take(kind: str) -> tuple:
+        nonlocal place
+        place += struct.calcsize(kind)
+        return struct.unpack_from(kind, data, place - struct.calcsize(kind))
+
+    for _ in range(take("<i")[0]):
+        ranges = []
+        for _ in range(take("<i")[0]):
+            number, n = take("<Ii")
+            ranges += [take("<QQ") for _ in range(n)] if number != 37450 else [take("<QQ") and None for _ in range(n)]
+        out.append((sorted(r for r in ranges if r), list(take(f"<{take('<i')[0]}Q"))))
+    return out
+
+
 class Range(InputPartition):
-    def __init__(self, first: int, skip: int, number: int, count: int):
-        self.first, self.skip, self.number, self.count = first, skip, number, count
+    """Records that begin from one virtual offset on and before another; known: whether one begins at the first."""
+
+    def __init__(self, begin: int, end: int, known: bool):
+        self.begin, self.end, self.known = begin, end, known
 
 
 class BamReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"].removeprefix("file://").removeprefix("file:")
-        self.records = int(options.get("recordsPerPartition", "200000"))
+        self.split = int(options.get("splitBytes", SPLIT))
+        self.rid, self.least, self.most = None, None, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Takes note of the contig and the range of starts; Spark still applies all filters."""
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("rid",):
+                self.rid = f.value
+            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)) and f.attribute == ("start",):
+                self.least = max(f.value, self.least if self.least is not None else f.value)
+            elif isinstance(f, (LessThan, LessThanOrEqual)) and f.attribute == ("start",):
+                self.most = min(f.value, self.most if self.most is not None else f.value)
+            yield f
 
     def partitions(self) -> list[Range]:
-        """Places (block, bytes to skip in it, number of the first record, records) of equal numbers of records."""
-        out, number = [], 0
-        data, at, starts = b"", 0, []  # starts: (place in data, file offset) of the blocks held
-
-        source = blocks(self.path)
-
-        def fill(n: int) -> bool:
-            nonlocal data, at, starts
-            while len(data) - at < n:
-                nxt = next(source, None)
-                if nxt is None:
-                    return False
-                keep = max((p for p, _ in starts if p <= at), default=0)
-                data, at = data[keep:], at - keep
-                starts = [(p - keep, o) for p, o in starts if p >= keep] + [(len(data), nxt[0])]
-                data += nxt[1]
-            return True
-
-        def take(n: int) -> bytes:
-            nonlocal at
-            if not fill(n):
-                raise ValueError(f"{self.path}: cut off")
-            at += n
-            return data[at - n : at]
-
-        take(4)
-        take(struct.unpack("<i", take(4))[0])
-        for _ in range(struct.unpack("<i", take(4))[0]):
-            take(struct.unpack("<i", take(4))[0] + 4)
-        while fill(4):
-            if number % self.records == 0:
-                place, offset = max((p, o) for p, o in starts if p <= at)
-                out.append(Range(offset, at - place, number, self.records))
-            take(struct.unpack("<i", take(4))[0])
-            number += 1
-        return out
-
-    def read(self, part: Range) -> Iterator[tuple]:
-        names = [n for n, _ in contigs(Stream(self.path))]
-        stream = Stream.__new__(Stream)
-        stream.blocks, stream.data, stream.at = ((o, d) for o, d in blocks_from(self.path, part.first)), b"", 0
-        stream.read(part.skip)
-        for k in range(part.count):
-            head = stream.read(4)
-            if len(head) < 4:
+        """Ranges of SPLIT compressed bytes. The header and the index are all that is read."""
+        with Stream(self.path) as stream:
+            contigs(stream)
+            if not stream.fill(1):
+                return []
+            first = stream.virtual()
+        index = index_of(self.path)
+        if index is None:
+            cuts = [o << 16 for o in range(0, os.path.getsize(self.path), self.split) if o << 16 > first]
+            edges = [first, *cuts, END]
+            return [Range(a, b, a == first) for a, b in zip(edges, edges[1:])]
+        begin, end, parts = first, END, index
+        if self.rid is not None:
+            ranges, linear = index[self.rid] if 0 <= self.rid < len(index) else ([], [])
+            if 0 <= self.rid and not ranges:
+                return []
+            if ranges:
+                begin, end, parts = ranges[0][0], max(b for _, b in ranges), [index[self.rid]]
+                if self.least is not None and self.least >> 14 < len(linear):
+                    begin = max(begin, linear[max(self.least, 0) >> 14])
+        edges = [begin]
+        for cut in sorted({a for ranges, linear in parts for a in (*(r[0] for r in ranges), *linear)}):
+            if begin < cut < end and (cut >> 16) - (edges[-1] >> 16) >= self.split:
+                edges.append(cut)
+        return [Range(a, b, True) for a, b in zip(edges, [*edges[1:], end])]
+
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        with Stream(self.path) as stream:
+            header = contigs(stream)
+        kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+        names, schema = [n for n, _ in header], pa.schema([(n, kinds[k]) for n, k in map(str.split, READS.split(", "))])
+        sorted_ = index_of(self.path) is not None
+        rows: list[tuple] = []
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        with Stream(self.path, part.begin >> 16) as stream:
+            if part.known:
+                stream.read(part.begin & 0xFFFF)
+            elif not stream.seek_block() or not first_record(stream, [n for _, n in header]):
                 return
-            yield record(stream.read(struct.unpack("<i", head)[0]), part.number + k, names)
-
-
-def blocks_from(path: str, offset: int) -> Iterator[tuple[int, bytes]]:
-    """blocks() from an offset at which one begins."""
-    with open(path, "rb") as f:
-        f.seek(offset)
-        while len(head := f.read(12)) == 12:
-            extra = f.read(struct.unpack_from("<H", head, 10)[0])
-            k = extra.index(b"BC\x02\x00")
-            size = struct.unpack_from("<H", extra, k + 4)[0] + 1
-            yield offset, zlib.decompress(f.read(size - 12 - len(extra))[:-8], -15)
-            offset += size
+            while stream.fill(4) and (number := stream.virtual()) < part.end:
+                data = stream.read(struct.unpack("<i", stream.read(4))[0])
+                rid, start = struct.unpack_from("<ii", data)
+                late = self.most is not None and start > self.most
+                if sorted_ and self.rid is not None and rid == self.rid and late:
+                    break
+                if late or self.rid is not None and rid != self.rid or self.least is not None and start < self.least:
+                    continue
+                rows.append(record(data, number, names))
+                if len(rows) >= BATCH:
+                    yield batch()
+                    rows.clear()
+        if rows:
+            yield batch()
 
 
 class BamSource(DataSource):
@@ -217,8 +336,8 @@ class BamSource(DataSource):
 
 def read_bam(spark, path: str):
     """reads and contigs of a BAM file."""
-    from .sam import CONTIGS
-
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BamSource)
-    found = contigs(Stream(path))
+    with Stream(path) as stream:
+        found = contigs(stream)
     return spark.read.format("bam").load(path), spark.createDataFrame([(i, n, k) for i, (n, k) in enumerate(found)], CONTIGS)

@@ -308,10 +308,41 @@ def test_bam_reads_as_sam(spark, files, loaded, long_cigar):
     assert [tuple(r) for r in contigs.collect()] == [(i, n, len(s)) for i, (n, s) in enumerate(samples.CONTIGS.items())]
     drop = lambda df: [tuple(r)[1:] for r in df.orderBy("ord").collect()]
     assert drop(got) == drop(loaded[0])
-    reader = BamReader({"path": str(path), "recordsPerPartition": "13"})
-    parts = reader.partitions()
-    assert len(parts) == -(-len(rows) // 13)
-    assert [r[1] for p in parts for r in reader.read(p)] == [r["name"] for r in rows]
+    names = lambda reader: [n for p in reader.partitions() for b in reader.read(p) for n in b.column("name").to_pylist()]
+    for split in (150, 700, 5000, 1 << 20):  # boundaries within records, blocks and the header
+        reader = BamReader({"path": str(path), "splitBytes": str(split)})
+        assert names(reader) == [r["name"] for r in rows]
+        assert len(reader.partitions()) > 1 or split > 5000
+
+
+def test_bam_index_reads_what_a_region_needs(spark, files, loaded, tmp_path):
+    _, rows = files
+    rows = sorted(rows, key=lambda r: (r["rid"], r["start"]))
+    path = tmp_path / "reads.bam"
+    path.write_bytes(bgzf(bam(rows), 400))
+    plain = BamReader({"path": str(path)})
+    offsets = [x for b in plain.read(plain.partitions()[0]) for x in b.column("ord").to_pylist()]
+    assert offsets == sorted(set(offsets)) and len(offsets) == len(rows)
+    out, ends = b"BAI\x01" + struct.pack("<i", 2), [*offsets[1:], path.stat().st_size << 16]
+    for rid in (0, 1):
+        own = [i for i, r in enumerate(rows) if r["rid"] == rid]
+        chunks = [(offsets[i], ends[i]) for i in own[::5]] + [(offsets[own[0]], ends[own[-1]])]
+        out += struct.pack("<i", 2) + struct.pack("<Ii", 4681, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks)
+        out += struct.pack("<Ii", 37450, 2) + struct.pack("<QQQQ", 0, 0, len(own), 0) + struct.pack("<iQ", 1, offsets[own[0]])
+    (tmp_path / "reads.bam.bai").write_bytes(out)
+    indexed = BamReader({"path": str(path), "splitBytes": "200"})
+    parts = indexed.partitions()
+    assert len(parts) > 3 and [n for p in parts for b in indexed.read(p) for n in b.column("name").to_pylist()] == [r["name"] for r in rows]
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
+
+    pushed = [EqualTo(("rid",), 1), GreaterThanOrEqual(("start",), 3), LessThan(("start",), 12)]
+    assert list(indexed.pushFilters(pushed)) == pushed
+    assert indexed.partitions()[0].begin == offsets[[r["rid"] for r in rows].index(1)]
+    got = [n for p in indexed.partitions() for b in indexed.read(p) for n in b.column("name").to_pylist()]
+    assert got == [r["name"] for r in rows if r["rid"] == 1 and 3 <= r["start"] <= 12]
+    reads, _ = read_bam(spark, str(path))
+    found = reads.where("rid = 1 and start >= 3 and start < 12").orderBy("ord").collect()
+    assert [r["name"] for r in found] == [r["name"] for r in rows if r["rid"] == 1 and 3 <= r["start"] < 12]
 
 
 def test_command_line(spark, files, tmp_path):
