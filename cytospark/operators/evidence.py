@@ -60,11 +60,16 @@ def _bases(rows: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select(*keep, F.expr("q + k").alias("qpos"), F.expr("r + k").alias("pos"), base, qual)
 
 
+#: The places of a piece. All strings that are looked into for each place stand in the generator's input, as Spark otherwise cuts
+#: them out anew for each row that it generates.
+_PLACES = "sequence(0, least(n, coalesce(length(b), n), coalesce(length(s), n){more}) - 1)"
+
+
 def exploded(reads: DataFrame, keep: list[str | Column]) -> DataFrame:
     """One row for each aligned base of aligned() reads: the columns of keep, qpos, pos, base and qual."""
     rows = pieces(reads, keep)
     names = rows.columns[:-5]
-    return _bases(rows.select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("k")), names)
+    return _bases(rows.select("*", F.explode(F.expr(_PLACES.format(more=""))).alias("k")), names)
 
 
 def at_cytosines(reads: DataFrame, chunks: DataFrame, keep: list[str | Column], contexts: tuple[str, ...], informative: bool = False, gaps: bool = False) -> DataFrame:
@@ -75,9 +80,10 @@ def at_cytosines(reads: DataFrame, chunks: DataFrame, keep: list[str | Column],
     rows = pieces(reads, keep, gaps)
     names = rows.columns[:-5]
     found = rows.withColumn("cell", F.expr(f"r div {CELL}")).join(cells(chunks).drop("first"), ["rid", "cell"])
-    found = found.select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("k")).withColumn("_at", F.expr(f"cast(r - cell * {CELL} as int) + k"))
-    found = found.where("_at < length(around) - 4")  # a read may reach beyond the reference
-    found = at_places(found, "_at", [*names, "chrom", "q", "r", "k", "b", "s"]).where(F.col("ctx").isin(*contexts))
+    found = found.withColumn("around", F.expr(f"substring(around, cast(r - cell * {CELL} as int) + 1, n + 4)"))
+    found = found.where("length(around) > 4")  # a read may reach beyond the reference
+    found = found.select("*", F.explode(F.expr(_PLACES.format(more=", length(around) - 4"))).alias("k"))
+    found = at_places(found, "k", [*names, "chrom", "q", "r", "k", "b", "s"]).where(F.col("ctx").isin(*contexts))
     out = _bases(found, [*names, "chrom", "fwd", "ctx", "tri"])
     return out.where("fwd = top and if(top, base in ('C', 'T'), base in ('G', 'A'))") if informative else out
 

@@ -57,12 +57,15 @@ def inside(rows: DataFrame, bed: DataFrame | None, top: str = "top", pos: str =
 
 
 def touching(reads: DataFrame, bed: DataFrame | None) -> DataFrame:
-    """Aligned reads (ord, rid, top, start, stop) that overlap an interval of their strand; a read is in several bins only for the
-    join. A read of no length touches nothing."""
+    """Aligned reads (ord, rid, top, start, stop) that overlap an interval of their strand. A read of no length touches nothing. Reads
+    within one bin meet the intervals in a semi-join and go on from there; only those that lie in several bins are looked up
+    by their parts first."""
     if bed is None:
         return reads
-    bins = F.sequence(F.floor(F.col("start") / BIN), F.floor(F.greatest(F.col("stop") - 1, F.col("start")) / BIN))
-    spread = reads.select("ord", F.col("rid"), F.col("top"), F.col("start"), F.col("stop"), F.explode(bins).alias("_b"))
-    on = (F.col("rid") == F.col("_rid")) & (F.col("top") == F.col("_top")) & (F.col("_b") == F.col("_bin"))
-    hit = spread.join(binned(bed), on & (F.col("start") < F.col("e")) & (F.col("s") < F.col("stop")), "left_semi").select("ord")
-    return reads.join(hit, "ord", "left_semi")
+    first, last = F.floor(F.col("start") / BIN), F.floor(F.greatest(F.col("stop") - 1, F.col("start")) / BIN)
+    on = (F.col("rid") == F.col("_rid")) & (F.col("top") == F.col("_top")) & (F.col("start") < F.col("e")) & (F.col("s") < F.col("stop"))
+    inner = reads.where(first == last).join(binned(bed), on & (first == F.col("_bin")), "left_semi")
+    several = reads.where(first != last)
+    spread = several.select("ord", "rid", "top", "start", "stop", F.explode(F.sequence(first, last)).alias("_b"))
+    hit = spread.join(binned(bed), on & (F.col("_b") == F.col("_bin")), "left_semi").select("ord")
+    return inner.unionByName(several.join(hit, "ord", "left_semi"))

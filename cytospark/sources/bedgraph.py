@@ -14,24 +14,31 @@ def whole(text: Column) -> Column:
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """ord, chrom, start, end, methylated, unmethylated of each line. Empty lines and lines that begin with track are passed
+    """ord, block, chrom, start, end, methylated, unmethylated of each line. Empty lines and lines that begin with track are passed
     over; others that aren't six tab-separated fields with end = start + 1, a percentage of 100 at most and a depth above 0
-    are errors, as are starts that don't grow within a chromosome and chromosomes that come again."""
+    are errors, as are starts that don't grow from line to line of a chromosome. Lines are held against the ones before them
+    within each block of the file; check_chromosome_order() looks at the blocks' ends."""
     lines = numbered_lines(spark, path).where((F.col("value") != "") & ~F.col("value").startswith("track"))
     f = F.split("value", "\t")
-    rows = lines.select("ord", "value", F.size(f).alias("n"), f[0].alias("chrom"), *(whole(F.get(f, F.lit(i))).alias(c) for i, c in enumerate(("start", "end", "pct", "m", "u"), 1)))
+    rows = lines.select("ord", "block", "value", F.size(f).alias("n"), f[0].alias("chrom"), *(whole(F.get(f, F.lit(i))).alias(c) for i, c in enumerate(("start", "end", "pct", "m", "u"), 1)))
     ok = (F.col("n") == 6) & (F.col("chrom") != "") & (F.col("end") == F.col("start") + 1) & (F.col("pct") <= 100) & (F.col("m") + F.col("u") > 0)
     bad = F.raise_error(F.concat(F.lit(f"{path}: not a metric: "), F.col("value"))).cast("string")
-    rows = rows.select("ord", F.when(F.coalesce(ok, F.lit(False)), F.col("chrom")).otherwise(bad).alias("chrom"), "start", "end", F.col("m").alias("methylated"), F.col("u").alias("unmethylated"))
-    before = Window.partitionBy("chrom").orderBy("ord")
+    rows = rows.select("ord", "block", F.when(F.coalesce(ok, F.lit(False)), F.col("chrom")).otherwise(bad).alias("chrom"), "start", "end", F.col("m").alias("methylated"), F.col("u").alias("unmethylated"))
+    before = Window.partitionBy("block").orderBy("ord")
     order = F.raise_error(F.concat(F.lit(f"{path}: positions must grow: "), F.col("chrom"), F.lit(":"), F.col("start").cast("string"))).cast("long")
-    rows = rows.withColumn("start", F.when(F.col("start") > F.coalesce(F.lag("start").over(before), F.lit(-1)), F.col("start")).otherwise(order))
-    return rows
+    falls = (F.lag("chrom").over(before) == F.col("chrom")) & (F.col("start") <= F.lag("start").over(before))
+    return rows.withColumn("start", F.when(F.coalesce(falls, F.lit(False)), order).otherwise(F.col("start")))
 
 
 def check_chromosome_order(metrics: DataFrame, path: str) -> None:
-    """Raises if a chromosome comes again: the ranges of lines of the chromosomes must not overlap. One row each is looked at."""
-    spans = metrics.groupBy("chrom").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).orderBy("lo").collect()
-    for a, b in zip(spans, spans[1:]):
-        if b["lo"] < a["hi"]:
-            raise ValueError(f"{path}: chromosome {a['chrom']} comes again")
+    """Raises if a chromosome comes again or if starts don't grow from one block of the file to the next. The driver gets a row for
+    each chromosome and block."""
+    ends = lambda f: f(F.struct("start", "ord"), "ord")["start"]
+    parts = metrics.groupBy("block", "chrom").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), ends(F.min_by).alias("first"), ends(F.max_by).alias("last")).orderBy("lo").collect()
+    seen: set[str] = set()
+    for a, b in zip([None, *parts], parts):
+        if a and b["lo"] < a["hi"] or b["chrom"] in seen and a["chrom"] != b["chrom"]:
+            raise ValueError(f"{path}: chromosome {b['chrom'] if b['chrom'] in seen else a['chrom']} comes again")
+        if a and a["chrom"] == b["chrom"] and b["first"] <= a["last"]:
+            raise ValueError(f"{path}: positions must grow: {b['chrom']}:{b['first']}")
+        seen.add(b["chrom"])

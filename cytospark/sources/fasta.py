@@ -7,6 +7,8 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .sam import numbered_lines
+
 #: Reference bases of a chunk; a multiple of the cells in which reads meet the reference.
 CHUNK = 1 << 14
 
@@ -15,8 +17,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """chrom, start, seq (as in the file): the lines of a FASTA file with their places. A name that occurs twice is an error.
     Lengths add up within each block of the file; the driver gets a row for each header and each block, and sends back where
     each of them begins."""
-    text = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("ord"))
-    lines = text.withColumn("head", F.col("value").startswith(">")).withColumn("seq", F.when(F.col("head"), "").otherwise(F.regexp_replace("value", r"\s", "")))
+    lines = numbered_lines(spark, path).withColumn("head", F.col("value").startswith(">")).withColumn("seq", F.when(F.col("head"), "").otherwise(F.regexp_replace("value", r"\s", "")))
     within = Window.partitionBy("block").orderBy("ord")
     lines = lines.withColumn("nth", F.sum(F.col("head").cast("int")).over(within)).withColumn("n", F.length("seq").cast("long"))
     parts = lines.groupBy("block", "nth").agg(F.sum("n").alias("n"), F.max(F.when(F.col("head"), F.col("value"))).alias("name")).orderBy("block", "nth").collect()

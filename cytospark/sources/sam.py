@@ -10,10 +10,10 @@ CONTIGS = "rid int, chrom string, length long"
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of one file as value and ord, which grows along the file. A line's place in its block is less than the
-    block's bytes, so the block's offset plus that place orders all lines without a shuffle."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_block"))
-    return lines.select("value", (F.col("_block") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("ord"))
+    """The lines of one file as value, ord, which grows along the file, and block, the offset of the file's block. A line's place in
+    its block is less than the block's bytes, so the block's offset plus that place orders all lines without a shuffle."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"))
+    return lines.select("value", (F.col("block") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("ord"), "block")
 
 
 def header(lines: DataFrame) -> list[tuple[int, str, int]]:
