@@ -58,6 +58,20 @@ def shuffled(spark, texts):
     return frame(spark, texts).repartition(5, "text")
 
 
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), {"spark.checkpoint.dir": None}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session())
+
+
 # 1 byte-level BPE
 
 
