@@ -52,7 +52,7 @@ def headers_of(pages: DataFrame, date: str) -> Column:
 def write_archive(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z") -> None:
     """Writes path/payloads and path/headers for the rows of pages (page_id, url, html; null html: empty payload). Of records
     with equal payloads of LEAST bytes or more, that with the largest page_id is the response. Rows that agree in page_id
-    and payload give a record each, the response's page also a revisit of itself. Copies are combined within tasks before
+    and payload give a record each, of the same type and under the same URN. Copies are combined within tasks before
     the shuffle, so that a payload that a third of all pages share moves once from each task."""
     payload = F.coalesce(pages["html"], F.lit("")).cast("binary")
     own = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha256", F.sha2("payload", 256))
