@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, infill, language, near_dedup, packing, quality, secrets, substring_dedup, url_filter, warc
+from . import bpe, fingerprint, infill, language, near_dedup, packing, prefix_trie, quality, secrets, substring_dedup, url_filter, warc
 from .common import table
 
 #: Rules of the URL query: host, path, verdict.
@@ -66,6 +66,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.infill_report(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.paths_of(prefix_trie.rebuilt(prefix_trie.turns_of(table(spark, sf_dir, "conversations")))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [v for k, v in globals().items() if k.startswith("op") and callable(v) and k[2].isdigit()]
     return {f.__name__: f for f in sorted(own, key=lambda f: int(f.__name__[2:].split("_")[0]))}
@@ -114,4 +118,17 @@ parts AS (SELECT doc_id, t, n, array_to_string(u[1:lo], '') AS p, array_to_strin
   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM cut)
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
   sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM parts""",
+    "op12_prefix_trie": r"""
+WITH turns AS (SELECT conv_id AS c, turn, substr(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS k, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS w FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS i FROM turns),
+wanted AS (SELECT c, c - c % 20 AS base, xor(list_reduce([CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(c AS VARCHAR), '')], lambda a, b: list_reduce(CAST(range(8) AS BIGINT[]), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(a, b)), 4294967295), 4294967295) % 4 AS h FROM (SELECT DISTINCT c FROM own)),
+rebuilt AS (SELECT t.c, i, k, w FROM wanted t JOIN own o ON o.c = base WHERE i <= h UNION ALL SELECT t.c, i + 1000000, k, w FROM wanted t JOIN own o ON o.c = t.c WHERE i > h),
+paths AS (SELECT t.c, coalesce(ks, []) AS ks, coalesce(ws, []) AS ws FROM wanted t LEFT JOIN (SELECT c, list(k ORDER BY i) AS ks, list(w ORDER BY i) AS ws FROM rebuilt GROUP BY c) USING (c)),
+prefixes AS (SELECT c, d, len(ks) = d AS over_, sha256(array_to_string(ks[1:d], ',')) AS node, CASE WHEN d > 0 THEN sha256(array_to_string(ks[1:d - 1], ',')) END AS up, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS w FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM paths)),
+nodes AS (SELECT node, d, up, min(c) AS c, count(*) AS n, any_value(w) AS w, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (over_), '')) AS ends FROM prefixes GROUP BY node, d, up),
+kids AS (SELECT up, count(*) AS n FROM nodes GROUP BY up),
+own_ AS (SELECT a.*, coalesce(k.n, 0) AS kids, (a.n - 1) * a.w AS saved FROM nodes a LEFT JOIN kids k ON k.up = a.node),
+beneath AS (SELECT p.node, CAST(count(*) FILTER (x.kids = 0) AS BIGINT) AS leaves, CAST(sum(x.saved) AS BIGINT) AS saved FROM own_ x JOIN prefixes p ON p.c = x.c AND p.d <= x.d GROUP BY p.node)
+SELECT o.c AS conv_id, o.d AS depth, u.c AS parent_conv_id, o.n AS n_convs, o.kids AS n_children, leaves AS n_leaves, b.saved AS saved_tokens, o.ends AS ends_sha256
+FROM own_ o JOIN beneath b ON b.node = o.node LEFT JOIN nodes u ON u.node = o.up""",
 }
