@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, infill, language, near_dedup, packing, prefix_trie, quality, secrets, substring_dedup, url_filter, warc
+from . import bpe, fingerprint, infill, language, near_dedup, packing, prefix_trie, quality, quality_classifier, secrets, substring_dedup, url_filter, warc
 from .common import table
 
 #: Rules of the URL query: host, path, verdict.
@@ -70,6 +70,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.paths_of(prefix_trie.rebuilt(prefix_trie.turns_of(table(spark, sf_dir, "conversations")))))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.scored(docs, quality_classifier.learned(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [v for k, v in globals().items() if k.startswith("op") and callable(v) and k[2].isdigit()]
     return {f.__name__: f for f in sorted(own, key=lambda f: int(f.__name__[2:].split("_")[0]))}
