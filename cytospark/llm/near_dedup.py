@@ -12,12 +12,13 @@ over all of its bands: of a cloud of near copies that is one close to their comm
 similar. A confirmed link joins components; what is still in different components then is compared by the rarest shingles
 of each set, of which two similar sets must share one. So no pair is lost, and a large group never meets in full.
 
-Texts are read twice, for the sketches and for the sets of those documents that share a band. From then on only sets of
-digests move.
+Texts are read twice, for the sketches and for the words of those documents that share a band. Digests of shingles only propose
+pairs; links are confirmed by the shingles' words, and documents are one class by a cryptographic digest of theirs.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from fractions import Fraction
@@ -44,6 +45,8 @@ BLOCK = 1024
 SURE = 25.0
 #: Members of a bucket of which all pairs are candidates.
 FEW = 6
+#: Texts that are held against one copy of a text, about.
+SEATS = 256
 
 
 @lru_cache(maxsize=1)
@@ -53,16 +56,32 @@ def multipliers() -> tuple[np.ndarray, np.ndarray]:
     return a, np.array([xxhash.xxh3_64_intdigest(n, 2) for n in names], np.uint64)
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """The distinct 64-bit digests of the text's shingles, sorted: of each run of so many words, or of all words if there
-    are fewer; none without words. A-Z count as a-z."""
-    h = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())[0]
+def spoken(text: str | None) -> bytes:
+    """The words of a text in UTF-8, joined by blanks, with a-z for A-Z."""
+    return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
+
+
+def phrases(words: bytes, n: int) -> list[bytes]:
+    """The shingles of spoken() words: each run of n words, or of all words if there are fewer; none without words."""
+    w = words.split(b" ") if words else []
+    return list(map(b" ".join, zip(*(w[i:] for i in range(min(n, len(w)))))))
+
+
+def shingles(words: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct 64-bit digests of the shingles of spoken() words, sorted, and a place of each among phrases()."""
+    h = word_hashes(words)[0]
     if not len(h):
-        return np.empty(0, np.uint64)
-    out = runs(h, min(words, len(h)))
-    if len(h) < words:  # so that a short text isn't taken for a shingle of a longer one
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    out = runs(h, min(n, len(h)))
+    if len(h) < n:  # so that a short text isn't taken for a shingle of a longer one
         out += np.uint64(len(h))
-    return np.unique(out)
+    return np.unique(out, return_index=True)
+
+
+def set_digest(words: bytes, n: int, places: np.ndarray) -> str | None:
+    """A digest of the whole set of shingles, from their words; null for the empty one."""
+    own = phrases(words, n)
+    return hashlib.blake2b(b"\n".join([own[i] for i in places.tolist()]), digest_size=16).hexdigest() if own else None
 
 
 def registers(elements: np.ndarray) -> np.ndarray:
@@ -114,9 +133,10 @@ def sketched(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
         for batch in slices(batches):
             n, keys, bands = [], [], []
             for (t,) in columns(batch, "text"):
-                s = shingles(t, words)
+                own = spoken(t)
+                s, places = shingles(own, words)
                 n.append(len(s))
-                keys.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
+                keys.append(set_digest(own, words, places))
                 bands.append(registers(s).view("<i8") if len(s) else None)
             arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.string()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_key", "bands"])
@@ -140,36 +160,51 @@ def likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFram
 
 
 def elements(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """node and elements (the digests of the whole set, sorted, 8 bytes each) of the documents (doc_id, text) of ids (node); an id
-    with several texts has a row for each. Texts go to their tasks once and don't come back."""
+    """node, spoken (its words) and n (of a shingle) of the documents (doc_id, text) of ids (node) that have words; an id with several
+    texts has a row for each. Texts go to their tasks once and don't come back."""
     sent = docs.sparkSession.sparkContext.broadcast(bloom.build(ids, ids.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             some = batch.filter(pa.array(bloom.holds(sent.value, batch.column(0)), pa.bool_()))
-            sets = [shingles(t, words).astype("<u8", copy=False).tobytes() for (t,) in columns(some, "text")]
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sets, pa.binary())], names=["node", "elements"])
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([spoken(t) for (t,) in columns(some, "text")], pa.binary())], names=["node", "spoken"])
 
-    found = arrowed(docs.select("doc_id", "text"), run, "node long, elements binary").where("length(elements) > 0")
-    return settled(found.join(ids, "node", "left_semi").distinct())
+    found = arrowed(docs.select("doc_id", "text"), run, "node long, spoken binary").where("length(spoken) > 0")
+    return settled(found.join(ids, "node", "left_semi").distinct().withColumn("n", F.lit(words)))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose full sets have the similarity; of an id with several texts, any."""
+    """The pairs (a, b) whose full sets of shingles have the similarity, by the shingles' words; of an id with several texts, any.
+
+    Of a pair, the member with more pairs is the host. A host's text stands once before those of SEATS guests, which are
+    streamed past its set; a host of more guests has several such tables, so no task gets all of a hub's pairs."""
     num, den = Fraction(str(similarity)).as_integer_ratio()
-    one = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
-    two = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
+    pairs = pairs.distinct()
+    company = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("k"))
+    known = pairs.join(company.select(F.col("node").alias("a"), F.col("k").alias("ka")), "a").join(company.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b")
+    first = F.col("ka") >= F.col("kb")
+    table = F.pmod(F.xxhash64("a", "b"), F.floor(F.greatest("ka", "kb") / SEATS) + 1).cast("int")
+    seated = settled(known.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("host"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("guest"), table.alias("seat")))
+    hosts = seated.select("host", "seat").distinct().join(sets, F.col("host") == F.col("node")).select("host", "seat", F.lit(None).cast("long").alias("guest"), "spoken", "n")
+    guests = seated.join(sets, F.col("guest") == F.col("node")).select("host", "seat", "guest", "spoken", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, []
         for batch in slices(batches):
-            ok = []
-            for x, y in columns(batch, "ea", "eb"):
-                x, y = sorted((np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")), key=len)
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                ok.append(den * both >= num * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return arrowed(pairs.join(one, "a").join(two, "b"), run, "a long, b long").distinct()
+            found = []
+            for host, seat, guest, words, n in columns(batch, "host", "seat", "guest", "spoken", "n"):
+                s = set(phrases(words, n))
+                if at != (host, seat):
+                    at, own = (host, seat), []
+                if guest is None:
+                    own.append(s)
+                elif any(den * (both := len(s & x)) >= num * (len(s) + len(x) - both) for x in own):
+                    found.append((min(host, guest), max(host, guest)))
+            a, b = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    met = hosts.unionByName(guests).repartition("host", "seat").sortWithinPartitions("host", "seat", F.col("guest").asc_nulls_first())
+    return arrowed(met, run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -238,13 +273,13 @@ def met_by_rarest(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [np.frombuffer(x, "<i8") for (x,) in columns(batch, "elements")]
+            found = [shingles(w, k)[0].view(np.int64) for w, k in columns(batch, "spoken", "k")]
             n = [len(x) for x in found]
             at = np.repeat(np.arange(len(found)), n)
             token = np.concatenate([np.empty(0, np.int64), *found])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(np.array(n, np.int64)[at]), pa.array(token)], names=["node", "label", "n", "token"])
 
-    own = nodes.join(sets, "node").select("node", "label", "elements")
+    own = nodes.join(sets, "node").select("node", "label", "spoken", F.col("n").alias("k"))
     rows = settled(arrowed(own, run, "node long, label long, n long, token long").distinct())
     often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
     first = (F.col("n") - F.expr(f"(n * {num} + {den - 1}) div {den}") + 1).cast("int")

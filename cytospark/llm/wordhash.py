@@ -3,54 +3,19 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-#: Bytes that are digested at a time, if words allow.
-PART = 1 << 18
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> list[np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64; kept for the longest part so far."""
-    if len(_powers[0]) < n:
-        with np.errstate(over="ignore"):
-            for k, base in enumerate((_BASE, _INVERSE)):
-                factors = np.full(n, np.uint64(base))
-                factors[0] = 1
-                _powers[k] = np.multiply.accumulate(factors)
-    return _powers
-
-
-def _part(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    edges = np.diff((~_WHITE[data]).astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    p, q = powers(max(len(data) + 1, PART))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * q[starts]
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29)), starts, ends
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The digest, start and end of each word (a run of bytes other than the six white-space ones). A word's digest is a
-    polynomial of its bytes, taken from running sums and mixed; it doesn't depend on where the word stands."""
-    array = np.frombuffer(data, np.uint8)
-    if len(array) <= PART:
-        return _part(array)
-    out, at = [], 0
-    while at < len(array):
-        stop = at + PART
-        while stop < len(array) and not _WHITE[array[stop]]:
-            stop += 1
-        h, a, b = _part(array[at:stop])
-        out.append((h, a + at, b + at))
-        at = stop
-    return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
+    """The digest, start and end of each word (a run of bytes other than the six white-space ones). Words are digested one by one by a
+    hash without algebra: a polynomial of their bytes would give some pairs of words the same digest, whatever its base."""
+    words = data.split()
+    edges = np.diff((~_WHITE[np.frombuffer(data, np.uint8)]).astype(np.int8), prepend=0, append=0)
+    digests = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return digests, np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
 def runs(h: np.ndarray, n: int) -> np.ndarray:
