@@ -4,7 +4,7 @@ the packed pieces. run() writes each stage's result to the shared folder and rea
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cytospark.llm import bloom, language, near_dedup, packing, secrets, substring_dedup
@@ -40,18 +40,29 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def numbered(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """docs with _node, a number for each pair of id and text (null for a null id); and for each of them _node, _id and n, its
-    rows. Of numbers drawn by a hash, those are taken under which no two pairs share one, as told by the texts' SHA-256."""
-    own = docs[doc_id].cast("long")
-    seed = 0
-    while True:
-        marked = docs.withColumn("_node", F.when(own.isNotNull(), F.xxhash64(F.lit(seed), own, docs[text])))
-        pair = F.struct(own.alias("id"), F.sha2(docs[text], 256).alias("digest"))
-        pairs = marked.where("_node is not null").select("_node", pair.alias("pair")).groupBy("_node")
-        ids = settled(pairs.agg(F.min("pair").alias("lo"), F.max("pair").alias("hi"), F.count(F.lit(1)).alias("n")))
-        if ids.where("not lo <=> hi").isEmpty():
-            return marked, ids.select("_node", F.col("lo.id").alias("_id"), "n")
-        seed += 1
+    """docs with _node, a number of its own for each pair of id and text (null for a null id); and for each of them _node, _id and n,
+    its rows. A pair's number is a hash of 63 bits, unless two pairs, as told by the texts' SHA-256, share one: these are ranked
+    and get negative numbers. Of 10^10 pairs some ten share a hash."""
+    own, digest = F.col(doc_id).cast("long"), F.sha2(F.col(text), 256)
+    marked = docs.withColumn("_hash", F.when(own.isNotNull(), hashed(own, F.col(text))))
+    rows = marked.where("_hash is not null").select("_hash", F.struct(own.alias("id"), digest.alias("digest")).alias("pair"))
+    pairs = settled(rows.groupBy("_hash", "pair").agg(F.count(F.lit(1)).alias("n")))
+    several = pairs.groupBy("_hash").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("_hash")
+    ranked = settled(pairs.join(several, "_hash").select("_hash", "pair", (-F.row_number().over(Window.orderBy("_hash", "pair"))).cast("long").alias("_rank")))
+    ids = pairs.join(ranked, ["_hash", "pair"], "left").select(F.coalesce("_rank", "_hash").alias("_node"), F.col("pair.id").alias("_id"), "n")
+    if ranked.isEmpty():
+        return marked.withColumnRenamed("_hash", "_node"), ids
+    # only rows of these hashes are moved
+    there, others = bloom.parted(marked, "_hash", several)
+    right = ranked.select(F.col("_hash").alias("_there"), F.col("pair").alias("_pair"), "_rank")
+    met = there.join(right, (F.col("_hash") == F.col("_there")) & F.col("_pair.id").eqNullSafe(own) & F.col("_pair.digest").eqNullSafe(digest), "left")
+    met = met.withColumn("_node", F.coalesce("_rank", "_hash")).drop("_there", "_pair", "_rank", "_hash")
+    return met.unionByName(others.withColumnRenamed("_hash", "_node")), ids
+
+
+def hashed(doc_id: Column, text: Column) -> Column:
+    """A number of 63 bits."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id, text), 1)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
