@@ -8,6 +8,7 @@ they stand near such a secret. Near means an interval join: parts meet in bins o
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "weak_secret", "account", "endpoint")
 WEAK = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,}+={0,2}+(?![A-Za-z0-9+/=_-])")
 ACCOUNT = re.compile(r"""(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.-]{3,}""", re.I | re.A)
-ENDPOINT = re.compile(r"""[a-z][a-z0-9+.-]*://[^\s"'<>]+|(?<![A-Za-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}(?![0-9])""")
+#: What follows an address's scheme, what a scheme may hold, and an address without one.
+AFTER_SCHEME, SCHEME = re.compile(r"""://[^\s"'<>]+"""), frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
+HOST = re.compile(r"(?<![A-Za-z0-9.-])[a-z0-9-]++(?:\.[a-z0-9-]++)++:[0-9]{2,5}(?![0-9])")
 SCOPE = re.compile(r"\n[\x20\t\r]*\n")
 #: Code points between two parts of one credential at most.
 REACH = 240
@@ -42,19 +45,53 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     ]
 
 
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """Addresses: from the first letter of a scheme on, found by going back from its end, so that a long run of letters is looked at
+    once; and hosts with ports outside of those."""
+    urls, end, mark = [], 0, text.find("://")
+    while mark >= 0:
+        at = mark
+        while at > end and text[at - 1] in SCHEME:
+            at -= 1
+        while at < mark and not text[at].isalpha():
+            at += 1
+        m = AFTER_SCHEME.match(text, mark) if at < mark else None
+        if m:
+            urls.append((at, end := m.end()))
+        mark = text.find("://", max(end, mark + 1))
+    return sorted(urls + [m.span() for m in HOST.finditer(text) if not overlapped(urls, *m.span())])
+
+
+def overlapped(spans: list[tuple[int, int]], start: int, stop: int) -> bool:
+    """Whether one of spans, which are in order and don't overlap one another, overlaps this one."""
+    k = bisect_left(spans, (stop,))
+    return k > 0 and spans[k - 1][1] > start
+
+
+def joint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def weak_parts(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int]]:
     """What may be part of a credential, with its scope's number: weak secrets outside the plain spans, access identifiers,
     account names and addresses. Nothing for texts without a weak secret."""
-    weak = []
+    weak, plain = [], joint([(a, b) for _, a, b in base])
     for m in WEAK.finditer(text):
         s = m.group()
-        if any(c.isdigit() for c in s) and s.lower() != s and s.upper() != s and not any(a < m.end() and m.start() < b for _, a, b in base):
+        if any(c.isdigit() for c in s) and s.lower() != s and s.upper() != s and not overlapped(plain, *m.span()):
             weak.append(("weak_secret", m.start(), m.end()))
     if not weak:
         return []
     parts = weak + [x for x in base if x[0] == "access"]
     parts += [("account", m.start(), m.end()) for m in ACCOUNT.finditer(text)]
-    parts += [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
+    parts += [("endpoint", a, b) for a, b in endpoints(text)]
     cuts, out, scope = [m.end() for m in SCOPE.finditer(text)], [], 0
     for kind, a, b in sorted(parts, key=lambda x: x[1]):
         while scope < len(cuts) and cuts[scope] <= a:
