@@ -56,7 +56,8 @@ def write_archive(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z
     the shuffle, so that a payload that a third of all pages share moves once from each task."""
     payload = F.coalesce(pages["html"], F.lit("")).cast("binary")
     own = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha256", F.sha2("payload", 256))
-    own.groupBy("sha256").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
+    once = own.groupBy("sha256").agg(F.first("payload").alias("payload"))
+    once.select("sha256", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("sha1")).write.parquet(f"{path}/payloads")
     rows = own.select("page_id", "url", "sha256", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"))
     rows = rows.withColumn("_shared", F.col("payload_bytes") >= LEAST)
     owners = rows.where("_shared").groupBy("sha256").agg(F.max("page_id").alias("_owner")).withColumnRenamed("sha256", "_sha256")
@@ -67,11 +68,11 @@ def write_archive(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """sha256, payload, payload_bytes and sha1 of each payload; reading one whose digest differs is an error."""
-    rows = spark.read.parquet(f"{path}/payloads")
-    wrong = F.raise_error(F.concat(F.lit("payload differs from its digest "), F.col("sha256"))).cast("string")
-    checked = F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("sha256")).otherwise(wrong)
-    return rows.select(checked.alias("sha256"), "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("sha1"))
+    """sha256, payload, payload_bytes and sha1 of each payload; reading the bytes of one whose digest differs is an error. Without
+    payload, no bytes are read."""
+    wrong = F.raise_error(F.concat(F.lit("payload differs from its digest "), F.col("sha256"))).cast("binary")
+    checked = F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(wrong)
+    return spark.read.parquet(f"{path}/payloads").select("sha256", checked.alias("payload"), "payload_bytes", "sha1")
 
 
 def field(text: Column, name: str) -> Column:
@@ -80,13 +81,14 @@ def field(text: Column, name: str) -> Column:
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record: page_id, headers, the fields of its headers, payload, payload_bytes, sha1, and record (its
-    exact bytes). Columns that aren't asked for aren't moved: Spark then joins on the digest without the payloads."""
-    heads = spark.read.parquet(f"{path}/headers")
-    rows = heads.join(read_payloads(spark, path), "sha256")
+    exact bytes). Columns that aren't asked for aren't moved. Only responses meet payloads for their records; a revisit has none
+    in its record, so those of a page that very many share move no bytes, unless payload is asked for."""
+    heads, payloads = spark.read.parquet(f"{path}/headers"), read_payloads(spark, path)
+    rows = heads.where("refers_to is null").join(payloads, "sha256").withColumn("body", F.col("payload"))
+    rows = rows.unionByName(heads.where("refers_to is not null").join(payloads, "sha256").withColumn("body", F.lit(b"")))
     text = F.regexp_extract(F.decode("headers", "UTF-8"), r"(?s)^(.*?\r\n)\r\n", 1)
     kind = field(text, "WARC-Type")
     said = F.regexp_replace(field(text, "WARC-Payload-Digest"), "^sha1:", "")
-    body = F.when(kind == "revisit", F.lit(b"")).otherwise(F.col("payload"))
     wrong = F.raise_error(F.lit("a record's digest differs from its payload's")).cast("string")
     return rows.select(
         "page_id",
@@ -99,7 +101,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         "payload",
         "payload_bytes",
         F.when(said == F.col("sha1"), F.col("sha1")).otherwise(wrong).alias("payload_digest"),
-        F.concat("headers", body, F.lit(b"\r\n\r\n")).alias("record"),
+        F.concat("headers", "body", F.lit(b"\r\n\r\n")).alias("record"),
     )
 
 
