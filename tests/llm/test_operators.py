@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -72,6 +73,19 @@ def test_shared_folder_must_be_named_on_a_cluster():
         common.shared_dir(Session())
 
 
+def twins() -> tuple[str, str]:
+    """Two texts of unlike words, to each of which a polynomial hash modulo a power of two gives the digest of the other's."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    return " ".join(["".join("ab"[x] for x in bits)] * 13), " ".join(["".join("ba"[x] for x in bits)] * 13)
+
+
+def test_words_that_polynomials_confuse(spark):
+    texts = list(twins())
+    got = near_dedup.near_duplicates(frame(spark, texts), 4).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == brute_components(texts, 4)
+    assert [tuple(r) for r in substring_dedup.removal_report(frame(spark, texts)).orderBy("doc_id").collect()] == brute_removal(texts)
+
+
 # 1 byte-level BPE
 
 
@@ -567,6 +581,17 @@ def test_archive_round_trip(spark):
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+def test_revisits_move_no_payloads(spark, tmp_path):
+    big = "hot page " * 400
+    pages = spark.createDataFrame([(i, f"http://x/{i}", big if i % 3 else f"{i} {big}") for i in range(60)], "page_id long, url string, html string")
+    warc.write_archive(pages, f"{tmp_path}/a")
+    found = warc.read_archive(spark, f"{tmp_path}/a")
+    plan = found.select("page_id", "record")._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in re.findall(r"ReadSchema: (\S+)", plan) if "headers" not in x]
+    assert len(scans) == 2 and sum("payload:binary" in x for x in scans) == 1
+    assert {(r["page_id"], bytes(r["payload"]).decode()) for r in found.collect()} == {(r["page_id"], r["html"]) for r in pages.collect()}
+
+
 def test_archive_notices_damage(spark):
     path = common.shared_path(spark, "warc")
     warc.write_archive(spark.createDataFrame([(1, "u", "page")], "page_id long, url string, html string"), path)
@@ -669,6 +694,30 @@ def test_peeling_recovers_the_changes(spark):
         assert sorted(x["n"] for x in r["changes"]) == [-1] * len(units(r["two"]) - units(r["one"])) + [1] * len(units(r["one"]) - units(r["two"]))
 
 
+def test_fingerprints_of_long_texts(spark):
+    a, b = ("\n".join(f"{side} {k}" for k in range(9_000)) for side in "ab")
+    rows = fingerprint.edit_report(frame(spark, [a, b])).orderBy("doc_id").collect()
+    for r, t, after in zip(rows, (a, b), (b, a)):
+        k = len(t) // 4
+        edited = t[: len(t) - k] + after[:k]
+        assert r["near_next"] == 0.0
+        assert abs(r["near_edited"] - (1 - len(units(t) ^ units(edited)) / (len(units(t)) + len(units(edited))))) < 1e-9
+
+
+@pytest.mark.parametrize("check", [1, 3])
+def test_cells_that_pass_for_single_digests(spark, check, monkeypatch):
+    """With few bits to check, very many cells of several digests pass for ones of a single digest."""
+    monkeypatch.setattr(fingerprint, "CHECK", check)
+    rng = random.Random(19)
+    rows = []
+    for n in (1, 8, 30, 300, 300):
+        a = [f"unit {rng.random()}" for _ in range(n)]
+        rows.append(("\n".join(a), "\n".join(x if rng.random() < 0.5 else f"new {rng.random()}" for x in a)))
+    for r in fingerprint.differing(spark.createDataFrame(rows, "one string, two string"), "one", "two").collect():
+        assert len({x["x"] for x in r["changes"]}) == len(r["changes"])
+        assert sorted(x["n"] for x in r["changes"]) == [-1] * len(units(r["two"]) - units(r["one"])) + [1] * len(units(r["one"]) - units(r["two"]))
+
+
 # 10 secrets
 
 
@@ -731,3 +780,39 @@ def test_weak_secrets_of_any_length(spark):
     assert got == {i: [("access", 0, 20), ("weak_secret", 21, 21 + len(s))] for i, s in enumerate(long)}
     assert {r["text"] for r in secrets.redact(frame(spark, texts)).collect()} == {"[secret] [secret]"}
     assert not secrets.WEAK.search(WEAK + "===") and not secrets.WEAK.search(WEAK[:31])
+
+
+def test_links_against_all_pairs(spark):
+    rng = random.Random(21)
+    kinds = ["weak_secret", "access", "account", "endpoint"]
+    parts = []
+    for k in range(400):
+        at = rng.randrange(3000)
+        parts.append((f"t{rng.randrange(4)}", rng.choice(kinds), at, at + rng.choice([1, 20, 40, 400]), at // 1000))
+    near = lambda a, b: a[0] == b[0] and a[4] == b[4] and a[2] - b[3] <= secrets.REACH and b[2] - a[3] <= secrets.REACH
+    of = lambda *which: [p for p in parts if p[1] in which]
+    named = {a for a in of("weak_secret") if any(near(a, b) for b in of("access", "account"))}
+    want = named | {a for a in of("account", "endpoint") if any(near(a, b) for b in named)}
+    df = spark.createDataFrame(parts, "text_key string, kind string, start int, stop int, scope int").repartition(3)
+    assert {tuple(r) for r in secrets.linked(df).select("text_key", "kind", "start", "stop", "scope").collect()} == want
+    assert 0 < len(named) < len(of("weak_secret")) or len(want) < len(set(parts))
+
+
+def test_endpoints():
+    whole = re.compile(r"""[a-z][a-z0-9+.-]*://[^\s"'<>]+|(?<![A-Za-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}(?![0-9])""")
+    rng = random.Random(5)
+    parts = ["http://a.b/c", "x", "9+s3://k", "://z", "db.example.org:5432", "a.b:1", " ", "é", "ftp://", "\n", "'", "A", ".-"]
+    for _ in range(300):
+        t = " ".join("".join(rng.choices(parts, k=rng.randrange(1, 3))) for _ in range(4))
+        assert secrets.endpoints(t) == [m.span() for m in whole.finditer(t)], t
+
+
+def test_long_runs_of_letters_take_no_long_time():
+    text = f"{'a' * 1_000_000} {'a.b' * 300_000} {WEAK} {'x' * 500_000}://y"
+    began = time.monotonic()
+    secrets.weak_parts(text, secrets.base_spans(text))
+    assert time.monotonic() - began < 5
+    spans = [(k, 10 * k, 10 * k + 5) for k in range(40_000)]
+    weak = " ".join([WEAK] * 10_000)
+    began = time.monotonic()
+    assert secrets.weak_parts(weak, [("hex", a, b) for _, a, b in spans]) and time.monotonic() - began < 5

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from cytospark.llm import queries
 
-from .test_operators import DOCS, WEAK, brute_components, edge_texts, empty, frame, prose
+from .test_operators import DOCS, WEAK, brute_components, edge_texts, empty, frame, prose, twins
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,7 +56,7 @@ def test_stages_leave_other_columns_alone(spark, stage):
 @pytest.mark.parametrize("name", list(queries.SQL))
 def test_query_agrees_with_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = queries.queries()[name](spark, SF)
     names = sorted(got.columns)
@@ -72,7 +72,7 @@ def test_pipeline_near_duplicates_match_all_pairs(spark):
 
 
 def test_every_query_has_its_columns():
-    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 14))
 
 
 def test_near_duplicates_judge_each_text_of_an_id(spark):
@@ -95,3 +95,26 @@ def test_language_stage_without_a_model(spark, lang):
     got = corpus_pipeline.language_stage(spark, docs, "")
     assert got.columns == docs.columns
     assert {(r["doc_id"], r["text"], r["lang"]) for r in got.collect()} == {(ids[k], texts[k], lang) for k in (0, 4, 5)}
+
+
+@pytest.mark.parametrize("hashes", [1, 5])
+def test_near_duplicates_where_hashes_are_shared(spark, hashes, monkeypatch):
+    """Pairs of id and text of which many share a hash are still told apart."""
+    monkeypatch.setattr(corpus_pipeline, "hashed", lambda doc_id, text: F.xxhash64(doc_id, text).bitwiseAND((1 << 62) - 1) % hashes)
+    rng = random.Random(14)
+    texts = [prose(rng, 60) for _ in range(12)]
+    rows = [*enumerate(texts), (20, texts[3] + " end"), (4, texts[4]), (4, texts[5] + " end"), (None, texts[0]), (30, None), (31, "")]
+    got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS), "").collect()
+    out = sorted(((r["doc_id"], r["text"]) for r in got), key=repr)
+    assert (20, texts[3] + " end") not in out and len([x for x in out if x[1] in (texts[5], texts[5] + " end")]) == 1
+    assert {x for x in out if x[0] != 4 and x[0] != 5} == {(i, t) for i, t in rows if i not in (4, 5, 20)}
+    marked, ids = corpus_pipeline.numbered(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS), "doc_id", "text")
+    pairs = {(r["_node"], r["doc_id"], r["text"]) for r in marked.where("doc_id is not null").collect()}
+    assert len({n for n, _, _ in pairs}) == len(pairs) == ids.count()
+
+
+def test_pipeline_keeps_texts_of_other_words(spark):
+    a, b = twins()
+    docs = frame(spark, [a, b])
+    assert corpus_pipeline.near_duplicate_stage(spark, docs, "").count() == 2
+    assert {r["text"] for r in corpus_pipeline.repeated_passage_stage(spark, docs, "").collect()} == {a, b}
