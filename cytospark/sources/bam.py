@@ -6,13 +6,20 @@ looks at the header alone: each task finds the first block in its range and the
 several plausible records follow one another. Records that cross a boundary are read by the partition in which they begin.
 A record's ord is its virtual offset (the block's place in the file, then the record's in the block). CRAM isn't
 supported.
+
+The option region ("rid:start-end", half open from 0) gives the records that overlap a region, which no filter of columns can say, as
+a record's end is none. The index then names the bins that may hold such records; of their chunks, what ends before the first
+record that reaches the region's window is cut off, and chunks that touch are read as one. Without an index the whole file
+is read for it.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,6 +56,8 @@ class Stream:
     def __init__(self, path: str, offset: int = 0):
         self.path, self.file, self.offset = path, open(path, "rb"), offset
         self.data, self.at, self.starts = b"", 0, [(0, offset)]  # starts: (place in data, file offset) of the blocks held
+        self.pin: int | None = None  # a place from which on data is held, too
+        self.taken = 0  # compressed bytes that were read
 
     def __enter__(self) -> Stream:
         return self
@@ -85,10 +94,12 @@ class Stream:
             if len(body) < size:
                 raise ValueError(f"{self.path}: cut off")
             more = zlib.decompress(body[12 + struct.unpack_from("<H", body, 10)[0] : -8], -15)
-            keep = max(p for p, _ in self.starts if p <= self.at)
+            held = self.at if self.pin is None else min(self.at, self.pin)
+            keep = max(p for p, _ in self.starts if p <= held)
             self.data = self.data[keep:] + more
             self.starts = [(p - keep, o) for p, o in self.starts if p >= keep] + [(len(self.data), self.offset + size)]
-            self.at, self.offset = self.at - keep, self.offset + size
+            self.at, self.offset, self.taken = self.at - keep, self.offset + size, self.taken + size
+            self.pin = None if self.pin is None else self.pin - keep
         return True
 
     def read(self, n: int) -> bytes:
@@ -139,23 +150,26 @@ def plausible(stream: Stream, at: int, lengths: list[int]) -> int | None:
 
 
 def first_record(stream: Stream, lengths: list[int]) -> bool:
-    """Goes on to the first place from which CHAIN plausible records follow, or as many as the file has; whether there is one."""
-    while stream.fill(1):
-        began, n = stream.virtual(), 0
-        mark = Stream(stream.path, began >> 16)
-        with mark:
-            mark.read(began & 0xFFFF)
-            while n < CHAIN and mark.fill(1):
-                size = plausible(mark, mark.at, lengths)
-                if size is None or not mark.fill(size):
+    """Goes on to the first place from which CHAIN plausible records follow, or as many as the file has; whether there is one. What has
+    been inflated is held meanwhile, so every block is inflated once."""
+    stream.pin = stream.at
+    try:
+        while stream.fill(1):
+            n = 0
+            while n < CHAIN and stream.fill(1):
+                size = plausible(stream, stream.at, lengths)
+                if size is None or not stream.fill(size):
                     n = -1
                     break
-                mark.at += size
+                stream.at += size
                 n += 1
-        if n > 0:
-            return True
-        stream.at += 1
-    return False
+            stream.at = stream.pin
+            if n > 0:
+                return True
+            stream.at = stream.pin = stream.pin + 1
+        return False
+    finally:
+        stream.pin = None
 
 
 def tags(data: bytes) -> dict[str, tuple[str, object]]:
@@ -214,9 +228,47 @@ def record(data: bytes, number: int, names: list[str]) -> tuple:
     )
 
 
-def index_of(path: str) -> list[tuple[list[tuple[int, int]], list[int]]] | None:
-    """For each contig the ranges of virtual offsets with its records, and for each 16 kb the offset of the first record that reaches
-    into it or beyond; null without an index."""
+class Index:
+    """A contig's part of an index: bins (number to ranges of virtual offsets) and linear, for each 16 kb the offset of the first record
+    that reaches into it or beyond."""
+
+    def __init__(self, bins: dict[int, list[tuple[int, int]]], linear: list[int]):
+        self.bins, self.linear = bins, linear
+
+    def ranges(self) -> list[tuple[int, int]]:
+        """The ranges of all records, in order."""
+        return sorted(r for chunks in self.bins.values() for r in chunks)
+
+    def chunks(self, start: int, end: int) -> list[tuple[int, int]]:
+        """Ranges with all records that overlap start to end: those of the bins that may hold some, without what ends before the
+        first record that reaches the window of start; ranges that meet within a block are one."""
+        least = self.linear[min(start >> 14, len(self.linear) - 1)] if self.linear else 0
+        out: list[tuple[int, int]] = []
+        for a, b in sorted(r for k in bins_of(start, end) for r in self.bins.get(k, ())):
+            if b <= least:
+                continue
+            a = max(a, least)
+            if out and a >> 16 <= out[-1][1] >> 16:
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
+            else:
+                out.append((a, b))
+        return out
+
+
+#: The first number and the shift of each level of bins (fixed values).
+LEVELS = ((0, 29), (1, 26), (9, 23), (73, 20), (585, 17), (4681, 14))
+#: The number under which an index has counts in place of a bin (fixed value).
+COUNTS = 37450
+
+
+def bins_of(start: int, end: int) -> Iterator[int]:
+    """The bins that a record overlapping start to end may be in: those of every level."""
+    for first, shift in LEVELS:
+        yield from range(first + (start >> shift), first + (max(end, start + 1) - 1 >> shift) + 1)
+
+
+def index_of(path: str) -> list[Index] | None:
+    """The index of each contig; null without one."""
     at = next((x for x in (f"{path}.bai", f"{path.removesuffix('.bam')}.bai") if os.path.exists(x)), None)
     if not at:
         return None
@@ -232,14 +284,32 @@ def index_of(path: str) -> list[tuple[list[tuple[int, int]], list[int]]] | None:
         return struct.unpack_from(kind, data, place - struct.calcsize(kind))
 
     for _ in range(take("<i")[0]):
-        ranges = []
+        bins: dict[int, list[tuple[int, int]]] = {}
         for _ in range(take("<i")[0]):
             number, n = take("<Ii")
-            ranges += [take("<QQ") for _ in range(n)] if number != 37450 else [take("<QQ") and None for _ in range(n)]
-        out.append((sorted(r for r in ranges if r), list(take(f"<{take('<i')[0]}Q"))))
+            chunks = [take("<QQ") for _ in range(n)]
+            if number != COUNTS:
+                bins.setdefault(number, []).extend(chunks)
+        out.append(Index(bins, list(take(f"<{take('<i')[0]}Q"))))
     return out
 
 
+def reach(data: bytes) -> tuple[int, int, int]:
+    """rid, start and end of a record; one that covers no reference counts as covering a place."""
+    rid, start, n_name, _, _, n_cigar, _, n_bases = struct.unpack_from("<iiBBHHHi", data)
+    cigar = struct.unpack_from(f"<{n_cigar}I", data, 32 + n_name)
+    if n_cigar == 2 and cigar[0] & 15 == 4 and cigar[0] >> 4 == n_bases and cigar[1] & 15 == 3:
+        return rid, start, start + max(cigar[1] >> 4, 1)  # the whole one stands in a tag
+    return rid, start, start + max(sum(c >> 4 for c in cigar if c & 15 in (0, 2, 3, 7, 8)), 1)
+
+
+def parse_region(text: str) -> tuple[int, int, int]:
+    m = re.fullmatch(r"(\d+):(\d+)-(\d+)", text)
+    if not m or int(m[2]) >= int(m[3]):
+        raise ValueError(f"a region is rid:start-end, not {text}")
+    return int(m[1]), int(m[2]), int(m[3])
+
+
 class Range(InputPartition):
     """Records that begin from one virtual offset on and before another; known: whether one begins at the first."""
 
@@ -252,6 +322,8 @@ class BamReader(DataSourceReader):
         self.path = options["path"].removeprefix("file://").removeprefix("file:")
         self.split = int(options.get("splitBytes", SPLIT))
         self.rid, self.least, self.most = None, None, None
+        self.region = parse_region(options["region"]) if "region" in options else None
+        self.taken = 0
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Takes note of the contig and the range of starts; Spark still applies all filters."""
@@ -276,21 +348,36 @@ class BamReader(DataSourceReader):
             cuts = [o << 16 for o in range(0, os.path.getsize(self.path), self.split) if o << 16 > first]
             edges = [first, *cuts, END]
             return [Range(a, b, a == first) for a, b in zip(edges, edges[1:])]
+        if self.region:
+            rid, start, stop = self.region
+            return self.dealt(index[rid], index[rid].chunks(start, stop)) if rid < len(index) else []
         begin, end, parts = first, END, index
         if self.rid is not None:
-            ranges, linear = index[self.rid] if 0 <= self.rid < len(index) else ([], [])
+            own = index[self.rid] if 0 <= self.rid < len(index) else Index({}, [])
+            ranges = own.ranges()
             if 0 <= self.rid and not ranges:
                 return []
             if ranges:
-                begin, end, parts = ranges[0][0], max(b for _, b in ranges), [index[self.rid]]
-                if self.least is not None and self.least >> 14 < len(linear):
-                    begin = max(begin, linear[max(self.least, 0) >> 14])
+                begin, end, parts = ranges[0][0], max(b for _, b in ranges), [own]
+                if self.least is not None and self.least >> 14 < len(own.linear):
+                    begin = max(begin, own.linear[max(self.least, 0) >> 14])
         edges = [begin]
-        for cut in sorted({a for ranges, linear in parts for a in (*(r[0] for r in ranges), *linear)}):
+        for cut in sorted({a for x in parts for a in (*(r[0] for r in x.ranges()), *x.linear)}):
             if begin < cut < end and (cut >> 16) - (edges[-1] >> 16) >= self.split:
                 edges.append(cut)
         return [Range(a, b, True) for a, b in zip(edges, [*edges[1:], end])]
 
+    def dealt(self, own: Index, chunks: list[tuple[int, int]]) -> list[Range]:
+        """Chunks of split bytes at most, or nearly, cut at records that the index names."""
+        out, cuts = [], sorted({*own.linear, *(a for a, _ in own.ranges())})
+        for a, b in chunks:
+            for cut in cuts[bisect_right(cuts, a) : bisect_left(cuts, b)]:
+                if (cut >> 16) - (a >> 16) >= self.split:
+                    out.append(Range(a, cut, True))
+                    a = cut
+            out.append(Range(a, b, True))
+        return out
+
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         with Stream(self.path) as stream:
             header = contigs(stream)
@@ -307,6 +394,12 @@ class BamReader(DataSourceReader):
             while stream.fill(4) and (number := stream.virtual()) < part.end:
                 data = stream.read(struct.unpack("<i", stream.read(4))[0])
                 rid, start = struct.unpack_from("<ii", data)
+                if self.region:
+                    _, _, stop = reach(data)
+                    if sorted_ and (rid, start) >= (self.region[0], self.region[2]):
+                        break
+                    if rid != self.region[0] or start >= self.region[2] or stop <= self.region[1]:
+                        continue
                 late = self.most is not None and start > self.most
                 if sorted_ and self.rid is not None and rid == self.rid and late:
                     break
@@ -316,6 +409,7 @@ class BamReader(DataSourceReader):
                 if len(rows) >= BATCH:
                     yield batch()
                     rows.clear()
+            self.taken += stream.taken
         if rows:
             yield batch()
 
@@ -334,10 +428,18 @@ class BamSource(DataSource):
         return BamReader(self.options)
 
 
-def read_bam(spark, path: str):
-    """reads and contigs of a BAM file."""
+def bam_contigs(path: str) -> list[tuple[int, str, int]]:
+    """rid, name and length of each contig of the header."""
+    with Stream(path) as stream:
+        return [(i, n, k) for i, (n, k) in enumerate(contigs(stream))]
+
+
+def read_bam(spark, path: str, region: tuple[int, int, int] | None = None):
+    """reads and contigs of a BAM file; with a region (rid, start, end), the reads that overlap it. Turns the session's setting on by
+    which Spark tells Python sources of filters."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BamSource)
-    with Stream(path) as stream:
-        found = contigs(stream)
-    return spark.read.format("bam").load(path), spark.createDataFrame([(i, n, k) for i, (n, k) in enumerate(found)], CONTIGS)
+    reader = spark.read.format("bam")
+    if region:
+        reader = reader.option("region", "{}:{}-{}".format(*region))
+    return reader.load(path), spark.createDataFrame(bam_contigs(path), CONTIGS)
