@@ -9,21 +9,24 @@ import shutil
 import sys
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .operators import evidence
 from .operators import mbias as bias
 from .operators import sites as site_ops
+from .operators.coverage import examined_columns
 from .operators.filters import ReadFilter
-from .operators.selection import in_region, resolve_region
+from .operators.selection import in_region, overlapping, resolve_region
 from .plans import analyses
 from .plans.options import ExtractOptions, PileupOptions, Trimming, parse_bounds
 from .sinks import formats, plot
 from .sinks.files import Outputs, lines_of
-from .sources.bam import read_bam
+from .sources import fai
+from .sources.bam import bam_contigs, read_bam
 from .sources.bed import read_bed
 from .sources.bedgraph import check_chromosome_order, read_metrics
-from .sources.fasta import check_reference, read_fasta, reference_chunks
+from .sources.fasta import CHUNK, check_reference, read_fasta, reference_chunks
 from .sources.sam import read_sam
 
 
@@ -82,7 +85,7 @@ def parser() -> argparse.ArgumentParser:
     sub = top.add_subparsers(dest="command", required=True)
     p = sub.add_parser("extract", allow_abbrev=False)
     add_pileup(p)
-    p.add_argument("--format", type=site_format, choices=[*formats.SUFFIXES])
+    p.add_argument("--format", type=site_format, choices=[*formats.SUFFIXES, "cytosine-report"])
     p.add_argument("--cytosine-report", "--cytosine_report", action="store_true")
     p.add_argument("--merge-context", action="store_true")
     p.add_argument("-d", "--minimum-depth", type=decimal, default=1)
@@ -100,19 +103,36 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def load(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, DataFrame, list, DataFrame | None, tuple | None]:
-    """reads, reference chunks, contigs, intervals and region."""
+def load(spark: SparkSession, args: argparse.Namespace, exhaustive: bool = False) -> tuple[DataFrame, DataFrame, list, DataFrame | None, tuple | None]:
+    """reads, reference chunks, contigs, intervals and region. With indexes beside them, of the alignment only the reads that overlap
+    the region are read, and of the reference only the chunks that these touch (exhaustive: and those of the region)."""
     if args.input.endswith(".cram"):
         raise ValueError("CRAM isn't supported")
     if args.keep_bed_strand and not args.bed:
         raise ValueError("--keep-bed-strand needs --bed")
-    reads, contigs = (read_bam if args.input.endswith(".bam") else read_sam)(spark, args.input)
-    lines = read_fasta(spark, args.reference)
-    check_reference(lines, contigs)
-    known = [tuple(r) for r in contigs.orderBy("rid").collect()]
-    region = resolve_region(args.region, known) if args.region else None
+    if args.input.endswith(".bam"):
+        known = bam_contigs(args.input)
+        region = resolve_region(args.region, known) if args.region else None
+        reads, contigs = read_bam(spark, args.input, region)
+    else:
+        reads, contigs = read_sam(spark, args.input)
+        known = [tuple(r) for r in contigs.orderBy("rid").collect()]
+        region = resolve_region(args.region, known) if args.region else None
     bed = read_bed(spark, args.bed, contigs, args.keep_bed_strand) if args.bed else None
-    return reads, reference_chunks(lines, contigs), known, bed, region
+    return reads, load_reference(spark, args.reference, reads, contigs, known, region, exhaustive), known, bed, region
+
+
+def load_reference(spark: SparkSession, path: str, reads: DataFrame, contigs: DataFrame, known: list, region: tuple | None, exhaustive: bool) -> DataFrame:
+    if not fai.indexed(path):
+        lines = read_fasta(spark, path)
+        check_reference(lines, contigs)
+        return reference_chunks(lines, contigs)
+    fai.check_index(fai.read_index(path), known)
+    wanted = None
+    if region:
+        wanted = fai.touched(overlapping(evidence.aligned(reads.where("(flag & 4) = 0")), region))
+        wanted = wanted.unionByName(fai.within(*region, spark)) if exhaustive else wanted
+    return fai.indexed_chunks(spark, path, known, wanted)
 
 
 def read_filter(args: argparse.Namespace, preset=ReadFilter) -> ReadFilter:
@@ -135,10 +155,11 @@ def extract(spark: SparkSession, args: argparse.Namespace) -> dict:
     options = ExtractOptions(**pileup_options(args), minimum_depth=args.minimum_depth, minimum_opposite_depth=args.minimum_opposite_depth, maximum_variant_fraction=args.maximum_variant_fraction)
     if args.cytosine_report and args.format:
         raise ValueError("--cytosine-report and --format exclude one another")
+    args.cytosine_report |= args.format == "cytosine-report"
     if args.merge_context and (args.cytosine_report or args.format == "methylkit"):
         raise ValueError("this format can't be merged")
     kind, contexts = args.format or "standard", options.contexts
-    reads, reference, _, bed, region = load(spark, args)
+    reads, reference, _, bed, region = load(spark, args, args.cytosine_report)
     counted = analyses.site_counts(reads, reference, options, bed, region, exhaustive=args.cytosine_report).persist()
     kept = counted.where(~F.col("excluded"))
     with Outputs([args.reference, args.input, args.bed]) as out:
@@ -159,10 +180,11 @@ def extract(spark: SparkSession, args: argparse.Namespace) -> dict:
                 out.write(f"{args.output_prefix}_{formats.NAMES[ctx]}{formats.SUFFIXES[kind]}", [head], lines, ("rid", "at", "upto"))
             written = rows.count()
         counts = analyses.read_counters(reads, reference, options, region).first().asDict()
-        told = counted.agg(F.count_if("excluded").alias("excluded"), F.count(F.lit(1)).alias("examined")).first()
+        examined = examined_columns(analyses.passing(reads, reference, options), region).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+        excluded = counted.where("excluded").count()
         outputs = out.commit()
     counted.unpersist()
-    return report("extract", outputs, output_records=written, excluded_variant_sites=told["excluded"], merged_records=merged, **counts) | {"examined_sites": told["examined"]}
+    return report("extract", outputs, output_records=written, excluded_variant_sites=excluded, merged_records=merged, **counts) | {"examined_columns": int(examined)}
 
 
 def mbias(spark: SparkSession, args: argparse.Namespace) -> dict:
@@ -173,7 +195,7 @@ def mbias(spark: SparkSession, args: argparse.Namespace) -> dict:
     found = {r["strand"]: list(r["bounds"]) for r in bias.suggestions(rows).collect()}
     with Outputs([args.reference, args.input, args.bed]) as out:
         table = ["Strand\tRead\tPosition\tnMethylated\tnUnmethylated"] + [f"{r['strand']}\t{r['read']}\t{r['position']}\t{r['m']}\t{r['u']}" for r in told]
-        out.write(f"{args.output_prefix}.tsv", table)
+        out.write(f"{args.output_prefix}_mbias.tsv", table)
         for strand, bounds in found.items():
             out.write(f"{args.output_prefix}_{strand}.svg", [plot.mbias_svg(strand, [r for r in told if r["strand"] == strand], bounds)])
         counts = analyses.read_counters(reads, reference, options, region).first().asDict()
@@ -215,11 +237,16 @@ def merge_context(spark: SparkSession, args: argparse.Namespace) -> dict:
     try:
         metrics = read_metrics(spark, args.input)
         check_chromosome_order(metrics, args.input)
-        lines = read_fasta(spark, args.reference)
-        from pyspark.sql import Window
-
-        contigs = lines.groupBy("chrom").agg(F.max(F.col("start") + F.length("seq")).alias("length")).withColumn("rid", F.row_number().over(Window.orderBy("chrom")).cast("int"))
-        rows = analyses.merge_context(metrics, reference_chunks(lines, contigs))
+        if fai.indexed(args.reference):
+            known = [(i, name, length) for i, (name, length, *_) in enumerate(fai.read_index(args.reference))]
+            at = spark.createDataFrame([(i, n) for i, n, _ in known], "rid int, chrom string")  # the index
+            wanted = metrics.join(F.broadcast(at), "chrom").select("rid", F.floor(F.col("start") / CHUNK).alias("k"))
+            reference = fai.indexed_chunks(spark, args.reference, known, wanted)
+        else:
+            lines = read_fasta(spark, args.reference)
+            contigs = lines.groupBy("chrom").agg(F.max(F.col("start") + F.length("seq")).alias("length")).withColumn("rid", F.row_number().over(Window.orderBy("chrom")).cast("int"))
+            reference = reference_chunks(lines, contigs)
+        rows = analyses.merge_context(metrics, reference)
         first = rows.groupBy("chrom").agg(F.min("first").alias("first"))
         text = formats.merged_lines(rows).drop("first").join(first, "chrom")
         head = ['track type="bedGraph" description="merged Methylation metrics"']

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.reads import bisulfite_strand, cigar_walk, is_top, masked, methylated, read_number, within_bounds
 from .context import CELL, at_places, cells
+from .selection import by_cell, listed
 
 Bounds = dict[str, tuple[int, int, int, int]]
 #: Reference bases of a piece of a read at most; divides CELL.
@@ -17,7 +18,8 @@ def aligned(reads: DataFrame) -> DataFrame:
     """reads with strand (null if undetermined), top, read, walk (see cigar_walk) and stop, the end on the reference. A CIGAR that
     is malformed or doesn't use up the bases is an error."""
     n = F.when(F.col("bases") == "*", 0).otherwise(F.length("bases"))
-    wrong = F.raise_error(F.concat(F.lit("invalid CIGAR of read "), F.col("name")))
+    # filters of lines that are no reads may come later, and such lines have no name
+    wrong = F.when(F.col("name").isNotNull(), F.raise_error(F.concat(F.lit("invalid CIGAR of read "), F.col("name"))))
     rows = reads.withColumn("walk", cigar_walk(F.col("cigar"), F.col("start"))).withColumn("strand", bisulfite_strand(F.col("flag"), F.col("xg")))
     rows = rows.withColumn("walk", F.when(F.coalesce(F.col("walk.qlen") == n, F.lit(False)), F.col("walk")).otherwise(wrong))
     return rows.select("*", is_top(F.col("strand")).alias("top"), read_number(F.col("flag")).alias("read"), F.col("walk.stop").alias("stop"))
@@ -25,7 +27,7 @@ def aligned(reads: DataFrame) -> DataFrame:
 
 def strict(rows: DataFrame) -> DataFrame:
     """rows in which a strand that can't be told is an error."""
-    wrong = F.raise_error(F.concat(F.lit("cannot determine the bisulfite strand of read "), F.col("name"))).cast("string")
+    wrong = F.when(F.col("name").isNotNull(), F.raise_error(F.concat(F.lit("cannot determine the bisulfite strand of read "), F.col("name"))).cast("string"))
     return rows.withColumn("strand", F.coalesce("strand", wrong))
 
 
@@ -72,19 +74,25 @@ def exploded(reads: DataFrame, keep: list[str | Column]) -> DataFrame:
     return _bases(rows.select("*", F.explode(F.expr(_PLACES.format(more=""))).alias("k")), names)
 
 
-def at_cytosines(reads: DataFrame, chunks: DataFrame, keep: list[str | Column], contexts: tuple[str, ...], informative: bool = False, gaps: bool = False) -> DataFrame:
+def at_cytosines(reads: DataFrame, chunks: DataFrame, keep: list[str | Column], contexts: tuple[str, ...], informative: bool = False, beds: DataFrame | None = None) -> DataFrame:
     """One row for each aligned base of aligned() reads at a cytosine of the contexts: the columns of keep (rid among them),
     chrom, fwd, ctx, tri, qpos, pos, base and qual. Pieces of reads meet the reference's cells in an equi-join, so that bases
     elsewhere never become rows that move. informative leaves out bases that tell nothing of methylation on the read's strand
-    (top); gaps adds deleted and skipped places, with base null."""
-    rows = pieces(reads, keep, gaps)
-    names = rows.columns[:-5]
-    found = rows.withColumn("cell", F.expr(f"r div {CELL}")).join(cells(chunks).drop("first"), ["rid", "cell"])
+    (top). Of beds, intervals by cell (selection.by_cells()), bases outside of those of their read's strand are left out, in
+    cells without intervals before they move."""
+    rows = pieces(reads, keep)
+    names, own, keys = rows.columns[:-5], cells(chunks).drop("first"), ["rid", "cell"]
+    rows = rows.withColumn("cell", F.expr(f"r div {CELL}"))
+    lists = []
+    if beds is not None:
+        rows, own, lists = rows.join(listed(beds), keys, "left_semi"), own.join(beds, keys), ["on_top", "on_bottom"]
+    found = rows.join(own, keys)
     found = found.withColumn("around", F.expr(f"substring(around, cast(r - cell * {CELL} as int) + 1, n + 4)"))
     found = found.where("length(around) > 4")  # a read may reach beyond the reference
     found = found.select("*", F.explode(F.expr(_PLACES.format(more=", length(around) - 4"))).alias("k"))
-    found = at_places(found, "k", [*names, "chrom", "q", "r", "k", "b", "s"]).where(F.col("ctx").isin(*contexts))
-    out = _bases(found, [*names, "chrom", "fwd", "ctx", "tri"])
+    found = at_places(found, "k", [*names, *lists, "chrom", "q", "r", "k", "b", "s"]).where(F.col("ctx").isin(*contexts))
+    out = _bases(found, [*names, *lists, "chrom", "fwd", "ctx", "tri"])
+    out = out.where(by_cell("top", "pos")).drop(*lists) if lists else out
     return out.where("fwd = top and if(top, base in ('C', 'T'), base in ('G', 'A'))") if informative else out
 
 

@@ -13,17 +13,23 @@ def whole(text: Column) -> Column:
     return F.when(text.rlike(r"^\+?[0-9]+$"), text.try_cast("long"))
 
 
+def metric_columns(path: str, line: Column) -> list[Column]:
+    """chrom, start, end, methylated and unmethylated of a line of path; one that isn't six tab-separated fields with end = start + 1, a
+    percentage of 100 at most and a depth above 0 is an error."""
+    f = F.split(line, "\t")
+    start, end, pct, m, u = (whole(F.get(f, F.lit(i))) for i in range(1, 6))
+    ok = (F.size(f) == 6) & (f[0] != "") & (end == start + 1) & (pct <= 100) & (m + u > 0)
+    bad = F.raise_error(F.concat(F.lit(f"{path}: not a metric: "), line)).cast("string")
+    chrom = F.when(F.coalesce(ok, F.lit(False)), f[0]).otherwise(bad)
+    return [chrom.alias("chrom"), start.alias("start"), end.alias("end"), m.alias("methylated"), u.alias("unmethylated")]
+
+
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """ord, block, chrom, start, end, methylated, unmethylated of each line. Empty lines and lines that begin with track are passed
-    over; others that aren't six tab-separated fields with end = start + 1, a percentage of 100 at most and a depth above 0
-    are errors, as are starts that don't grow from line to line of a chromosome. Lines are held against the ones before them
+    over; others that are no metrics are errors, as are starts that don't grow from line to line of a chromosome. Lines are held against the ones before them
     within each block of the file; check_chromosome_order() looks at the blocks' ends."""
     lines = numbered_lines(spark, path).where((F.col("value") != "") & ~F.col("value").startswith("track"))
-    f = F.split("value", "\t")
-    rows = lines.select("ord", "block", "value", F.size(f).alias("n"), f[0].alias("chrom"), *(whole(F.get(f, F.lit(i))).alias(c) for i, c in enumerate(("start", "end", "pct", "m", "u"), 1)))
-    ok = (F.col("n") == 6) & (F.col("chrom") != "") & (F.col("end") == F.col("start") + 1) & (F.col("pct") <= 100) & (F.col("m") + F.col("u") > 0)
-    bad = F.raise_error(F.concat(F.lit(f"{path}: not a metric: "), F.col("value"))).cast("string")
-    rows = rows.select("ord", "block", F.when(F.coalesce(ok, F.lit(False)), F.col("chrom")).otherwise(bad).alias("chrom"), "start", "end", F.col("m").alias("methylated"), F.col("u").alias("unmethylated"))
+    rows = lines.select("ord", "block", *metric_columns(path, F.col("value")))
     before = Window.partitionBy("block").orderBy("ord")
     order = F.raise_error(F.concat(F.lit(f"{path}: positions must grow: "), F.col("chrom"), F.lit(":"), F.col("start").cast("string"))).cast("long")
     falls = (F.lag("chrom").over(before) == F.col("chrom")) & (F.col("start") <= F.lag("start").over(before))
