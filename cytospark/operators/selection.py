@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Places in a bin of the interval join.
-BIN = 1 << 14
+from .context import CELL
+
+#: Places in a bin of the interval join, and cells with intervals of which the numbers are broadcast at most.
+BIN, FEW_CELLS = 1 << 14, 1_000_000
 
 Region = tuple[int, int, int]
 
@@ -47,13 +49,25 @@ def binned(bed: DataFrame) -> DataFrame:
     return bed.select(F.col("rid").alias("_rid"), F.col("top").alias("_top"), "s", "e", F.explode(F.sequence(F.floor(F.col("s") / BIN), F.floor((F.col("e") - 1) / BIN))).alias("_bin"))
 
 
-def inside(rows: DataFrame, bed: DataFrame | None, top: str = "top", pos: str = "pos") -> DataFrame:
-    """Rows whose place lies in an interval of their strand (None: all rows; an empty list: none). An equi-join on bins, so that
-    no side has to be broadcast; as a semi-join it repeats no row."""
-    if bed is None:
-        return rows
-    on = (F.col("rid") == F.col("_rid")) & (F.col(top) == F.col("_top")) & (F.floor(F.col(pos) / BIN) == F.col("_bin"))
-    return rows.join(binned(bed), on & (F.col(pos) >= F.col("s")) & (F.col(pos) < F.col("e")), "left_semi")
+def by_cells(bed: DataFrame) -> DataFrame:
+    """rid, cell, on_top and on_bottom: the merged intervals that reach into each reference cell, by strand. A cell has half as many as
+    places at most."""
+    cell = F.explode(F.sequence(F.expr(f"s div {CELL}"), F.expr(f"(e - 1) div {CELL}")))
+    rows = bed.select("rid", "top", F.struct("s", "e").alias("i"), cell.alias("cell"))
+    on = lambda top: F.collect_list(F.when(F.col("top") == top, F.col("i")))
+    return rows.groupBy("rid", "cell").agg(on(True).alias("on_top"), on(False).alias("on_bottom"))
+
+
+def listed(beds: DataFrame) -> DataFrame:
+    """The cells of by_cells(), broadcast if they are few, so that reads elsewhere go before they move."""
+    keys = beds.select("rid", "cell")
+    return F.broadcast(keys) if keys.count() <= FEW_CELLS else keys
+
+
+def by_cell(top: str, pos: str) -> Column:
+    """Whether a place lies in an interval of its strand, in rows with on_top and on_bottom."""
+    has = lambda c: F.exists(c, lambda i: (F.col(pos) >= i["s"]) & (F.col(pos) < i["e"]))
+    return F.coalesce(F.when(F.col(top), has("on_top")).when(~F.col(top), has("on_bottom")), F.lit(False))
 
 
 def touching(reads: DataFrame, bed: DataFrame | None) -> DataFrame:

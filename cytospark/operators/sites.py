@@ -10,32 +10,11 @@ from .context import spans
 SITE = ("rid", "chrom", "pos", "fwd", "ctx", "tri")
 
 
-def pileup(bases: DataFrame, minimum_quality: int, gaps: bool = False) -> DataFrame:
-    """By cytosine (rid, chrom, pos, fwd, ctx, tri), counts of bases (top, base, qual) of the quality: methylated and unmethylated ones
-    of its strand (m, u), all but N of the other strand (opposite) and those other than the reference there (variant), and
-    those of undetermined strand (odd). gaps counts places that have no base of the quality, too. Tasks add up before the one
-    shuffle, so a place that many reads cover moves as one row from each task."""
-    fwd, base, good = F.col("fwd"), F.col("base"), F.col("qual") >= minimum_quality
-    own, other = good & (F.col("top") == fwd), good & (F.col("top") != fwd) & (base != "N")
-    letter = lambda a, b: F.when(fwd, a).otherwise(b)
-    n = lambda c, name: F.count_if(c).alias(name)
-    return (bases if gaps else bases.where(good)).groupBy(*SITE).agg(
-        n(own & (base == letter("C", "G")), "m"),
-        n(own & (base == letter("T", "A")), "u"),
-        n(other, "opposite"),
-        n(other & (base != letter("C", "G")), "variant"),
-        n(good & F.col("top").isNull() & base.isNotNull(), "odd"),
-    )
-
-
-def judged(counts: DataFrame, minimum_opposite_depth: int = 0, maximum_variant_fraction: float = 0.0, every: DataFrame | None = None) -> DataFrame:
+def judged(counts: DataFrame, minimum_opposite_depth: int = 0, maximum_variant_fraction: float = 0.0) -> DataFrame:
     """The cytosines of pileup() with m, u, opposite and variant counts and excluded: whether more than the fraction of the other
-    strand's bases, at that depth or more, show a variant. every adds the cytosines among it that have no counts, at 0. A base
-    of undetermined strand at a cytosine is an error."""
+    strand's bases, at that depth or more, show a variant. A base of undetermined strand at a cytosine is an error."""
     if not 0 <= maximum_variant_fraction <= 1:
         raise ValueError("the maximum variant fraction must lie within 0 and 1")
-    if every is not None:
-        counts = every.select(*SITE).join(counts.drop("chrom", "fwd", "ctx", "tri"), ["rid", "pos"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     odd = F.when(zero("odd") > 0, F.raise_error(F.lit("cannot determine a bisulfite strand")).cast("long")).otherwise(zero("m"))
     rows = counts.select(*SITE, odd.alias("m"), *(zero(c).alias(c) for c in ("u", "opposite", "variant")))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evidence, mbias as bias, sites
-from ..operators.context import cytosines, spans
+from ..operators.context import CELL, at_places, cells, spans
 from ..operators.filters import ReadFilter, converted_enough
-from ..operators.overlap import adjusted
-from ..operators.selection import Region, in_region, inside, overlapping, touching
+from ..operators.pileup import pileup
+from ..operators.selection import Region, by_cells, in_region, overlapping, touching
 from .options import ExtractOptions, PileupOptions
 
 
@@ -25,17 +25,12 @@ def passing(reads: DataFrame, reference: DataFrame, options: PileupOptions) -> D
 def site_counts(reads: DataFrame, reference: DataFrame, options: ExtractOptions, bed: DataFrame | None = None, region: Region | None = None, exhaustive: bool = False) -> DataFrame:
     """Every selected cytosine of the reference's chunks with a read over it (exhaustive: without, too), with its counts and whether
     it is excluded as a variant. Bases at cytosines are trimmed, then adjusted where mates overlap, then selected by quality
-    and interval; with single reads only (paired = False) the plan has no window."""
-    rows = overlapping(passing(reads, reference, options), region)
-    keep = ["ord", "name", "rid", "strand", "top", "read", F.length("bases").alias("length"), evidence.may_overlap().alias("eligible")]
-    gaps = options.minimum_depth == 0
-    bases = evidence.at_cytosines(rows, reference, keep, options.contexts, gaps=gaps)
-    bases = evidence.trimmed(in_region(bases, region), options.trimming.inclusion, options.trimming.fixed)
-    if options.paired:
-        bases = adjusted(bases, gaps)
-    counts = inside(sites.pileup(inside(bases, bed), options.minimum_base_quality, gaps), bed, "fwd")
-    every = inside(in_region(cytosines(reference).where(F.col("ctx").isin(*options.contexts)), region), bed, "fwd") if exhaustive else None
-    return sites.judged(counts, options.minimum_opposite_depth, options.maximum_variant_fraction, every)
+    and interval."""
+    rows, gaps = overlapping(passing(reads, reference, options), region), options.minimum_depth == 0
+    bounds = (options.trimming.inclusion, options.trimming.fixed)
+    beds = None if bed is None else by_cells(bed)
+    counts = pileup(rows, reference, options.contexts, options.minimum_base_quality, bounds, region, beds, options.paired, gaps, exhaustive, options.deep)
+    return sites.judged(counts, options.minimum_opposite_depth, options.maximum_variant_fraction)
 
 
 def extract(reads: DataFrame, reference: DataFrame, options: ExtractOptions = ExtractOptions(), bed: DataFrame | None = None, region: Region | None = None) -> DataFrame:
@@ -61,9 +56,9 @@ def cytosine_report(reads: DataFrame, reference: DataFrame, options: ExtractOpti
 def mbias(reads: DataFrame, reference: DataFrame, options: PileupOptions = PileupOptions(), bed: DataFrame | None = None, region: Region | None = None) -> DataFrame:
     """Calls by strand, read and position in the read, with raw qualities."""
     rows = evidence.strict(overlapping(passing(reads, reference, options), region))
-    bases = evidence.at_cytosines(rows, reference, ["rid", "strand", "top", "read", F.length("bases").alias("length")], options.contexts, informative=True)
+    bases = evidence.at_cytosines(rows, reference, ["rid", "strand", "top", "read", F.length("bases").alias("length")], options.contexts, informative=True, beds=None if bed is None else by_cells(bed))
     bases = evidence.trimmed(in_region(bases, region), options.trimming.inclusion, options.trimming.fixed)
-    return bias.histogram(inside(evidence.calls(bases, options.minimum_base_quality), bed))
+    return bias.histogram(evidence.calls(bases, options.minimum_base_quality))
 
 
 def per_read(reads: DataFrame, reference: DataFrame, filter: ReadFilter = ReadFilter.per_read(), minimum_base_quality: int = 5, bed: DataFrame | None = None, region: Region | None = None) -> DataFrame:
@@ -76,12 +71,22 @@ def per_read(reads: DataFrame, reference: DataFrame, filter: ReadFilter = ReadFi
     return rows.select("ord", "name", "rid", "chrom", "start").join(counts, "ord", "left").select("ord", "name", "rid", "chrom", "start", zero("m"), zero("u"))
 
 
+def site_spans(metrics: DataFrame, reference: DataFrame) -> DataFrame:
+    """metrics (chrom, start and more) with s and e, their CpG, CHG or single span. They look up their own place in the reference's cells,
+    so cytosines never become rows; a metric at no cytosine is an error."""
+    own = cells(reference).select("chrom", "cell", "first", "around")
+    at = metrics.withColumn("cell", F.expr(f"start div {CELL}")).join(own, ["chrom", "cell"], "left")
+    place = (F.col("start") - F.col("first")).cast("int")
+    known = (place < F.length("around") - 4) & F.substring("around", place + 3, F.lit(1)).isin("C", "G")
+    wrong = F.raise_error(F.concat(F.lit("no cytosine at "), F.col("chrom"), F.lit(":"), F.col("start").cast("string"))).cast("int")
+    at = at.select(*metrics.columns, F.col("start").alias("pos"), F.coalesce("around", F.lit("NNNNN")).alias("around"), F.when(F.coalesce(known, F.lit(False)), place).otherwise(wrong).alias("k"))
+    return spans(at_places(at, "k", [*metrics.columns, "pos"]))
+
+
 def merge_context(metrics: DataFrame, reference: DataFrame) -> DataFrame:
     """chrom, s, e, m, u, first, n: site metrics (ord, chrom, start, methylated, unmethylated) added up over their CpG and CHG spans; a
     metric at no cytosine is an error. first orders chromosomes as in the input."""
-    at = metrics.join(cytosines(reference).select("chrom", F.col("pos").alias("start"), "fwd", "ctx", F.lit(True).alias("known")), ["chrom", "start"], "left")
-    wrong = F.raise_error(F.concat(F.lit("no cytosine at "), F.col("chrom"), F.lit(":"), F.col("start").cast("string"))).cast("long")
-    rows = spans(at.withColumn("pos", F.when(F.col("known"), F.col("start")).otherwise(wrong)))
+    rows = site_spans(metrics, reference)
     return rows.groupBy("chrom", "s", "e").agg(F.sum("methylated").alias("m"), F.sum("unmethylated").alias("u"), F.min("ord").alias("first"), F.count(F.lit(1)).alias("n"))
 
 

@@ -56,9 +56,14 @@ class ExtractOptions(PileupOptions):
     minimum_depth: int = 1
     minimum_opposite_depth: int = 0
     maximum_variant_fraction: float = 0.0
+    #: Whether mates may overlap; single reads only need less work.
     paired: bool = True
+    #: Pieces of reads in a cell from which on it is split over tasks; None: reads aren't counted by cell for that.
+    deep: int | None = None
 
     def __post_init__(self):
         super().__post_init__()
+        if self.deep is not None and self.deep < 1:
+            raise ValueError("a cell can't be split below one piece")
         if not 0 <= self.maximum_variant_fraction <= 1:
             raise ValueError("the maximum variant fraction must lie within 0 and 1")

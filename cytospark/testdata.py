@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions.reads import bisulfite_strand
 from .functions.stats import log_odds, percentage, share
-from .operators import context, evidence, mbias as bias, overlap
+from .operators import context, coverage, evidence, mbias as bias, pileup
 from .plans import analyses
 from .plans.options import ExtractOptions, PileupOptions, Trimming
 from .sources.bed import merged
@@ -147,7 +147,8 @@ def trimmed(inclusion: dict, fixed: dict) -> Query:
 
 
 def overlap_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.adjusted(all_bases(spark, sf_dir)).select("ord", "pos", "base", F.col("qual").cast("long").alias("qual"))
+    found = pileup.adjusted_bases(evidence.aligned(reads(spark, sf_dir).where(ReadFilter().passes())))
+    return found.select("ord", "pos", "base", F.col("qual").cast("long").alias("qual"))
 
 
 def conversion_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,6 +195,10 @@ def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return side(counts).unionByName(side(told))
 
 
+def covered_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.examined_columns(evidence.aligned(reads(spark, sf_dir).where(ReadFilter().passes())))
+
+
 VARIANT = {"minimum_opposite_depth": 1, "maximum_variant_fraction": 0.4, "contexts": ALL}
 
 
@@ -240,6 +245,7 @@ def queries() -> dict[str, Query]:
         "per_read_region": per_read(region=REGION),
         "bed_merge": lambda spark, sf_dir: bed(spark, sf_dir, True),
         "run_stats": run_stats,
+        "examined_columns": covered_columns,
     }
 
 
@@ -395,5 +401,6 @@ def oracle_sql() -> dict[str, str]:
         "per_read_region": _per_read(f"r.rid = {REGION[0]} AND r.start >= {REGION[1]} AND r.start < {REGION[2]}"),
         "bed_merge": _BASE + _INTERVALS.format(which=_STRANDED) + "z AS (SELECT 1) SELECT rid, top, s, e FROM bed",
         "run_stats": _counted(f"SELECT 'input_records' AS counter, (SELECT count(*) FROM reads) AS n UNION ALL SELECT 'filtered_records', (SELECT count(*) FROM reads) - (SELECT count(*) FROM passed) UNION ALL SELECT 'emitted', count(*) FROM sites WHERE ctx = 'CG' AND NOT {_EXCLUDED} AND m + u >= 1 UNION ALL SELECT 'excluded', count(*) FROM sites WHERE ctx = 'CG' AND {_EXCLUDED}"),
+        "examined_columns": _BASE + "z AS (SELECT 1) SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, unnest(range(start, start + len + CASE ord % 6 WHEN 1 THEN 2 WHEN 2 THEN -3 WHEN 3 THEN -2 WHEN 4 THEN 5 ELSE 0 END)) AS pos FROM passed) GROUP BY rid",
     }
     return out

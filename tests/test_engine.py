@@ -359,7 +359,7 @@ def test_command_line(spark, files, tmp_path):
     told = cli.main(["extract", *inputs, "-o", prefix, "--cytosine_report", "--chg", "--chh"], spark)
     assert told["output_records"] == len((tmp_path / "out.cytosine_report.txt").read_text().splitlines()) == sum(c in "CG" for s in samples.CONTIGS.values() for c in s)
     told = cli.main(["mbias", *inputs, "-o", str(tmp_path / "bias")], spark)
-    assert (tmp_path / "bias.tsv").read_text().startswith("Strand\tRead\tPosition\tnMethylated\tnUnmethylated\nOT\t")
+    assert (tmp_path / "bias_mbias.tsv").read_text().startswith("Strand\tRead\tPosition\tnMethylated\tnUnmethylated\nOT\t")
     assert len(told["outputs"]) == 1 + len(told["suggestions"]) and "polyline" in (tmp_path / "bias_OT.svg").read_text()
     told = cli.main(["per-read", *inputs, "-o", str(tmp_path / "reads.tsv")], spark)
     assert "\t0.0\t0\n" in (tmp_path / "reads.tsv").read_text() and told["output_records"] + told["filtered_records"] == len(rows)
@@ -381,7 +381,7 @@ def test_options_of_the_command_line(spark, files, tmp_path, capsys, monkeypatch
     assert (args.format, args.ignore_flags, args.minimum_depth) == ("methylkit", 0x400, 10)
     told = cli.main(["extract", *inputs, "-o", str(tmp_path / "kit"), "--format", "methyl-kit"], spark)
     lines = (tmp_path / "kit_CpG.methylKit").read_text().splitlines()
-    assert lines[0].startswith("chrBase\t") and len(lines) == 1 + told["output_records"] and told["examined_sites"] >= told["output_records"]
+    assert lines[0].startswith("chrBase\t") and len(lines) == 1 + told["output_records"] and told["examined_columns"] >= told["output_records"]
     # variants, report and intervals together
     bed = tmp_path / "some.bed"
     bed.write_text("zeta\t10\t40\tx\t0\t+\n")
@@ -395,7 +395,7 @@ def test_options_of_the_command_line(spark, files, tmp_path, capsys, monkeypatch
     assert [int(g[1]) - 1 for g in got] == inside and told["excluded_variant_sites"] == 0 and out
     assert all((int(g[3]), int(g[4])) == tuple(want.get((0, int(g[1]) - 1), {"m": 0, "u": 0})[k] for k in "mu") for g in got)
     told = cli.main(["mbias", *inputs, "-o", str(tmp_path / "bias")], spark)
-    rows_ = [line.split("\t") for line in (tmp_path / "bias.tsv").read_text().splitlines()[1:]]
+    rows_ = [line.split("\t") for line in (tmp_path / "bias_mbias.tsv").read_text().splitlines()[1:]]
     assert told["calls"] == sum(int(x[3]) + int(x[4]) for x in rows_) > 0
     # a table from standard input
     monkeypatch.setattr(sys, "stdin", io.TextIOWrapper(io.BytesIO(f"zeta\t1\t2\t50\t1\t1\nzeta\t2\t3\t0\t0\t2\n".encode())))
