@@ -2,8 +2,8 @@
 
 1. Every window of so many words has an anchor, the run of GRAM words in it with the smallest digest. Equal windows have
    equal anchors, so a window can recur only if its anchor stands in two documents.
-2. The texts around such anchors are the phrases, in which alone a window can recur. Each document's phrases go, as cryptographic
-   digests of their words, to the shards of their anchors; a phrase that many documents share goes there once, and its
+2. The texts around such anchors are the phrases, in which alone a window can recur. Each document's phrases go, as digests of
+   128 bits of their words, to the shards of their anchors; a phrase that many documents share goes there once, and its
    words are taken once, from the first document that has it.
 3. A shard confirms, by their words, the windows that stand in two documents, compiles them into automata, a bounded number
    at a time, and streams the phrases of all documents through them. What an automaton finds in a phrase are the passages
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .common import WORD, arrowed, columns, renamed, settled, slices, words_of
-from .wordhash import runs, word_hashes
+from .wordhash import runs, word_digests
 
 #: Words of an anchor.
 GRAM = 5
@@ -72,7 +72,7 @@ class Anchored:
 
     def __init__(self, texts: list[bytes], window: int):
         self.blob, self.window = b"\n".join(texts), window
-        self.words, self.starts, self.ends = word_hashes(self.blob)
+        self.words, self.more, self.starts, self.ends = word_digests(self.blob)
         doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), self.starts, "right")
         self.begins = np.searchsorted(doc, np.arange(len(texts)))
         at = anchors(self.words, window)
@@ -118,16 +118,18 @@ class Phrases:
     def __init__(self, shared: np.ndarray, frequent: np.ndarray):
         self.shared, self.frequent = shared, frequent
 
-    def of(self, found: Anchored) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """Of each phrase: key, cryptographic digest of the words, number of the text, first and last window."""
+    def of(self, found: Anchored) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each phrase: key, digest of the words (128 bits, as two numbers), number of the text, first and last window. The first and
+        the last window have all of its words, as a run of windows with one anchor is no longer than a window."""
         hit = np.flatnonzero(bloom.passes(self.shared, found.anchor))
         hot = bloom.passes(self.frequent, found.anchor[hit])
         n = np.where(hot, found.last[hit] - found.first[hit] + 1, 1)
         owner = np.repeat(np.arange(len(hit)), n)
         first = found.first[hit][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         last = np.where(hot[owner], first, found.last[hit][owner])
-        digest = [hashlib.blake2b(found.phrase(a, b), digest_size=16).digest() for a, b in zip(first.tolist(), last.tolist())]
-        key = np.where(hot[owner], mixed(runs(found.words, found.window)[first]), found.anchor[hit][owner].view(np.int64))
+        one, two = (runs(h, found.window) for h in (found.words, found.more))
+        digest = np.stack([mixed(w[first], w[last], last - first) for w in (one, two)], 1)
+        key = np.where(hot[owner], mixed(one[first]), found.anchor[hit][owner].view(np.int64))
         return key, digest, found.doc[hit][owner], first, last
 
 
@@ -141,14 +143,19 @@ def places(docs: DataFrame, phrases: Phrases, window: int) -> DataFrame:
             key, digest, doc, first, _ = sent.value.of(found)
             own = batch.select(["doc_id", "text_key"]).take(pa.array(doc))
             start = pa.array((first - found.begins[doc]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(digest, pa.binary()), *own.columns, start], names=["key", "phrase_key", "doc_id", "text_key", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), as_binary(digest), *own.columns, start], names=["key", "phrase_key", "doc_id", "text_key", "start"])
 
     return arrowed(docs, run, "key long, phrase_key binary, doc_id long, text_key long, start int")
 
 
-def first_half(digests: list[bytes]) -> np.ndarray:
-    """Of digests of 16 bytes, as numbers."""
-    return np.frombuffer(b"".join(digests), "<i8")[::2]
+def as_binary(digests: np.ndarray) -> pa.Array:
+    """Digests (two numbers each) as a column of 16 bytes."""
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(digests), [None, pa.py_buffer(np.ascontiguousarray(digests, "<i8").tobytes())]).cast(pa.binary())
+
+
+def first_half(digests: pa.Array) -> np.ndarray:
+    """The first number of each of these."""
+    return np.frombuffer(b"".join(digests.to_pylist()), "<i8")[::2]
 
 
 def firsts_of(ends: DataFrame) -> DataFrame:
@@ -156,7 +163,7 @@ def firsts_of(ends: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = mixed(batch.column(0).to_numpy(zero_copy_only=False), first_half(batch.column(1).to_pylist()), batch.column(2).to_numpy(zero_copy_only=False))
+            h = mixed(batch.column(0).to_numpy(zero_copy_only=False), first_half(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([pa.array(h)], names=["h"])
 
     return arrowed(ends.select("key", "phrase_key", "first"), run, "h long")
@@ -172,9 +179,9 @@ def spoken(docs: DataFrame, phrases: Phrases, firsts: np.ndarray, window: int) -
             found = Anchored(texts_of(batch), window)
             key, digest, doc, first, last = finder.of(found)
             ids = batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(doc)).to_numpy(zero_copy_only=False)
-            ok = np.flatnonzero(bloom.passes(filt, mixed(key, first_half(digest), ids.astype(np.int64, copy=False))))
+            ok = np.flatnonzero(bloom.passes(filt, mixed(key, digest[:, 0], ids.astype(np.int64, copy=False))))
             words = [found.phrase(a, b) for a, b in zip(first[ok].tolist(), last[ok].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(key[ok]), pa.array([digest[i] for i in ok.tolist()], pa.binary()), pa.array(words, pa.binary())], names=["key", "phrase_key", "phrase"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[ok]), as_binary(digest[ok]), pa.array(words, pa.binary())], names=["key", "phrase_key", "phrase"])
 
     return arrowed(docs, run, "key long, phrase_key binary, phrase binary")
 

@@ -18,6 +18,14 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return digests, np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
+def word_digests(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same with digests of 128 bits, as two numbers for each word."""
+    words = data.split()
+    edges = np.diff((~_WHITE[np.frombuffer(data, np.uint8)]).astype(np.int8), prepend=0, append=0)
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
 def runs(h: np.ndarray, n: int) -> np.ndarray:
     """The digest of each run of n words; none if there are fewer."""
     if len(h) < n:
