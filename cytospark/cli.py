@@ -22,6 +22,7 @@ from .plans import analyses
 from .plans.options import ExtractOptions, PileupOptions, Trimming, parse_bounds
 from .sinks import formats, plot
 from .sinks.files import Outputs, lines_of
+from .sinks.release import Release
 from .sources import fai
 from .sources.bam import bam_contigs, read_bam
 from .sources.bed import read_bed
@@ -69,6 +70,7 @@ def add_reads(p: argparse.ArgumentParser, per_read: bool) -> None:
 def add_pileup(p: argparse.ArgumentParser) -> None:
     add_reads(p, False)
     p.add_argument("-o", "--output-prefix", required=True)
+    p.add_argument("--release", metavar="FOLDER", help="write the outputs as a version of a folder on any Hadoop file system")
     p.add_argument("--minimum-conversion-efficiency", "--minConversionEfficiency", type=float, default=0.0)
     for name in ("duplicates", "singletons", "discordant"):
         p.add_argument(f"--keep-{name}", action="store_true")
@@ -146,6 +148,10 @@ def pileup_options(args: argparse.Namespace) -> dict:
     return {"reads": read_filter(args), "minimum_base_quality": args.minimum_base_quality, "minimum_conversion_efficiency": args.minimum_conversion_efficiency, "contexts": contexts, "trimming": Trimming(bounds("keep"), bounds("trim"))}
 
 
+def outputs_of(spark: SparkSession, args: argparse.Namespace) -> Outputs | Release:
+    return Release(spark, args.release) if args.release else Outputs([args.reference, args.input, args.bed])
+
+
 def report(operation: str, outputs: list[str], **counts: int) -> dict:
     zero = {"input_records": 0, "output_records": 0, "filtered_records": 0, "excluded_variant_sites": 0, "merged_records": 0}
     return {"operation": operation} | zero | {k: int(v) for k, v in counts.items()} | {"outputs": outputs}
@@ -162,7 +168,7 @@ def extract(spark: SparkSession, args: argparse.Namespace) -> dict:
     reads, reference, _, bed, region = load(spark, args, args.cytosine_report)
     counted = analyses.site_counts(reads, reference, options, bed, region, exhaustive=args.cytosine_report).persist()
     kept = counted.where(~F.col("excluded"))
-    with Outputs([args.reference, args.input, args.bed]) as out:
+    with outputs_of(spark, args) as out:
         merged = 0
         if args.cytosine_report:
             out.write(f"{args.output_prefix}.cytosine_report.txt", [], formats.report_lines(kept), ("rid", "at"))
@@ -193,7 +199,7 @@ def mbias(spark: SparkSession, args: argparse.Namespace) -> dict:
     rows = analyses.mbias(reads, reference, options, bed, region).persist()
     told = bias.in_order(bias.with_intervals(rows)).collect()  # a few for each place in a read
     found = {r["strand"]: list(r["bounds"]) for r in bias.suggestions(rows).collect()}
-    with Outputs([args.reference, args.input, args.bed]) as out:
+    with outputs_of(spark, args) as out:
         table = ["Strand\tRead\tPosition\tnMethylated\tnUnmethylated"] + [f"{r['strand']}\t{r['read']}\t{r['position']}\t{r['m']}\t{r['u']}" for r in told]
         out.write(f"{args.output_prefix}_mbias.tsv", table)
         for strand, bounds in found.items():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import stat
 import tempfile
 import uuid
@@ -98,10 +99,15 @@ def write_lines(df: DataFrame, path: str, *order: str) -> None:
 
 
 def append_rows(df: DataFrame, target: str, order: tuple[str, ...] = ()) -> None:
-    """Appends the column value of df, in order, to a file of the driver's. Parts are written by the executors, beside the target
-    or, if the session names one, in the shared folder spark.checkpoint.dir, and their bytes copied one after the other."""
+    """Appends the column value of df, in order, to a file of the driver's. Parts are written by the executors in the shared folder
+    spark.checkpoint.dir, and their bytes copied one after the other. Where none is named, parts stand beside the target if all
+    runs in one process; on a cluster that is an error. Results that are too large for a file of the driver's go to a release."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.dirname(os.path.abspath(target))}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = f"file://{os.path.dirname(os.path.abspath(target))}"
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     folder = jvm.org.apache.hadoop.fs.Path(f"{shared}/.{uuid.uuid4().hex}")
     store = folder.getFileSystem(conf)
