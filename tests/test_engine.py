@@ -209,6 +209,22 @@ def test_bed(spark):
             bed_source.parse_bed(bad, "x.bed", known, keep_strand=True)
 
 
+def test_bed_files_are_parsed_by_tasks(spark, tmp_path):
+    contigs = spark.createDataFrame([(0, "zeta", 61), (1, "alpha", 31)], "rid int, chrom string, length long")
+    text = "# c\ntrack x\n\nzeta 5 9 a 0 +\nzeta\t9\t12\tb\t0\t+\nzeta 20 30 c 0 -\nalpha 3 99\n"
+    want = {(0, True, 5, 12), (0, False, 20, 30), (1, True, 3, 31), (1, False, 3, 31)}
+    (tmp_path / "a.bed").write_text(text)
+    for name in ("a.bed.gz", "packed"):  # told by name, and by its first bytes
+        (tmp_path / name).write_bytes(gzip.compress(text[:40].encode()) + gzip.compress(text[40:].encode()))
+    (tmp_path / "empty.bed").write_text("")
+    for name in ("a.bed", "a.bed.gz", "packed"):
+        assert {tuple(r) for r in bed_source.read_bed(spark, str(tmp_path / name), contigs, True).collect()} == want
+    assert bed_source.read_bed(spark, str(tmp_path / "empty.bed"), contigs).count() == 0
+    (tmp_path / "bad.bed").write_text("zeta 1 2\n\nbeta 1 2\nzeta 3 3\n")
+    with pytest.raises(ValueError, match="bad.bed:3: unknown reference beta"):
+        bed_source.read_bed(spark, str(tmp_path / "bad.bed"), contigs)
+
+
 def test_bed_and_region_select(spark, loaded):
     reads, contigs, reference, rows = loaded
     want = samples.model(rows)
