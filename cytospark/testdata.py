@@ -2,7 +2,7 @@
 
 Each document gives a contig, a base for each character of its whole text; each event gives a read. Flags, CIGARs, bases and
 qualities follow from the event's number, its place from that and the contig's length: fragments of a contig lie at two of 97
-loci, spread over all of it. SQL has the same derivation and computes every result in its own way, so that the two can be
+loci, spread over all of it, but a tenth of all fragments lies on the region's contig, at every locus. SQL has the same derivation and computes every result in its own way, so that the two can be
 compared.
 """
 
@@ -55,7 +55,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = lengths(spark, sf_dir)
     count = own.count()
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("ord"))
-    e = e.selectExpr("ord", "ord div 2 as f", "30 + ord % 7 as len", "(ord div 2) % 2 = 0 as t", "ord % 2 = 0 as r1", f"cast(((ord div 2) * 7) % {count} as int) as rid").join(own, "rid").repartition("ord")
+    e = e.selectExpr("ord", "ord div 2 as f", "30 + ord % 7 as len", "(ord div 2) % 2 = 0 as t", "ord % 2 = 0 as r1", f"cast(if((ord div 2) % 10 = 3, {REGION[0]}, ((ord div 2) * 7) % {count}) as int) as rid").join(own, "rid").repartition("ord")
     kind = "case when t then if(r1, 99, 147) else if(r1, 83, 163) end"
     flag = f"cast(case when f % 11 = 0 then if(t, 0, 16) else {kind} - if(f % 13 = 1, 2, 0) + if(f % 17 = 3, 8, 0) end + if(f % 97 = 5, 1024, 0) as int)"
     cigar = "case ord % 6 when 1 then concat('10M2D', len - 10, 'M') when 2 then concat('3S', len - 3, 'M') when 3 then concat('8M2I', len - 10, 'M') when 4 then concat('6M5N', len - 6, 'M') else concat(len, 'M') end"
@@ -66,7 +66,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{flag} as flag",
         "rid",
         "concat('d', rid) as chrom",
-        f"{LOCUS.format(turn=f'(f div {count} div 3)')} + (ord * 5) % 20 as start",
+        f"{LOCUS.format(turn=f'if(f % 10 = 3, f div 10, f div {count} div 3)')} + (ord * 5) % 20 as start",
         "cast(if(ord % 23 = 0, 0, 10 + ord % 50) as int) as mapq",
         f"{cigar} as cigar",
         f"array_join(transform(sequence(0L, len - 1), k -> {base}), '') as bases",
@@ -254,7 +254,7 @@ WITH docs AS (SELECT CAST(doc_id AS INTEGER) AS rid, text AS body, CAST(coalesce
 ref AS (SELECT rid, i - 1 AS pos, substr('{LETTERS}', CAST(ascii(c) % 10 + 1 AS INTEGER), 1) AS b FROM (SELECT rid, unnest(regexp_extract_all(body, '(?s).')) AS c, unnest(range(1, n + 1)) AS i FROM docs WHERE n > 0)),
 near AS (SELECT rid, pos, b, CASE WHEN b = 'C' THEN lead(b) OVER w ELSE translate(lag(b) OVER w, 'ACGT', 'TGCA') END AS x, CASE WHEN b = 'C' THEN lead(b, 2) OVER w ELSE translate(lag(b, 2) OVER w, 'ACGT', 'TGCA') END AS y FROM ref WINDOW w AS (PARTITION BY rid ORDER BY pos)),
 cyt AS (SELECT rid, pos, b = 'C' AS fwd, CASE WHEN x = 'G' THEN 'CG' WHEN y = 'G' THEN 'CHG' ELSE 'CHH' END AS ctx, 'C' || coalesce(x, 'N') || coalesce(y, 'N') AS tri FROM near WHERE b IN ('C', 'G')),
-numbered AS (SELECT event_id AS ord, event_id // 2 AS f, 30 + event_id % 7 AS len, (event_id // 2) % 2 = 0 AS t, event_id % 2 = 0 AS r1, CAST(((event_id // 2) * 7) % (SELECT count(*) FROM documents) AS INTEGER) AS rid, event_id // 2 // (SELECT count(*) FROM documents) // 3 AS turn FROM events),
+numbered AS (SELECT event_id AS ord, event_id // 2 AS f, 30 + event_id % 7 AS len, (event_id // 2) % 2 = 0 AS t, event_id % 2 = 0 AS r1, CAST(CASE WHEN (event_id // 2) % 10 = 3 THEN {REGION[0]} ELSE ((event_id // 2) * 7) % (SELECT count(*) FROM documents) END AS INTEGER) AS rid, CASE WHEN (event_id // 2) % 10 = 3 THEN event_id // 2 // 10 ELSE event_id // 2 // (SELECT count(*) FROM documents) // 3 END AS turn FROM events),
 reads AS (SELECT ord, f AS name, len, t, rid, n * ((CAST(rid AS BIGINT) * 37 + turn * 53) % 97) // 97 + (ord * 5) % 20 AS start, CAST(CASE WHEN f % 11 = 0 THEN CASE WHEN t THEN 0 ELSE 16 END ELSE CASE WHEN t THEN CASE WHEN r1 THEN 99 ELSE 147 END ELSE CASE WHEN r1 THEN 83 ELSE 163 END END - CASE WHEN f % 13 = 1 THEN 2 ELSE 0 END + CASE WHEN f % 17 = 3 THEN 8 ELSE 0 END END + CASE WHEN f % 97 = 5 THEN 1024 ELSE 0 END AS INTEGER) AS flag,
   CAST(CASE WHEN ord % 23 = 0 THEN 0 ELSE 10 + ord % 50 END AS INTEGER) AS mapq, CASE WHEN ord % 5 = 0 THEN '' WHEN t THEN 'C' ELSE 'G' END AS xg, CASE WHEN ord % 31 = 0 THEN 0 WHEN ord % 29 = 0 THEN 2 ELSE 1 END AS nh FROM numbered JOIN docs USING (rid)),
 stranded AS (SELECT *, CASE
