@@ -2,9 +2,9 @@
 
 1. Every window of so many words has an anchor, the run of GRAM words in it with the smallest digest. Equal windows have
    equal anchors, so a window can recur only if its anchor stands in two documents.
-2. The texts around such anchors are the phrases, in which alone a window can recur. Each document's phrases go, as digests of
-   128 bits of their words, to the shards of their anchors; a phrase that many documents share goes there once, and its
-   words are taken once, from the first document that has it.
+2. The texts around such anchors are the phrases, in which alone a window can recur. Each document's phrases go, as digests
+   made of 128 bits of each word, to the shards of their anchors; a phrase that many documents share goes there once, and
+   its words are taken once, from the first document that has it.
 3. A shard confirms, by their words, the windows that stand in two documents, compiles them into automata, a bounded number
    at a time, and streams the phrases of all documents through them. What an automaton finds in a phrase are the passages
    of earlier documents.
@@ -118,9 +118,9 @@ class Phrases:
     def __init__(self, shared: np.ndarray, frequent: np.ndarray):
         self.shared, self.frequent = shared, frequent
 
-    def of(self, found: Anchored) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each phrase: key, digest of the words (128 bits, as two numbers), number of the text, first and last window. The first and
-        the last window have all of its words, as a run of windows with one anchor is no longer than a window."""
+    def of(self, found: Anchored) -> tuple[np.ndarray, ...]:
+        """Of each phrase: key, digest of the words (from 128 bits of each), number of the text, first and last window. The first and the
+        last window have all of its words, as a run of windows with one anchor is no longer than a window."""
         hit = np.flatnonzero(bloom.passes(self.shared, found.anchor))
         hot = bloom.passes(self.frequent, found.anchor[hit])
         n = np.where(hot, found.last[hit] - found.first[hit] + 1, 1)
@@ -128,7 +128,7 @@ class Phrases:
         first = found.first[hit][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         last = np.where(hot[owner], first, found.last[hit][owner])
         one, two = (runs(h, found.window) for h in (found.words, found.more))
-        digest = np.stack([mixed(w[first], w[last], last - first) for w in (one, two)], 1)
+        digest = mixed(one[first], two[first], one[last], two[last], last - first)
         key = np.where(hot[owner], mixed(one[first]), found.anchor[hit][owner].view(np.int64))
         return key, digest, found.doc[hit][owner], first, last
 
@@ -143,19 +143,9 @@ def places(docs: DataFrame, phrases: Phrases, window: int) -> DataFrame:
             key, digest, doc, first, _ = sent.value.of(found)
             own = batch.select(["doc_id", "text_key"]).take(pa.array(doc))
             start = pa.array((first - found.begins[doc]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(key), as_binary(digest), *own.columns, start], names=["key", "phrase_key", "doc_id", "text_key", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(digest), *own.columns, start], names=["key", "phrase_key", "doc_id", "text_key", "start"])
 
-    return arrowed(docs, run, "key long, phrase_key binary, doc_id long, text_key long, start int")
-
-
-def as_binary(digests: np.ndarray) -> pa.Array:
-    """Digests (two numbers each) as a column of 16 bytes."""
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(digests), [None, pa.py_buffer(np.ascontiguousarray(digests, "<i8").tobytes())]).cast(pa.binary())
-
-
-def first_half(digests: pa.Array) -> np.ndarray:
-    """The first number of each of these."""
-    return np.frombuffer(b"".join(digests.to_pylist()), "<i8")[::2]
+    return arrowed(docs, run, "key long, phrase_key long, doc_id long, text_key long, start int")
 
 
 def firsts_of(ends: DataFrame) -> DataFrame:
@@ -163,7 +153,7 @@ def firsts_of(ends: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = mixed(batch.column(0).to_numpy(zero_copy_only=False), first_half(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False))
+            h = mixed(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))
             yield pa.RecordBatch.from_arrays([pa.array(h)], names=["h"])
 
     return arrowed(ends.select("key", "phrase_key", "first"), run, "h long")
@@ -179,14 +169,14 @@ def spoken(docs: DataFrame, phrases: Phrases, firsts: np.ndarray, window: int) -
             found = Anchored(texts_of(batch), window)
             key, digest, doc, first, last = finder.of(found)
             ids = batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(doc)).to_numpy(zero_copy_only=False)
-            ok = np.flatnonzero(bloom.passes(filt, mixed(key, digest[:, 0], ids.astype(np.int64, copy=False))))
+            ok = np.flatnonzero(bloom.passes(filt, mixed(key, digest, ids.astype(np.int64, copy=False))))
             words = [found.phrase(a, b) for a, b in zip(first[ok].tolist(), last[ok].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(key[ok]), as_binary(digest[ok]), pa.array(words, pa.binary())], names=["key", "phrase_key", "phrase"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[ok]), pa.array(digest[ok]), pa.array(words, pa.binary())], names=["key", "phrase_key", "phrase"])
 
-    return arrowed(docs, run, "key long, phrase_key binary, phrase binary")
+    return arrowed(docs, run, "key long, phrase_key long, phrase binary")
 
 
-def located(group: list[tuple[int, bytes, bytes, int, int]], window: int) -> Iterator[tuple[int, bytes, list[int | None]]]:
+def located(group: list[tuple[int, int, bytes, int, int]], window: int) -> Iterator[tuple[int, int, list[int | None]]]:
     """For phrases (key, phrase_key, phrase, first, last), of which first and last are the smallest and the largest id of their
     documents: key, phrase_key, and for each window the smallest id of the documents that it stands in, if there are
     several. Windows are confirmed by their words; an automaton of the confirmed ones, over word numbers, then runs through
@@ -222,13 +212,13 @@ def shards(ends: DataFrame, phrases: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
-        known: dict[bytes, tuple[int, int]] = {}
+        known: dict[int, tuple[int, int]] = {}
         n, key = 0, None
 
         def done() -> pa.RecordBatch:
             found = list(located(group, window))
             k, p, f = zip(*found) if found else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(p, pa.binary()), pa.array(f, pa.list_(pa.int64()))], names=["key", "phrase_key", "firsts"])
+            return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(p, pa.int64()), pa.array(f, pa.list_(pa.int64()))], names=["key", "phrase_key", "firsts"])
 
         for batch in slices(batches):
             for k, p, phrase, first, last in columns(batch, "key", "phrase_key", "phrase", "first", "last"):
@@ -246,7 +236,7 @@ def shards(ends: DataFrame, phrases: DataFrame, window: int) -> DataFrame:
 
     both = ends.select("key", "phrase_key", F.lit(None).cast("binary").alias("phrase"), "first", "last").unionByName(phrases.select("key", "phrase_key", "phrase", F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last")))
     sorted_ = both.repartition("key").sortWithinPartitions("key", F.col("phrase").isNotNull())
-    return arrowed(sorted_, run, "key long, phrase_key binary, firsts array<long>")
+    return arrowed(sorted_, run, "key long, phrase_key long, firsts array<long>")
 
 
 def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
