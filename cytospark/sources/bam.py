@@ -1,6 +1,6 @@
 """BAM files as a Spark data source: spark.read.format("bam").load(path).
 
-A partition is a range of the compressed file. With an index beside the file (.bai) partitions begin at records that it names,
+A partition is a range of the compressed file. With an index beside the file (.bai or .csi) partitions begin at records that it names,
 and a filter of the contig and the place (rid, start) reads only the part of the file that it needs. Without one, planning
 looks at the header alone: each task finds the first block in its range and the first record in that, by checking that
 several plausible records follow one another. Records that cross a boundary are read by the partition in which they begin.
@@ -15,6 +15,7 @@ is read for it.
 
 from __future__ import annotations
 
+import gzip
 import os
 import re
 import struct
@@ -229,22 +230,32 @@ def record(data: bytes, number: int, names: list[str]) -> tuple:
 
 
 class Index:
-    """A contig's part of an index: bins (number to ranges of virtual offsets) and linear, for each 16 kb the offset of the first record
-    that reaches into it or beyond."""
+    """A contig's part of an index: bins (number to ranges of virtual offsets), and for places the offset of the first record that reaches
+    into their surroundings or beyond: linear has one for each 16 kb, firsts one for bins. Leaves of the tree of bins are 2 to
+    the shift places wide, and depth levels up is the root."""
 
-    def __init__(self, bins: dict[int, list[tuple[int, int]]], linear: list[int]):
-        self.bins, self.linear = bins, linear
+    def __init__(self, bins: dict[int, list[tuple[int, int]]], linear: list[int] = (), firsts: dict[int, int] | None = None, shift: int = 14, depth: int = 5):
+        self.bins, self.linear, self.firsts, self.shift, self.depth = bins, linear, firsts or {}, shift, depth
 
     def ranges(self) -> list[tuple[int, int]]:
         """The ranges of all records, in order."""
         return sorted(r for chunks in self.bins.values() for r in chunks)
 
+    def least(self, start: int) -> int:
+        """An offset before which no record reaches start."""
+        if self.linear:
+            return self.linear[min(start >> 14, len(self.linear) - 1)]
+        leaf = list(bins_of(start, start + 1, self.shift, self.depth))[-1]
+        while leaf not in self.firsts and leaf:
+            leaf = leaf - 1 >> 3
+        return self.firsts.get(leaf, 0)
+
     def chunks(self, start: int, end: int) -> list[tuple[int, int]]:
         """Ranges with all records that overlap start to end: those of the bins that may hold some, without what ends before the
-        first record that reaches the window of start; ranges that meet within a block are one."""
-        least = self.linear[min(start >> 14, len(self.linear) - 1)] if self.linear else 0
+        first record that reaches start; ranges that meet within a block are one."""
+        least = self.least(start)
         out: list[tuple[int, int]] = []
-        for a, b in sorted(r for k in bins_of(start, end) for r in self.bins.get(k, ())):
+        for a, b in sorted(r for k in bins_of(start, end, self.shift, self.depth) for r in self.bins.get(k, ())):
             if b <= least:
                 continue
             a = max(a, least)
@@ -255,27 +266,27 @@ class Index:
         return out
 
 
-#: The first number and the shift of each level of bins (fixed values).
-LEVELS = ((0, 29), (1, 26), (9, 23), (73, 20), (585, 17), (4681, 14))
-#: The number under which an index has counts in place of a bin (fixed value).
-COUNTS = 37450
+def first_bin(level: int) -> int:
+    """The number of the first bin of a level; each bin has eight in the level below."""
+    return ((1 << 3 * level) - 1) // 7
 
 
-def bins_of(start: int, end: int) -> Iterator[int]:
-    """The bins that a record overlapping start to end may be in: those of every level."""
-    for first, shift in LEVELS:
-        yield from range(first + (start >> shift), first + (max(end, start + 1) - 1 >> shift) + 1)
+def bins_of(start: int, end: int, shift: int = 14, depth: int = 5) -> Iterator[int]:
+    """The bins that a record overlapping start to end may be in: those of every level, from the root down."""
+    for level in range(depth + 1):
+        wide = shift + 3 * (depth - level)
+        yield from range(first_bin(level) + (start >> wide), first_bin(level) + (max(end, start + 1) - 1 >> wide) + 1)
 
 
 def index_of(path: str) -> list[Index] | None:
-    """The index of each contig; null without one."""
-    at = next((x for x in (f"{path}.bai", f"{path.removesuffix('.bam')}.bai") if os.path.exists(x)), None)
+    """The index of each contig (.bai or .csi); null without one."""
+    named = (f"{x}.{kind}" for kind in ("bai", "csi") for x in (path, path.removesuffix(".bam")))
+    at = next((x for x in named if os.path.exists(x)), None)
     if not at:
         return None
     with open(at, "rb") as f:
         data = f.read()
-    if data[:4] != b"BAI\x01":
-        raise ValueError(f"{at}: no index")
+    data = gzip.decompress(data) if data[:2] == MAGIC[:2] else data
     place, out = 4, []
 
     def take(kind: str) -> tuple:
@@ -283,14 +294,25 @@ def index_of(path: str) -> list[Index] | None:
         place += struct.calcsize(kind)
         return struct.unpack_from(kind, data, place - struct.calcsize(kind))
 
+    shift, depth, own = 14, 5, data[:4] == b"CSI\x01"
+    if own:
+        shift, depth, more = take("<iii")
+        place += more
+    elif data[:4] != b"BAI\x01":
+        raise ValueError(f"{at}: no index")
     for _ in range(take("<i")[0]):
         bins: dict[int, list[tuple[int, int]]] = {}
+        firsts: dict[int, int] = {}
         for _ in range(take("<i")[0]):
-            number, n = take("<Ii")
-            chunks = [take("<QQ") for _ in range(n)]
-            if number != COUNTS:
+            number = take("<I")[0]
+            first = take("<Q")[0] if own else 0
+            chunks = [take("<QQ") for _ in range(take("<i")[0])]
+            if number <= first_bin(depth + 1):  # the one after that stands for counts
                 bins.setdefault(number, []).extend(chunks)
-        out.append(Index(bins, list(take(f"<{take('<i')[0]}Q"))))
+                if own:
+                    firsts[number] = first
+        linear = [] if own else list(take(f"<{take('<i')[0]}Q"))
+        out.append(Index(bins, linear, firsts, shift, depth))
     return out
 
 

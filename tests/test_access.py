@@ -1,5 +1,6 @@
 """Access by index, plans of the pile-up, coverage and metrics that arrive in order."""
 
+import gzip
 import os
 import random
 import struct
@@ -14,7 +15,7 @@ from cytospark.operators.selection import by_cells
 from cytospark.plans import analyses
 from cytospark.plans.options import ExtractOptions
 from cytospark.sources import fai, fasta
-from cytospark.sources.bam import BamReader, bins_of, read_bam
+from cytospark.sources.bam import BamReader, bins_of, first_bin, read_bam
 from cytospark.sources.bed import merged
 from cytospark.sources.fasta import read_fasta, reference_chunks
 from cytospark.streaming.merge import END, stream_merge, stream_metrics
@@ -52,10 +53,31 @@ def bai(records: list[tuple[int, int, int, int, int]], contigs: int) -> bytes:
 
 
 def level(number: int) -> int:
-    return sum(number >= first for first in (1, 9, 73, 585, 4681))
+    return sum(number >= first for first in (1, 9, 73, 585, 4681, 37449))
 
 
-def test_region_of_an_indexed_bam(spark, tmp_path, monkeypatch):
+def csi(records: list[tuple[int, int, int, int, int]], contigs: int, shift: int, depth: int) -> bytes:
+    """The same with bins of any size, and for each bin the first record that overlaps it."""
+    out = b"CSI\x01" + struct.pack("<iii", shift, depth, 3) + b"xyz" + struct.pack("<i", contigs)
+    for rid in range(contigs):
+        bins: dict[int, list[tuple[int, int]]] = {}
+        firsts: dict[int, int] = {}
+        for r, start, stop, a, b in records:
+            if r == rid:
+                every = list(bins_of(start, stop, shift, depth))
+                own = next(k for k in reversed(every) if len([x for x in every if level(x) == level(k)]) == 1)
+                bins.setdefault(own, []).append((a, b))
+                for k in every:
+                    firsts.setdefault(k, a)
+        counts = (first_bin(depth + 1) + 1, 0, [(0, 0), (len(records), 0)])
+        out += struct.pack("<i", len(bins) + 1)
+        for k, first, chunks in [*((k, firsts[k], c) for k, c in bins.items()), counts]:
+            out += struct.pack("<IQi", k, first, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks)
+    return gzip.compress(out)
+
+
+@pytest.mark.parametrize("kind", ["bai", (14, 5), (12, 6), (16, 4)])
+def test_region_of_an_indexed_bam(spark, tmp_path, monkeypatch, kind):
     monkeypatch.setattr(samples, "CONTIGS", {"big": "A" * 3_000_000, "small": "A" * 5_000})
     rng = random.Random(2)
     rows = []
@@ -72,7 +94,9 @@ def test_region_of_an_indexed_bam(spark, tmp_path, monkeypatch):
     plain = BamReader({"path": str(path)})
     offsets = [x for b in plain.read(plain.partitions()[0]) for x in b.column("ord").to_pylist()]
     ends = [*offsets[1:], path.stat().st_size << 16]
-    (tmp_path / "reads.bam.bai").write_bytes(bai([(r["rid"], r["start"], r["stop"], a, b) for r, a, b in zip(rows, offsets, ends)], 2))
+    records = [(r["rid"], r["start"], r["stop"], a, b) for r, a, b in zip(rows, offsets, ends)]
+    index = tmp_path / f"reads.bam.{'bai' if kind == 'bai' else 'csi'}"
+    index.write_bytes(bai(records, 2) if kind == "bai" else csi(records, 2, *kind))
     for rid, start, end in [(0, 1_000_000, 1_020_000), (0, 0, 100), (0, 2_999_000, 3_000_000), (1, 100, 300), (0, 1_500_000, 1_500_001), (1, 4_990, 5_000)]:
         want = [r["name"] for r in rows if r["rid"] == rid and r["start"] < end and r["stop"] > start]
         for split in ("300", str(1 << 26)):
@@ -80,12 +104,14 @@ def test_region_of_an_indexed_bam(spark, tmp_path, monkeypatch):
             got = [n for p in reader.partitions() for b in reader.read(p) for n in b.column("name").to_pylist()]
             assert got == want
         # what begins far before the region and reaches over it lies in few blocks of its own
-        assert reader.taken < (0.6 if rid == 0 else 0.2) * path.stat().st_size
+        wide = 0.75 if kind == (16, 4) else 0.6
+        assert reader.taken < (wide if rid == 0 else 0.2) * path.stat().st_size
     reads, _ = read_bam(spark, str(path), (0, 1_000_000, 1_020_000))
     assert {r["name"] for r in reads.select("name").collect()} == {r["name"] for r in rows if r["rid"] == 0 and r["start"] < 1_020_000 and r["stop"] > 1_000_000}
     with pytest.raises(ValueError, match="region"):
         BamReader({"path": str(path), "region": "0:7-7"})
-    (tmp_path / "reads.bam.bai").unlink()  # without an index the whole file is read for it
+    assert [n for p in plain.partitions() for b in plain.read(p) for n in b.column("name").to_pylist()] == [r["name"] for r in rows]
+    index.unlink()  # without an index the whole file is read for it
     reader = BamReader({"path": str(path), "region": "1:100-300"})
     assert [n for p in reader.partitions() for b in reader.read(p) for n in b.column("name").to_pylist()] == [r["name"] for r in rows if r["rid"] == 1 and r["start"] < 300 and r["stop"] > 100]
 
