@@ -33,8 +33,7 @@ def bai(records: list[tuple[int, int, int, int, int]], contigs: int) -> bytes:
         for r, start, stop, a, b in records:
             if r != rid:
                 continue
-            own = next(k for k in reversed(list(bins_of(start, stop))) if len([x for x in bins_of(start, stop) if level(x) == level(k)]) == 1)
-            chunks = bins.setdefault(own, [])
+            chunks = bins.setdefault(bin_of(start, stop, 14, 5), [])
             if chunks and chunks[-1][1] == a:
                 chunks[-1][1] = b
             else:
@@ -52,8 +51,12 @@ def bai(records: list[tuple[int, int, int, int, int]], contigs: int) -> bytes:
     return out
 
 
-def level(number: int) -> int:
-    return sum(number >= first for first in (1, 9, 73, 585, 4681, 37449))
+def bin_of(start: int, stop: int, shift: int, depth: int) -> int:
+    """The smallest bin that a record lies in."""
+    level, wide = depth, shift
+    while start >> wide != stop - 1 >> wide:
+        level, wide = level - 1, wide + 3
+    return first_bin(level) + (start >> wide)
 
 
 def csi(records: list[tuple[int, int, int, int, int]], contigs: int, shift: int, depth: int) -> bytes:
@@ -64,10 +67,8 @@ def csi(records: list[tuple[int, int, int, int, int]], contigs: int, shift: int,
         firsts: dict[int, int] = {}
         for r, start, stop, a, b in records:
             if r == rid:
-                every = list(bins_of(start, stop, shift, depth))
-                own = next(k for k in reversed(every) if len([x for x in every if level(x) == level(k)]) == 1)
-                bins.setdefault(own, []).append((a, b))
-                for k in every:
+                bins.setdefault(bin_of(start, stop, shift, depth), []).append((a, b))
+                for k in bins_of(start, stop, shift, depth):
                     firsts.setdefault(k, a)
         counts = (first_bin(depth + 1) + 1, 0, [(0, 0), (len(records), 0)])
         out += struct.pack("<i", len(bins) + 1)
