@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -16,8 +18,8 @@ from pyspark.sql.types import StructType
 WORD = r"[^\x20\x09-\x0D]+"
 #: The same white space as a set of characters.
 WHITE = " \t\n\x0b\x0c\r"
-#: Rows that are turned into Python objects at a time, so that batches of long texts stay small.
-SLICE = 256
+#: Rows, and bytes of them, that are turned into Python objects at a time, so that batches of long texts stay small.
+SLICE, SLICE_BYTES = 256, 2 << 20
 #: Rows of an Arrow batch, and the setting that bounds it.
 BATCH, ARROW_ROWS = 1024, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -63,7 +65,20 @@ def arrowed(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(ARROW_ROWS)) <= BATCH:
         conf.set(ARROW_ROWS, BATCH)
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        released()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def released() -> None:
+    """Gives memory that this process no longer uses back to the machine, as Spark keeps Python workers for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -77,9 +92,19 @@ def words_col(text: Column) -> Column:
 
 
 def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of batches of SLICE rows and SLICE_BYTES at most, or of a single row."""
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
-            yield batch.slice(at, SLICE)
+            yield from _halves(batch.slice(at, SLICE))
+
+
+def _halves(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    n = batch.num_rows
+    if n < 2 or batch.nbytes <= SLICE_BYTES:
+        yield batch
+    else:
+        yield from _halves(batch.slice(0, n // 2))
+        yield from _halves(batch.slice(n // 2))
 
 
 def columns(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
