@@ -6,7 +6,6 @@ import random
 import struct
 
 import pytest
-from pyspark.sql import functions as F
 
 from cytospark import cli
 from cytospark.operators import coverage, evidence
