@@ -77,9 +77,9 @@ def site_spans(metrics: DataFrame, reference: DataFrame) -> DataFrame:
     own = cells(reference).select("chrom", "cell", "first", "around")
     at = metrics.withColumn("cell", F.expr(f"start div {CELL}")).join(own, ["chrom", "cell"], "left")
     place = (F.col("start") - F.col("first")).cast("int")
-    known = (place < F.length("around") - 4) & F.substring("around", place + 3, F.lit(1)).isin("C", "G")
+    known = (place < F.length("around") - 4) & F.substring("around", place + 3, F.lit(1)).cast("string").isin("C", "G")
     wrong = F.raise_error(F.concat(F.lit("no cytosine at "), F.col("chrom"), F.lit(":"), F.col("start").cast("string"))).cast("int")
-    at = at.select(*metrics.columns, F.col("start").alias("pos"), F.coalesce("around", F.lit("NNNNN")).alias("around"), F.when(F.coalesce(known, F.lit(False)), place).otherwise(wrong).alias("k"))
+    at = at.select(*metrics.columns, F.col("start").alias("pos"), F.coalesce("around", F.lit(b"NNNNN")).alias("around"), F.when(F.coalesce(known, F.lit(False)), place).otherwise(wrong).alias("k"))
     return spans(at_places(at, "k", [*metrics.columns, "pos"]))
 
 

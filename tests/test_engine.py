@@ -15,7 +15,7 @@ from cytospark import cli, testdata
 from cytospark.functions.reads import bisulfite_strand, cigar_walk
 from cytospark.functions.stats import log_odds, percentage
 from cytospark.functions.text import exact_percentage, fixed
-from cytospark.operators.context import cytosines
+from cytospark.operators.context import cells, cytosines
 from cytospark.operators.filters import ReadFilter
 from cytospark.operators.mbias import suggestions
 from cytospark.operators.overlap import adjusted
@@ -72,6 +72,27 @@ def test_context_of_every_base(spark, loaded, monkeypatch, files):
         assert {(r["rid"], r["pos"], r["fwd"], r["ctx"], r["tri"]) for r in small.collect()} == want
 
 
+def test_cells_have_a_byte_for_each_base(spark):
+    seq = "ACgRC\u00e9GC\U0001f600CCG"
+    chunks = spark.createDataFrame([(0, "x", 0, seq, "NN", "NN")], "rid int, chrom string, start long, seq string, left string, right string")
+    assert dict(cells(chunks).dtypes)["around"] == "binary"
+    assert [bytes(r["around"]) for r in cells(chunks).collect()] == [b"NNACGNCNGCNCCGNN"]
+    want = {(i, *c) for i in range(len(seq)) if (c := samples.context_of(seq.upper(), i))}
+    assert {(r["pos"], r["fwd"], r["ctx"], r["tri"]) for r in cytosines(chunks).collect()} == want
+
+
+def test_contigs_of_the_queries_are_made_of_whole_texts(spark, tmp_path):
+    texts = ["caf\u00e9 \U0001f600\n\u4e2d\x00z", "", None, "xyz" * 6000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = testdata.contigs(spark, str(tmp_path))
+    seqs = {}
+    for r in found.orderBy("rid", "start").collect():
+        assert r["start"] == len(seqs.get(r["rid"], ""))
+        seqs[r["rid"]] = seqs.get(r["rid"], "") + r["seq"]
+    assert seqs == {k: "".join(testdata.LETTERS[ord(c) % 10] for c in t) for k, t in enumerate(texts) if t}
+    assert "transform" not in found._jdf.queryExecution().toString()  # no walk over characters as array elements
+
+
 def test_sites_against_a_sequential_model(loaded):
     reads, _, reference, rows = loaded
     want = samples.model(rows)
