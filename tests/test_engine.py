@@ -494,3 +494,15 @@ def test_query_agrees_with_sql(spark, name):
     rel = con.sql(testdata.oracle_sql()[name])
     want = sorted(rel.select(*names).fetchall(), key=repr)
     assert sorted((tuple(r) for r in got.select(*names).collect()), key=repr) == want and want
+
+
+def test_counted_trinucleotides_agree_with_sql_and_walk_no_strings(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    got = testdata.queries()["trinucleotide"](spark, SF)
+    want = con.sql(testdata.oracle_sql()["trinucleotide"]).select(*got.columns).fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    # own bases are told in bytes, before anything is made of their neighbours
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "= 0x43" in plan and "= 0x47" in plan
