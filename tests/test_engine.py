@@ -518,3 +518,7 @@ def test_counted_trinucleotides_agree_with_sql_and_walk_no_strings(spark):
     # own bases are told in bytes, before anything is made of their neighbours
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "= 0x43" in plan and "= 0x47" in plan
+
+
+def test_bed_report_counts_only_what_reads_cover(spark):
+    assert "Union" not in testdata.queries()["cytosine_report_bed"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
