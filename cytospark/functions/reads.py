@@ -88,3 +88,19 @@ def within_bounds(strand: Column, read: Column, qpos: Column, length: Column, in
                     ok = ~((strand == name) & (read == number)) | ok
                     keep = ok if keep is None else keep & ok
     return keep
+
+
+def kept_span(strand: Column, read: Column, length: Column, inclusion: dict[str, tuple[int, ...]], fixed: dict[str, tuple[int, ...]]) -> tuple[Column, Column] | None:
+    """The first place in a read that survives trimming by within_bounds(), and the end of those; None if nothing is trimmed."""
+    starts, ends = [F.lit(0)], [length]
+    for bounds, cut in ((inclusion, False), (fixed, True)):
+        for name, (a, b, c, d) in bounds.items():
+            for number, left, right in ((1, a, b), (2, c, d)):
+                mine = (strand == name) & (read == number)
+                if left:
+                    starts.append(F.when(mine, left if cut else left - 1).otherwise(0))
+                if right:
+                    ends.append(F.when(mine, F.greatest(length - right, F.lit(0)) if cut else right).otherwise(length))
+    if len(starts) == len(ends) == 1:
+        return None
+    return (F.greatest(*starts) if len(starts) > 1 else starts[0]), (F.least(*ends) if len(ends) > 1 else ends[0])

@@ -58,7 +58,7 @@ class ExtractOptions(PileupOptions):
     maximum_variant_fraction: float = 0.0
     #: Whether mates may overlap; single reads only need less work.
     paired: bool = True
-    #: Pieces of reads in a cell from which on it is split over tasks; None: reads aren't counted by cell for that.
+    #: Reads in a cell beyond which it is split over tasks; None: reads aren't counted by cell for that.
     deep: int | None = None
 
     def __post_init__(self):

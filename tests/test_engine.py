@@ -144,6 +144,17 @@ def test_report_looks_counts_up_by_place(loaded):
     assert "Union" not in report()._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_deep_cells_of_the_queries_are_split(spark, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    plain = testdata.queries()["percentage"](spark, SF)
+    assert "salt" not in plan(plain)  # no cell is deep, so nothing moves twice
+    assert "entries" not in plan(plain)  # no list of a fragment's bases is made at each place
+    monkeypatch.setattr(testdata, "DEEP", 20)
+    split = testdata.queries()["percentage"](spark, SF)
+    assert "salt" in plan(split)
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_histogram_and_reads_against_the_model(loaded):
     reads, _, reference, rows = loaded
     seqs = list(samples.CONTIGS.values())
