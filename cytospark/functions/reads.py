@@ -54,12 +54,14 @@ def cigar_walk(cigar: Column, start: Column) -> Column:
     """A struct of a CIGAR string: blocks (arrays of q, r, n: bases from read place q on reference place r), gaps (r, n of
     deleted and skipped reference), qlen (read bases) and stop (end on the reference). Null for a malformed string."""
     ops = F.regexp_extract_all(cigar, F.lit("([0-9]+)([MIDNSHP=X])"), F.lit(0))
+    # each told apart once, not for each field of a step
+    ops = F.transform(ops, lambda op: F.struct(F.right(op, F.lit(1)).alias("kind"), F.substring(op, F.lit(1), F.length(op) - 1).cast("long").alias("n")))
     block = "struct<q:bigint,r:bigint,n:bigint>"
-    zero = F.struct(F.lit(0).cast("long").alias("q"), start.cast("long").alias("r"), F.expr(f"cast(array() as array<{block}>)").alias("blocks"), F.expr(f"cast(array() as array<{block}>)").alias("gaps"))
+    none = F.expr(f"cast(array() as array<{block}>)")
+    zero = F.struct(F.lit(0).cast("long").alias("q"), start.cast("long").alias("r"), none.alias("blocks"), none.alias("gaps"))
 
     def step(at: Column, op: Column) -> Column:
-        kind = F.right(op, F.lit(1))
-        n = F.substring(op, F.lit(1), F.length(op) - 1).cast("long")
+        kind, n = op["kind"], op["n"]
         here = F.array(F.struct(at["q"].alias("q"), at["r"].alias("r"), n.alias("n")))
         both, gap = kind.isin("M", "=", "X"), kind.isin("D", "N")
         return F.struct(
@@ -70,7 +72,11 @@ def cigar_walk(cigar: Column, start: Column) -> Column:
         )
 
     walked = F.aggregate(ops, zero, step, lambda s: F.struct(s["blocks"].alias("blocks"), s["gaps"].alias("gaps"), s["q"].alias("qlen"), s["r"].alias("stop")))
-    return F.when(F.array_join(ops, "") == cigar, walked)
+    # most reads are one block
+    n, first = F.substring(cigar, F.lit(1), F.length(cigar) - 1).cast("long"), start.cast("long")
+    alone = F.struct(F.array(F.struct(F.lit(0).cast("long").alias("q"), first.alias("r"), n.alias("n"))).alias("blocks"), none.alias("gaps"), n.alias("qlen"), (first + n).alias("stop"))
+    malformed = cigar.rlike(r"[^0-9MIDNSHP=X]|(?:^|[MIDNSHP=X])[MIDNSHP=X]|[0-9]\z")
+    return F.when(cigar.rlike(r"^[0-9]+M\z"), alone).when(~malformed, walked)
 
 
 def within_bounds(strand: Column, read: Column, qpos: Column, length: Column, inclusion: dict[str, tuple[int, ...]], fixed: dict[str, tuple[int, ...]]) -> Column | None:

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import arrowed, columns, settled, slices, with_fields
 
-#: Chunks that a worker remembers at most.
-CHUNKS = 700_000
+#: Chunks that a worker remembers at most: half of them are the latest new ones, as each worker keeps them from task to task.
+CHUNKS = 240_000
 #: Pieces of one length that are ranked in one group.
 RANKED = 500
 
@@ -36,7 +36,11 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # when the first is full, it takes the place of the second, from which chunks that are met again come back
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # the bytes of each id, once
+        self.bytes_of = [int(i).to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values()))]
         # Texts with other characters may be changed by normalisation, or have white space that Python sees and Unicode doesn't
         self.plain = re.compile("[^\x00-\x1b\x20-įı-ɏ]")
         self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -45,16 +49,22 @@ class WordTokenizer:
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(other)}
 
     def chunk(self, text: str) -> bytes:
+        """The ids of a chunk that isn't among the known ones, which it joins if it is short."""
+        out = self.older.get(text)
+        if out is None:
+            out = self.told(text)
+        if len(text) <= 64:
+            if len(self.known) >= CHUNKS // 2:
+                self.known, self.older = {}, self.known
+            self.known[text] = out
+        return out
+
+    def told(self, text: str) -> bytes:
         parts = (text,) if text.isascii() and text.isalpha() else self.parts.findall(text)
         model, ids = self.tokenizer.model, []
         for part in parts:
             ids += [t.id for t in model.tokenize(part if part.isascii() and part.isprintable() else "".join(map(self.letters.__getitem__, part.encode())))]
-        out = np.array(ids, "<u4").tobytes()
-        if len(text) <= 64:
-            if len(self.known) >= CHUNKS:
-                self.known.clear()
-            self.known[text] = out
-        return out
+        return b"".join([self.bytes_of[i] for i in ids])
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
@@ -62,8 +72,9 @@ class WordTokenizer:
         # an added token's content is one id wherever it stands, which chunks don't show
         if self.plain.search(text) or any(t in lower for t in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        known, chunk = self.known, self.chunk
-        return b"".join([known[c] if c in known else chunk(c) for c in lower.split()])
+        chunk = self.chunk
+        # chunks may put another table in known's place
+        return b"".join([self.known.get(c) or chunk(c) for c in lower.split()])
 
 
 @lru_cache(maxsize=2)

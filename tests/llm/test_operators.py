@@ -419,6 +419,18 @@ def optimum(lengths, size):
     return best[0]
 
 
+def test_tokenizer_forgets_chunks_that_it_no_longer_meets(monkeypatch):
+    # workers keep the chunks from stage to stage, so a full table of 700,000 weighed on all of the pipeline
+    assert packing.CHUNKS <= 250_000
+    monkeypatch.setattr(packing, "CHUNKS", 4)
+    tok, own = Tokenizer.from_file(WORDS), packing.WordTokenizer(WORDS)
+    for k in range(20):
+        text = f"often new{k}, é{k}x"
+        assert own.ids(text) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert "often" in own.known or "often" in own.older
+        assert len(own.known) + len(own.older) <= 4
+
+
 def test_reduction_is_part_of_an_optimal_packing():
     rng, sizes = random.Random(9), collections.Counter()
     for turn in range(400):
