@@ -34,25 +34,18 @@ def strict(rows: DataFrame) -> DataFrame:
 def pieces(reads: DataFrame, keep: list[str | Column], gaps: bool = False) -> DataFrame:
     """One row for each part of an aligned block of aligned() reads that lies in one grid cell of PIECE reference bases: the
     columns of keep, rid, q and r (its first place in the read and on the reference), n, b and s (its bases and qualities, null
-    without). gaps adds the parts of deleted and skipped reference, with q and b null. So what is looked up for a base is
+    without); places beyond the read's qualities go. gaps adds the parts of deleted and skipped reference, with q and b null. So what is looked up for a base is
     never longer than a piece."""
-    block = "named_struct('q', x.q, 'r', x.r, 'n', x.n, 'gap', {gap})"
-    blocks = f"transform(walk.blocks, x -> {block.format(gap='false')})"
-    if gaps:
-        blocks = f"concat({blocks}, transform(walk.gaps, x -> {block.format(gap='true')}))"
-    rows = reads.select(*keep, "bases", "quals", F.explode(F.expr(f"filter({blocks}, x -> x.n > 0)")).alias("x"))
-    names = rows.columns[:-3]
-    rows = rows.select("*", F.explode(F.expr(f"sequence(x.r div {PIECE}, (x.r + x.n - 1) div {PIECE})")).alias("k"))
-    rows = rows.select(*names, "bases", "quals", "x", F.expr(f"greatest(x.r, k * {PIECE})").alias("r"), F.expr(f"least(x.r + x.n, (k + 1) * {PIECE})").alias("stop"))
-    cut = lambda c: f"substring({c}, cast(x.q + r - x.r as int) + 1, cast(stop - r as int))"
-    return rows.select(
-        *names,
-        F.expr("if(x.gap, null, x.q + r - x.r)").alias("q"),
-        "r",
-        F.expr("cast(stop - r as int)").alias("n"),
-        F.expr(f"if(x.gap, null, {cut('bases')})").alias("b"),
-        F.expr(f"if(x.gap or quals = '*', null, {cut('quals')})").alias("s"),
-    )
+    # how far bases and qualities reach, once for each read; cuts are made in the last step alone
+    held = F.least(F.length("bases"), F.when(F.col("quals") != "*", F.length("quals"))).alias("_held")
+    own, blocks = ([F.expr("size(walk.blocks)").alias("_own")], "concat(walk.blocks, walk.gaps)") if gaps else ([], "walk.blocks")
+    rows = reads.select(*keep, "bases", "quals", held, *own, F.posexplode(F.expr(blocks)).alias("_i", "x")).where("x.n > 0")
+    names = [c for c in rows.columns if c not in ("bases", "quals", "_held", "_own", "_i", "x")]
+    rows = rows.withColumn("gap", F.expr("_i >= _own") if gaps else F.lit(False))
+    rows = rows.select("*", F.explode(F.expr(f"sequence(x.r div {PIECE}, (x.r + x.n - 1) div {PIECE})")).alias("k")).withColumn("r", F.expr(f"greatest(x.r, k * {PIECE})"))
+    rows = rows.withColumn("q", F.expr("if(gap, null, x.q + r - x.r)")).withColumn("n", F.expr(f"cast(least(x.r + x.n - r, (k + 1) * {PIECE} - r, _held - q) as int)"))
+    cut = lambda c: f"substring({c}, cast(q as int) + 1, n)"
+    return rows.where("n > 0").select(*names, "q", "r", "n", F.expr(f"if(gap, null, {cut('bases')})").alias("b"), F.expr(f"if(gap or quals = '*', null, {cut('quals')})").alias("s"))
 
 
 def _bases(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -62,16 +55,11 @@ def _bases(rows: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select(*keep, F.expr("q + k").alias("qpos"), F.expr("r + k").alias("pos"), base, qual)
 
 
-#: The places of a piece. All strings that are looked into for each place stand in the generator's input, as Spark otherwise cuts
-#: them out anew for each row that it generates.
-_PLACES = "sequence(0, least(n, coalesce(length(b), n), coalesce(length(s), n){more}) - 1)"
-
-
 def exploded(reads: DataFrame, keep: list[str | Column]) -> DataFrame:
     """One row for each aligned base of aligned() reads: the columns of keep, qpos, pos, base and qual."""
     rows = pieces(reads, keep)
     names = rows.columns[:-5]
-    return _bases(rows.select("*", F.explode(F.expr(_PLACES.format(more=""))).alias("k")), names)
+    return _bases(rows.select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("k")), names)
 
 
 def at_cytosines(reads: DataFrame, chunks: DataFrame, keep: list[str | Column], contexts: tuple[str, ...], informative: bool = False, beds: DataFrame | None = None) -> DataFrame:
@@ -89,7 +77,7 @@ def at_cytosines(reads: DataFrame, chunks: DataFrame, keep: list[str | Column],
     found = rows.join(own, keys)
     found = found.withColumn("around", F.expr(f"substring(around, cast(r - cell * {CELL} as int) + 1, n + 4)"))
     found = found.where("length(around) > 4")  # a read may reach beyond the reference
-    found = found.select("*", F.explode(F.expr(_PLACES.format(more=", length(around) - 4"))).alias("k"))
+    found = found.select("*", F.explode(F.expr("sequence(0, least(n, length(around) - 4) - 1)")).alias("k"))
     found = at_places(found, "k", [*names, *lists, "chrom", "q", "r", "k", "b", "s"]).where(F.col("ctx").isin(*contexts))
     out = _bases(found, [*names, *lists, "chrom", "fwd", "ctx", "tri"])
     out = out.where(by_cell("top", "pos")).drop(*lists) if lists else out
